@@ -1,0 +1,11 @@
+"""The registered queries of the library's own operators, with their SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
