@@ -124,3 +124,8 @@ def chunk_rows(rows: DataFrame, order: str, size: int) -> DataFrame:
     before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).select(F.col("__p").alias("__q"), "__before")
     ranked = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
     return ranked.join(before, F.col("__p") == F.col("__q")).withColumn("chunk", F.floor((F.col("__before") + F.col("__r") - 1) / size)).select(*rows.columns, "chunk")
+
+
+def load_rows(rows: DataFrame) -> DataFrame:
+    """Training rows whose tokens aren't null or blank."""
+    return rows.where(F.regexp_replace("tokens", r"(?U)\s+", "") != "")

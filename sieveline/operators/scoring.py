@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,6 @@ def linear_score(tokens: Column, weights: dict[str, float] | None = None, bias:
 
 def external_score(rows: DataFrame, text: str, scorer: Callable[[list[str]], list[float]], out: str = "score") -> DataFrame:
     """A column of a batch scorer: it is called with lists of texts on the executors, once for each Arrow batch."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(batches: pd.Series) -> pd.Series:
         return pd.Series(scorer(batches.fillna("").tolist()), dtype="float64")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,8 +70,6 @@ def parse_reply(reply: Column) -> Column:
 
 def decide(rows: DataFrame, text: str, judge: Callable[[list[str]], list[str]], out: str = "decision") -> DataFrame:
     """A column of replies by an external judge, a callable on lists of texts; errors give suspicious."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(batch: pd.Series) -> pd.Series:
         try:

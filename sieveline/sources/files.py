@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -48,7 +49,7 @@ def read_files(spark: SparkSession, folder: str, extensions: list[str] | None =
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     rows = with_extension(rows.select("path", F.col("length").alias("size"), "content"), "path")
     rows = rows.withColumn("accepted", accepted(F.col("extension"), extensions)).withColumn("language", language(F.col("extension")))
-    below = F.regexp_extract("path", F.lit("/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/([^/]+)/"), 1)
+    below = F.regexp_extract("path", "/" + re.escape(folder.rstrip("/").rsplit("/", 1)[-1]) + "/([^/]+)/", 1)
     rows = rows.withColumn("package", F.coalesce(F.nullif(below, F.lit("")), F.lit(".")))
     out = ["path", "package", "extension", "size", "accepted", "language"]
     return rows.select(*out, F.when(F.col("accepted"), F.make_valid_utf8(F.col("content").cast("string"))).alias("text")) if content else rows.select(*out)

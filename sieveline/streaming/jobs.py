@@ -20,7 +20,12 @@ def first_by_hash(spark: SparkSession, folder: str, key: str = "doc_id", text: s
     The running minimum is the stream's only state: one row for each hash. Each micro-batch's changes are upserted by a
     written table of the latest state."""
     schema = spark.read.parquet(folder).schema
-    rows = spark.readStream.schema(schema).parquet(folder).select(F.col(key), F.sha2(text, 256).alias("hash"))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    stream = spark.readStream.schema(schema)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        # a stream watches folders: a single file is picked out of its own
+        stream, folder = stream.option("pathGlobFilter", at.getName()), at.getParent().toString()
+    rows = stream.parquet(folder).select(F.col(key), F.sha2(text, 256).alias("hash"))
     out, marks = _own_folder(spark, "stream-out"), _own_folder(spark, "stream-marks")
     counted = rows.groupBy("hash").agg(F.min(key).alias(key))
 
