@@ -1,0 +1,197 @@
+"""Tokenizers, licences, archives, shards and classifiers: exact round trips, the public library, held-out accuracy, and odd rows."""
+
+import hashlib
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from sieveline.llm import bpe, licenses, quality, sharding, toxicity, warc
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+SF = "/root/testdata/sf0.001"
+ODD = [
+    None, "", " ", "\n\n", "<|endoftext|>x<|startoftext|> y", "  a  b \n c\n\n d  ", "İΑΣ ΣΑΣ é é", "a\x1cb \x1d c\x85d\xa0e", "日本語 12345 ½ ²", "don't DON'T I'LL we'Ve 's", "😀👩‍👩‍👧 x", "a" * 3000, "the\tthe", "x <|endoftext|>  y", "Same", "Same",
+]
+
+
+def fuzz(n=300):
+    rng = random.Random(5)
+    parts = ["a", "e", "th", "in", "ing", " ", "  ", "\n", "'s", "'ll", "É", "ß", "1", "23", "!!", "$$$", "The", "日", "\t", "\x1c", "<|", "|>", "ﬁ", "Σ", "é", "अ"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return ODD + fuzz()
+
+
+@pytest.fixture(scope="module")
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int").repartition(3).cache()
+
+
+def library(name):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def test_token_counts(frame, texts):
+    lib = library("word_bpe_49k.json")
+    n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    got = {r.doc_id: r for r in bpe.count_tokens(frame, public_tokenizers.path("word_bpe_49k.json"), limit=6).collect()}
+    for i, t in enumerate(texts):
+        t, r = t or "", got[i]
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n(t), n(t) > 6), t
+        assert n(t[: r.cut]) <= 6 and (r.cut == len(t) or not r.over_limit or n(t[: r.cut + 1]) != n(t[: r.cut]) or n(t[: r.cut + 1]) > 6 or "<|" in t), t
+
+
+def test_prefix_counts():
+    lib, counter = library("word_bpe_49k.json"), bpe.WordCounter(bpe.Vocabulary(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()))
+    for t in ["Worthless THE ereandblow, that's 12 x", "naïve été  日本 a", "aaaaaa bbbb"]:
+        table = counter.prefix_table(t)
+        for end in range(len(t) + 1):
+            assert counter.prefix_count(t, end, table) == len(lib.encode(t[:end], add_special_tokens=False).ids)
+
+
+def test_bpe(frame, texts):
+    lib = library("byte_bpe_50k.json")
+    got = {r.doc_id: r for r in bpe.encode_decode(frame, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True).collect()}
+    for i, t in enumerate(texts):
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        assert got[i].ids == ids and got[i].decoded == lib.decode(ids, skip_special_tokens=False) == (t or "")
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_bpe_tokens_are_reachable():
+    v = bpe.Vocabulary(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    for i, b in enumerate(v.bytes[:3000]):
+        count, last, _, _ = v.prefix_tokens(b.decode("latin-1"))
+        assert (count[-1], last[-1]) == (1, i)
+
+
+def test_licenses(spark):
+    rows = ["Released under the MIT License.", "x\nreleased UNDER the mit license!\ny", None, "", "license", "Licensed under the Apache License, Version 2.0. " * 3, "words\n\nThis is free and unencumbered\nsoftware released into the public domain\n\nmore", "Released under the MIT License.\nLicensed under CC BY-NC 4.0."]
+    got = {r.doc_id: (r.licenses, r.best, r.dice) for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got[0] == (["MIT"], "MIT", 1.0) == got[1]
+    assert got[2] == got[3] == got[4] == ([], None, 0.0)
+    assert got[6] == (["Unlicense"], "Unlicense", 1.0)
+    assert got[7][0] == ["CC-BY-NC-4.0", "MIT"]
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    for n in range(1, 60):
+        low, high = licenses.size_bounds(n, 80)
+        assert all((200 * min(n, m) >= 80 * (n + m)) == (low <= m <= high) for m in range(1, 200))
+
+
+def pages(spark):
+    rng = random.Random(2)
+    big = "".join(rng.choice("abé<>\r\n\x00 WARC/1.1") for _ in range(9000))
+    rows = [(1, "http://a", "x"), (2, "http://b", "x"), (0, None, "x"), (3, "u\r\nv", big), (9, "u", big), (5, "u", None), (4, "u", ""), (7, "u", "WARC/1.1\r\n\r\n\r\n0\r\n\r\n"), (8, "u", "é" * 2000)]
+    return rows, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+
+
+@pytest.mark.parametrize("least", [0, 1, 100])
+def test_warc(spark, least):
+    rows, frame = pages(spark)
+    got = {r.page_id: r for r in warc.round_trip(frame, least_bytes=least, payloads=True, segment_bytes=1000, chunk_bytes=300, file_records=3).collect()}
+    data = {k: (h or "").encode() for k, _, h in rows}
+    for k, body in data.items():
+        first = min(i for i, b in data.items() if b == body)
+        r, revisit = got[k], len(body) >= least and first != k
+        assert (r.payload_bytes, r.payload_digest) == (len(body), warc.payload_digest(body))
+        assert (r.record_type, r.refers_to) == (("revisit", first) if revisit else ("response", None))
+        assert revisit or (bytes(r.payload) == body and r.verified)
+    assert warc.round_trip(frame.limit(0)).count() == 0
+
+
+def test_warc_odd_rows(spark):
+    frame = spark.createDataFrame([(None, None, None), (2, "u", "y"), (2, "u", "y"), (3, "u", "y")], "page_id long, url string, html string")
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.round_trip(frame).collect()) == [("2", "response", None), ("2", "response", None), ("3", "revisit", 2), ("None", "response", None)]
+
+
+def test_warc_errors():
+    body = b"abc" * 500
+    assert warc.dechunked(warc.chunked(body, 7)) == body and warc.dechunked(warc.chunked(b"")) == b""
+    with pytest.raises(ValueError):
+        warc.reassembled([(1, None, b"a"), (3, 2, b"b")])
+    with pytest.raises(ValueError):
+        warc.reassembled([(1, None, b"a"), (2, 3, b"b")])
+    with pytest.raises(ValueError):
+        warc.dechunked(b"5\r\nab")
+
+
+def test_sharding(spark):
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 > 0, F.sha2(F.col("id").cast("string"), 512)).alias("text"))
+    table = sharding.ShardTable(spark)
+    assert table.versions() == [] and table.read().count() == 0
+    for part in range(4):
+        table.append(rows.where(F.col("doc_id") % 4 == part), arrival_rows=20)
+    before = table.manifest().count()
+    assert table.versions() == [1, 2, 3, 4] and before >= 25
+    assert table.compact(target=1 << 16) == 5
+    after = table.manifest()
+    assert after.count() < before and after.agg(F.sum("rows")).first()[0] == 500
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    assert same(table.read(), rows) and same(table.read(2), rows.where(F.col("doc_id") % 4 < 2))
+    with pytest.raises(sharding.Conflict):
+        table.commit(after, 2)
+    assert table.vacuum(keep=1) == before and same(table.read(), rows)
+    assert table.compact(target=1 << 16) in (5, 6)
+    table.append(rows.limit(0))
+    assert same(table.read(), rows)
+
+
+def documents(spark):
+    return spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+
+
+def test_quality(spark):
+    docs, labels = documents(spark)
+    rows = quality.score(docs, quality.train(docs, labels)).join(labels, "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.predicted == r.quality for r in held) / len(held) > 0.97
+    assert sum(r.predicted for r in held if r.quality == 1) / sum(r.quality for r in held) > 0.99
+
+
+def test_toxicity(spark):
+    docs, labels = documents(spark)
+    found = toxicity.score(docs, toxicity.train(docs, labels)).join(labels.select("doc_id", F.col("toxic").alias("y")), "doc_id")
+    rows = [r for r in found.collect() if r.held_out]
+    assert all(0 <= r.p_severe <= r.p_mild <= 1 and abs(r.severity - r.p_mild - r.p_severe) < 1e-9 for r in rows)
+    clean, bad = [r for r in rows if r.y == 0], [r for r in rows if r.y == 1]
+    assert sum(r.toxic for r in clean) / len(clean) < 0.02 and sum(r.toxic for r in bad) / len(bad) > 0.4
+
+
+def test_ordinal_grades():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    grades = rng.integers(0, 4, 400)
+    rows = np.repeat(np.arange(400), grades)
+    features = np.concatenate([np.arange(g) for g in grades]).astype(np.int64)
+    w, t = toxicity.fit_ordinal(rows, features, grades, 3)
+    p = toxicity.OrdinalModel(w, t).at_least(np.bincount(rows, w[features], 400))
+    assert (np.diff(t) > 0).all() and (np.abs(p.sum(1) - grades) < 0.6).mean() > 0.9
+
+
+def test_classifiers_on_odd_rows(spark):
+    docs = spark.createDataFrame([(None, None, 1), (1, "", 2), (2, "x" * 100_000, 3), (2, "ok words", 4)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(1, None, None), (2, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.score(docs, quality.train(docs, labels)).count() == 4 and toxicity.score(docs, toxicity.train(docs, labels)).count() == 4
+    assert quality.keep_good(docs, quality.train(docs.limit(0), labels)).columns == docs.columns
+    assert toxicity.keep_civil(docs, toxicity.train(docs, labels.limit(0))).count() == 4
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.written(stage(spark, docs, SF), "test")
+        assert kept.columns == docs.columns and kept.count() <= docs.count() and kept.join(docs, "doc_id", "left_anti").count() == 0, name
+        docs = kept
+    assert docs.count() > 50 and corpus_pipeline.encoding_stage(spark, docs, SF).count() == docs.count()
