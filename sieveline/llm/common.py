@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,8 +43,10 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nobody refers to any more."""
     import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.2)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

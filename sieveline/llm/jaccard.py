@@ -6,10 +6,11 @@ A document is its set of word shingles (hashes). Two documents link when interse
 2. Every total order of tokens gives each set a prefix such that linked sets share a token of their prefixes. Here frequent
    tokens come last (found per task, the list is bounded), so that common passages stay out of the prefixes. Prefix tokens
    are dealt into buckets; those of one class only are gone after that.
-3. Similar classes are partitioned into groups: on a part of the tokens every class is compared, exactly, with the leading
-   classes of its tokens, and those that link make up a group.
+3. Similar classes are partitioned into groups: every class is compared, exactly, with the class that leads most of its
+   tokens, and in crowds also with the leaders of classes of equal sketches; those that link make up a group.
 4. The token-group matrix holds for each prefix token its groups, with sizes and places. A class is compared with a member of
-   another group only where a shared token, the sizes and the places allow enough overlap; within a group nothing is left to do.
+   another group only where the number of tokens that they share in it, the sizes and the places allow enough overlap; within
+   a group nothing is left to do.
 
 Groups and classes only save work; every pair of different sets that links is either compared or inside a connected group.
 """
@@ -30,10 +31,15 @@ BLOCK_MEMBERS = 1024
 #: A token is frequent if this many different sets of one task hold it; at most so many tokens are listed (the order stays right without them).
 FREQUENT_SETS = 8
 FREQUENT_TOKENS = 1 << 17
-#: Bits of the filter that spares reading sets of classes without a shared token.
+#: Bits of the filter that spares moving sets of classes that aren't compared.
 FILTER_BITS = 23
+#: Classes of tokens with so many members are also grouped by sketches: so many of them, of so many minima each.
+CROWD, SKETCHES, MINIMA, LEADERS = 24, 8, 6, 4
+#: Bytes of a token's hash in the sets that are compared.
+TOKEN_BYTES = 5
 SALTS = 16
 
+_SEEDS = mix64(np.arange(1, SKETCHES * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(SKETCHES, MINIMA) | np.uint64(1)
 LOWER = ascii_lower_table()
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -136,29 +142,32 @@ def _ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """doc_id, n, digest (null for the empty set) and the prefix where the task meets the class for the first time."""
+    """doc_id, n, digest (null for the empty set), and the prefix and sketches where the task meets the class for the first time."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, prefixes, sketches = [], [], [], []
             for tokens in shingle_sets(b.column(1), width):
                 sizes.append(len(tokens))
                 if not len(tokens):
                     digests.append(None)
                     prefixes.append(None)
+                    sketches.append(None)
                     continue
                 digests.append(d := set_digest(tokens))
                 if d in seen:
                     prefixes.append(None)
+                    sketches.append(None)
                 else:
                     seen.add(d)
+                    sketches.append(sketch(tokens))
                     prefixes.append(_ordered(tokens, frequent.value)[: prefix_size(len(tokens), percent)].tobytes())
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(prefixes, pa.binary())], names=["doc_id", "n", "digest", "prefix"])
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "prefix", "sketches"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest long, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest long, prefix binary, sketches array<long>")
 
 
 def _matrix(classes: DataFrame, buckets: int) -> DataFrame:
@@ -226,8 +235,20 @@ def _passes(words: np.ndarray, digest: int) -> bool:
     return bool(int(words[low >> 6]) >> (low & 63) & 1 and int(words[high >> 6]) >> (high & 63) & 1)
 
 
-def _sets(docs: DataFrame, filter_words, width: int) -> DataFrame:
-    """digest, tokens of the classes that pass the filter, once each."""
+def _packed(tokens: np.ndarray) -> bytes:
+    return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // TOKEN_BYTES, 8), np.uint8)
+    out[:, :TOKEN_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, TOKEN_BYTES)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """digest, tokens of the classes of the pairs, once each (and of a few others, which the filter lets pass)."""
+    spark = docs.sparkSession
+    filter_words = spark.sparkContext.broadcast(_filter_words(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()))
 
     def run(batches):
         seen: set[int] = set()
@@ -237,7 +258,7 @@ def _sets(docs: DataFrame, filter_words, width: int) -> DataFrame:
                 if len(tokens) and (d := set_digest(tokens)) not in seen and _passes(filter_words.value, d):
                     seen.add(d)
                     digests.append(d)
-                    sets.append(tokens.tobytes())
+                    sets.append(_packed(tokens))
             if digests:
                 yield pa.record_batch([pa.array(digests, pa.int64()), pa.array(sets, pa.binary())], names=["digest", "tokens"])
 
@@ -245,16 +266,18 @@ def _sets(docs: DataFrame, filter_words, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest long, tokens binary").dropDuplicates(["digest"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets link, by exact intersection."""
+    sets = written(_sets(docs, pairs, width), "jaccard-sets")
+    release(docs.sparkSession)
 
     def run(batch: pa.RecordBatch):
         a, b, kept = batch.column(0), batch.column(1), []
         last_key, last = None, None
         for key, x, y in zip(a.to_pylist(), batch.column(2), batch.column(3), strict=True):
             if key != last_key:
-                last_key, last = key, np.frombuffer(x.as_py(), np.uint64)
-            other = np.frombuffer(y.as_py(), np.uint64)
+                last_key, last = key, _unpacked(x.as_py())
+            other = _unpacked(y.as_py())
             both = np.concatenate([last, other])
             both.sort()
             n = int((both[1:] == both[:-1]).sum())
@@ -268,37 +291,77 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs_between(matrix: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of classes in different groups that a shared prefix token, sizes and places allow to link."""
+    """Pairs of classes in different groups that may link, as far as their shared prefix tokens tell."""
     spread = matrix.select("token", F.explode(F.arrays_zip("members", "sizes", "places")).alias("e")).select("token", F.col("e.members").alias("d"), F.col("e.sizes").alias("n"), F.col("e.places").alias("p"))
     named = spread.join(groups.select(F.col("v").alias("d"), "comp"), "d", "left").withColumn("comp", F.coalesce("comp", "d"))
     open_tokens = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("token", "k")
     rows = named.join(open_tokens, "token")
+    # a class can share no more tokens than it has in open rows
+    rows = rows.join(rows.groupBy("d").agg(F.count("*").alias("s")), "d")
     # rows of a long list are dealt into pairs of blocks, so that no task gets an unbounded list
     blocks = F.ceil(F.col("k") / BLOCK_MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("d"), blocks).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    grouped = rows.groupBy("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("d", "n", "p", "comp", "own")).alias("m"))
+    grouped = rows.groupBy("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("d", "n", "p", "comp", "own", "s")).alias("m"))
 
     def run(batch: pa.RecordBatch):
-        left, right = [], []
+        found = []
         for i, j, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             e = entries.values
-            d, n, p, comp, own = (e.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
+            d, n, p, comp, own, s = (e.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6))
+            rest = -(-percent * n // 100) - 1
             x, y = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(d)),) * 2
             for at in range(0, len(x), 512):
                 r = x[at : at + 512, None]
-                need = least_overlap(n[r], n[y], percent)
-                fits = (comp[r] != comp[y]) & (1 + np.minimum(n[r] - p[r], n[y] - p[y]) - 1 >= need) & (100 * np.minimum(n[r], n[y]) >= percent * np.maximum(n[r], n[y]))
+                fits = (comp[r] != comp[y]) & (np.minimum(s[r], s[y]) + np.maximum(rest[r], rest[y]) >= least_overlap(n[r], n[y], percent)) & (100 * np.minimum(n[r], n[y]) >= percent * np.maximum(n[r], n[y]))
                 if i == j:
                     fits &= d[r] < d[y]
                 a, b = np.nonzero(fits)
-                left.append(np.minimum(d[x[at + a]], d[y[b]]))
-                right.append(np.maximum(d[x[at + a]], d[y[b]]))
-        found = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if left else np.zeros((0, 2), np.int64)
-        if len(found):
-            yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-    return map_arrow(grouped.select("i", "j", "m"), run, "a long, b long").distinct()
+                a, b = x[at + a], y[b]
+                swap = d[a] > d[b]
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                found.append(np.stack([d[a], d[b], n[a], n[b], p[a], p[b]]))
+        if found and (out := np.concatenate(found, 1)).shape[1]:
+            yield pa.record_batch([pa.array(c) for c in out], names=["a", "b", "na", "nb", "pa", "pb"])
+
+    shared = map_arrow(grouped.select("i", "j", "m"), run, "a long, b long, na long, nb long, pa long, pb long")
+    counted = shared.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    # What two sets share beyond the last token that they share in their prefixes comes after it in both; and what they share
+    # beyond the shorter reaching prefix is in that set's rest.
+    rest = lambda n: F.expr(f"div({percent} * {n} + 99, 100) - 1")
+    behind = F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1, F.greatest(rest("na"), rest("nb")))
+    need = F.expr(f"div({percent} * (na + nb) + {99 + percent}, {100 + percent})")
+    return counted.where(F.col("c") + behind >= need).select("a", "b")
+
+
+def _stars(matrix: DataFrame, percent: int) -> DataFrame:
+    """For each class the class that leads (is the smallest of) most of its tokens, if they are a twentieth of its size and the sizes allow a link."""
+    member = F.explode(F.arrays_zip("members", "sizes")).alias("e")
+    led = matrix.select(F.array_min("members").alias("a"), F.element_at("sizes", F.array_position("members", F.array_min("members")).cast("int")).alias("na"), member)
+    led = led.select("a", "na", F.col("e.members").alias("b"), F.col("e.sizes").alias("nb")).where("a <> b")
+    counted = led.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    fine = counted.where("20 * c >= nb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return fine.groupBy("b").agg(F.max(F.struct(F.col("c"), (-F.col("a")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), "b")
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """SKETCHES hashes of a set, each of MINIMA minima of hash functions: equal for similar sets with a fair chance."""
+    least = np.array([(tokens * seed).min() for seed in _SEEDS.ravel()], np.uint64).reshape(_SEEDS.shape)
+    return mix64((mix64(least) * _SEEDS).sum(1, dtype=np.uint64)).view(np.int64)
+
+
+def _sketch_stars(classes: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Pairs (leader, class) of classes with an equal sketch, for classes in crowded tokens.
+
+    These pairs are compared exactly like all others; they connect a crowd with a few comparisons for each class instead of
+    all pairs."""
+    crowd = matrix.where(F.size("members") >= CROWD).select(F.explode("members").alias("d")).distinct()
+    own = classes.where("prefix IS NOT NULL").select("digest", "sketches").join(crowd, F.col("digest") == F.col("d"), "left_semi")
+    sketched = own.select(F.explode("sketches").alias("k"), F.col("digest").alias("b")).distinct()
+    # leaders are the first of several orders; an aggregate of fixed size, however large the crowd
+    some = F.array_distinct(F.array(*[F.min_by("b", F.xxhash64(F.lit(i), "b")) for i in range(LEADERS)]))
+    leaders = sketched.groupBy("k").agg(some.alias("some"), F.min("b").alias("y"), F.max("b").alias("z")).where("y <> z").select("k", F.explode("some").alias("a"))
+    return sketched.join(leaders, "k").where("a <> b").select("a", "b").distinct()
 
 
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
@@ -317,24 +380,19 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
         buckets *= 2
     matrix = written(_matrix(classes, buckets), "jaccard-matrix")
     release(spark)
-    shared = matrix.select(F.explode("members").alias("d")).distinct()
-    filter_words = spark.sparkContext.broadcast(_filter_words(shared))
-    sets = written(_sets(docs, filter_words, width), "jaccard-sets")
-    release(spark)
 
-    # groups: links of each class with the two classes that lead most of its tokens, from an eighth of the buckets
-    led = matrix.where(F.col("bucket") < buckets // 8).select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a <> b")
-    best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
-    stars = led.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(best)).where("r <= 2")
-    links = written(_verified(stars, sets, percent), "jaccard-links")
-    groups = connected_components(links, what="jaccard-groups")
+    stars = written(_stars(matrix, percent).unionByName(_sketch_stars(classes, matrix)).distinct(), "jaccard-stars")
     release(spark)
-
-    pairs = written(_pairs_between(matrix, groups, percent), "jaccard-pairs")
+    links = written(_verified(docs, stars, width, percent), "jaccard-links")
     release(spark)
-    more = written(_verified(pairs, sets, percent), "jaccard-links")
+    groups = connected_components(links, what="jaccard-groups")
+    pairs = written(_pairs_between(matrix, groups, percent), "jaccard-pairs")
     release(spark)
-    components = connected_components(links.unionByName(more), what="jaccard-components") if more.limit(1).count() else groups
+    components = groups
+    if pairs.limit(1).count():
+        more = written(_verified(docs, pairs, width, percent), "jaccard-links")
+        release(spark)
+        components = connected_components(links.unionByName(more), what="jaccard-components")
 
     # the smallest key of each component; keys are (class, salt), so that no class meets in one task
     rows = classes.select("doc_id", "n", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
