@@ -77,7 +77,7 @@ def test_near_copies(spark, texts):
 
 def test_near_copies_blocks(spark, texts, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 3)
-    monkeypatch.setattr(jaccard, "FREQUENT_SETS", 10**9)
+    monkeypatch.setattr(jaccard, "CROWD", 3)
     keys = list(range(len(texts)))
     docs = spark.createDataFrame(list(zip(keys, texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()}
