@@ -87,12 +87,20 @@ def fit_ordinal(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, n_fe
     return w, base + np.concatenate([[0.0], np.cumsum(np.log1p(np.exp(gaps)))])
 
 
+def _sums(keys: np.ndarray, of: np.ndarray, values: np.ndarray, size: int, step: int = 1 << 20) -> np.ndarray:
+    """Sum of values[of] by key, in pieces, so that the driver holds no long arrays of doubles."""
+    out = np.zeros(size)
+    for i in range(0, len(keys), step):
+        out += np.bincount(keys[i : i + step], values[of[i : i + step]], size)
+    return out
+
+
 def fit(texts: np.ndarray, features: np.ndarray, words: np.ndarray, toxic: np.ndarray, z: float = 4.0, least: int = 5) -> OrdinalModel:
     """Features with at least `least` rows and a log odds ratio of |z| standard errors enter the regression."""
     size = 1 << BITS
     n1, n0 = toxic.sum(), (1 - toxic).sum()
-    a = np.bincount(features, toxic[texts], size) + 0.5
-    c = np.bincount(features, 1 - toxic[texts], size) + 0.5
+    a = _sums(features, texts, toxic, size) + 0.5
+    c = _sums(features, texts, 1 - toxic, size) + 0.5
     score = (np.log(a / (n1 + 1 - a + 0.5)) - np.log(c / (n0 + 1 - c + 0.5))) / np.sqrt(1 / a + 1 / c) if len(toxic) else np.zeros(size)
     chosen = np.flatnonzero((a + c - 1 >= least) & (np.abs(score) >= z))
     weights = np.zeros(size)
@@ -100,11 +108,11 @@ def fit(texts: np.ndarray, features: np.ndarray, words: np.ndarray, toxic: np.nd
     place[chosen] = np.arange(len(chosen))
     marker = np.zeros(size, bool)
     marker[chosen[score[chosen] > 0]] = True
-    share = np.bincount(texts, marker[features], len(toxic)) / np.maximum(words, 1)
+    share = _sums(texts, features, marker.astype(float), len(toxic)) / np.maximum(words, 1)
     grades = toxic.astype(np.int64)
     if n1:
         grades += (toxic > 0) & (share >= np.median(share[toxic > 0]))
-    own = place[features] >= 0
+    own = np.isin(np.arange(size), chosen)[features]
     w, thresholds = fit_ordinal(texts[own], place[features[own]], grades, len(chosen))
     weights[chosen] = w
     return OrdinalModel(weights, thresholds)
@@ -125,9 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     table = map_arrow(sample, run, f"k {kind}, y int, words long, features array<int>").orderBy(F.xxhash64("k"), "k", "words", "y").limit(sample_rows).toArrow().combine_chunks()
     lists = table.column("features").combine_chunks()
     sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False) if len(lists) else np.zeros(0, np.int32)
     toxic = (table.column("y").to_numpy() > 0).astype(float)
-    return fit(np.repeat(np.arange(len(sizes)), sizes), flat, table.column("words").to_numpy(), toxic)
+    return fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), flat, table.column("words").to_numpy(), toxic)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
