@@ -32,10 +32,14 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, partitions: int | None = None) -> DataFrame:
-    """df as a table written to the shared folder: lineage ends there, so lost executors cost no recomputation."""
+def written(df: DataFrame, what: str, made: list[str] | None = None) -> DataFrame:
+    """df as a table written to the shared folder: lineage ends there, so lost executors cost no recomputation.
+
+    The path goes to `made`, for drop_paths() once nothing reads the table any more."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, what)
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,11 +53,12 @@ def release(spark: SparkSession) -> None:
     time.sleep(0.2)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of intermediate results through the Hadoop file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of intermediate results through the Hadoop file system."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    paths.clear()
 
 
 def ascii_lower_table() -> np.ndarray:
@@ -159,18 +164,18 @@ def gather(table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return table[np.repeat(starts - ends + lengths, lengths) + np.arange(total)]
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", what: str = "cc") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", what: str = "cc", made: list[str] | None = None) -> DataFrame:
     """Vertices of the edges with the smallest vertex of their component: (v, comp). Distributed.
 
     Each round hooks every vertex onto its smallest neighbour and contracts the graph; vertices should be hashes, so that
     the expected number of rounds is logarithmic. Only counts reach the driver; every round is a written table."""
     spark = edges.sparkSession
-    e = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), f"{what}-edges")
+    e = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), f"{what}-edges", made)
     parents = []
     while e.limit(1).count():
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooked = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p"))
-        parent = written(hooked, f"{what}-parent")
+        parent = written(hooked, f"{what}-parent", made)
         parents.append(parent)
         e = written(
             e.join(parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a")
@@ -179,10 +184,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", what: str
             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
             .distinct(),
             f"{what}-edges",
+            made,
         )
     if not parents:
         return edges.select(F.col(a).alias("v"), F.col(a).alias("comp")).limit(0)
     comp = parents[-1].select("v", F.col("p").alias("comp"))
     for parent in reversed(parents[:-1]):
         comp = parent.join(comp.withColumnRenamed("v", "p"), "p", "left").select("v", F.coalesce("comp", "p").alias("comp"))
-    return written(comp, f"{what}-comp")
+    return written(comp, f"{what}-comp", made)

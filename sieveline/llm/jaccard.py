@@ -7,7 +7,7 @@ A document is its set of word shingles (hashes). Two documents link when interse
    tokens come last (found per task, the list is bounded), so that common passages stay out of the prefixes. Prefix tokens
    are dealt into buckets; those of one class only are gone after that.
 3. Similar classes are partitioned into groups: every class is compared, exactly, with the class that leads most of its
-   tokens, and in crowds also with the leaders of classes of equal sketches; those that link make up a group.
+   tokens and with the leaders of classes of equal sketches; those that link make up a group.
 4. The token-group matrix holds for each prefix token its groups, with sizes and places. A class is compared with a member of
    another group only where the number of tokens that they share in it, the sizes and the places allow enough overlap; within
    a group nothing is left to do.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_table, connected_components, hash_words, map_arrow, mix64, release, small_batches, text_buffer, written
+from .common import ascii_lower_table, connected_components, drop_paths, hash_words, map_arrow, mix64, release, small_batches, text_buffer, written
 
 #: Bytes of one bucket of prefix tokens, buckets at least, and members of one block of a token's row.
 BUCKET_BYTES = 4 << 20
@@ -33,8 +33,10 @@ FREQUENT_SETS = 8
 FREQUENT_TOKENS = 1 << 17
 #: Bits of the filter that spares moving sets of classes that aren't compared.
 FILTER_BITS = 23
-#: Classes of tokens with so many members are also grouped by sketches: so many of them, of so many minima each.
-CROWD, SKETCHES, MINIMA, LEADERS = 24, 8, 6, 4
+#: Counts of a set's tokens by the first bits of their hashes bound overlaps; they go with tokens of at least CROWD classes.
+COUNTS, CROWD = 128, 64
+#: Sketches of a class, minima of each, and classes that lead those of an equal sketch.
+SKETCHES, MINIMA, LEADERS = 6, 5, 4
 #: Bytes of a token's hash in the sets that are compared.
 TOKEN_BYTES = 5
 SALTS = 16
@@ -116,7 +118,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
                     seen.add(d)
                     held.append(tokens)
                     size += len(tokens)
-            if size > 1 << 20:
+            if size > 1 << 19:
                 flush()
                 size = 0
         flush()
@@ -142,32 +144,35 @@ def _ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """doc_id, n, digest (null for the empty set), and the prefix and sketches where the task meets the class for the first time."""
+    """doc_id, n, digest (null for the empty set), and the prefix, sketches and counts where the task meets the class for the first time."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            sizes, digests, prefixes, sketches = [], [], [], []
+            sizes, digests, prefixes, sketches, counts = [], [], [], [], []
             for tokens in shingle_sets(b.column(1), width):
                 sizes.append(len(tokens))
                 if not len(tokens):
                     digests.append(None)
                     prefixes.append(None)
                     sketches.append(None)
+                    counts.append(None)
                     continue
                 digests.append(d := set_digest(tokens))
                 if d in seen:
                     prefixes.append(None)
                     sketches.append(None)
+                    counts.append(None)
                 else:
                     seen.add(d)
+                    counts.append(count_vector(tokens))
                     sketches.append(sketch(tokens))
                     prefixes.append(_ordered(tokens, frequent.value)[: prefix_size(len(tokens), percent)].tobytes())
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "prefix", "sketches"])
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["doc_id", "n", "digest", "prefix", "sketches", "counts"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest long, prefix binary, sketches array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest long, prefix binary, sketches array<long>, counts binary")
 
 
 def _matrix(classes: DataFrame, buckets: int) -> DataFrame:
@@ -191,7 +196,7 @@ def _matrix(classes: DataFrame, buckets: int) -> DataFrame:
                 k = len(tokens)
                 held.append((tokens, np.full(k, digest.as_py(), np.int64), np.full(k, n.as_py(), np.int32), np.arange(k, dtype=np.int32)))
                 size += k
-                if size > 1 << 20:
+                if size > 1 << 19:
                     yield out(held)
                     held, size = [], 0
         if held:
@@ -266,9 +271,9 @@ def _sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest long, tokens binary").dropDuplicates(["digest"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, made: list[str]) -> DataFrame:
     """The pairs (a, b) of classes whose sets link, by exact intersection."""
-    sets = written(_sets(docs, pairs, width), "jaccard-sets")
+    sets = written(_sets(docs, pairs, width), "jaccard-sets", made)
     release(docs.sparkSession)
 
     def run(batch: pa.RecordBatch):
@@ -290,39 +295,62 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     return map_arrow(joined, run, "a long, b long")
 
 
-def _pairs_between(matrix: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _pairs_between(matrix: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in different groups that may link, as far as their shared prefix tokens tell."""
     spread = matrix.select("token", F.explode(F.arrays_zip("members", "sizes", "places")).alias("e")).select("token", F.col("e.members").alias("d"), F.col("e.sizes").alias("n"), F.col("e.places").alias("p"))
     named = spread.join(groups.select(F.col("v").alias("d"), "comp"), "d", "left").withColumn("comp", F.coalesce("comp", "d"))
     open_tokens = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("token", "k")
     rows = named.join(open_tokens, "token")
-    # a class can share no more tokens than it has in open rows
-    rows = rows.join(rows.groupBy("d").agg(F.count("*").alias("s")), "d")
+    # a class can share no more prefix tokens than it has in open rows, and before a token no more than precede it there
+    own_rows = Window.partitionBy("d")
+    rows = rows.withColumn("s", F.count("*").over(own_rows)).withColumn("q", F.row_number().over(own_rows.orderBy("p")) - 1)
+    vectors = classes.where("counts IS NOT NULL").groupBy(F.col("digest").alias("d")).agg(F.first("counts").alias("v"))
+    rows = rows.join(vectors, "d", "left").withColumn("v", F.when(F.col("k") >= CROWD, F.col("v")))
     # rows of a long list are dealt into pairs of blocks, so that no task gets an unbounded list
     blocks = F.ceil(F.col("k") / BLOCK_MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("d"), blocks).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    grouped = rows.groupBy("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("d", "n", "p", "comp", "own", "s")).alias("m"))
+    grouped = rows.groupBy("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("d", "n", "p", "comp", "own", "s", "q", "v")).alias("m"))
+
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c) for c in np.concatenate(found, 1)], names=["a", "b", "na", "nb", "pa", "pb"])
 
     def run(batch: pa.RecordBatch):
-        found = []
+        found, size = [], 0
         for i, j, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             e = entries.values
-            d, n, p, comp, own, s = (e.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6))
+            d, n, p, comp, own, s, q = (e.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7))
             rest = -(-percent * n // 100) - 1
+            v = e.field(7)
+            known, vectors = ~np.asarray(v.is_null()), None
+            if known.any():
+                vectors = np.zeros((len(d), COUNTS), np.uint8)
+                vectors[known] = np.frombuffer(b"".join(v.drop_null().to_pylist()), np.uint8).reshape(-1, COUNTS)
             x, y = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(d)),) * 2
             for at in range(0, len(x), 512):
                 r = x[at : at + 512, None]
-                fits = (comp[r] != comp[y]) & (np.minimum(s[r], s[y]) + np.maximum(rest[r], rest[y]) >= least_overlap(n[r], n[y], percent)) & (100 * np.minimum(n[r], n[y]) >= percent * np.maximum(n[r], n[y]))
+                need = least_overlap(n[r], n[y], percent)
+                fits = (comp[r] != comp[y]) & (100 * np.minimum(n[r], n[y]) >= percent * np.maximum(n[r], n[y])) & (np.minimum(s[r], s[y]) + np.maximum(rest[r], rest[y]) >= need)
+                # tokens that are shared before this one are in open rows of both, those behind it come after it in both
+                fits &= np.minimum(q[r], q[y]) + 1 + np.minimum(n[r] - p[r], n[y] - p[y]) - 1 >= need
                 if i == j:
                     fits &= d[r] < d[y]
                 a, b = np.nonzero(fits)
                 a, b = x[at + a], y[b]
+                if vectors is not None and len(a):
+                    # no more tokens are shared than the smaller count of each range
+                    both = np.concatenate([np.minimum(vectors[a[i : i + 65536]], vectors[b[i : i + 65536]]).sum(1, dtype=np.int64) for i in range(0, len(a), 65536)])
+                    fine = (both >= least_overlap(n[a], n[b], percent)) | ~known[a] | ~known[b]
+                    a, b = a[fine], b[fine]
                 swap = d[a] > d[b]
                 a, b = np.where(swap, b, a), np.where(swap, a, b)
                 found.append(np.stack([d[a], d[b], n[a], n[b], p[a], p[b]]))
-        if found and (out := np.concatenate(found, 1)).shape[1]:
-            yield pa.record_batch([pa.array(c) for c in out], names=["a", "b", "na", "nb", "pa", "pb"])
+                size += len(a)
+                if size > 1 << 17:
+                    yield packed(found)
+                    found, size = [], 0
+        if size:
+            yield packed(found)
 
     shared = map_arrow(grouped.select("i", "j", "m"), run, "a long, b long, na long, nb long, pa long, pb long")
     counted = shared.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
@@ -350,13 +378,18 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return mix64((mix64(least) * _SEEDS).sum(1, dtype=np.uint64)).view(np.int64)
 
 
-def _sketch_stars(classes: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Pairs (leader, class) of classes with an equal sketch, for classes in crowded tokens.
+def count_vector(tokens: np.ndarray) -> bytes | None:
+    """Tokens in each of COUNTS ranges of hashes, a byte each; none for sets too large for bytes."""
+    counts = np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=COUNTS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _sketch_stars(classes: DataFrame) -> DataFrame:
+    """Pairs (leader, class) of classes with an equal sketch.
 
     These pairs are compared exactly like all others; they connect a crowd with a few comparisons for each class instead of
     all pairs."""
-    crowd = matrix.where(F.size("members") >= CROWD).select(F.explode("members").alias("d")).distinct()
-    own = classes.where("prefix IS NOT NULL").select("digest", "sketches").join(crowd, F.col("digest") == F.col("d"), "left_semi")
+    own = classes.where("prefix IS NOT NULL").select("digest", "sketches")
     sketched = own.select(F.explode("sketches").alias("k"), F.col("digest").alias("b")).distinct()
     # leaders are the first of several orders; an aggregate of fixed size, however large the crowd
     some = F.array_distinct(F.array(*[F.min_by("b", F.xxhash64(F.lit(i), "b")) for i in range(LEADERS)]))
@@ -372,37 +405,40 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     The result is written, so it can be read twice."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    made: list[str] = []
     frequent = spark.sparkContext.broadcast(_frequent(docs, width))
-    classes = written(_classes(docs, frequent, width, percent), "jaccard-classes")
+    classes = written(_classes(docs, frequent, width, percent), "jaccard-classes", made)
     total = classes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0]
     buckets = LEAST_BUCKETS
     while buckets * BUCKET_BYTES < 3 * total:
         buckets *= 2
-    matrix = written(_matrix(classes, buckets), "jaccard-matrix")
+    matrix = written(_matrix(classes, buckets), "jaccard-matrix", made)
     release(spark)
 
-    stars = written(_stars(matrix, percent).unionByName(_sketch_stars(classes, matrix)).distinct(), "jaccard-stars")
+    stars = written(_stars(matrix, percent).unionByName(_sketch_stars(classes)).distinct(), "jaccard-stars", made)
     release(spark)
-    links = written(_verified(docs, stars, width, percent), "jaccard-links")
+    links = written(_verified(docs, stars, width, percent, made), "jaccard-links", made)
     release(spark)
-    groups = connected_components(links, what="jaccard-groups")
-    pairs = written(_pairs_between(matrix, groups, percent), "jaccard-pairs")
+    groups = connected_components(links, what="jaccard-groups", made=made)
+    pairs = written(_pairs_between(matrix, classes, groups, percent), "jaccard-pairs", made)
     release(spark)
     components = groups
     if pairs.limit(1).count():
-        more = written(_verified(docs, pairs, width, percent), "jaccard-links")
+        more = written(_verified(docs, pairs, width, percent, made), "jaccard-links", made)
         release(spark)
-        components = connected_components(links.unionByName(more), what="jaccard-components")
+        components = connected_components(links.unionByName(more), what="jaccard-components", made=made)
 
     # the smallest key of each component; keys are (class, salt), so that no class meets in one task
     rows = classes.select("doc_id", "n", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     parts = rows.where("digest IS NOT NULL").groupBy("digest", "salt").agg(F.min("doc_id").alias("m"))
     labelled = parts.join(components.select(F.col("v").alias("digest"), "comp"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-    first = written(labelled.groupBy("comp").agg(F.min("m").alias("component_id")), "jaccard-first")
+    first = written(labelled.groupBy("comp").agg(F.min("m").alias("component_id")), "jaccard-first", made)
     named = labelled.join(first, "comp").select("digest", "salt", "component_id")
     whole = rows.where("digest IS NOT NULL").join(named, ["digest", "salt"]).select("doc_id", "n", "component_id", "digest")
     out = whole.unionByName(rows.where("digest IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"), "digest"))
-    return written(out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", "digest"), "jaccard-result")
+    result = written(out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", "digest"), "jaccard-result")
+    drop_paths(spark, made)
+    return result
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
