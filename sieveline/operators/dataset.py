@@ -105,15 +105,43 @@ def top_tokens(rows: DataFrame, text: str, key: str, base: list[str], n: int) ->
     return known.unionByName(more)
 
 
-def bpe_vocabulary(rows: DataFrame, text: str, size: int, special: list[str], words: int = 1_000_000):
-    """A tokenizer on the most frequent `words` distinct tokens (a bound for the driver): NFKC, blanks, minimal frequency 2, special tokens whole."""
-    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers, trainers
+def word_counts(rows: DataFrame, text: str) -> DataFrame:
+    """word and count: exact counts of the words that the tokenizers library trains on, NFKC and its Whitespace split. Null texts have none."""
 
-    counts = token_frequency(rows, text, text).select("token", "count").orderBy(F.desc("count"), "token").limit(words).toLocalIterator()
-    tokenizer = Tokenizer(models.BPE(unk_token="[UNK]"))
+    def split(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+        from tokenizers import normalizers, pre_tokenizers
+
+        normal, pre = normalizers.NFKC(), pre_tokenizers.Whitespace()
+        for batch in batches:
+            chunks, words = Counter(), Counter()
+            for value in batch.column(0).to_pylist():
+                if value:
+                    chunks.update((value if value.isascii() else normal.normalize_str(value)).split(" "))
+            for chunk, n in chunks.items():
+                for word, _ in pre.pre_tokenize_str(chunk):
+                    words[word] += n
+            yield pa.record_batch([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "count"])
+
+    return rows.select(text).mapInArrow(split, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
+
+
+def bpe_vocabulary(rows: DataFrame, text: str, size: int, special: list[str]):
+    """A tokenizer trained on the exact counts of all words: NFKC, blanks, minimal frequency 2, special tokens whole.
+
+    Texts are split and counted on the executors; the driver holds each distinct word once, so its memory grows with them."""
+    from tokenizers import AddedToken, Tokenizer, models, normalizers, pre_tokenizers
+
+    from .bpe_train import merges
+
+    counts = word_counts(rows, text).toArrow()
+    special = ["[UNK]", "[PAD]", *special]
+    vocab, pairs = merges(counts.column("word"), counts.column("count").to_numpy(), size, special)
+    tokenizer = Tokenizer(models.BPE(vocab, pairs, unk_token="[UNK]"))
     tokenizer.normalizer, tokenizer.pre_tokenizer = normalizers.NFKC(), pre_tokenizers.Whitespace()
-    trainer = trainers.BpeTrainer(vocab_size=size, min_frequency=2, special_tokens=["[UNK]", "[PAD]", *special], show_progress=False)
-    tokenizer.train_from_iterator((" ".join([r["token"]] * min(r["count"], 1000)) for r in counts), trainer)
+    tokenizer.add_special_tokens([AddedToken(t, special=True, normalized=False) for t in special])
     return tokenizer
 
 
