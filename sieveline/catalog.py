@@ -181,7 +181,7 @@ def code_objects(spark, sf) -> DataFrame:
     return d.select(
         "doc_id", "source", F.concat(F.lit("o"), (F.col("doc_id") % 5).cast("string")).alias("name"), F.lit("python").alias("language"),
         F.when(F.col("doc_id") % 7 == 0, "setup.py").otherwise("m.py").alias("file_path"), (F.col("n_chars") * 100).alias("file_size"),
-        F.expr("cast(array() as array<string>)").alias("warnings"), F.array(ins("LOAD_NAME", name), ins("LOAD_CONST", F.substring("text", 1, 40))).alias("instructions"),
+        F.expr("cast(array() as array<string>)").alias("warnings"), F.array(ins("LOAD_NAME", name), ins("LOAD_CONST", F.col("text"))).alias("instructions"),
     )
 
 

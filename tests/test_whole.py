@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from sieveline import catalog
 from sieveline.operators import dataset
 
 
@@ -32,3 +33,34 @@ def test_bpe_vocabulary_uses_exact_counts(spark, make):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
     for size in (12, 24, 90, 400):
         assert dataset.bpe_vocabulary(rows, "t", size, ["SPECIAL"]).get_vocab() == library_vocabulary(texts, size, ["SPECIAL"]), size
+
+
+HEAD = "plain words of a text, forty characters. "
+
+
+def documents(spark, path, texts):
+    rows = [(i, f"s{i % 2}", t, len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_object_tokens_see_the_whole_text(spark, tmp_path):
+    import hashlib
+
+    texts = {
+        HEAD + "word " * 50: "STRING STRING_SIZE_M",
+        HEAD + "word " * 2000: "STRING STRING_SIZE_L",
+        HEAD + "see https://example.com/x": "STRING_CONTAINS_URL",
+        HEAD + "SELECT a FROM t WHERE id = 1": "STRING_SQL STRING_SIZE_S",
+        HEAD: "STRING STRING_SIZE_S",
+        "QUJD" * 100: "STRING_BASE64 STRING_SIZE_M",
+    }
+    sf = documents(spark, tmp_path, texts)
+    got = {r.doc_id: r.token_string for r in catalog.object_tokens(spark, sf).collect()}
+    hashes = {r.doc_id: r.hash for r in catalog.object_hash(spark, sf).collect()}
+    for i, token in enumerate(texts.values()):
+        aim = "TARGETED_FILE " if i % 7 == 0 else ""
+        line = f"{aim}LOAD_NAME {['DYNAMIC_CODE_EXECUTION', 'NETWORK_HTTP_REQUEST', 'foo'][i % 3]} LOAD_CONST {token}"
+        size = len(list(texts)[i]) * 100
+        assert got[i] == "LARGE_FILE " * (size > 512000) + "PATHOLOGICAL_FILE " * (size > 1048576) + line
+        assert hashes[i] == hashlib.sha256(line.encode()).hexdigest()
