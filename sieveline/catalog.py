@@ -282,7 +282,7 @@ def report_details(spark, sf):
     text = table(spark, sf, "documents").select("doc_id", "text")
     found = scored(spark, sf).where(report.flagged(F.col("score"), 0.2)).select("doc_id", "score", "instructions")
     code = objects.display_code(F.col("text"), F.col("instructions"))
-    return found.join(text, "doc_id").where(F.col("text").contains("\n")).select("doc_id", "score", code.alias("code"))
+    return found.join(text, "doc_id").select("doc_id", "score", code.alias("code"))
 
 
 # ---- windows ----

@@ -64,3 +64,12 @@ def test_object_tokens_see_the_whole_text(spark, tmp_path):
         size = len(list(texts)[i]) * 100
         assert got[i] == "LARGE_FILE " * (size > 512000) + "PATHOLOGICAL_FILE " * (size > 1048576) + line
         assert hashes[i] == hashlib.sha256(line.encode()).hexdigest()
+
+
+def test_report_details_keep_single_lines(spark, tmp_path):
+    texts = ["  one line ", "x", " two\r\nlines \n", "a\rb", "y", "other"]
+    sf = documents(spark, tmp_path, texts)
+    flagged = {r.doc_id: r.score for r in catalog.flag_objects(spark, sf).collect()}
+    got = {r.doc_id: (r.score, r.code) for r in catalog.report_details(spark, sf).collect()}
+    code = {0: "  one line ", 1: "x", 2: "two\nlines", 3: "a\nb", 4: "y", 5: "other"}
+    assert flagged and got == {i: (score, code[i]) for i, score in flagged.items()}
