@@ -316,8 +316,8 @@ def train_windows(spark, sf):
 
 @query("window_padding", f"SELECT doc_id, 512 AS size, CAST(least(len({_WORDS}), 512) AS BIGINT) AS ones FROM documents WHERE len({_WORDS}) > 0")
 def window_padding(spark, sf):
-    w = windows.windows(tokenised(spark, sf), "tokens").where("window_index = 0")
-    return w.select("doc_id", F.size(windows.padded(F.col("window"))).alias("size"), F.aggregate(windows.mask(F.col("window")), F.lit(0).cast("long"), lambda a, x: a + x).alias("ones"))
+    w = windows.windows(tokenised(spark, sf), "tokens")
+    return w.select("doc_id", "window_index", F.size(windows.padded(F.col("window"))).alias("size"), F.aggregate(windows.mask(F.col("window")), F.lit(0).cast("long"), lambda a, x: a + x).alias("ones"))
 
 
 _LOGITS = "(SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) * 10 AS a, CAST(embedding[2] AS DOUBLE) * 10 AS b FROM embeddings)"

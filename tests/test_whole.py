@@ -73,3 +73,10 @@ def test_report_details_keep_single_lines(spark, tmp_path):
     got = {r.doc_id: (r.score, r.code) for r in catalog.report_details(spark, sf).collect()}
     code = {0: "  one line ", 1: "x", 2: "two\nlines", 3: "a\nb", 4: "y", 5: "other"}
     assert flagged and got == {i: (score, code[i]) for i, score in flagged.items()}
+
+
+def test_window_padding_of_every_window(spark, tmp_path):
+    sizes = [0, 1, 512, 513, 1000]
+    sf = documents(spark, tmp_path, [" ".join(["w"] * n) for n in sizes])
+    want = {(i, k, 512, min(512, n - at)) for i, n in enumerate(sizes) if n for k, at in enumerate(range(0, n if n > 512 else 1, 384))}
+    assert {(r.doc_id, r.window_index, r.size, r.ones) for r in catalog.window_padding(spark, sf).collect()} == want and len(want) == 7
