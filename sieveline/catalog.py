@@ -508,12 +508,21 @@ def unique_names(spark, sf):
 # ---- without SQL: the compiler, models, streams ----
 @query("compile_objects", None)
 def compile_objects(spark, sf):
-    """Small sources made from the documents, compiled to objects with tokens and hashes."""
+    """Sources made from the documents' whole texts, in both languages, compiled to objects with tokens and hashes."""
     from .operators.compile import compile_files
 
-    head = F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]", "")
-    code = F.concat(F.lit("import os\ndef f(x):\n    return eval(x + '"), head, F.lit("')\nprint(f('a'))\n"))
-    files = table(spark, sf, "documents").select(F.concat(F.lit("p/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), code.alias("content"))
+    # backslashes first, then what would end the literal in either language; other characters are kept as they are
+    literal = F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\"))
+    for mark, escape in (("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\0", "\\x00"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
+        literal = F.replace(literal, F.lit(mark), F.lit(escape))
+    literal = F.concat(F.lit("'"), F.coalesce(literal, F.lit("")), F.lit("'"))
+    python = F.concat(F.lit("import os\ndef f(x):\n    return eval(x + "), literal, F.lit(")\nprint(f('a'))\n"))
+    script = F.concat(F.lit("const os = require('os');\nfunction f(x) { return eval(x + "), literal, F.lit("); }\nconsole.log(f('a'));\n"))
+    path, text = F.concat(F.lit("p/"), F.col("doc_id").cast("string")), F.coalesce("text", F.lit(""))
+    # each text as a literal in both languages, and as a source of its own, mostly of broken syntax
+    kinds = [("py", "python", python), ("js", "javascript", script), ("text.py", "python", text), ("text.js", "javascript", text)]
+    each = F.explode(F.array(*[F.struct(F.concat(path, F.lit(f".{end}")).alias("path"), F.lit(lang).alias("language"), code.alias("content")) for end, lang, code in kinds]))
+    files = table(spark, sf, "documents").select(each.alias("f")).select("f.*")
     out = objects.with_tokens(compile_files(files))
     return out.select("file_path", "name", F.size("instructions").alias("n"), "token_string", "hash")
 

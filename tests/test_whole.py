@@ -80,3 +80,28 @@ def test_window_padding_of_every_window(spark, tmp_path):
     sf = documents(spark, tmp_path, [" ".join(["w"] * n) for n in sizes])
     want = {(i, k, 512, min(512, n - at)) for i, n in enumerate(sizes) if n for k, at in enumerate(range(0, n if n > 512 else 1, 384))}
     assert {(r.doc_id, r.window_index, r.size, r.ones) for r in catalog.window_padding(spark, sf).collect()} == want and len(want) == 7
+
+
+def test_compile_objects_compile_whole_texts(spark, tmp_path):
+    import ast
+
+    from sieveline.operators.compile import compile_source
+
+    texts = ["x = 1\ny = f(x)\n", HEAD + "it's \"quoted\" \\ 42\r\n\ttab \\n 'end'\\", HEAD * 60, "def g(:", "", "def h(a):\n    return a\n" * 3]
+    sf = documents(spark, tmp_path, texts)
+    got = {(r.file_path, r.name): r for r in catalog.compile_objects(spark, sf).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        literal = "'" + "".join({"\\": "\\\\", "'": "\\'", "\n": "\\n", "\r": "\\r"}.get(c, c) for c in text) + "'"
+        assert ast.literal_eval(literal) == text
+        sources = {
+            ("py", "python"): f"import os\ndef f(x):\n    return eval(x + {literal})\nprint(f('a'))\n",
+            ("js", "javascript"): f"const os = require('os');\nfunction f(x) {{ return eval(x + {literal}); }}\nconsole.log(f('a'));\n",
+            ("text.py", "python"): text, ("text.js", "javascript"): text,
+        }
+        for (end, language), source in sources.items():
+            for o in compile_source(f"p/{i}.{end}", source, language):
+                want[f"p/{i}.{end}", o["name"]] = len(o["instructions"])
+    assert {k: r.n for k, r in got.items()} == want
+    assert "STRING_SIZE_L" in got["p/2.py", "f_ref_0"].token_string and "STRING_SIZE_L" in got["p/2.js", "f_ref_0"].token_string
+    assert got["p/3.text.py", "<module>"].token_string == "MALFORMED_SYNTAX MALFORMED_FILE"
