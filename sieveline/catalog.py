@@ -37,7 +37,13 @@ def args(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr("doc_id", "source", f"{S.ARGS} AS arg")
 
 
+def texts(spark, sf_dir) -> DataFrame:
+    """The whole text of every document as an argument; args() has derived strings, which reach the rare branches."""
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("arg"))
+
+
 _ARGS_SQL = f"(SELECT doc_id, source, {S.ARGS} AS arg FROM documents)"
+_TEXTS_SQL = "(SELECT doc_id, source, text AS arg FROM documents)"
 
 # ---- predicates ----
 _TESTS = {
@@ -46,6 +52,7 @@ _TESTS = {
 }
 for _name, _test in _TESTS.items():
     query(f"pred_{_name}", f"SELECT doc_id, {S.PREDICATES[_name]('arg')} AS hit FROM {_ARGS_SQL}")(lambda spark, sf, t=_test: args(spark, sf).select("doc_id", t("arg").alias("hit")))
+    query(f"pred_{_name}_texts", f"SELECT doc_id, {S.PREDICATES[_name]('arg')} AS hit FROM {_TEXTS_SQL}")(lambda spark, sf, t=_test: texts(spark, sf).select("doc_id", t("arg").alias("hit")))
 for _name in ("url", "contains_url", "file_path"):
     query(f"pred_{_name}_pages", f"SELECT page_id, {S.PREDICATES[_name]('url')} AS hit FROM pages")(lambda spark, sf, t=_TESTS[_name]: table(spark, sf, "pages").select("page_id", t("url").alias("hit")))
 for _name in ("bash", "code", "sql"):
@@ -54,6 +61,9 @@ for _name in ("bash", "code", "sql"):
 query("size_bucket", f"SELECT doc_id, {S.size_bucket('arg')} AS bucket FROM {_ARGS_SQL}")(lambda spark, sf: args(spark, sf).select("doc_id", T.size_bucket("arg").alias("bucket")))
 query("strip_quotes", f"SELECT doc_id, {S.strip_quotes('arg')} AS v FROM {_ARGS_SQL}")(lambda spark, sf: args(spark, sf).select("doc_id", T.strip_quotes("arg").alias("v")))
 query("normalise_text", f"SELECT doc_id, v FROM ({S.normalised_from(_ARGS_SQL, 'arg', 'doc_id')})")(lambda spark, sf: args(spark, sf).select("doc_id", T.normalised("arg").alias("v")))
+query("size_bucket_texts", f"SELECT doc_id, {S.size_bucket('arg')} AS bucket FROM {_TEXTS_SQL}")(lambda spark, sf: texts(spark, sf).select("doc_id", T.size_bucket("arg").alias("bucket")))
+query("strip_quotes_texts", f"SELECT doc_id, {S.strip_quotes('arg')} AS v FROM {_TEXTS_SQL}")(lambda spark, sf: texts(spark, sf).select("doc_id", T.strip_quotes("arg").alias("v")))
+query("normalise_text_texts", f"SELECT doc_id, v FROM ({S.normalised_from(_TEXTS_SQL, 'arg', 'doc_id')})")(lambda spark, sf: texts(spark, sf).select("doc_id", T.normalised("arg").alias("v")))
 
 
 # ---- cascade ----
@@ -64,6 +74,13 @@ def classify_string(spark, sf):
     return rows.select(C.classify_string("v").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
+@query("classify_texts", f"SELECT token, count(*) AS n FROM (SELECT {S.classify('v')} AS token FROM ({S.normalised_from(_TEXTS_SQL, 'arg', 'doc_id')}) WHERE v IS NOT NULL) GROUP BY token")
+def classify_texts(spark, sf):
+    """Classes of the whole texts with their counts."""
+    rows = texts(spark, sf).select(T.normalised("arg").alias("v")).where("v IS NOT NULL")
+    return rows.select(C.classify_string("v").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
 _OP = "(ARRAY" + str(S.OPCODES) + ")[1 + CAST((doc_id // 50) % 11 AS INT)]"
 
 
@@ -92,6 +109,13 @@ def map_argument(spark, sf):
     return args(spark, sf).select("doc_id", C.map_argument(op, F.lit("str"), F.col("arg"), F.lit("python")).alias("token"))
 
 
+@query("map_argument_texts", _MAP_SQL.replace(_ARGS_SQL, _TEXTS_SQL))
+def map_argument_texts(spark, sf):
+    """The full cascade on instructions with whole texts."""
+    op = F.element_at(F.array(*map(F.lit, S.OPCODES)), (F.floor(F.col("doc_id") / 50) % 11 + 1).cast("int"))
+    return texts(spark, sf).select("doc_id", C.map_argument(op, F.lit("str"), F.col("arg"), F.lit("python")).alias("token"))
+
+
 @query(
     "map_argument_typed",
     """SELECT l_orderkey, l_linenumber, CASE CAST((l_orderkey + l_linenumber) % 6 AS INT) WHEN 0 THEN 'LOAD_CONST BOOLEAN' WHEN 1 THEN 'LOAD_CONST INTEGER' WHEN 2 THEN 'LOAD_CONST FLOAT'
@@ -166,6 +190,11 @@ def load_nonblank(spark, sf):
     return dataset.load_nonblank(args(spark, sf), "arg")
 
 
+@query("load_nonblank_texts", r"SELECT regexp_replace(arg, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS arg FROM " + _TEXTS_SQL + r" WHERE arg IS NOT NULL AND regexp_replace(arg, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') <> ''")
+def load_nonblank_texts(spark, sf):
+    return dataset.load_nonblank(texts(spark, sf), "arg")
+
+
 # ---- objects: two instructions for each document ----
 _OBJ_SQL = f"""(SELECT doc_id, source, path, size, v1, v2, CASE WHEN path IN ('setup.py', '__init__.py') THEN 'TARGETED_FILE ' ELSE '' END AS aim FROM (
   SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN 'setup.py' ELSE 'm.py' END AS path, n_chars * 100 AS size,
@@ -481,6 +510,11 @@ def verdict_from_text(spark, sf):
     return table(spark, sf, "documents").selectExpr("doc_id", f"{_REPLY} AS r").select("doc_id", triage.parse_reply(F.col("r")).alias("decision"))
 
 
+@query("verdict_from_texts", "SELECT doc_id, CASE WHEN json_valid(text) AND lower(json_extract_string(text, '$.decision')) IN ('malicious', 'suspicious', 'benign') THEN lower(json_extract_string(text, '$.decision')) WHEN contains(lower(text), 'malicious') THEN 'malicious' WHEN contains(lower(text), 'benign') THEN 'benign' ELSE 'suspicious' END AS decision FROM documents")
+def verdict_from_texts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", triage.parse_reply(F.col("text")).alias("decision"))
+
+
 _MODEL = "(['Mistral-large', 'gpt-4', 'claude-x', 'Meta-llama', 'gemini-pro', 'other', 'openai-mistral'])[1 + CAST(doc_id % 7 AS INT)]"
 
 
