@@ -74,6 +74,7 @@ class Vocabulary:
         for token, i in self.specials.items():
             self.bytes[i] = token.encode()
         self.length = [len(b) for b in self.bytes]
+        self.longest_ending = max(map(len, self.ending), default=0)
         self.automaton = ahocorasick.Automaton()
         for body, i in self.inner.items():
             self.automaton.add_word(body, (len(body), i))
@@ -170,7 +171,7 @@ class Vocabulary:
                     break
             if not ended:
                 continue
-            for j in range(i):
+            for j in range(max(0, i - self.longest_ending), i):
                 token = ended.get(piece[j:i])
                 if token is not None and (j == 0 or (last[j] >= 0 and compatible(last[j], token))):
                     ends[i], final[i] = count[j] + 1, token
@@ -193,7 +194,7 @@ class Vocabulary:
         if not self.ending:
             return count[size]
         get = self.ending.get
-        for j in range(1, size):
+        for j in range(max(1, size - self.longest_ending), size):
             token = get(piece[j:])
             if token is not None and last[j] >= 0 and compatible(last[j], token):
                 return count[j] + 1
@@ -283,7 +284,25 @@ class WordCounter:
         low = int(ends[k - 1]) if k else 0
         if k == len(ends):
             return len(text)
-        best = low
+        best, before = low, int(counts[k - 1]) if k else 0
+        chunk = text[low : int(ends[k])]
+        if chunk.isascii() and "<|" not in text and not CONTROL_BLANKS.search(chunk):
+            # the counts at all prefixes of each word, in one pass over the chunk
+            for m in WORD_SPLIT.finditer(chunk.lower()):
+                word = m.group()
+                if len(word) > 1 and word[0] == "'" and word[1].isalpha():
+                    # a cut contraction is split otherwise
+                    inside = [self.count(word[:n]) for n in range(len(word) + 1)]
+                else:
+                    inside = self.vocab.prefix_tokens(word)[2]
+                for n in range(1, len(word) + 1):
+                    if before + inside[n] <= budget:
+                        best = low + m.start() + n
+                    elif n == 1 and before <= budget:
+                        # blanks before the word add no token
+                        best = max(best, low + m.start())
+                before += inside[-1]
+            return best
         for end in range(low, int(ends[k]) + 1):
             if self.prefix_count(text, end, table) <= budget:
                 best = end
