@@ -211,9 +211,14 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str, key: str, rows: int) -> DataFrame:
-    """(text, y) of at most `rows` labelled documents that aren't held out, first by a hash of the id: the bound makes the broadcast safe."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("k"), "k", "y").limit(rows)
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str, key: str, rows: int, balanced: bool = False) -> DataFrame:
+    """(k, text, y) of at most `rows` labelled documents that aren't held out, first by a hash of the id: the bound makes the broadcast safe.
+
+    Only labels of documents that are there count. If balanced, at most half are of label 1 and above, unless other rows don't fill the rest."""
+    usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    usable = usable.join(docs.select(F.col(key).alias("k")), "k", "left_semi")
+    first = lambda of, n: of.orderBy(F.xxhash64("k"), "k", "y").limit(n)
+    chosen = first(usable.where("y > 0"), rows // 2).unionByName(first(usable.where("y <= 0"), rows - rows // 2)) if balanced else first(usable, rows)
     return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("k", "text", "y")
 
 
