@@ -164,6 +164,35 @@ def gather(table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return table[np.repeat(starts - ends + lengths, lengths) + np.arange(total)]
 
 
+#: Bits of a Bloom filter: of the smallest, and of the largest (a broadcast of 16 MB).
+FILTER_BITS = (20, 27)
+
+
+def filter_bits(entries: int) -> int:
+    """Binary logarithm of the bits of a filter for so many entries, within FILTER_BITS: 8 bits each, as far as the bound allows."""
+    return min(max((8 * entries).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+
+
+def bloom(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of 2^bits bits of the column h (64-bit hashes), built by a native aggregation. Full filters let everything pass."""
+    mask = (1 << bits) - 1
+    found = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 64 - bits))).alias("bit"))
+    words = found.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bloom(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (int64) the filter lets pass."""
+    bits = len(words).bit_length() - 1 + 6
+    h = np.asarray(hashes).view(np.uint64)
+    out = np.ones(len(h), bool)
+    for at in (h & np.uint64((1 << bits) - 1), h >> np.uint64(64 - bits)):
+        out &= (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", what: str = "cc", made: list[str] | None = None) -> DataFrame:
     """Vertices of the edges with the smallest vertex of their component: (v, comp). Distributed.
 
