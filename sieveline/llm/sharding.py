@@ -2,8 +2,13 @@
 
 Arrivals are appended as small immutable files, without a shuffle. Compaction merges files of the same size tier into files
 of about the target size, also without a shuffle, and leaves what is large enough alone. A version of the table is a
-manifest: a list of files. A version comes into being when its pointer file is created exclusively, so readers see either
-the old or the new version, and of two writers one loses and tries again on the newer version.
+manifest: a list of files. A version comes into being when its pointer, written whole under another name, is renamed to the
+version's number, which must not exist: readers see either the old or the new version, a writer that dies leaves no version,
+and of two writers one loses, rebuilds its change on the newer version and tries again.
+
+What the store must grant: a rename that is atomic and fails where the target exists (HDFS and its like; a local file system
+checks before it renames, which is enough for one writer at a time). Stores that only copy need a folder of another kind
+for `versions`.
 """
 
 from __future__ import annotations
@@ -11,8 +16,10 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import shared_dir
 
@@ -20,12 +27,16 @@ from .common import shared_dir
 ARRIVAL_ROWS = 1024
 TARGET_BYTES = 128 << 20
 FAN_IN = 4
-#: Files of one merge job: bounds the paths that the driver holds.
+#: Files of one merge job: bounds the paths that the driver holds at a time.
 JOB_FILES = 10_000
+#: Times that a writer rebuilds its change on a newer version.
+ATTEMPTS = 10
+
+ENTRY = "path string, bytes long, rows long"
 
 
 class Conflict(RuntimeError):
-    """Another writer has committed the version."""
+    """Another writer has committed the version, or has taken away files that this one merged."""
 
 
 class ShardTable:
@@ -33,9 +44,9 @@ class ShardTable:
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self.root = spark, (root or shared_dir(spark, "shards")).rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(self._conf)
 
     def versions(self) -> list[int]:
         folder = self._path(f"{self.root}/versions")
@@ -43,47 +54,76 @@ class ShardTable:
             return []
         return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(folder) if f.getPath().getName().isdigit())
 
+    def latest(self) -> int:
+        """The newest version, 0 before the first."""
+        return max(self.versions(), default=0)
+
     def manifest(self, version: int | None = None) -> DataFrame:
-        """path, bytes, rows, tier of the files of a version (the latest by default)."""
-        have = self.versions()
-        version = (have[-1] if have else 0) if version is None else version
-        schema = "path string, bytes long, rows long"
+        """path, bytes, rows of the files of a version (the latest by default)."""
+        version = self.latest() if version is None else version
         if version == 0:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], ENTRY)
         stream = self._fs.open(self._path(f"{self.root}/versions/{version}"))
         try:
             name = stream.readUTF()
         finally:
             stream.close()
-        return self.spark.read.schema(schema).parquet(f"{self.root}/manifests/{name}")
+        return self.spark.read.schema(ENTRY).parquet(f"{self.root}/manifests/{name}")
 
     def commit(self, entries: DataFrame, base: int) -> int:
-        """Write the manifest and create the pointer of version base + 1, which must not exist."""
+        """Write the manifest and bring version base + 1 into being, which must not exist (Conflict)."""
         name = f"{base + 1}-{uuid.uuid4().hex}"
         entries.select("path", "bytes", "rows").coalesce(1 if base == 0 else 4).write.parquet(f"{self.root}/manifests/{name}")
-        try:
-            stream = self._fs.create(self._path(f"{self.root}/versions/{base + 1}"), False)
-        except Exception as error:
-            raise Conflict(f"version {base + 1} exists") from error
+        whole = self._path(f"{self.root}/versions/.{name}")
+        stream = self._fs.create(whole, False)
         try:
             stream.writeUTF(name)
         finally:
             stream.close()
+        pointer = self._path(f"{self.root}/versions/{base + 1}")
+        fs = self._jvm.org.apache.hadoop.fs
+        how = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        how[0] = fs.Options.Rename.NONE
+        try:
+            fs.FileContext.getFileContext(whole.toUri(), self._conf).rename(whole, pointer, how)
+        except Py4JJavaError as error:
+            self._fs.delete(whole, False)
+            if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            raise Conflict(f"version {base + 1} exists") from error
         return base + 1
 
+    def _change(self, added: DataFrame, removed: DataFrame | None = None) -> int:
+        """Commit the latest version without `removed` and with `added`; on a conflict again, on the then latest version."""
+        for _ in range(ATTEMPTS):
+            base = self.latest()
+            entries = self.manifest(base)
+            if removed is not None:
+                if removed.join(entries, "path", "left_anti").limit(1).count():
+                    raise Conflict("files that were merged are no longer in the table")
+                entries = entries.join(removed, "path", "left_anti")
+            try:
+                return self.commit(entries.select("path", "bytes", "rows").unionByName(added), base)
+            except Conflict:
+                continue
+        raise Conflict(f"{ATTEMPTS} attempts lost against other writers")
+
     def _files(self, folder: str) -> DataFrame:
         """path, bytes, rows of the data files in a folder, from Spark's file metadata."""
+        # a column that no file has: nothing but the metadata is read, whatever the data's columns are called
         meta = F.col("_metadata")
-        return self.spark.read.parquet(folder).groupBy(meta["file_path"].alias("path"), meta["file_size"].alias("bytes")).agg(F.count("*").alias("rows"))
+        files = self.spark.read.schema(f"none_{uuid.uuid4().hex} int").parquet(folder)
+        return files.groupBy(meta["file_path"].alias("path"), meta["file_size"].alias("bytes")).agg(F.count("*").alias("rows"))
 
     def append(self, rows: DataFrame, arrival_rows: int = ARRIVAL_ROWS) -> int:
-        """Write rows as small shards as they come and commit them on top of the latest version. Empty input commits a version without new files."""
-        have = self.versions()
-        base = have[-1] if have else 0
-        folder = f"{self.root}/data/append-{base + 1}-{_unique()}"
+        """Write rows as small shards as they come and commit them on top of the latest version.
+
+        Nulls, repeated rows, very long texts and columns of any name are kept as they are. Empty input commits a version
+        without new files. The first append fixes the table's columns."""
+        folder = f"{self.root}/data/append-{_unique()}"
         rows.write.option("maxRecordsPerFile", arrival_rows).parquet(folder)
         self._schema_from(rows)
-        return self.commit(self.manifest(base).unionByName(self._files(folder)), base)
+        return self._change(self._files(folder))
 
     def _schema_from(self, rows: DataFrame) -> None:
         path = self._path(f"{self.root}/schema.json")
@@ -92,9 +132,7 @@ class ShardTable:
             stream.write(bytearray(rows.schema.json().encode()))
             stream.close()
 
-    def schema(self):
-        from pyspark.sql.types import StructType
-
+    def schema(self) -> StructType:
         return StructType.fromJson(json.loads(self.spark.read.text(f"{self.root}/schema.json", wholetext=True).first()[0]))
 
     def tiers(self, entries: DataFrame, target: int, fan_in: int) -> DataFrame:
@@ -104,46 +142,41 @@ class ShardTable:
     def compact(self, target: int = TARGET_BYTES, fan_in: int = FAN_IN, job_files: int = JOB_FILES) -> int:
         """Merge each tier that has at least fan_in files into files of about the target size, and commit.
 
-        A merge job takes at most job_files files in order of their paths; tiers with more are merged by several jobs. No merge, no new version."""
-        have = self.versions()
-        base = have[-1] if have else 0
+        A merge job takes about job_files files; tiers with more are merged by several jobs. No merge, no new version."""
+        base = self.latest()
         entries = self.tiers(self.manifest(base), target, fan_in)
         counts = entries.where("tier IS NOT NULL").groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= fan_in).orderBy("tier").collect()
-        merged, done = [], []
-        schema = self.schema() if counts else None
+        if not counts:
+            return base
+        schema, added = self.schema(), self.spark.createDataFrame([], ENTRY)
         for row in counts:
             own = entries.where(F.col("tier") == row["tier"])
             jobs = -(-row["n"] // job_files)
             for job in range(jobs):
-                part = own.where(F.pmod(F.xxhash64("path"), F.lit(jobs)) == job).select("path", "bytes").orderBy("path").collect()
-                if not part:
-                    continue
-                files = max(1, round(sum(p["bytes"] for p in part) / target))
-                folder = f"{self.root}/data/merge-{base + 1}-{_unique()}"
-                self._merge_job([p["path"] for p in part], files, schema, folder)
-                merged.append(self._files(folder))
-            done.append(row["tier"])
-        if not done:
-            return base
-        new = entries.where(F.col("tier").isNull() | ~F.col("tier").isin(done)).select("path", "bytes", "rows")
-        for files in merged:
-            new = new.unionByName(files)
-        return self.commit(new, base)
-
-    def _merge_job(self, paths: list[str], files: int, schema, folder: str) -> None:
-        # partitions of the reader hold whole small files: coalescing joins them without a shuffle
-        self.spark.read.schema(schema).parquet(*paths).coalesce(files).write.parquet(folder)
+                part = own.where(F.pmod(F.xxhash64("path"), F.lit(jobs)) == job).select("path").orderBy("path").collect()
+                if part:
+                    folder = f"{self.root}/data/merge-{_unique()}"
+                    self._merge_job([p["path"] for p in part], target, schema, folder)
+                    added = added.unionByName(self._files(folder))
+        return self._change(added, entries.where(F.col("tier").isin([row["tier"] for row in counts])).select("path"))
+
+    def _merge_job(self, paths: list[str], target: int, schema: StructType, folder: str) -> None:
+        # In a session of its own the reader packs whole files into partitions of up to the target, however small the input
+        # is for the cluster; each partition becomes a file, without a shuffle.
+        own = self.spark.newSession()
+        for name, value in (("maxPartitionBytes", target), ("openCostInBytes", 0), ("minPartitionNum", 1)):
+            own.conf.set(f"spark.sql.files.{name}", str(value))
+        own.read.schema(schema).parquet(*paths).write.parquet(folder)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version."""
-        entries = self.manifest(version)
-        paths = [r["path"] for r in entries.select("path").toLocalIterator()]
+        """The rows of a version. The driver holds the list of its files, as for any table of files in Spark."""
+        paths = [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
         if not paths:
             return self.spark.createDataFrame([], self.schema()) if self._fs.exists(self._path(f"{self.root}/schema.json")) else self.spark.createDataFrame([], "doc_id long")
         return self.spark.read.schema(self.schema()).parquet(*paths)
 
     def vacuum(self, keep: int = 1) -> int:
-        """Delete data files that none of the latest `keep` versions lists; how many."""
+        """Delete data files that none of the latest `keep` versions lists; how many. Not while another writer is at work: its files aren't listed yet."""
         have = self.versions()
         live = {self._path(r["path"]).toUri().getPath() for v in have[-keep:] for r in self.manifest(v).select("path").toLocalIterator()}
         gone, walk = 0, self._fs.listFiles(self._path(f"{self.root}/data"), True)
