@@ -1,8 +1,12 @@
 """WARC archives: pages are written as records, with repeated payloads as revisits and long ones in segments, and read back.
 
-Spark's text sink writes the records (they end in two line breaks, its line separator), its binary source reads the
-archives, so any file system that Spark knows will do. Continuation records are grouped by the identifier of their origin,
-put in order of their segment numbers, checked against the total length, and the chunked transfer framing is taken off.
+Spark's text sink writes the archives, its binary source reads them, so any file system that Spark knows will do. Each record
+is a gzip member of its own, as usual for archives; the sink's line separator is an empty member. Continuation records are
+grouped by the identifier of their origin, put in order of their segment numbers, checked against the total length, and the
+chunked transfer framing is taken off.
+
+To find repeats only digests and keys move, and a filter of the revisits goes to where the payloads are. Rows that pass it by
+mistake are told by their keys; theirs are the only payloads that move.
 """
 
 from __future__ import annotations
@@ -10,22 +14,27 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shared_dir
+from .common import bloom, drop_paths, filter_bits, in_bloom, map_arrow, shared_dir, written
 
 #: Block bytes of a record before it goes on in a continuation; bytes of a transfer chunk; records of an archive file.
 SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 16 << 10
 FILE_RECORDS = 512
-#: Parts into which each payload's group is dealt, so that no group meets in one task.
-SALTS = 32
+#: Bytes that the reader inflates at a time.
+PIECE_BYTES = 1 << 20
 
 VERSION = "WARC/1.1"
 END = b"\r\n\r\n"
+#: A gzip member without content.
+EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -54,19 +63,44 @@ def payload_digest(payload: bytes) -> str:
 
 
 def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
-    """A record without its closing line breaks, which are the sink's separator."""
+    """A whole record, closing line breaks included."""
     head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))])
-    return f"{VERSION}\r\n{head}\r\n".encode() + block
+    return f"{VERSION}\r\n{head}\r\n".encode() + block + END
 
 
-def records_of(page: str, own_id: str, url: str, payload: bytes, refers_to: str | None, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> list[bytes]:
-    """The record of a page, and its continuations."""
-    digest = payload_digest(payload)
+def member(data: bytes) -> bytes:
+    """data as a gzip member."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return deflate.compress(data) + deflate.flush()
+
+
+def urn(key: str | None, own_id: str) -> str:
+    """Identifier of a page's record: any key is kept, also a null one and one with colons."""
+    return f"<urn:page:{'n' if key is None else 'k' + quote(key, safe='')}:{own_id}>"
+
+
+def key_of(identifier: str) -> str | None:
+    """The page's key, of an identifier that urn() has made; others are returned as they are."""
+    parts = identifier.strip("<>").split(":")
+    if parts[:2] != ["urn", "page"] or len(parts) < 4:
+        return identifier.strip("<>")
+    return unquote(parts[2][1:]) if parts[2].startswith("k") else None
+
+
+def head_fields(key: str | None, own_id: str, url: str, digest: str) -> list[tuple[str, str]]:
     # a line break in an address would end the header field
-    named = [("WARC-Record-ID", f"<urn:page:{page}:{own_id}>"), ("WARC-Target-URI", " ".join(url.split())), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
-    if refers_to is not None:
-        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-        return [record([("WARC-Type", "revisit"), *named, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")], head)]
+    return [("WARC-Record-ID", urn(key, own_id)), ("WARC-Target-URI", " ".join(url.split())), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
+
+
+def revisit_record(key: str | None, own_id: str, url: str, digest: str, length: int, refers_to: str) -> bytes:
+    """The record of a page whose payload another page's response holds."""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
+    return record([("WARC-Type", "revisit"), *head_fields(key, own_id, url, digest), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", urn(refers_to, "first"))], head)
+
+
+def response_records(key: str | None, own_id: str, url: str, payload: bytes, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> list[bytes]:
+    """The record of a page, and its continuations."""
+    named = head_fields(key, own_id, url, payload_digest(payload))
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
     if len(block) <= segment_bytes:
         return [record([("WARC-Type", "response"), *named], block)]
@@ -74,30 +108,67 @@ def records_of(page: str, own_id: str, url: str, payload: bytes, refers_to: str
     out = [record([("WARC-Type", "response"), *named, ("WARC-Segment-Number", "1")], parts[0])]
     for number, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", str(len(block)))] if number == len(parts) else []
-        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page}:{own_id}:{number}>"), ("WARC-Segment-Origin-ID", f"<urn:page:{page}:{own_id}>"), ("WARC-Segment-Number", str(number)), *last], part))
+        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:part:{own_id}:{number}>"), ("WARC-Segment-Origin-ID", urn(key, own_id)), ("WARC-Segment-Number", str(number)), *last], part))
     return out
 
 
-def parse(data: bytes):
-    """(fields by lower-case name, block) of each record of an archive's bytes."""
-    at = 0
+def inflated(data: bytes, piece: int = PIECE_BYTES) -> Iterator[bytes]:
+    """The content of an archive file in pieces: all gzip members one after the other, or the bytes themselves if it isn't compressed."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + piece] for i in range(0, len(data), piece))
+        return
+    while data[:2] == b"\x1f\x8b":
+        inflate = zlib.decompressobj(31)
+        part = inflate.decompress(data, piece)
+        while True:
+            if part:
+                yield part
+            if inflate.eof:
+                break
+            if not part and not inflate.unconsumed_tail:
+                raise ValueError("a gzip member is cut short")
+            part = inflate.decompress(inflate.unconsumed_tail, piece)
+        data = inflate.unused_data
+    if data.strip(b"\x00"):
+        raise ValueError("bytes that are no gzip member follow")
+
+
+def parse(data: bytes, piece: int = PIECE_BYTES) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields by lower-case name, block) of each record of an archive file; it holds one record and a piece at a time."""
+    pieces = inflated(data, piece)
+    held = bytearray()
+
+    def more() -> bool:
+        part = next(pieces, None)
+        held.extend(part or b"")
+        return part is not None
+
     while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
+        while True:
+            while held[:2] == b"\r\n":
+                del held[:2]
+            if len(held) >= 2 or not more():
+                break
+        if not held:
             return
-        head_end = data.index(END, at)
-        version, *lines = data[at:head_end].decode("utf-8").split("\r\n")
+        if not bytes(held[:5]) == b"WARC/" and len(held) >= 5:
+            raise ValueError("no record begins here")
+        searched = 0
+        while (end := held.find(END, max(searched - 3, 0))) < 0:
+            searched = len(held)
+            if not more():
+                raise ValueError("a record is cut short")
+        version, *lines = held[:end].decode("utf-8").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError("no record begins here")
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        start = head_end + len(END)
-        size = int(fields["content-length"])
-        block = data[start : start + size]
-        if len(block) < size:
-            raise ValueError("a record is cut short")
+        start, size = end + len(END), int(fields["content-length"])
+        while len(held) < start + size:
+            if not more():
+                raise ValueError("a record is cut short")
+        block = bytes(held[start : start + size])
+        del held[: start + size]
         yield fields, block
-        at = start + size
 
 
 def http_parts(block: bytes) -> tuple[dict[str, str], bytes]:
@@ -116,19 +187,18 @@ def reassembled(parts: list[tuple[int, int | None, bytes]]) -> bytes:
     return block
 
 
-def _page(urn: str) -> str:
-    return urn.strip("<>").split(":")[2]
-
-
 def _result(fields: dict[str, str], block: bytes) -> tuple:
     """(page, payload_bytes, payload_digest, record_type, refers_to, verified, payload)"""
     headers, body = http_parts(block)
-    stated = fields["warc-payload-digest"].removeprefix("sha1:")
+    stated = fields.get("warc-payload-digest")
+    stated = stated.removeprefix("sha1:") if stated else None
     if fields["warc-type"] == "revisit":
-        return _page(fields["warc-record-id"]), int(headers["content-length"]), stated, "revisit", _page(fields["warc-refers-to"]), None, None
+        refers_to = fields.get("warc-refers-to")
+        length = headers.get("content-length")
+        return key_of(fields["warc-record-id"]), int(length) if length else None, stated, "revisit", key_of(refers_to) if refers_to else None, None, None
     payload = dechunked(body) if headers.get("transfer-encoding", "").lower() == "chunked" else body
     found = payload_digest(payload)
-    return _page(fields["warc-record-id"]), len(payload), found, "response", None, found == stated, payload
+    return key_of(fields["warc-record-id"]), len(payload), found, "response", None, found == stated if stated else None, payload
 
 
 RESULT = "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, verified boolean, payload binary"
@@ -142,64 +212,95 @@ def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified", "payload"])
 
 
-def first_pages(rows: DataFrame, payload: Column, key: str, least_bytes: int) -> DataFrame:
-    """rows with `first`: the smallest key among rows of an equal payload of at least least_bytes (else null). Groups are dealt into SALTS parts and pre-aggregated."""
-    rows = rows.withColumn("__sha", F.sha1(payload)).withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
-    parts = rows.where(F.octet_length(payload) >= least_bytes).groupBy("__sha", "__salt").agg(F.min(key).alias("__least"))
-    first = parts.groupBy(F.col("__sha").alias("__of")).agg(F.min("__least").alias("first"))
-    keys = parts.join(first, parts["__sha"] == first["__of"]).select("__sha", "__salt", "first")
-    return rows.join(keys, ["__sha", "__salt"], "left").drop("__sha", "__salt")
-
-
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, file_records: int = FILE_RECORDS) -> None:
     """Write a record for each row. Of records with equal payloads of at least least_bytes that with the smallest key is a response, others revisit it.
 
     Null html counts as an empty payload. Rows that share the smallest key are all responses; a null key is a response if
-    no other row has its payload, else it revisits. Other columns don't matter."""
-    rows = pages.select(F.col(key).cast("string").alias("page"), F.col(key).alias("k"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
-    rows = first_pages(rows, F.col("payload"), "k", least_bytes)
-    revisits = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("k")), F.col("first").cast("string"))
-    rows = rows.select(F.coalesce("page", F.lit("null")).alias("page"), F.expr("uuid()").alias("own"), "url", "payload", revisits.alias("refers_to"))
-
-    def run(batch: pa.RecordBatch):
+    no other row has its payload, else it revisits. Keys may hold any characters. Other columns don't matter. An empty table
+    gives no records. Payloads are written whole, in segments if they are long."""
+    spark, made = pages.sparkSession, []
+    rows = pages.select(F.col(key).alias("k"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
+    rows = rows.withColumn("sha", F.sha1("payload"))
+    info = rows.select("k", "url", "sha", F.octet_length("payload").cast("long").alias("size"))
+    # equal payloads: a task sends on one row for each, however many it meets
+    counted = info.where(F.col("size") >= least_bytes).groupBy("sha").agg(F.count("*").alias("n"), F.min("k").alias("first"))
+    firsts = counted.where("n > 1 AND first IS NOT NULL").select("sha", "first")
+    again = written(info.join(firsts, "sha").where(~F.col("k").eqNullSafe(F.col("first"))), "warc-revisits", made)
+    own_hash = F.xxhash64("sha", "k")
+    bits = filter_bits(again.count())
+    revisited = spark.sparkContext.broadcast(bloom(again.select(own_hash.alias("h")), bits))
+
+    def passing(*filters, negated: bool = False):
+        def run(batch: pa.RecordBatch):
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            yield batch.filter(pa.array(np.logical_and.reduce([in_bloom(f.value, at) for f in filters]) != negated))
+
+        return run
+
+    # rows that only look like revisits are found by their keys, and then fetched with their payloads
+    keys = info.select("sha", "k", own_hash.alias("h"))
+    same = lambda one, other: (one["sha"] == other["sha"]) & one["k"].eqNullSafe(other["k"])
+    alike = map_arrow(keys, passing(revisited), keys.schema)
+    mistaken = written(alike.join(again, same(alike, again), "left_anti"), "warc-mistaken", made)
+    mistakes = spark.sparkContext.broadcast(bloom(mistaken.select("h"), bits))
+    hashed = rows.withColumn("h", own_hash)
+    sure = map_arrow(hashed, passing(revisited, negated=True), hashed.schema)
+    maybe = map_arrow(hashed, passing(revisited, mistakes), hashed.schema)
+    fetched = maybe.join(mistaken, same(maybe, mistaken), "left_semi")
+
+    def responses(batch: pa.RecordBatch):
+        for k, own, at, body in zip(*batch.columns, strict=True):
+            out = [member(r) for r in response_records(k.as_py(), own.as_py(), at.as_py(), body.as_py(), segment_bytes, chunk_bytes)]
+            yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
+
+    def revisits(batch: pa.RecordBatch):
         out = []
-        for page, own, url, payload, refers_to in zip(*batch.columns, strict=True):
-            out += records_of(page.as_py(), own.as_py(), url.as_py(), payload.as_py(), refers_to.as_py(), segment_bytes, chunk_bytes)
+        for k, own, at, sha, size, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out.append(member(revisit_record(k, own, at, base64.b32encode(bytes.fromhex(sha)).decode(), size, first)))
         yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
 
-    lines = map_arrow(rows, run, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    text = F.col("k").cast("string").alias("k")
+    lines = map_arrow(sure.unionByName(fetched).select(text, F.expr("uuid()").alias("own"), "url", "payload"), responses, "value binary")
+    lines = lines.unionByName(map_arrow(again.select(text, F.expr("uuid()").alias("own"), "url", "sha", "size", F.col("first").cast("string").alias("first")), revisits, "value binary"))
+    lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", file_records).text(path)
+    drop_paths(spark, made)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """A row for each response and revisit: page, payload_bytes, payload_digest, record_type, refers_to, verified (the digest fits; null for revisits) and, if asked for, payload.
+    """A row for each response and revisit: page, payload_bytes, payload_digest, record_type, refers_to, verified (the digest fits; null for revisits and where none is stated) and, if asked for, payload.
 
-    Raises where a record is cut short or segments are missing."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    Reads gzip files of any number of members and plain ones; records of other types are passed over. A page is the key that
+    write_archives() got, or else the record's identifier. A file is held compressed and inflated record by record. Raises
+    where a record, a gzip member or a chunk is cut short or segments are missing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > 0).select("content")
 
     def whole(batch: pa.RecordBatch):
         for content in batch.column(0):
-            rows = [_result(f, b) for f, b in parse(zlib.decompress(content.as_py(), 31)) if "warc-segment-number" not in f]
+            rows, size = [], 0
+            for f, b in parse(content.as_py()):
+                if f["warc-type"] in ("response", "revisit") and "warc-segment-number" not in f:
+                    rows.append(_result(f, b))
+                    size += len(b) if payloads else 500
+                    if size > 4 << 20:
+                        yield _batch(rows, payloads)
+                        rows, size = [], 0
             if rows:
                 yield _batch(rows, payloads)
 
     def segments(batch: pa.RecordBatch):
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         for content in batch.column(0):
-            rows = []
-            for f, b in parse(zlib.decompress(content.as_py(), 31)):
-                if "warc-segment-number" in f:
+            for f, b in parse(content.as_py()):
+                if "warc-segment-number" in f and f["warc-type"] in ("response", "continuation"):
                     total = f.get("warc-segment-total-length")
-                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), int(f["warc-segment-number"]), int(total) if total else None, f.get("warc-payload-digest"), b))
-            if rows:
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["origin", "number", "total", "digest", "part"])
+                    row = (f.get("warc-segment-origin-id", f["warc-record-id"]), int(f["warc-segment-number"]), int(total) if total else None, f.get("warc-payload-digest"), b)
+                    yield pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["origin", "number", "total", "digest", "part"])
 
     def assemble(batch: pa.RecordBatch):
-        rows = []
         for origin, digest, parts in zip(*batch.columns, strict=True):
             block = reassembled([(p["number"], p["total"], p["part"]) for p in parts.as_py()])
-            rows.append(_result({"warc-record-id": origin.as_py(), "warc-type": "response", "warc-payload-digest": digest.as_py()}, block))
-        yield _batch(rows, payloads)
+            fields = {"warc-record-id": origin.as_py(), "warc-type": "response", "warc-payload-digest": digest.as_py()}
+            yield _batch([_result(fields, block)], payloads)
 
     # a group holds the segments of one page
     grouped = map_arrow(files, segments, "origin string, number long, total long, digest string, part binary").groupBy("origin").agg(F.max("digest").alias("digest"), F.collect_list(F.struct("number", "total", "part")).alias("parts"))
@@ -207,10 +308,16 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", least_bytes: int = 0, payloads: bool = False, **options) -> DataFrame:
-    """Pages written as archives in the shared folder and read back: key, payload_bytes, payload_digest, record_type, refers_to, verified."""
+    """Pages written as archives in the shared folder and read back: key, payload_bytes, payload_digest, record_type, refers_to, verified.
+
+    Without payloads the result is written and the archives are deleted."""
     spark, kind = pages.sparkSession, pages.schema[key].dataType
     path = shared_dir(spark, "warc")
     write_archives(pages, path, key=key, least_bytes=least_bytes, **options)
     back = read_archives(spark, path, payloads)
-    page = F.when(F.col("page") != "null", F.col("page")).cast(kind)
-    return back.select(page.alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "verified", *["payload"] * payloads)
+    back = back.select(F.col("page").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "verified", *["payload"] * payloads)
+    if payloads:
+        return back
+    back = written(back, "warc-result")
+    drop_paths(spark, [path])
+    return back
