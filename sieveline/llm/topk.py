@@ -3,7 +3,8 @@
 Each block of rows keeps, for each attribute, bitmaps of the bits of its quantised value ("slices"). For a query the
 slices, weighted by the query's signed digits, are added with carry-save adders on bitmaps. The sum's slices are walked
 from the most significant down to find the k-th largest value; rows that the quantisation can't rule out are resolved
-exactly. Blocks are independent; the queries meet all blocks in chunks of a bounded size.
+exactly. Blocks are independent. The queries go round in chunks of a bounded size: each chunk is a pass over all blocks,
+whose result is written before the next one begins, so neither the plan nor the driver grows with the number of queries.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_paths, shared_dir, written
 
 #: Rows of a block and bytes of the query chunk that each pass broadcasts.
 BLOCK_ROWS = 16384
@@ -132,11 +133,24 @@ class BitSlices:
         return [(int(rows[i]), int(scores[i])) for i in order]
 
 
-def quantised(vectors: DataFrame, key: str, embedding: str, levels: int) -> DataFrame:
-    """(id, q): floor(levels * component), of the vectors that are not null and hold only finite components."""
+def usable(vectors: DataFrame, embedding: str) -> DataFrame:
+    """The vectors that are not null and hold only finite components."""
+    x = F.col(embedding)
+    return vectors.where(x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf")))))
+
+
+def check_range(vectors: DataFrame, embedding: str, levels: int) -> None:
+    """Raise OverflowError if a product of usable vectors might not fit into 64 bits."""
     x = F.col(embedding)
-    fine = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
-    return vectors.where(fine).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * levels).cast("long")).alias("q"))
+    most = vectors.agg(F.max(F.array_max(F.transform(x, lambda v: F.abs(v.cast("double"))))).alias("x"), F.max(F.size(x)).alias("n")).first()
+    # with the low bits that the index rounds off, and a bit for the sign
+    if most["x"] is not None and most["n"] * (int(most["x"] * levels) + 2) ** 2 >= 1 << 62:
+        raise OverflowError(f"{most['n']} components of up to {most['x']:g} at {levels} levels give products of more than 62 bits")
+
+
+def quantised(vectors: DataFrame, key: str, embedding: str, levels: int) -> DataFrame:
+    """(id, q): floor(levels * component) of usable vectors."""
+    return vectors.select(F.col(key).cast("long").alias("id"), F.transform(F.col(embedding), lambda v: F.floor(v.cast("double") * levels).cast("long")).alias("q"))
 
 
 def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
@@ -156,9 +170,12 @@ def top_inner_products(vectors: DataFrame, k: int = 5, key: str = "vec_id", embe
 
     Vectors that are null or hold null or non-finite components take no part. Shorter vectors count as padded with zeros.
     Ties go to the smaller id; rows that repeat an id are rows of their own, as queries and as candidates (the query's own
-    row alone is left out). A null id is no query, and as a candidate comes first among ties. Components must stay under
-    2^31 / levels in size, so that products fit into 64 bits."""
-    spark = vectors.sparkSession
+    row alone is left out). A null id is no query, and as a candidate comes first among ties. Other columns don't matter; an
+    empty table has no result. Where components are so large that a product might not fit into 62 bits, OverflowError is
+    raised. The result is read from tables written to the shared folder."""
+    spark, made = vectors.sparkSession, []
+    vectors = usable(vectors, embedding)
+    check_range(vectors, embedding, levels)
     flat = quantised(vectors, key, embedding, levels)
 
     def pack(batches):
@@ -186,7 +203,7 @@ def top_inner_products(vectors: DataFrame, k: int = 5, key: str = "vec_id", embe
             yield block()
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    index = written(flat.mapInArrow(pack, "block long, ids array<long>, values binary, n long"), "bsi-index")
+    index = written(flat.mapInArrow(pack, "block long, ids array<long>, values binary, n long"), "bsi-index", made)
 
     def queries_of(batches):
         for b in batches:
@@ -196,12 +213,12 @@ def top_inner_products(vectors: DataFrame, k: int = 5, key: str = "vec_id", embe
                     matrix = np.frombuffer(values, np.int64).reshape(n, -1)
                     yield pa.record_batch([pa.array([block] * len(own), pa.int64()), pa.array(own, pa.int64()), pa.array([ids[r] for r in own], pa.int64()), pa.array([matrix[r].tobytes() for r in own], pa.binary())], names=["block", "row", "id", "query"])
 
-    queries = written(index.mapInArrow(queries_of, "block long, row long, id long, query binary"), "bsi-queries")
-    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("query") + 24), F.lit(0)).alias("bytes")).first()
+    queries = written(index.mapInArrow(queries_of, "block long, row long, id long, query binary"), "bsi-queries", made)
+    size = queries.agg(F.coalesce(F.sum(F.length("query") + 24), F.lit(0)).alias("bytes")).first()
     chunks = max(1, -(-int(size["bytes"]) // chunk_bytes))
-    kept = []
+    folder, columns = shared_dir(spark, "bsi-best"), "query_id long, rank int, vec_id long, score long"
     for c in range(chunks):
-        own = queries.where(F.pmod(F.xxhash64("block", "row"), F.lit(chunks)) == c).collect()
+        own = queries.where(F.pmod(F.xxhash64("block", "row"), F.lit(chunks)) == c).toLocalIterator()
         shared = spark.sparkContext.broadcast([(q["block"], q["row"], q["id"], bytes(q["query"])) for q in own])
 
         def search(batches, shared=shared):
@@ -221,9 +238,10 @@ def top_inner_products(vectors: DataFrame, k: int = 5, key: str = "vec_id", embe
                     if out:
                         yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["q_block", "q_row", "query_id", "block", "row", "vec_id", "score"])
 
-        kept.append(index.mapInArrow(search, "q_block long, q_row long, query_id long, block long, row long, vec_id long, score long"))
-    found = kept[0]
-    for more in kept[1:]:
-        found = found.unionByName(more)
-    order = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), F.asc_nulls_first("vec_id"), "block", "row")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        hits = index.mapInArrow(search, "q_block long, q_row long, query_id long, block long, row long, vec_id long, score long")
+        # the chunk's queries have all their hits in this pass: their best k are final
+        order = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), F.asc_nulls_first("vec_id"), "block", "row")
+        hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(folder)
+        shared.destroy()
+    drop_paths(spark, made)
+    return spark.read.schema(columns).parquet(folder)
