@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -23,10 +25,11 @@ GPT_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Where splitting at single blanks could differ from the pattern above.
 RUNS = regex.compile(r"\s\s|\s\Z|[\x1c-\x1f]")
-CONTROL_BLANKS = regex.compile(r"[\x1c-\x1f]")
-BLANKS = regex.compile("[\t-\r \x85\xa0  -     　]+")
-#: Entries of a worker's memo of pieces; when full it starts afresh, so memory is bounded for any corpus.
-MEMO = 400_000
+#: Runs without the blanks at which the word vocabulary splits; control characters are no blanks.
+CHUNKS = regex.compile("[^\t-\r \x85\xa0  -     　]+")
+BLANKS = np.array([i for i in range(0x3001) if not CHUNKS.match(chr(i))], np.uint32)
+#: Entries of a worker's memo of pieces, and characters of the longest that it keeps; when full it starts afresh, so memory is bounded for any corpus.
+MEMO, MEMO_CHARS = 400_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -74,11 +77,15 @@ class Vocabulary:
         for token, i in self.specials.items():
             self.bytes[i] = token.encode()
         self.length = [len(b) for b in self.bytes]
-        self.longest_ending = max(map(len, self.ending), default=0)
         self.automaton = ahocorasick.Automaton()
         for body, i in self.inner.items():
             self.automaton.add_word(body, (len(body), i))
         self.automaton.make_automaton()
+        # tokens with and without the end mark in one automaton: (length, token, token with the mark)
+        self.either = ahocorasick.Automaton()
+        for body in {**self.inner, **self.ending}:
+            self.either.add_word(body, (len(body), self.inner.get(body, -1), self.ending.get(body, -1)))
+        self.either.make_automaton()
         self.shorter: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
         self.special_split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
@@ -159,46 +166,27 @@ class Vocabulary:
         size = len(piece)
         count, last = [0] * (size + 1), [-1] * (size + 1)
         ends, final = [0] * (size + 1), [-1] * (size + 1)
-        ended, compatible = self.ending, self.compatible
-        at: list[list] = [[] for _ in range(size + 1)]
-        for end, match in self.automaton.iter(piece):
-            at[end + 1].append(match)
-        for i in range(1, size + 1):
-            for n, token in at[i]:
-                j = i - n
-                if j == 0 or (last[j] >= 0 and compatible(last[j], token)):
-                    count[i], last[i] = count[j] + 1, token
-                    break
-            if not ended:
+        known, tokens = self.pairs.get, len(self.rank)
+        for end, (n, token, closing) in self.either.iter(piece):
+            end += 1
+            at = end - n
+            # of the tokens that end here one is compatible with the last token before it
+            before = last[at]
+            if at and before < 0:
                 continue
-            for j in range(max(0, i - self.longest_ending), i):
-                token = ended.get(piece[j:i])
-                if token is not None and (j == 0 or (last[j] >= 0 and compatible(last[j], token))):
-                    ends[i], final[i] = count[j] + 1, token
-                    break
-        return (count, last, ends, final) if ended else (count, last, count, last)
-
-    def piece_count(self, piece: str) -> int:
-        """Tokens of a whole piece, its end mark included: the last row of prefix_tokens, of which it needs no other ending."""
-        if (self.ending or self.inner).get(piece) is not None:
-            return 1
-        size = len(piece)
-        count, last = [0] * (size + 1), [-1] * (size + 1)
-        compatible = self.compatible
-        for end, (n, token) in self.automaton.iter(piece):
-            i = end + 1
-            if last[i] < 0:
-                j = i - n
-                if j == 0 or (last[j] >= 0 and compatible(last[j], token)):
-                    count[i], last[i] = count[j] + 1, token
-        if not self.ending:
-            return count[size]
-        get = self.ending.get
-        for j in range(max(1, size - self.longest_ending), size):
-            token = get(piece[j:])
-            if token is not None and last[j] >= 0 and compatible(last[j], token):
-                return count[j] + 1
-        raise ValueError("a byte of the text isn't in the vocabulary")
+            if token >= 0 and last[end] < 0:
+                fits = known(before * tokens + token) if at else True
+                if fits is None:
+                    fits = self.compatible(before, token)
+                if fits:
+                    count[end], last[end] = count[at] + 1, token
+            if closing >= 0 and final[end] < 0:
+                fits = known(before * tokens + closing) if at else True
+                if fits is None:
+                    fits = self.compatible(before, closing)
+                if fits:
+                    ends[end], final[end] = count[at] + 1, closing
+        return (count, last, ends, final) if self.ending else (count, last, count, last)
 
 
 class Memo(dict):
@@ -209,29 +197,70 @@ class Memo(dict):
         self.function = function
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[key] = self.function(key)
+        value = self.function(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[key] = value
         return value
 
 
 class WordCounter:
-    """Token counts under a vocabulary of lower-cased words with end marks."""
+    """Token counts at every prefix of a text, under a vocabulary of lower-cased words with end marks.
+
+    Dynamic programming over the prefixes of a word gives the counts at all of them at once; those of a text follow from its
+    words'. Whole texts, truncation and budgets are answered from the stored counts."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.of_word = Memo(lambda w: vocab.piece_count(w.encode().decode("latin-1")))
-        self.of_chunk = Memo(self._chunk)
-
-    def words(self, chunk: str) -> list[str]:
-        if not chunk.isascii():
-            chunk = "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
+        self.of_word = Memo(self._word)
+        self.of_chunk = Memo(self._packed)
+
+    def _words(self, chunk: str) -> int:
+        """Tokens of a chunk, its words taken one by one: for the few prefixes that split in another way than the whole."""
+        chunk = "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
+        return sum(self.of_word[w][-1] for w in WORD_SPLIT.findall(chunk))
+
+    def _word(self, word: str) -> list[int]:
+        """Counts at each prefix of a lower-cased word, by character."""
+        raw = word.encode()
+        counts = self.vocab.prefix_tokens(raw.decode("latin-1"))[2]
+        if len(raw) == len(word):
+            del counts[0]
+            return counts
+        return [counts[i] for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
+
+    def _packed(self, chunk: str) -> bytes:
+        return array("i", self._chunk(chunk)).tobytes()
+
+    def _chunk(self, chunk: str) -> list[int]:
+        """Counts at each prefix of a chunk without blanks and special strings, from the first character on."""
+        if chunk.isascii():
+            low, ends = chunk.lower(), None
+            if low.isalpha():
+                return self.of_word[low]
+        elif unicodedata.is_normalized("NFC", chunk):
+            # so is each prefix; a letter can become several
+            lows = [c.lower() for c in chunk]
+            low, ends = "".join(lows), accumulate(map(len, lows))
         else:
-            chunk = chunk.lower()
-        return WORD_SPLIT.findall(chunk)
-
-    def _chunk(self, chunk: str) -> int:
-        return sum(map(self.of_word.__getitem__, self.words(chunk)))
+            # letters join with marks after them: each prefix is a text of its own
+            return [self._words(chunk[: n + 1]) for n in range(len(chunk))]
+        out: list[int] = []
+        before = 0
+        for m in WORD_SPLIT.finditer(low):
+            word = m.group()
+            if m.start() > len(out):
+                out += [before] * (m.start() - len(out))
+            if word[0] == "'" and len(word) > 1 and word[1].isalpha():
+                # a cut contraction is split otherwise
+                inside = [self._words(word[: n + 1]) for n in range(len(word))]
+            else:
+                inside = self.of_word[word]
+            out += [n + before for n in inside] if before else inside
+            before = out[-1]
+        out += [before] * (len(low) - len(out))
+        return out if ends is None else [out[n - 1] for n in ends]
 
     def segments(self, text: str):
         """Pieces of the text between special strings, and the special strings."""
@@ -239,74 +268,61 @@ class WordCounter:
             return [(text, False)]
         return [(s, s in self.vocab.specials) for s in self.vocab.special_split.split(text) if s]
 
-    def prefix_table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ends (in characters) of the text's blank-separated chunks and special strings, and the token count of the text up to each: the counts at these prefixes."""
-        ends, counts, at = [], [], 0
+    def prefix_table(self, text: str) -> np.ndarray:
+        """The exact token count of text[:n] for each n from 0 to len(text): the stored table that answers all questions about prefixes."""
+        out = np.zeros(len(text) + 1, np.int64)
+        at = total = 0
+        run = (0, 0)  # where the run of characters without a blank begins that ends here, and the count up to there
         for segment, special in self.segments(text):
+            size = len(segment)
             if special:
-                ends.append(at + len(segment))
-                counts.append(1)
+                for n in range(1, size):
+                    out[at + n] = run[1] + self._words(text[run[0] : at + n])
+                total += 1
+                out[at + size] = total
+                run = (at + size, total)
             else:
-                start = 0
-                for m in BLANKS.finditer(segment):
-                    if m.start() > start:
-                        ends.append(at + m.start())
-                        counts.append(self.of_chunk[segment[start : m.start()]])
-                    start = m.end()
-                if start < len(segment):
-                    ends.append(at + len(segment))
-                    counts.append(self.of_chunk[segment[start:]])
-            at += len(segment)
-        return np.array(ends, np.int64), np.cumsum(np.array(counts, np.int64))
+                found = CHUNKS.findall(segment)
+                if found:
+                    counts = np.frombuffer(b"".join(map(self.of_chunk.__getitem__, found)), np.int32).astype(np.int64)
+                    letters = ~np.isin(np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.uint32), BLANKS)
+                    starts = np.flatnonzero(letters & ~np.concatenate([[False], letters[:-1]]))
+                    lengths = np.flatnonzero(letters & ~np.concatenate([letters[1:], [False]])) + 1 - starts
+                    last = np.cumsum(lengths)
+                    # a chunk of control characters can have no token
+                    own = counts[last - 1]
+                    before = total + np.cumsum(own) - own
+                    out[at + 1 : at + 1 + int(starts[0])] = total
+                    # after a chunk its last count holds over the blanks
+                    out[at + 1 + int(starts[0]) : at + 1 + size] = np.repeat(before + own, np.diff(np.append(starts, size)))
+                    out[at + 1 + np.repeat(starts - (last - lengths), lengths) + np.arange(len(counts))] = counts + np.repeat(before, lengths)
+                    total += int(own.sum())
+                    if starts[-1] + lengths[-1] == size:
+                        run = (at + int(starts[-1]), int(before[-1]))
+                    else:
+                        run = (at + size, total)
+                else:
+                    out[at + 1 : at + 1 + size] = total
+                    run = (at + size, total)
+            at += size
+        return out
 
     def count(self, text: str) -> int:
         """The count at the last prefix."""
-        total = 0
-        for segment, special in self.segments(text):
-            if special:
-                total += 1
-            else:
-                chunks = segment.split() if not CONTROL_BLANKS.search(segment) else BLANKS.split(segment)
-                total += sum(map(self.of_chunk.__getitem__, chunks))
-        return total
+        return int(self.prefix_table(text)[-1])
 
-    def prefix_count(self, text: str, end: int, table=None) -> int:
-        """Tokens of text[:end] as a text of its own, from the table: a lookup, and the dynamic programming of the word cut at the end."""
-        ends, counts = table if table is not None else self.prefix_table(text)
-        k = int(np.searchsorted(ends, end, "right"))
-        before, start = (int(counts[k - 1]), int(ends[k - 1])) if k else (0, 0)
-        return before + self.count(text[start:end])
+    def prefix_count(self, text: str, end: int, table: np.ndarray | None = None) -> int:
+        """Tokens of text[:end] as a text of its own: a lookup."""
+        return int((self.prefix_table(text) if table is None else table)[end])
 
     def truncate(self, text: str, budget: int) -> int:
         """The largest end such that text[:end] has at most budget tokens."""
-        table = ends, counts = self.prefix_table(text)
-        k = int(np.searchsorted(counts, budget, "right"))
-        low = int(ends[k - 1]) if k else 0
-        if k == len(ends):
-            return len(text)
-        best, before = low, int(counts[k - 1]) if k else 0
-        chunk = text[low : int(ends[k])]
-        if chunk.isascii() and "<|" not in text and not CONTROL_BLANKS.search(chunk):
-            # the counts at all prefixes of each word, in one pass over the chunk
-            for m in WORD_SPLIT.finditer(chunk.lower()):
-                word = m.group()
-                if len(word) > 1 and word[0] == "'" and word[1].isalpha():
-                    # a cut contraction is split otherwise
-                    inside = [self.count(word[:n]) for n in range(len(word) + 1)]
-                else:
-                    inside = self.vocab.prefix_tokens(word)[2]
-                for n in range(1, len(word) + 1):
-                    if before + inside[n] <= budget:
-                        best = low + m.start() + n
-                    elif n == 1 and before <= budget:
-                        # blanks before the word add no token
-                        best = max(best, low + m.start())
-                before += inside[-1]
-            return best
-        for end in range(low, int(ends[k]) + 1):
-            if self.prefix_count(text, end, table) <= budget:
-                best = end
-        return best
+        return cut_at(self.prefix_table(text), budget)
+
+
+def cut_at(counts: np.ndarray, budget: int) -> int:
+    """The longest prefix within a budget, from the counts at all prefixes (which can fall as a word grows)."""
+    return int(np.flatnonzero(counts <= budget)[-1])
 
 
 class Codec:
@@ -368,25 +384,34 @@ def _vocabulary_text(path: str, limit: int = 32 << 20) -> str:
     return text
 
 
-def count_tokens(docs: DataFrame, vocab_path: str, text: str = "text", key: str = "doc_id", limit: int = 2048) -> DataFrame:
-    """Per row: key, n_bytes, n_tokens of the whole text, over_limit, and cut, the number of characters that hold at most `limit` tokens.
+def count_tokens(docs: DataFrame, vocab_path: str, text: str = "text", key: str = "doc_id", limit: int = 2048, prefixes: bool = False) -> DataFrame:
+    """Per row: key, n_bytes, n_tokens of the whole text, over_limit, and cut, the number of characters that hold at most `limit` tokens; with prefixes also prefix_counts, the count at each prefix by character, from the empty one on.
 
-    Null and empty texts have 0 bytes and 0 tokens. Any key goes through, null and repeated ones too; other columns don't matter. One pass, no shuffle."""
+    Null and empty texts have 0 bytes and 0 tokens. Very long texts are counted whole, in time proportional to their length
+    (only a run without blanks that isn't in Unicode's composed form takes the square of its own length). Any key goes
+    through, null and repeated ones too; other columns don't matter; an empty table has no result. One pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(_vocabulary_text(vocab_path))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch):
         counter = _loaded(shared.value, WordCounter)
-        sizes, counts, cuts = [], [], []
+        sizes, counts, cuts, tables = [], [], [], []
         for value in batch.column(1):
             s = value.as_py() or ""
-            n = counter.count(s)
+            table = counter.prefix_table(s)
+            n = int(table[-1])
             sizes.append(len(s.encode()))
             counts.append(n)
-            cuts.append(len(s) if n <= limit else counter.truncate(s, limit))
-        yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts]), pa.array(cuts, pa.int64())], names=[key, "n_bytes", "n_tokens", "over_limit", "cut"])
+            cuts.append(len(s) if n <= limit else cut_at(table, limit))
+            if prefixes:
+                tables.append(table.astype(np.int32))
+        out = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts]), pa.array(cuts, pa.int64())]
+        names = [key, "n_bytes", "n_tokens", "over_limit", "cut"]
+        if prefixes:
+            out, names = [*out, pa.array(tables, pa.list_(pa.int32()))], [*names, "prefix_counts"]
+        yield pa.record_batch(out, names=names)
 
-    return map_arrow(docs.select(key, text), run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean, cut long")
+    return map_arrow(docs.select(key, text), run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean, cut long" + ", prefix_counts array<int>" * prefixes)
 
 
 def encode_decode(docs: DataFrame, vocab_path: str, text: str = "text", key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
