@@ -84,6 +84,44 @@ def test_near_copies_blocks(spark, texts, monkeypatch):
     assert got == dict(zip(keys, components([shingles(t) for t in texts], keys)))
 
 
+@pytest.mark.parametrize("tokens", [60, 400])
+def test_near_copies_small_groups(spark, texts, monkeypatch, tokens):
+    """Connected parts that are dealt into several groups, and few sketches, so that the matrix has to find most links."""
+    monkeypatch.setattr(jaccard, "GROUP_TOKENS", tokens)
+    monkeypatch.setattr(jaccard, "LEADERS", 1)
+    monkeypatch.setattr(jaccard, "FREQUENT_SETS", 2)
+    keys = list(range(len(texts)))
+    docs = spark.createDataFrame(list(zip(keys, texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()}
+    assert got == dict(zip(keys, components([shingles(t) for t in texts], keys)))
+
+
+def test_groups_are_opened_by_bounds():
+    """A query meets the classes of a group only if the group's union holds enough of it; the link found is a true one."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 60, 80).astype(np.uint64))
+    sets = []
+    for _ in range(12):
+        own = base.copy()
+        own[rng.choice(len(own), rng.integers(0, 25), replace=False)] = rng.integers(0, 1 << 60, 1).astype(np.uint64)
+        sets.append(np.unique(own))
+    group = jaccard.Group(*jaccard.packed_group(list(range(12)), sets), 75)
+    assert [(d, s.tolist()) for d, s in group.sets()] == [(i, s.tolist()) for i, s in enumerate(sets)]
+    for _ in range(300):
+        query = np.unique(np.concatenate([rng.choice(base, rng.integers(1, 80), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 30)).astype(np.uint64)]))
+        links = [i for i, s in enumerate(sets) if 100 * (n := len(np.intersect1d(s, query))) >= 75 * (len(s) + len(query) - n)]
+        found = group.link(query)
+        assert (found is None and not links) or found in links
+
+
+def test_keep_one_with_clashing_names(spark):
+    names = ["doc_id", "text", "digest", "__digest", "k", "c0", "component_id", "n", "r", "again_k"]
+    rows = [(1, "a b c d e f", *[None] * 8), (1, "a b c d e f", *["x"] * 8), (2, "a b c d e f", *["y"] * 8), (3, None, *["z"] * 8), (4, "", *["z"] * 8)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if i == 0 else 'string'}" for i, n in enumerate(names)))
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == names and sorted(r[0] for r in kept.collect()) == [1, 3, 4]
+
+
 def test_near_copies_repeated_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None), (3, "q")], "doc_id long, text string")
     rows = sorted(((str(r.doc_id), r.component_id) for r in jaccard.near_copies(docs).collect()), key=str)
@@ -155,5 +193,11 @@ def test_top_inner_products(spark):
         got = [tuple(r) for r in topk.top_inner_products(frame, block_rows=block, chunk_bytes=200 if block == 37 else 1 << 20).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert topk.top_inner_products(frame.limit(0)).count() == 0
+    large = spark.createDataFrame([(0, [8.0e6] * 4), (1, [1.0] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(OverflowError):
+        topk.top_inner_products(large)
+    fits = spark.createDataFrame([(0, [2.0e5, -3.0e5]), (1, [1.5e5, 2.5e5]), (2, [-2.0e5, 1.0e5])], "vec_id long, embedding array<double>")
+    want = sorted((-(256 * 256) * int(2.0e5 * x - 3.0e5 * y), i) for i, x, y in ((1, 1.5e5, 2.5e5), (2, -2.0e5, 1.0e5)))
+    assert [(r.vec_id, r.score) for r in topk.top_inner_products(fits).orderBy("rank").collect()] == [(i, -n) for n, i in want]
     few = spark.createDataFrame([(0, [1.0, -2.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_inner_products(few).collect()] == [(0, 1, 1, 256 * 128 - 512 * 128)]
