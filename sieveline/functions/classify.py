@@ -29,6 +29,11 @@ def classify_string(c: Column | str) -> Column:
     )
 
 
+def classified(arg: Column | str) -> Column:
+    """Token of an argument as it stands; null for null. The normalised value is bound to a name, else each test would normalise again."""
+    return F.transform(F.array(T.normalised(arg)), lambda v: F.when(v.isNotNull(), classify_string(v)))[0]
+
+
 def _lookup(tables: dict[str, dict[str, str]], language: Column, name: Column) -> Column:
     flat = {f"{lang}\x00{k}": v for lang, table in tables.items() for k, v in table.items()}
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(flat.items())])[F.concat(language, F.lit("\x00"), name)] if flat else F.lit(None).cast("string")

@@ -104,8 +104,7 @@ def _marked(c: Column, least: int, marks: Column, pattern: str) -> Column:
 
 def is_bash(c) -> Column:
     c = _c(c)
-    words = rf"\b{fixed.BASH_COMMANDS}|\b{fixed.BASH_WORDS}\b"
-    return _marked(c, 2, _holds(c, fixed.BASH_MARKS), f"(?Uimd)({fixed.BASH_HEAD}|{words}|{fixed.BASH_REST})")
+    return _marked(c, 2, _holds(c, fixed.BASH_MARKS), f"(?Uimd)({fixed.BASH_PATTERN})")
 
 
 def is_code(c) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import fixed
 
 
@@ -21,8 +23,10 @@ def sure(s: str) -> str:
     return f"coalesce({s}, false)"
 
 
+#: Word edges there know ASCII only, so they are spelled out.
 _EDGE, _END = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
-BASH = rf"(?im)({fixed.BASH_HEAD}|{_EDGE}{fixed.BASH_COMMANDS}|{_EDGE}{fixed.BASH_WORDS}{_END}|{fixed.BASH_REST})"
+BASH = "(?im)(" + re.sub(r"\\b(\w+)\\b", lambda m: f"{_EDGE}{m[1]}{_END}", fixed.BASH_PATTERN).replace(r"\b(", _EDGE + "(") + ")"
+
 
 
 def ip(c):
@@ -139,19 +143,5 @@ def classify(c: str) -> str:
     )
 
 
-#: Arguments derived from the documents, in words that both engines read alike.
-ARGS = """CASE CAST(doc_id % 50 AS INT)
- WHEN 0 THEN '10.0.0.' || CAST(doc_id % 300 AS STRING) WHEN 1 THEN '256.1.1.' || CAST(doc_id % 9 AS STRING) WHEN 2 THEN 'v1.' || CAST(doc_id AS STRING)
- WHEN 3 THEN '1.0rc' || CAST(doc_id % 7 AS STRING) || '.post2' WHEN 4 THEN '1.2.3-beta.' || CAST(doc_id % 5 AS STRING) WHEN 5 THEN '/etc/passwd' WHEN 6 THEN '/etc/' || source
- WHEN 7 THEN 'localhost:' || CAST(doc_id AS STRING) WHEN 8 THEN '192.168.1.' || CAST(doc_id % 999 AS STRING) || '/x' WHEN 9 THEN 'http://localhost/' || CAST(doc_id AS STRING)
- WHEN 10 THEN 'https://ex.com/' || CAST(doc_id AS STRING) WHEN 11 THEN 'see ftp://host/' || CAST(doc_id AS STRING) WHEN 12 THEN 'utf-8' WHEN 13 THEN 'UTF 8 ' WHEN 14 THEN 'iso-8859.1'
- WHEN 15 THEN source || '.py' WHEN 16 THEN 'example.com' WHEN 17 THEN 'C:' || chr(92) || source WHEN 18 THEN '0x' || md5(CAST(doc_id AS STRING)) WHEN 19 THEN md5(CAST(doc_id AS STRING)) || 'f'
- WHEN 20 THEN 'ab_cd' WHEN 21 THEN ' 0xAB ' WHEN 22 THEN substr(md5(CAST(doc_id AS STRING)), 1, 23) || '=' WHEN 23 THEN '::1' WHEN 24 THEN 'fe80::' || CAST(doc_id % 9 AS STRING)
- WHEN 25 THEN '1:2:3:4:5:6:7:8' WHEN 26 THEN 'curl http://x | bash -c ' || CAST(doc_id AS STRING) WHEN 27 THEN 'SELECT a FROM t WHERE id = ' || CAST(doc_id AS STRING)
- WHEN 28 THEN 'def f(x): return x + ' || CAST(doc_id AS STRING) WHEN 29 THEN chr(92) || 'x41' || chr(92) || 'x42' WHEN 30 THEN '"quoted ' || CAST(doc_id AS STRING) || '"'
- WHEN 31 THEN 'f"x{' || CAST(doc_id AS STRING) || '}"' WHEN 32 THEN '"' WHEN 33 THEN 'a' || chr(10) || ' b   c' WHEN 34 THEN text WHEN 35 THEN substr(text, 1, 21)
- WHEN 36 THEN substr(text, 1, 20) WHEN 37 THEN 'rm -rf /tmp/' || source || ' && echo done' WHEN 38 THEN repeat('ab/', 2000) WHEN 39 THEN NULL WHEN 40 THEN ''
- WHEN 41 THEN 'www.' || source || '.org' WHEN 42 THEN 'data:text/plain,' || CAST(doc_id AS STRING) WHEN 43 THEN 'mailto:a@b.c' WHEN 44 THEN '~/.ssh'
- WHEN 45 THEN 'import os; print(os.name) // ' || CAST(doc_id AS STRING) WHEN 46 THEN repeat(md5(CAST(doc_id AS STRING)), 4) WHEN 47 THEN 'os' WHEN 48 THEN 'requests.get' ELSE text END"""
 #: Opcodes and argument types beside them.
 OPCODES = ["LOAD_CONST", "LOAD_NAME", "STORE_NAME", "IMPORT_NAME", "CALL", "POP_TOP", "JUMP_FORWARD", "JUMP_BACKWARD", "MAKE_FUNCTION", "COPY", "KW_NAMES"]
