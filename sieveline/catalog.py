@@ -33,16 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def args(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", "source", f"{S.ARGS} AS arg")
-
-
 def texts(spark, sf_dir) -> DataFrame:
-    """The whole text of every document as an argument; args() has derived strings, which reach the rare branches."""
+    """The whole text of every document as an argument."""
     return table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("arg"))
 
 
-_ARGS_SQL = f"(SELECT doc_id, source, {S.ARGS} AS arg FROM documents)"
 _TEXTS_SQL = "(SELECT doc_id, source, text AS arg FROM documents)"
 
 # ---- predicates ----
@@ -51,34 +46,22 @@ _TESTS = {
     "base64": T.is_base64, "hex": T.is_hex, "bash": T.is_bash, "code": T.is_code, "sql": T.is_sql, "large_payload": T.is_large_payload,
 }
 for _name, _test in _TESTS.items():
-    query(f"pred_{_name}", f"SELECT doc_id, {S.PREDICATES[_name]('arg')} AS hit FROM {_ARGS_SQL}")(lambda spark, sf, t=_test: args(spark, sf).select("doc_id", t("arg").alias("hit")))
-    query(f"pred_{_name}_texts", f"SELECT doc_id, {S.PREDICATES[_name]('arg')} AS hit FROM {_TEXTS_SQL}")(lambda spark, sf, t=_test: texts(spark, sf).select("doc_id", t("arg").alias("hit")))
+    query(f"pred_{_name}", f"SELECT doc_id, {S.PREDICATES[_name]('arg')} AS hit FROM {_TEXTS_SQL}")(lambda spark, sf, t=_test: texts(spark, sf).select("doc_id", t("arg").alias("hit")))
 for _name in ("url", "contains_url", "file_path"):
     query(f"pred_{_name}_pages", f"SELECT page_id, {S.PREDICATES[_name]('url')} AS hit FROM pages")(lambda spark, sf, t=_TESTS[_name]: table(spark, sf, "pages").select("page_id", t("url").alias("hit")))
 for _name in ("bash", "code", "sql"):
     query(f"pred_{_name}_pages", f"SELECT page_id, {S.PREDICATES[_name]('html')} AS hit FROM pages")(lambda spark, sf, t=_TESTS[_name]: table(spark, sf, "pages").select("page_id", t("html").alias("hit")))
 
-query("size_bucket", f"SELECT doc_id, {S.size_bucket('arg')} AS bucket FROM {_ARGS_SQL}")(lambda spark, sf: args(spark, sf).select("doc_id", T.size_bucket("arg").alias("bucket")))
-query("strip_quotes", f"SELECT doc_id, {S.strip_quotes('arg')} AS v FROM {_ARGS_SQL}")(lambda spark, sf: args(spark, sf).select("doc_id", T.strip_quotes("arg").alias("v")))
-query("normalise_text", f"SELECT doc_id, v FROM ({S.normalised_from(_ARGS_SQL, 'arg', 'doc_id')})")(lambda spark, sf: args(spark, sf).select("doc_id", T.normalised("arg").alias("v")))
-query("size_bucket_texts", f"SELECT doc_id, {S.size_bucket('arg')} AS bucket FROM {_TEXTS_SQL}")(lambda spark, sf: texts(spark, sf).select("doc_id", T.size_bucket("arg").alias("bucket")))
-query("strip_quotes_texts", f"SELECT doc_id, {S.strip_quotes('arg')} AS v FROM {_TEXTS_SQL}")(lambda spark, sf: texts(spark, sf).select("doc_id", T.strip_quotes("arg").alias("v")))
-query("normalise_text_texts", f"SELECT doc_id, v FROM ({S.normalised_from(_TEXTS_SQL, 'arg', 'doc_id')})")(lambda spark, sf: texts(spark, sf).select("doc_id", T.normalised("arg").alias("v")))
+query("size_bucket", f"SELECT doc_id, {S.size_bucket('arg')} AS bucket FROM {_TEXTS_SQL}")(lambda spark, sf: texts(spark, sf).select("doc_id", T.size_bucket("arg").alias("bucket")))
+query("strip_quotes", f"SELECT doc_id, {S.strip_quotes('arg')} AS v FROM {_TEXTS_SQL}")(lambda spark, sf: texts(spark, sf).select("doc_id", T.strip_quotes("arg").alias("v")))
+query("normalise_text", f"SELECT doc_id, v FROM ({S.normalised_from(_TEXTS_SQL, 'arg', 'doc_id')})")(lambda spark, sf: texts(spark, sf).select("doc_id", T.normalised("arg").alias("v")))
 
 
 # ---- cascade ----
-@query("classify_string", f"SELECT token, count(*) AS n FROM (SELECT {S.classify('v')} AS token FROM ({S.normalised_from(_ARGS_SQL, 'arg', 'doc_id')}) WHERE v IS NOT NULL) GROUP BY token")
+@query("classify_string", f"SELECT token, count(*) AS n FROM (SELECT {S.classify('v')} AS token FROM ({S.normalised_from(_TEXTS_SQL, 'arg', 'doc_id')}) WHERE v IS NOT NULL) GROUP BY token")
 def classify_string(spark, sf):
-    """Classes of all arguments with their counts."""
-    rows = args(spark, sf).select(T.normalised("arg").alias("v")).where("v IS NOT NULL")
-    return rows.select(C.classify_string("v").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-
-
-@query("classify_texts", f"SELECT token, count(*) AS n FROM (SELECT {S.classify('v')} AS token FROM ({S.normalised_from(_TEXTS_SQL, 'arg', 'doc_id')}) WHERE v IS NOT NULL) GROUP BY token")
-def classify_texts(spark, sf):
     """Classes of the whole texts with their counts."""
-    rows = texts(spark, sf).select(T.normalised("arg").alias("v")).where("v IS NOT NULL")
-    return rows.select(C.classify_string("v").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return texts(spark, sf).select(C.classified("arg").alias("token")).where("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("n"))
 
 
 _OP = "(ARRAY" + str(S.OPCODES) + ")[1 + CAST((doc_id // 50) % 11 AS INT)]"
@@ -90,7 +73,7 @@ def _pairs(tables: dict) -> str:
 
 _MAP_SQL = f"""
 WITH f(name, category) AS (VALUES {_pairs(fixed.FUNCTION_MAP["python"])}), i(name, category) AS (VALUES {_pairs(fixed.IMPORT_MAP["python"])}),
-x AS (SELECT doc_id, arg, {_OP} AS op FROM {_ARGS_SQL}),
+x AS (SELECT doc_id, arg, {_OP} AS op FROM {_TEXTS_SQL}),
 n AS ({S.normalised_from("x", "arg", "doc_id, arg, op")})
 SELECT doc_id, CASE WHEN arg IS NULL OR arg = '' THEN op
   WHEN op IN ('POP_JUMP_IF_FALSE', 'POP_JUMP_IF_TRUE', 'JUMP_FORWARD', 'MAKE_CLASS', 'MAKE_FUNCTION') THEN op
@@ -104,13 +87,6 @@ FROM n LEFT JOIN f ON f.name = v LEFT JOIN i ON i.name = v
 
 @query("map_argument", _MAP_SQL)
 def map_argument(spark, sf):
-    """The full cascade on instructions."""
-    op = F.element_at(F.array(*map(F.lit, S.OPCODES)), (F.floor(F.col("doc_id") / 50) % 11 + 1).cast("int"))
-    return args(spark, sf).select("doc_id", C.map_argument(op, F.lit("str"), F.col("arg"), F.lit("python")).alias("token"))
-
-
-@query("map_argument_texts", _MAP_SQL.replace(_ARGS_SQL, _TEXTS_SQL))
-def map_argument_texts(spark, sf):
     """The full cascade on instructions with whole texts."""
     op = F.element_at(F.array(*map(F.lit, S.OPCODES)), (F.floor(F.col("doc_id") / 50) % 11 + 1).cast("int"))
     return texts(spark, sf).select("doc_id", C.map_argument(op, F.lit("str"), F.col("arg"), F.lit("python")).alias("token"))
@@ -185,13 +161,8 @@ def human_size(spark, sf):
     return rows.select("package", T.human_size("s").alias("size"))
 
 
-@query("load_nonblank", r"SELECT regexp_replace(arg, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS arg FROM " + _ARGS_SQL + r" WHERE arg IS NOT NULL AND regexp_replace(arg, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') <> ''")
+@query("load_nonblank", r"SELECT regexp_replace(arg, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS arg FROM " + _TEXTS_SQL + r" WHERE arg IS NOT NULL AND regexp_replace(arg, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') <> ''")
 def load_nonblank(spark, sf):
-    return dataset.load_nonblank(args(spark, sf), "arg")
-
-
-@query("load_nonblank_texts", r"SELECT regexp_replace(arg, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS arg FROM " + _TEXTS_SQL + r" WHERE arg IS NOT NULL AND regexp_replace(arg, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') <> ''")
-def load_nonblank_texts(spark, sf):
     return dataset.load_nonblank(texts(spark, sf), "arg")
 
 
@@ -200,7 +171,7 @@ _OBJ_SQL = f"""(SELECT doc_id, source, path, size, v1, v2, CASE WHEN path IN ('s
   SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN 'setup.py' ELSE 'm.py' END AS path, n_chars * 100 AS size,
     'LOAD_NAME ' || CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'DYNAMIC_CODE_EXECUTION' WHEN 1 THEN 'NETWORK_HTTP_REQUEST' ELSE 'foo' END AS v1,
     'LOAD_CONST ' || CASE WHEN v IS NULL OR v = '' THEN '' ELSE {S.classify("v")} END AS v2
-  FROM ({S.normalised_from("documents", "substr(text, 1, 40)", "doc_id, source, n_chars")})))"""
+  FROM ({S.normalised_from("documents", "text", "doc_id, source, n_chars")})))"""
 
 
 def code_objects(spark, sf) -> DataFrame:
@@ -306,7 +277,10 @@ def findings_by_file(spark, sf):
     return out.select("source", F.col("file_path").alias("path"), F.array_join("names", ",").alias("names"))
 
 
-@query("report_details", f"SELECT d.doc_id, score, regexp_replace(replace(replace(d.text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS code FROM {_SCORED_SQL} s JOIN documents d USING (doc_id) WHERE score > 0.2 AND contains(d.text, chr(10))")
+_CODE = "replace(replace(d.text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
+@query("report_details", f"SELECT d.doc_id, score, CASE WHEN d.text IS NULL OR d.text = '' THEN NULL WHEN contains({_CODE}, chr(10)) THEN regexp_replace({_CODE}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') ELSE d.text END AS code FROM {_SCORED_SQL} s JOIN documents d USING (doc_id) WHERE score > 0.2")
 def report_details(spark, sf):
     text = table(spark, sf, "documents").select("doc_id", "text")
     found = scored(spark, sf).where(report.flagged(F.col("score"), 0.2)).select("doc_id", "score", "instructions")
@@ -343,17 +317,21 @@ def train_windows(spark, sf):
     return windows.windows(tokenised(spark, sf), "tokens", training=True).select("doc_id", "window_index", "start", F.size("window").alias("size"), F.md5(F.array_join("window", " ")).alias("digest"))
 
 
-@query("window_padding", f"SELECT doc_id, 512 AS size, CAST(least(len({_WORDS}), 512) AS BIGINT) AS ones FROM documents WHERE len({_WORDS}) > 0")
+@query("window_padding", f"SELECT doc_id, window_index, 512 AS size, CAST(size AS BIGINT) AS ones FROM ({_windows_sql('((n - 1) // 384) * 384')})")
 def window_padding(spark, sf):
     w = windows.windows(tokenised(spark, sf), "tokens")
     return w.select("doc_id", "window_index", F.size(windows.padded(F.col("window"))).alias("size"), F.aggregate(windows.mask(F.col("window")), F.lit(0).cast("long"), lambda a, x: a + x).alias("ones"))
 
 
-_LOGITS = "(SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) * 10 AS a, CAST(embedding[2] AS DOUBLE) * 10 AS b FROM embeddings)"
+_HALVES = [f"list_reduce(list_transform(embedding[{part}], lambda x: CAST(x AS DOUBLE)), lambda u, x: u + x)" for part in ("1 : len(embedding) // 2", "len(embedding) // 2 + 1 : len(embedding)")]
+_LOGITS = f"(SELECT vec_id, label, {_HALVES[0]} AS a, {_HALVES[1]} AS b FROM embeddings)"
 
 
 def logits(spark, sf) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", "label", (F.col("embedding")[0].cast("double") * 10).alias("a"), (F.col("embedding")[1].cast("double") * 10).alias("b"))
+    """Two logits of each vector: the sums of its halves."""
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda u, v: u + v.cast("double"))
+    return table(spark, sf, "embeddings").select("vec_id", "label", total(F.slice("embedding", F.lit(1), half)).alias("a"), total(F.slice("embedding", half + 1, F.size("embedding") - half)).alias("b"))
 
 
 @query("softmax_label", f"SELECT vec_id, round(1 - 1 / (1 + exp(a - b)), 6) AS p_benign, round(1 / (1 + exp(a - b)), 6) AS p_malicious, CASE WHEN b > a THEN 'Malicious' ELSE 'Benign' END AS label FROM {_LOGITS}")
@@ -407,7 +385,7 @@ def union_enrich(spark, sf):
 @query("downsample_ratio", _CLASS_SQL + " SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || CAST(doc_id AS STRING)), doc_id) AS r FROM b) WHERE r <= CAST(floor((SELECT count(*) FROM m) * 2.5) AS BIGINT)")
 def downsample_ratio(spark, sf):
     good, bad = classes(spark, sf)
-    return dataset.downsample_ratio(good, bad, 2.5, [dataset.shuffle_key("doc_id"), "doc_id"]).select("doc_id")
+    return dataset.downsample_ratio(good, bad, 2.5, ["doc_id"]).select("doc_id")
 
 
 @query("stratified_split", _CLASS_SQL + " SELECT doc_id, y, row_number() OVER (PARTITION BY y ORDER BY sha256('42:' || CAST(doc_id AS STRING)), doc_id) <= ceil(count(*) OVER (PARTITION BY y) * 0.2) AS is_test FROM x")
@@ -499,19 +477,8 @@ def triage_summary(spark, sf):
     return triage.triage_summary(decided(spark, sf), "decision")
 
 
-_REPLY = """CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN '{"decision": "malicious", "reasoning": "benign words"}' WHEN 1 THEN 'this is BENIGN' WHEN 2 THEN 'I can not tell' WHEN 3 THEN 'Malicious, not benign' WHEN 4 THEN '{"decision": "suspicious"}' ELSE substr(text, 1, 50) END"""
-
-
-@query(
-    "verdict_from_text",
-    f"""SELECT doc_id, CASE WHEN starts_with(r, '{{') THEN regexp_extract(r, '"decision": "([a-z]+)"', 1) WHEN contains(lower(r), 'malicious') THEN 'malicious' WHEN contains(lower(r), 'benign') THEN 'benign' ELSE 'suspicious' END AS decision FROM (SELECT doc_id, {_REPLY} AS r FROM documents)""",
-)
+@query("verdict_from_text", "SELECT doc_id, CASE WHEN json_valid(text) AND lower(json_extract_string(text, '$.decision')) IN ('malicious', 'suspicious', 'benign') THEN lower(json_extract_string(text, '$.decision')) WHEN contains(lower(text), 'malicious') THEN 'malicious' WHEN contains(lower(text), 'benign') THEN 'benign' ELSE 'suspicious' END AS decision FROM documents")
 def verdict_from_text(spark, sf):
-    return table(spark, sf, "documents").selectExpr("doc_id", f"{_REPLY} AS r").select("doc_id", triage.parse_reply(F.col("r")).alias("decision"))
-
-
-@query("verdict_from_texts", "SELECT doc_id, CASE WHEN json_valid(text) AND lower(json_extract_string(text, '$.decision')) IN ('malicious', 'suspicious', 'benign') THEN lower(json_extract_string(text, '$.decision')) WHEN contains(lower(text), 'malicious') THEN 'malicious' WHEN contains(lower(text), 'benign') THEN 'benign' ELSE 'suspicious' END AS decision FROM documents")
-def verdict_from_texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", triage.parse_reply(F.col("text")).alias("decision"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def dedupe_first(rows: DataFrame, key: str, order: list) -> DataFrame:
     """The first row of each key, nulls being one key, by an explicit order.
@@ -45,31 +47,40 @@ def union_enrich(rows: DataFrame, more: DataFrame, key: str, order: list) -> Dat
     return dedupe_first(rows.unionByName(more, allowMissingColumns=True), key, order)
 
 
-def downsample_ratio(benign: DataFrame, malicious: DataFrame, ratio: float, order: list) -> DataFrame:
-    """Of the benign rows int(malicious * ratio) by the order, if they are more and the ratio is positive; else all."""
+def downsample_ratio(benign: DataFrame, malicious: DataFrame, ratio: float, key: list[str], seed: int = 42) -> DataFrame:
+    """Of the benign rows int(malicious * ratio) in the shuffled order of their key columns, if they are more and the ratio is positive; else all. Rows are ranked by hash ranges, not sorted in one task."""
     if ratio <= 0:
         return benign
     keep = int(malicious.count() * ratio)
-    return benign.orderBy(*order).limit(keep) if benign.count() > keep else benign
+    return _ranked(benign, [], key, seed).where(F.col("__rank") <= keep).select(*benign.columns)
 
 
-def shuffle_key(key: str, seed: int = 42) -> Column:
+def shuffle_key(key: str | list[str], seed: int = 42) -> Column:
     """A reproducible random order: SHA-256 of the seed and the key."""
-    return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    parts = [F.col(k).cast("string") for k in ([key] if isinstance(key, str) else key)]
+    return F.sha2(F.concat(F.lit(f"{seed}:"), *parts), 256)
 
 
-def stratified_split(rows: DataFrame, label: str, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """rows with is_test: of each label the first ceil(test * n) in the shuffled order.
+def _ranked(rows: DataFrame, by: list[str], key: list[str], seed: int) -> DataFrame:
+    """rows with __rank in the shuffled order within each group of `by`, from 1, and __total, the group's rows.
+
+    Ranks are taken within ranges of the hash's first digits, to which the counts of the ranges before are added, so that no
+    group is sorted in one task. Null keys come first."""
+    h = rows.withColumn("__h", shuffle_key(key, seed)).withColumn("__b", F.coalesce(F.substring("__h", 1, 3), F.lit("")))
+    sizes = h.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*by) if by else Window.partitionBy()
+    totals = sizes.select(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), F.col("__b").alias("__c"), (F.sum("__n").over(w.orderBy("__b")) - F.col("__n")).alias("__before"), F.sum("__n").over(w).alias("__total"))
+    ranked = h.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__h", *key)))
+    same = F.col("__b") == F.col("__c")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    return ranked.join(totals, same).withColumn("__rank", F.col("__before") + F.col("__r")).select(*rows.columns, "__rank", "__total")
+
 
-    The n-th smallest hash bounds each label's part, found by ranks within buckets of the hash's first digits, so that no
-    label is sorted in one task."""
-    h = rows.withColumn("__h", shuffle_key(key, seed)).withColumn("__b", F.substring("__h", 1, 3))
-    sizes = h.groupBy(label, "__b").agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(label).orderBy("__b")
-    before = sizes.withColumn("__before", F.sum("__n").over(w) - F.col("__n")).withColumn("__total", F.sum("__n").over(Window.partitionBy(label))).select(F.col(label).alias("__l"), F.col("__b").alias("__c"), "__before", "__total")
-    ranked = h.withColumn("__r", F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", key)))
-    joined = ranked.join(before, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__c")))
-    return joined.withColumn("is_test", F.col("__before") + F.col("__r") <= F.ceil(F.col("__total") * F.lit(test))).select(*rows.columns, "is_test")
+def stratified_split(rows: DataFrame, label: str, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
+    """rows with is_test: of each label the first ceil(test * n) in the shuffled order."""
+    ranked = _ranked(rows, [label], [key], seed)
+    return ranked.withColumn("is_test", F.col("__rank") <= F.ceil(F.col("__total") * F.lit(test))).select(*rows.columns, "is_test")
 
 
 def label_union(benign: DataFrame, malicious: DataFrame, label: str = "label") -> DataFrame:
@@ -96,13 +107,15 @@ def token_frequency(rows: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def top_tokens(rows: DataFrame, text: str, key: str, base: list[str], n: int) -> DataFrame:
-    """The base tokens, then others by count until there are n; of equals that which came first. token, count, is_base."""
-    spark = rows.sparkSession
-    first = spark.createDataFrame([(t,) for t in sorted(set(base))], "token string")
-    found = token_frequency(rows, text, key)
-    more = found.join(first, "token", "left_anti").orderBy(F.desc("count"), "first").limit(max(0, n - first.count())).select("token", "count", F.lit(False).alias("is_base"))
-    known = first.join(found.select("token", "count"), "token", "left").select("token", F.coalesce("count", F.lit(0)).alias("count"), F.lit(True).alias("is_base"))
-    return known.unionByName(more)
+    """The base tokens, then others by count until there are n; of equals that which came first. token, count, is_base.
+
+    Base tokens go into the one aggregate as rows that count nothing, so the texts are read and counted once."""
+    each = rows.select(F.col(key).alias("k"), F.posexplode(split_tokens(F.col(text))).alias("i", "token"))
+    each = each.select("token", F.lit(1).cast("long").alias("c"), F.struct("k", "i").alias("at"), F.lit(False).alias("base"))
+    first = rows.sparkSession.createDataFrame([(t,) for t in sorted(set(base))], "token string")
+    first = first.select("token", F.lit(0).cast("long").alias("c"), F.lit(None).cast(each.schema["at"].dataType).alias("at"), F.lit(True).alias("base"))
+    found = each.unionByName(first).groupBy("token").agg(F.sum("c").alias("count"), F.min("at").alias("first"), F.max("base").alias("is_base"))
+    return found.orderBy(F.desc("is_base"), F.desc("count"), "first").limit(max(n, len(set(base)))).select("token", "count", "is_base")
 
 
 def word_counts(rows: DataFrame, text: str) -> DataFrame:
@@ -146,10 +159,12 @@ def bpe_vocabulary(rows: DataFrame, text: str, size: int, special: list[str]):
 
 
 def chunk_rows(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """rows with chunk: consecutive runs of `size` in the order, numbered from 0, without a global sort in one task."""
-    parts = rows.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
+    """rows with chunk: consecutive runs of `size` in the order, numbered from 0, without a global sort in one task.
+
+    The rows are dealt into ranges and written once, so that counting and ranking see the same ranges."""
+    parts = written(rows.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id()), "ranges")
     counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).select(F.col("__p").alias("__q"), "__before")
+    before = counts.select(F.col("__p").alias("__q"), (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
     ranked = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
     return ranked.join(before, F.col("__p") == F.col("__q")).withColumn("chunk", F.floor((F.col("__before") + F.col("__r") - 1) / size)).select(*rows.columns, "chunk")
 

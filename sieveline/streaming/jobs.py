@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _own_folder(spark: SparkSession, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from ..session import shared_folder
 
 
 def first_by_hash(spark: SparkSession, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -26,7 +20,7 @@ def first_by_hash(spark: SparkSession, folder: str, key: str = "doc_id", text: s
         # a stream watches folders: a single file is picked out of its own
         stream, folder = stream.option("pathGlobFilter", at.getName()), at.getParent().toString()
     rows = stream.parquet(folder).select(F.col(key), F.sha2(text, 256).alias("hash"))
-    out, marks = _own_folder(spark, "stream-out"), _own_folder(spark, "stream-marks")
+    out, marks = shared_folder(spark, "stream-out"), shared_folder(spark, "stream-marks")
     counted = rows.groupBy("hash").agg(F.min(key).alias(key))
 
     def put(batch: DataFrame, n: int) -> None:

