@@ -1,13 +1,21 @@
-"""python -m sieveline scan PATH | batch PATH | archives PATH | preprocess BENIGN MALICIOUS OUT | train TABLE"""
+"""python -m sieveline scan PATH | batch PATH | archives PATH | preprocess BENIGN MALICIOUS OUT | train TABLE | triage PATH"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
+import json
 import sys
 
 from .session import session
 
 
+def _judge(name: str):
+    """The callable that module:function names; it takes a list of texts and returns a list of replies."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="sieveline")
     sub = p.add_subparsers(dest="command", required=True)
@@ -16,34 +24,60 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("path")
         s.add_argument("--threshold", type=float, default=0.7)
         s.add_argument("--extensions", nargs="*")
+        s.add_argument("--functions", help="JSON dictionary of function names by language")
+        s.add_argument("--imports", help="JSON dictionary of module names by language")
         s.add_argument("--save")
+        s.add_argument("--quiet", action="store_true", help="print nothing")
+        if name == "scan":
+            s.add_argument("--move", metavar="FOLDER", help="copy files with findings there")
         s.add_argument("--format", default="demo", choices=["demo", "markdown", "json", "yaml", "tokens", "code"])
     s = sub.add_parser("preprocess")
     s.add_argument("benign"), s.add_argument("malicious"), s.add_argument("out")
     s = sub.add_parser("train")
-    s.add_argument("table"), s.add_argument("--ratio", type=float, default=60.0), s.add_argument("--model")
+    s.add_argument("table"), s.add_argument("--ratio", type=float, default=60.0), s.add_argument("--model"), s.add_argument("--metrics", help="file for the metrics")
+    s = sub.add_parser("triage")
+    s.add_argument("path"), s.add_argument("--judge", required=True, metavar="MODULE:FUNCTION"), s.add_argument("--strategy", default="concat", choices=["concat", "single", "smart"]), s.add_argument("--save")
     a = p.parse_args(argv)
     from .plans import jobs
-    from .sources.files import read_files
+    from .sources import sinks
+    from .sources.files import read_dictionary, read_files
 
     spark = session(a.command)
+    own = {k: read_dictionary(spark, v) for k in ("functions", "imports") if (v := getattr(a, k, None))}
     if a.command == "scan":
-        text = jobs.scan_report(spark, a.path, a.extensions, a.threshold).render(a.format)
+        found = jobs.scan_report(spark, a.path, a.extensions, a.threshold, **own)
+        if a.move and found.flagged:
+            paths = spark.createDataFrame([(o["path"],) for o in found.flagged], "path string")
+            sinks.copy_files(spark, paths, "path", a.path, a.move)
+        text = found.render(a.format)
         if a.save:
             with open(a.save, "w", encoding="utf-8") as f:
                 f.write(text)
-        else:
+        elif not a.quiet:
             print(text)
     elif a.command in ("batch", "archives"):
-        found = jobs.batch_verdicts(spark, a.path, extensions=a.extensions, threshold=a.threshold, archives=a.command == "archives")
-        found.write.mode("overwrite").parquet(a.save) if a.save else found.show(1000, truncate=False)
+        found = jobs.batch_verdicts(spark, a.path, extensions=a.extensions, threshold=a.threshold, archives=a.command == "archives", **own)
+        if a.save:
+            found.write.mode("overwrite").parquet(a.save)
+        for row in [] if a.save or a.quiet else found.orderBy("package").toLocalIterator():
+            print(row["package"], row["verdict"], row["flagged"], row["objects"], f"{row['confidence']:.2f}", sep="\t")
     elif a.command == "preprocess":
         jobs.preprocess(read_files(spark, a.benign), read_files(spark, a.malicious), a.out)
+    elif a.command == "triage":
+        found = jobs.triage_folders(read_files(spark, a.path).where("accepted"), _judge(a.judge), a.strategy)
+        if a.save:
+            found.write.mode("overwrite").parquet(a.save)
+        for row in [] if a.save else found.orderBy("package").toLocalIterator():
+            print(row["package"], row["decision"], row["reasoning"], sep="\t")
     else:
         model, metrics = jobs.train(spark.read.parquet(a.table), a.ratio)
         if a.model:
             model.write().overwrite().save(a.model)
-        print("\n".join(f"{k}: {v:.4f}" for k, v in metrics.first().asDict().items()))
+        values = metrics.first().asDict()
+        if a.metrics:
+            with open(a.metrics, "w", encoding="utf-8") as f:
+                json.dump(values, f, indent=1)
+        print("\n".join(f"{k}: {v:.4f}" for k, v in values.items()))
     return 0
 
 

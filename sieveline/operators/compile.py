@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import sys
 import threading
+from concurrent.futures import ThreadPoolExecutor
+from warnings import filterwarnings
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,55 +17,73 @@ from .objects import INSTRUCTION
 
 FRONTENDS = {"python": PythonFrontend, "javascript": ScriptFrontend}
 COMPILED = f"path string, name string, source_code string, start int, end int, warnings array<string>, instructions array<{INSTRUCTION}>"
+#: Stack of the thread that compiles, as deep nesting needs one of its own, and calls that it may nest.
+STACK_BYTES, NESTED_CALLS = 256 << 20, 15_000
+#: Bytes of source whose objects go on together.
+BATCH_BYTES = 4 << 20
 
+_THREAD: ThreadPoolExecutor | None = None
 
-def compile_source(path: str, source: str, language: str) -> list[dict]:
-    """The objects of one source. What can't be compiled is one object without instructions and a warning: MALFORMED_SYNTAX where the language rejects it, MALFORMED_FILE for another failure or language."""
-    source = (source or "").replace("\x00", "")
-    result: list = []
 
-    def run():
+def _thread() -> ThreadPoolExecutor:
+    """The one thread of this process that compiles: made once, with a large stack."""
+    global _THREAD
+    if _THREAD is None:
+        before = threading.stack_size(STACK_BYTES)
         try:
-            result.extend({**o, "warnings": []} for o in FRONTENDS[language](path, source).compile())
-        except SyntaxError:
-            result[:] = [_failed(source, "MALFORMED_SYNTAX")]
-        except (KeyError, RecursionError, ValueError, MemoryError):
-            result[:] = [_failed(source, "MALFORMED_FILE")]
+            _THREAD = ThreadPoolExecutor(1, "compile")
+            _THREAD.submit(sys.setrecursionlimit, max(sys.getrecursionlimit(), NESTED_CALLS)).result()
+            # what a scanned source's strings are like is no concern of this process's log
+            filterwarnings("ignore", category=SyntaxWarning, module="<unknown>")
+        finally:
+            threading.stack_size(before)
+    return _THREAD
+
+
+def _compiled(path: str, source: str, language: str) -> list[dict]:
+    try:
+        return [{**o, "warnings": []} for o in FRONTENDS[language](path, source).compile()]
+    except SyntaxError:
+        return [_failed(source, "MALFORMED_SYNTAX")]
+    except (KeyError, RecursionError, ValueError, MemoryError):
+        return [_failed(source, "MALFORMED_FILE")]
+
+
+def compile_source(path: str, source: str, language: str) -> list[dict]:
+    """The objects of one source. What can't be compiled is one object without instructions and a warning: MALFORMED_SYNTAX where nothing of it is in the language, MALFORMED_FILE for another failure or language."""
+    return _thread().submit(_compiled, path, (source or "").replace("\x00", ""), language).result()
 
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 15_000))
-    before = threading.stack_size(256 << 20)
-    try:  # deep nesting needs a stack of its own
-        worker = threading.Thread(target=run)
-        worker.start()
-        worker.join()
-    finally:
-        threading.stack_size(before)
-        sys.setrecursionlimit(limit)
-    return result
 
+def _failed(source: str, *warnings: str) -> dict:
+    return {"name": "<module>", "source_code": source, "start": 1, "end": source.count("\n") + 1, "warnings": list(warnings), "instructions": []}
 
-def _failed(source: str, warning: str) -> dict:
-    return {"name": "<module>", "source_code": source, "start": 1, "end": source.count("\n") + 1, "warnings": [warning], "instructions": []}
 
+def compile_files(files: DataFrame, path: str = "path", language: str = "language", content: str = "content", size: str | None = None, carry: list[str] | None = None, warnings: str | None = None) -> DataFrame:
+    """Objects of each file: the columns of carry, file_path, file_size, language, name, source_code, start, end, warnings, instructions. Row-wise, no shuffle; null content is empty.
 
-def compile_files(files: DataFrame, path: str = "path", language: str = "language", content: str = "content", size: str | None = None, carry: list[str] | None = None) -> DataFrame:
-    """Objects of each file: the columns of carry, file_path, file_size, language, name, source_code, start, end, warnings, instructions. Row-wise, no shuffle; null content is empty."""
-    import pandas as pd
+    A file whose column `warnings` (an array) isn't empty was refused by its source: it is one object with these warnings and without instructions."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
     carried = carry or []
     whole = F.col(size) if size else F.octet_length(content).cast("long")
-    rows = files.select(*carried, F.col(path).alias("file_path"), whole.alias("file_size"), F.col(language).alias("language"), F.col(content).alias("__content"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__content")
+    rows = files.select(*carried, F.col(path).alias("file_path"), whole.alias("file_size"), F.col(language).alias("language"), F.col(content).alias("__content"), (F.col(warnings) if warnings else F.lit(None).cast("array<string>")).alias("__warnings"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("__content", "__warnings"))
+    schema = f"{kinds}, name string, source_code string, start int, end int, warnings array<string>, instructions array<{INSTRUCTION}>"
+    shape = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
         for b in batches:
-            out = []
-            for row in b.to_dict("records"):
-                text = row.pop("__content")
-                out += [{**row, **o} for o in compile_source(row["file_path"] or "", text, row["language"])]
+            out, held = [], 0
+            for row in b.to_pylist():
+                text, refused = row.pop("__content"), row.pop("__warnings")
+                found = [_failed("", *refused)] if refused else compile_source(row["file_path"] or "", text, row["language"])
+                out += [{**row, **o} for o in found]
+                held += len(text or "")
+                if held > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, shape)
+                    out, held = [], 0
             if out:
-                yield pd.DataFrame(out)
+                yield pa.RecordBatch.from_pylist(out, shape)
 
-    objects = f"name string, source_code string, start int, end int, warnings array<string>, instructions array<{INSTRUCTION}>"
-    return rows.mapInPandas(run, f"{kinds}, {objects}")
+    return rows.mapInArrow(run, schema)

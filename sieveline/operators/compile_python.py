@@ -1,14 +1,17 @@
 """Python sources to instructions, on the standard library's syntax tree.
 
-Against a tree of a tolerant parser there are differences by design: a source that Python can't parse becomes one object
-without instructions and with the warning MALFORMED_SYNTAX; decorated definitions, elif chains, finally and bare except
-bodies are compiled in full."""
+Of a source that Python can't parse, statements of the old language are rewritten and what still can't be parsed is left out;
+only if nothing is left is it an object without instructions and with the warning MALFORMED_SYNTAX. Against a tree of a
+tolerant parser there are differences by design: decorated definitions, elif chains, finally and bare except bodies are
+compiled in full."""
 
 from __future__ import annotations
 
 import ast
+import re
 
 from .emit import BINARY, UNARY, Code, Frontend
+from .recover_python import recovered
 
 _OPS = {
     ast.Add: "+", ast.BitAnd: "&", ast.Sub: "-", ast.MatMult: "@", ast.BitOr: "|", ast.Mult: "*", ast.Mod: "%", ast.BitXor: "^", ast.Pow: "**", ast.LShift: "<<",
@@ -18,8 +21,14 @@ _OPS = {
 
 class PythonFrontend(Frontend):
     def __init__(self, path: str, source: str):
+        try:
+            self.tree = ast.parse(source)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            source = recovered(source)
+            self.tree = ast.parse(source)
         super().__init__(path, source, "python")
-        self.tree = ast.parse(source)
+        #: Lines as the parser counts them, to cut segments out.
+        self.parsed_lines = re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+", source)
         self.globals = {n for node in ast.walk(self.tree) if isinstance(node, ast.Global) for n in node.names}
 
     def compile(self) -> list[dict]:
@@ -41,7 +50,14 @@ class PythonFrontend(Frontend):
             getattr(self, f"of_{type(node).__name__}", self.do_other)(node)
 
     def segment(self, node) -> str:
-        return ast.get_source_segment(self.source, node) or ""
+        if getattr(node, "end_lineno", None) is None:
+            return ""
+        lines = self.parsed_lines[node.lineno - 1 : node.end_lineno]
+        if not lines:
+            return ""
+        lines[-1] = lines[-1].encode()[: node.end_col_offset].decode()
+        lines[0] = lines[0].encode()[node.col_offset :].decode()
+        return "".join(lines)
 
     # ---- statements ----
     def do_Pass(self, node):

@@ -17,11 +17,15 @@ def verdict(malicious: Column, n_flagged: Column) -> Column:
     return F.when(malicious, "malicious").when(n_flagged > 0, "suspicious").otherwise("good")
 
 
-def package_verdict(objects: DataFrame, package: str, score: str, threshold: float = fixed.THRESHOLD) -> DataFrame:
-    """package, objects, flagged, confidence (mean score of the flagged, 1 without any), verdict."""
+def package_verdict(objects: DataFrame, package: str, score: str, threshold: float = fixed.THRESHOLD, malicious: Column | None = None) -> DataFrame:
+    """package, objects, flagged, confidence (mean score of the flagged, 1 without any), verdict.
+
+    malicious: a condition on these columns, by default that any object is flagged; packages with flagged objects that don't
+    meet it are suspicious."""
     f = flagged(F.col(score), threshold)
     agg = objects.groupBy(package).agg(F.count("*").alias("objects"), F.sum(f.cast("long")).alias("flagged"), F.avg(F.when(f, F.col(score))).alias("__c"))
-    return agg.select(package, "objects", "flagged", F.coalesce("__c", F.lit(1.0)).alias("confidence"), verdict(F.col("flagged") > 0, F.col("flagged")).alias("verdict"))
+    out = agg.select(package, "objects", "flagged", F.coalesce("__c", F.lit(1.0)).alias("confidence"))
+    return out.withColumn("verdict", verdict(F.col("flagged") > 0 if malicious is None else malicious, F.col("flagged")))
 
 
 def package_stats(files: DataFrame, objects: DataFrame, package: str, accepted: str, extension: str, score: str, threshold: float = fixed.THRESHOLD) -> DataFrame:

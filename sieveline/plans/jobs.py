@@ -16,17 +16,17 @@ from ..operators.render import Report
 from ..sources import files as sources
 
 
-def compiled(files: DataFrame) -> DataFrame:
-    """Objects with tokens and hashes of the accepted files."""
+def compiled(files: DataFrame, functions=None, imports=None) -> DataFrame:
+    """Objects with tokens and hashes of the accepted files; functions and imports are dictionaries by language, the library's own by default."""
     accepted = files.where("accepted") if "accepted" in files.columns else files
-    return objects.with_tokens(compile_files(accepted, content="text", size="size", carry=["package"]))
+    return objects.with_tokens(compile_files(accepted, content="text", size="size", carry=["package"], warnings="warnings" if "warnings" in files.columns else None), functions, imports)
 
 
-def score_objects(rows: DataFrame, scorer: Callable[[list[str]], list[float]] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+def score_objects(rows: DataFrame, scorer: Callable[[list[str]], list[float]] | None = None, weights: dict[str, float] | None = None, functions=None) -> DataFrame:
     """rows with score and embedding_count. Objects that pass the gate are scored window by window, the largest counts; others have none.
 
     The gate comes first, so only what passes it reaches an external scorer."""
-    rows = rows.withColumn("embedding_count", F.size("tokens")).withColumn("__gate", objects.gate(F.col("token_string"), F.col("language")))
+    rows = rows.withColumn("embedding_count", F.size("tokens")).withColumn("__gate", objects.gate(F.col("token_string"), F.col("language"), functions))
     if scorer is None:
         windowed = F.transform(windows.starts(F.size("tokens")), lambda s: scoring.linear_score(F.slice("tokens", s + 1, fixed.WINDOW), weights))
         return rows.withColumn("score", F.when(F.col("__gate"), F.array_max(windowed))).drop("__gate")
@@ -37,17 +37,17 @@ def score_objects(rows: DataFrame, scorer: Callable[[list[str]], list[float]] |
     return rows.join(best, match, "left").drop(*[f"__{k}" for k in key], "__gate")
 
 
-def scan(spark: SparkSession, folder: str, extensions: list[str] | None = None, threshold: float = fixed.THRESHOLD, scorer=None, archives: bool = False) -> tuple[DataFrame, DataFrame]:
+def scan(spark: SparkSession, folder: str, extensions: list[str] | None = None, threshold: float = fixed.THRESHOLD, scorer=None, archives: bool = False, functions=None, imports=None) -> tuple[DataFrame, DataFrame]:
     """(files, scored objects) of all packages below a folder, as one job."""
-    files = sources.read_archives(spark, folder, extensions).withColumn("accepted", F.lit(True)) if archives else sources.read_files(spark, folder, extensions)
-    found = score_objects(compiled(files), scorer)
+    files = sources.read_archives(spark, folder, extensions, refused=True).withColumn("accepted", F.lit(True)) if archives else sources.read_files(spark, folder, extensions)
+    found = score_objects(compiled(files, functions, imports), scorer, functions=functions)
     return files, found.withColumn("activities", report.object_activities(F.col("tokens"), F.col("language"))).withColumn("flagged", report.flagged(F.col("score"), threshold))
 
 
-def scan_report(spark: SparkSession, folder: str, extensions: list[str] | None = None, threshold: float = fixed.THRESHOLD, scorer=None, on_finding: Callable[[dict], None] | None = None) -> Report:
+def scan_report(spark: SparkSession, folder: str, extensions: list[str] | None = None, threshold: float = fixed.THRESHOLD, scorer=None, on_finding: Callable[[dict], None] | None = None, functions=None, imports=None) -> Report:
     """The report of one package, which fits on the driver: that is a person's reading."""
     began, start = time.time(), datetime.now().isoformat()
-    files, found = scan(spark, folder, extensions, threshold, scorer)
+    files, found = scan(spark, folder, extensions, threshold, scorer, functions=functions, imports=imports)
     listed = files.select("path", "accepted").orderBy("path").collect()
     code = objects.display_code(F.col("source_code"), F.col("instructions"))
     rows = found.select(F.col("file_path").alias("path"), "name", "score", code.alias("code"), F.col("token_string").alias("tokens"), "hash", "embedding_count", "language", "activities", F.col("source_code").alias("source"), "start")
@@ -79,16 +79,30 @@ def preprocess(benign: DataFrame, malicious: DataFrame, path: str) -> None:
 def train(rows: DataFrame, ratio: float = 60.0, **options):
     """(model, metrics) of a table of tokens and label: benign rows down to a ratio, 80/20 by label, windows, logistic regression."""
     bad, good = rows.where("label = 1"), rows.where("label = 0")
-    kept = dataset.downsample_ratio(good, bad, ratio, [dataset.shuffle_key("hash"), "hash"]).unionByName(bad)
+    kept = dataset.downsample_ratio(good, bad, ratio, ["hash"]).unionByName(bad)
     split = dataset.stratified_split(kept, "label", "hash").withColumn("list", dataset.split_tokens(F.col("tokens")))
     each = windows.windows(split.select("label", "is_test", "list"), "list", training=True)
     model = scoring.train_logistic(each.where("NOT is_test"), "window", "label", **options)
     return model, scoring.binary_metrics(model.transform(each.where("is_test")), "label", "prediction")
 
 
-def triage_folders(files: DataFrame, judge: Callable[[list[str]], list[str]], strategy: str = "concat") -> DataFrame:
-    """package, decision, reasoning. concat: one verdict on all of a folder's files; single: one for each file, rolled up; smart is concat with extracts left to the judge."""
-    if strategy in ("concat", "smart"):
+def triage_folders(files: DataFrame, judge: Callable[[list[str]], list[str]], strategy: str = "concat", threshold: float = fixed.THRESHOLD) -> DataFrame:
+    """package, decision, reasoning. concat: one verdict on all of a folder's files; single: one for each file, rolled up; smart:
+    one verdict on the extracts, which are the sources of a folder's flagged objects (folders without any are benign)."""
+    if strategy == "concat":
         return triage.decide(triage.concat_by_group(files, "package", "path", "text"), "text", judge).select("package", "decision", F.lit("").alias("reasoning"))
+    if strategy == "smart":
+        found = extracts(files, threshold)
+        judged = triage.decide(triage.concat_by_group(found, "package", "path", "text"), "text", judge).select(F.col("package").alias("__g"), "decision")
+        names = found.groupBy(F.col("package").alias("__n")).agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("reasoning"))
+        whole = files.select("package").distinct().join(judged, F.col("package").eqNullSafe(F.col("__g")), "left").join(names, F.col("package").eqNullSafe(F.col("__n")), "left")
+        return whole.select("package", F.coalesce("decision", F.lit("benign")).alias("decision"), F.coalesce("reasoning", F.lit("")).alias("reasoning"))
     each = triage.decide(files.select("package", "path", "text"), "text", judge)
     return triage.severity_rollup(each, "package", "decision", "path", "path")
+
+
+def extracts(files: DataFrame, threshold: float = fixed.THRESHOLD) -> DataFrame:
+    """package, path (file and object), name, text of the flagged objects: what of a package is worth reading."""
+    found = score_objects(compiled(files)).where(report.flagged(F.col("score"), threshold))
+    code = objects.display_code(F.col("source_code"), F.col("instructions"))
+    return found.select("package", F.concat_ws("#", "file_path", "name").alias("path"), "name", code.alias("text"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,31 +58,48 @@ def read_files(spark: SparkSession, folder: str, extensions: list[str] | None =
     return rows.select(*out, F.when(F.col("accepted"), F.make_valid_utf8(F.col("content").cast("string"))).alias("text")) if content else rows.select(*out)
 
 
+def read_dictionary(spark: SparkSession, path: str, limit: int = 8 << 20) -> dict[str, dict[str, str]]:
+    """A JSON dictionary of names and categories by language, as the library has in its fixed values; its size is checked, as all tasks get it."""
+    raw = spark.read.format("binaryFile").load(path).where(F.col("length") <= limit).select("content").first()
+    if raw is None:
+        raise ValueError(f"no dictionary of at most {limit} bytes: {path}")
+    return {language: {str(name): str(category) for name, category in table.items()} for language, table in json.loads(bytes(raw["content"])).items()}
+
+
 def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
     """tokens, hash, language, filepath; fields of any length and with line breaks."""
     return spark.read.csv(path, header=True, multiLine=True, escape='"', maxCharsPerColumn=-1, schema="tokens string, hash string, language string, filepath string")
 
 
-def members(name: str, data: bytes, password: bytes | None = None) -> Iterator[tuple[str, bytes]]:
-    """Files of a zip, wheel or tar archive, read in memory; links, devices and names that leave the archive are passed over."""
+def members(name: str, data: bytes, password: bytes | None = None, member_bytes: int = MEMBER_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> Iterator[tuple[str, int, bytes | None]]:
+    """(name, size, content) of the files of a zip, wheel or tar archive, read in memory. Beyond the limits there is no content.
+
+    Links, devices and names that leave the archive are passed over."""
     total = 0
+
+    def fits(size: int) -> bool:
+        nonlocal total
+        if size > member_bytes or total + size > archive_bytes:
+            return False
+        total += size
+        return True
+
     if name.endswith((".whl", ".zip")):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
-                if not info.is_dir() and info.file_size <= MEMBER_BYTES and safe(info.filename) and (total := total + info.file_size) <= ARCHIVE_BYTES:
-                    yield info.filename, z.read(info, pwd=password)
+                if not info.is_dir() and safe(info.filename):
+                    yield info.filename, info.file_size, z.read(info, pwd=password) if fits(info.file_size) else None
     elif name.endswith((".tgz", ".tar", ".gz", ".bz2", ".xz")) and (".tar" in name or name.endswith(".tgz")):
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             for info in t:
-                if info.isfile() and info.size <= MEMBER_BYTES and safe(info.name) and (total := total + info.size) <= ARCHIVE_BYTES:
-                    yield info.name, t.extractfile(info).read()
+                if info.isfile() and safe(info.name):
+                    yield info.name, info.size, t.extractfile(info).read() if fits(info.size) else None
     elif name.endswith(".gz"):
         import gzip
 
         with gzip.open(io.BytesIO(data)) as g:
-            body = g.read(MEMBER_BYTES + 1)
-        if len(body) <= MEMBER_BYTES:
-            yield name.rsplit("/", 1)[-1].removesuffix(".gz"), body
+            body = g.read(member_bytes + 1)
+        yield name.rsplit("/", 1)[-1].removesuffix(".gz"), len(body), body if fits(len(body)) else None
     else:
         raise ValueError(f"no archive that is known: {name}")
 
@@ -89,36 +109,54 @@ def safe(name: str) -> bool:
     return bool(name) and not name.startswith(("/", "\\")) and ".." not in parts and ":" not in parts[0]
 
 
-def read_archives(spark: SparkSession, folder: str, extensions: list[str] | None = None, nested: int = 2, password: bytes | None = None) -> DataFrame:
-    """path (archive!member), package (the archive's name), extension, size, language, text of the accepted members. Archives inside archives are opened to a depth."""
-    import pandas as pd
+def read_archives(spark: SparkSession, folder: str, extensions: list[str] | None = None, nested: int = 2, password: bytes | None = None, refused: bool = False, member_bytes: int = MEMBER_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """path (archive!member), package (the archive's name), extension, size, language, text of the accepted members. Archives inside archives are opened to a depth.
 
+    With refused, also warnings, and rows without text for what wasn't read: broken archives (MALFORMED_FILE), and members
+    beyond the limits and archives beyond the depth (PATHOLOGICAL_FILE), so that nothing is hidden behind padding."""
     wanted = {e.lower().lstrip(".") for e in (extensions or fixed.LANGUAGES)}
     endings = (".zip", ".whl", ".tgz", ".tar", ".gz", ".tar.bz2", ".tar.xz")
+    broken = (ValueError, OSError, EOFError, zipfile.BadZipFile, tarfile.TarError, RuntimeError, zlib.error)
 
     def walk(name: str, data: bytes, depth: int):
-        for inner, body in members(name, data, password):
-            if depth and inner.endswith(endings):
-                try:
-                    for more, content in walk(inner, body, depth - 1):
-                        yield f"{inner}!{more}", content
-                except (ValueError, OSError, zipfile.BadZipFile, tarfile.TarError, RuntimeError):
-                    continue
-            else:
-                yield inner, body
+        """(path below, size, content, warning)"""
+        try:
+            for inner, size, body in members(name, data, password, member_bytes, archive_bytes):
+                if body is None:
+                    yield inner, size, None, "PATHOLOGICAL_FILE"
+                elif inner.endswith(endings):
+                    if not depth:
+                        yield inner, size, None, "PATHOLOGICAL_FILE"
+                        continue
+                    for below, n, content, warning in walk(inner, body, depth - 1):
+                        yield f"{inner}!{below}" if below else inner, n, content, warning
+                else:
+                    yield inner, size, body, None
+        except broken:
+            yield "", len(data), None, "MALFORMED_FILE"
 
     def run(batches):
         for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    for inner, body in walk(path, content, nested):
-                        ext = inner.rsplit(".", 1)[-1].lower() if "." in inner.rsplit("/", 1)[-1] else ""
-                        if ext in wanted:
-                            rows.append((f"{path}!{inner}", path.rsplit("/", 1)[-1], ext, len(body), fixed.LANGUAGES.get(ext, "python"), body.decode("utf-8", "replace").replace("\x00", "")))
-                except (ValueError, OSError, zipfile.BadZipFile, tarfile.TarError, RuntimeError):
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "package", "extension", "size", "language", "text"])
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows, held = [], 0
+                for inner, size, body, warning in walk(path, content.as_py(), nested):
+                    last = inner.rsplit("/", 1)[-1]
+                    ext = last.rsplit(".", 1)[-1].lower() if "." in last else ""
+                    whole = not inner or inner.endswith(endings)
+                    if (warning and refused and (whole or ext in wanted)) or (not warning and ext in wanted):
+                        text = body.decode("utf-8", "replace").replace("\x00", "") if body is not None else None
+                        rows.append((f"{path}!{inner}" if inner else path, path.rsplit("/", 1)[-1], ext, size, fixed.LANGUAGES.get(ext, "python"), text, [warning] if warning else []))
+                        held += len(text or "")
+                    if held > 4 << 20:
+                        yield batch(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield batch(rows)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "package", "extension", "size", "language", "text", "warnings"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
-    return files.mapInPandas(run, "path string, package string, extension string, size long, language string, text string")
+    found = files.mapInArrow(run, "path string, package string, extension string, size long, language string, text string, warnings array<string>")
+    return found if refused else found.drop("warnings")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dataset, triage
@@ -49,3 +49,23 @@ def concatenated(files: DataFrame, group: str, path: str, text: str) -> DataFram
     part = F.concat(F.lit("\n" + "=" * 80 + "\nFile: "), F.col(path), F.lit("\n" + "=" * 80 + "\n"), F.coalesce(F.col(text), F.lit("")), F.lit("\n"))
     listed = F.sort_array(F.collect_list(F.struct(F.col(path).alias("p"), part.alias("t"))))
     return files.groupBy(group).agg(listed.alias("__p"), F.count("*").alias("n")).select(group, F.concat(F.lit("Flagged files: "), F.col("n").cast("string"), F.lit("\n"), F.array_join(F.transform("__p", lambda s: s["t"]), "")).alias("text"))
+
+
+def copy_files(spark: SparkSession, paths: DataFrame, path: str, root: str, target: str) -> int:
+    """Copy the files named in a column to a folder, at the same place below it as they have below root; how many.
+
+    Paths come to the driver one by one, the copies are made by the file systems: for the flagged files of a package, which
+    are for a person's reading. Files that aren't below root, and members of archives, are passed over."""
+    fs, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    plain = lambda p: fs.Path(p).toUri().getPath()
+    base, n = plain(root).rstrip("/") + "/", 0
+    for row in paths.select(F.col(path).alias("p")).where("p IS NOT NULL").distinct().toLocalIterator():
+        place = plain(row["p"])
+        if not place.startswith(base):
+            continue
+        source, out = fs.Path(row["p"]), fs.Path(f"{target.rstrip('/')}/{place[len(base):]}")
+        own, other = source.getFileSystem(conf), out.getFileSystem(conf)
+        if own.exists(source):
+            other.mkdirs(out.getParent())
+            n += bool(fs.FileUtil.copy(own, source, other, out, False, conf))
+    return n
