@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,14 +218,30 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     kind = sample.schema["k"].dataType.simpleString()
     # repeated documents could exceed the bound: the limit holds for them too
-    table = map_arrow(sample, run, f"k {kind}, y int, words long, features array<int>, counts array<short>").orderBy(F.xxhash64("k"), "k", "words", "y").limit(sample_rows).toArrow().combine_chunks()
-    if not table.num_rows:
-        return fit(Sample(*[np.zeros(0, np.int64)] * 5))
+    rows = map_arrow(sample, run, f"k {kind}, y int, words long, features array<int>, counts array<short>").orderBy(F.xxhash64("k"), "k", "words", "y").limit(sample_rows)
+
+    def fitted(batches):
+        table = pa.Table.from_batches(held).combine_chunks() if (held := [b for b in batches if b.num_rows]) else None
+        model = fit(_sample_of(table))
+        chosen = np.flatnonzero(model.weights)
+        yield pa.record_batch([pa.array([x], pa.list_(kind)) for x, kind in ((chosen, pa.int32()), (model.weights[chosen], pa.float64()), (model.thresholds, pa.float64()))], names=["features", "weights", "thresholds"])
+
+    # the bounded sample is fitted in one task: the driver gets the model alone
+    model = rows.mapInArrow(fitted, "features array<int>, weights array<double>, thresholds array<double>").first()
+    if model is None:
+        return fit(_sample_of(None))
+    weights = np.zeros(1 << BITS)
+    weights[np.array(model["features"], np.int64)] = model["weights"]
+    return OrdinalModel(weights, np.array(model["thresholds"]))
+
+
+def _sample_of(table: pa.Table | None) -> Sample:
+    if table is None:
+        return Sample(*[np.zeros(0, np.int64)] * 5)
     features, counts = (table.column(c).combine_chunks() for c in ("features", "counts"))
     sizes = pa.compute.list_value_length(features).to_numpy(zero_copy_only=False).astype(np.int64)
     toxic, words = (table.column("y").to_numpy() > 0).astype(float), table.column("words").to_numpy()
-    del table
-    return fit(Sample(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), features.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False), words, toxic))
+    return Sample(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), features.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False), words, toxic)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
@@ -243,7 +260,10 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", key: str = "
 
 
 def keep_civil(docs: DataFrame, model: OrdinalModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, that aren't toxic at the threshold."""
+    """The rows of docs, all columns, that aren't toxic at the threshold.
+
+    Null and empty texts have no words and are scored by the thresholds alone, very long ones whole; repeated rows stay or go
+    together; columns may have any names; an empty table stays empty."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batch: pa.RecordBatch):
