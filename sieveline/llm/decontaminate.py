@@ -21,6 +21,7 @@ from .common import ascii_lower_table, hash_words, map_arrow, text_buffer
 SHARD_WORDS = 1 << 20
 #: Bytes of test text in a broadcast.
 BLOCK_BYTES = 8 << 20
+PLACES = "array<struct<item:string,item_word:int,word:int,length:int>>"
 
 
 def word_bytes() -> np.ndarray:
@@ -116,8 +117,18 @@ class Items:
         length = np.minimum(sizes[item], width)
         self.left = firsts[1:][item] - start  # words up to the item's end
         self.start, self.length, self.item = start, length, item
+        self.at = start - firsts[:-1][item]  # place in the item
         self.ids = ids
 
+    def maximal(self, window: np.ndarray, place: np.ndarray, longest: np.ndarray) -> np.ndarray:
+        """Which occurrences begin a longest verbatim match: those that no occurrence of the item's window one word before goes on."""
+        start, item = self.start[window], self.item[window]
+        order = np.lexsort((start, place - start, item))
+        first = np.ones(len(order), bool)
+        a, b = order[:-1], order[1:]
+        first[1:] = (item[a] != item[b]) | (place[a] - start[a] != place[b] - start[b]) | (start[a] + 1 != start[b])
+        return order[first]
+
     def search(self, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Occurrences of all windows in a shard: (window, place in the shard, length of the longest match from there)."""
         found_w, found_p = [], []
@@ -159,8 +170,8 @@ class Items:
         return window, place, longest
 
 
-def matches(items: Items, texts: pa.Array) -> Iterator[tuple[int, int, int, list[int], int, np.ndarray]]:
-    """For each text: its words, words in an occurrence of a window, items with such (indexes), longest match and the hit mask."""
+def matches(items: Items, texts: pa.Array) -> Iterator[tuple[int, int, int, list[int], np.ndarray, list[dict]]]:
+    """For each text: its words, words in an occurrence of a window, longest match, items with such (indexes), the hit mask, and the longest verbatim matches with their places."""
     words, firsts = words_of(texts)
     depth = 1
     while depth < items.width:
@@ -180,10 +191,14 @@ def matches(items: Items, texts: pa.Array) -> Iterator[tuple[int, int, int, list
         pairs = np.unique(text * len(items.ids) + items.item[window]) if len(window) else np.zeros(0, np.int64)
         of_text = pairs // max(len(items.ids), 1)
         bounds = np.searchsorted(of_text, np.arange(upto - at + 1))
+        found: dict[int, list[dict]] = {}
+        for w in items.maximal(window, place, longest).tolist():
+            k = int(text[w])
+            found.setdefault(k, []).append({"item": items.ids[items.item[window[w]]], "item_word": int(items.at[window[w]]), "word": int(place[w] - shard.text_at[k]), "length": int(longest[w])})
         for k in range(upto - at):
             n = int(firsts[at + k + 1] - firsts[at + k])
             own = hit[shard.text_at[k] : shard.text_at[k] + n]
-            yield n, int(own.sum()), int(best[k]), (pairs[bounds[k] : bounds[k + 1]] % len(items.ids)).tolist() if bounds[k + 1] > bounds[k] else [], own
+            yield n, int(own.sum()), int(best[k]), (pairs[bounds[k] : bounds[k + 1]] % len(items.ids)).tolist() if bounds[k + 1] > bounds[k] else [], own, found.get(k, [])
         at = upto
 
 
@@ -203,22 +218,23 @@ def item_blocks(benchmark: DataFrame, text: str, item_id: str, block_bytes: int)
         yield ids, texts
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", width: int = 10, item_text: str = "text", item_id: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of docs: key, n_words, n_hit (words inside an occurrence of a window of `width` item words), items (ids with such windows, sorted as strings), longest (longest verbatim match in words), contaminated.
+def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", width: int = 10, item_text: str = "text", item_id: str = "item_id", block_bytes: int = BLOCK_BYTES, locations: bool = False) -> DataFrame:
+    """Per row of docs: key, n_words, n_hit (words inside an occurrence of a window of `width` item words), items (ids with such windows, sorted as strings), longest (longest verbatim match in words), contaminated; with locations also matches: the longest verbatim matches (item, item_word, word, length; places count words from 0), in order of word, item and item_word.
 
-    A document or item that is null or has no words matches nothing; an item of fewer words is one window. Items with a
+    The test items go round in blocks of block_bytes, one pass for each. A document or item that is null or has no words matches nothing; an item of fewer words is one window. Items with a
     null id contaminate, but aren't listed. Repeated rows and ids are each judged on their own; other columns of docs don't matter."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    state = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lit(None).cast("binary").alias("mask"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest"))
-    schema = f"key {kind}, text string, mask binary, items array<string>, longest long"
+    state = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lit(None).cast("binary").alias("mask"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest"), F.array().cast(PLACES).alias("matches"))
+    schema = f"key {kind}, text string, mask binary, items array<string>, longest long, matches {PLACES}"
+    place_kind = pa.list_(pa.struct([("item", pa.string()), ("item_word", pa.int32()), ("word", pa.int32()), ("length", pa.int32())]))
 
     def passed(frame: DataFrame, shared, last: bool) -> DataFrame:
         def run(batch: pa.RecordBatch):
             items = shared.value if shared else Items([], [], width)
-            masks, names, longest, words, hits = [], [], [], [], []
+            masks, names, longest, words, hits, places = [], [], [], [], [], []
             texts = batch.column(1)
-            for (n, _, best, found, own), mask, before, most in zip(matches(items, texts), batch.column(2), batch.column(3), batch.column(4), strict=True):
+            for (n, _, best, found, own, here), mask, before, most, there in zip(matches(items, texts), *batch.columns[2:], strict=True):
                 if mask.is_valid:
                     own = own | np.unpackbits(np.frombuffer(mask.as_py(), np.uint8), count=n).astype(bool)
                 masks.append(np.packbits(own).tobytes() if own.any() else None)
@@ -226,24 +242,25 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
                 longest.append(max(best, most.as_py()))
                 words.append(n)
                 hits.append(int(own.sum()))
+                places.append(sorted([*there.as_py(), *here], key=lambda m: (m["word"], m["item"] is not None, m["item"] or "", m["item_word"])) if locations else [])
             lists = pa.array(names, pa.list_(pa.string()))
             if last:
-                yield pa.record_batch([batch.column(0), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), lists, pa.array(longest, pa.int64()), pa.array([h > 0 for h in hits])], names=["key", "n_words", "n_hit", "items", "longest", "contaminated"])
+                yield pa.record_batch([batch.column(0), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), lists, pa.array(longest, pa.int64()), pa.array([h > 0 for h in hits]), pa.array(places, place_kind)], names=["key", "n_words", "n_hit", "items", "longest", "contaminated", "matches"])
             else:
-                yield pa.record_batch([batch.column(0), texts, pa.array(masks, pa.binary()), lists, pa.array(longest, pa.int64())], names=["key", "text", "mask", "items", "longest"])
+                yield pa.record_batch([batch.column(0), texts, pa.array(masks, pa.binary()), lists, pa.array(longest, pa.int64()), pa.array(places, place_kind)], names=["key", "text", "mask", "items", "longest", "matches"])
 
-        return map_arrow(frame, run, f"key {kind}, n_words long, n_hit long, items array<string>, longest long, contaminated boolean" if last else schema)
+        return map_arrow(frame, run, f"key {kind}, n_words long, n_hit long, items array<string>, longest long, contaminated boolean, matches {PLACES}" if last else schema)
 
     blocks = item_blocks(benchmark, item_text, item_id, block_bytes)
     block = next(blocks, None)
     if block is None:
-        return passed(state, None, True).withColumnRenamed("key", key)
+        return passed(state, None, True).withColumnRenamed("key", key).drop(*[] if locations else ["matches"])
     while block is not None:
         following = next(blocks, None)
         shared = spark.sparkContext.broadcast(Items(*block, width))
         state = passed(state, shared, following is None)
         block = following
-    return state.withColumnRenamed("key", key)
+    return state.withColumnRenamed("key", key).drop(*[] if locations else ["matches"])
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 10, item_text: str = "text", item_id: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -171,6 +171,38 @@ def test_decontaminate(spark, texts, block, monkeypatch):
     assert {r.doc_id for r in decontaminate.remove_contaminated(frame, bench, block_bytes=block).collect()} == {k for k, v in want.items() if not v[4]}
 
 
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_longest_matches_and_their_places(spark, block):
+    """Longest verbatim matches of ten words and more, or of whole shorter items, against a search of all pairs of places."""
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choice("abcd") * rng.randint(1, 2) for _ in range(n))) for i, n in enumerate([14, 25, 3, 1, 0, 40])]
+    docs = []
+    for k in range(30):
+        words = [rng.choice(["x", "y", "a", "bb"]) for _ in range(rng.randint(0, 20))]
+        own = items[rng.choice([0, 1, 5])][1].split()
+        at = rng.randint(0, max(0, len(own) - 12))
+        docs.append((k, " ".join(words + own[at : at + rng.randint(8, 40)] + words + own[:12])))
+    frame = spark.createDataFrame([*docs, (99, None)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: [tuple(m) for m in r.matches] for r in decontaminate.annotate(frame, bench, block_bytes=block, locations=True).collect()}
+    for k, text in docs:
+        w, want = words9(text), []
+        for i, item in items:
+            v = words9(item)
+            least = min(10, len(v))
+            for x in range(len(w)):
+                for y in range(len(v)):
+                    if x and y and w[x - 1] == v[y - 1]:
+                        continue
+                    n = 0
+                    while x + n < len(w) and y + n < len(v) and w[x + n] == v[y + n]:
+                        n += 1
+                    if n >= least:
+                        want.append((str(i), y, x, n))
+        assert sorted(got[k]) == sorted(want), (text, items)
+    assert got[99] == []
+
+
 def test_decontaminate_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
