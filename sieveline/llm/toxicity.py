@@ -170,8 +170,8 @@ class Sample:
         return OrdinalModel(weights, thresholds)
 
 
-def best_cut(linear: np.ndarray, toxic: np.ndarray) -> float | None:
-    """The cut with the least sum of both error rates, in the middle of its gap; none without rows of both kinds."""
+def best_cut(linear: np.ndarray, toxic: np.ndarray, most: float = 0.5) -> float | None:
+    """The cut with the least sum of both error rates (of equals the highest), in the middle of its gap. None if that sum is above `most`: then the scores tell too little to move a threshold by them."""
     if not len(linear) or not 0 < toxic.sum() < len(toxic):
         return None
     order = np.argsort(linear, kind="stable")
@@ -180,10 +180,8 @@ def best_cut(linear: np.ndarray, toxic: np.ndarray) -> float | None:
     wrong = 1 - np.concatenate([[0.0], np.cumsum(1 - y)]) / (1 - y).sum()
     total = missed + wrong
     total[1:-1][x[1:] == x[:-1]] = 2.0
-    at = int(total.argmin())
-    if at in (0, len(x)):
-        return float(x[0] - 1 if at == 0 else x[-1] + 1)
-    return float((x[at - 1] + x[at]) / 2)
+    at = len(total) - 1 - int(total[::-1].argmin())
+    return float((x[at - 1] + x[at]) / 2) if total[at] <= most else None
 
 
 def fit(sample: Sample, z: float = 3.0, least: int = 4) -> OrdinalModel:

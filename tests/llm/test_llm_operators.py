@@ -334,10 +334,20 @@ def test_best_cut():
     import numpy as np
 
     assert toxicity.best_cut(np.array([0.0, 1, 2, 3]), np.array([0.0, 0, 1, 1])) == 1.5
-    assert toxicity.best_cut(np.array([0.0, 1, 2, 3, 9]), np.array([0.0, 1, 0, 0, 1])) in (6.0, 0.5)
+    assert toxicity.best_cut(np.array([0.0, 1, 2, 3, 9]), np.array([0.0, 0, 0, 1, 1])) == 2.5
+    assert toxicity.best_cut(np.array([0.0, 1, 2, 3, 9]), np.array([0.0, 1, 0, 0, 1])) == 6.0
+    assert toxicity.best_cut(np.array([0.0, 0, 0, 0]), np.array([0.0, 1, 0, 1])) is None and toxicity.best_cut(np.array([0.0, 1, 2, 3]), np.array([1.0, 1, 0, 0])) is None
     assert toxicity.best_cut(np.array([1.0, 2]), np.array([0.0, 0])) is None
 
 
+def test_few_labels_leave_clean_documents_alone(spark):
+    """Labels that tell nothing, as there are so few: no text is toxic."""
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    for n in (1, 5, 60):
+        labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 5 == 0).cast("int").alias("toxic"))
+        assert toxicity.keep_civil(docs, toxicity.train(docs, labels)).count() == 60
+
+
 def test_labels_of_absent_documents_take_no_place(spark):
     docs = spark.range(100, 200).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     labels = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
