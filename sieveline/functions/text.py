@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from . import fixed
 
 
+_CODEC_LETTERS = max(len(n) for n in fixed.ENCODINGS)
+
+
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -31,6 +34,11 @@ def _holds(c: Column, marks) -> Column:
     return _any(c.contains(m) for m in marks)
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once: a name in the tests that f makes of it, where the expression would be evaluated again by each."""
+    return F.transform(F.array(value), f)[0]
+
+
 def lower_stripped(c) -> Column:
     return F.regexp_replace(F.lower(_c(c)), r"(?U)^\s+|\s+\z", "")
 
@@ -48,8 +56,14 @@ def is_version(c) -> Column:
 
 def is_encoding(c) -> Column:
     """A name under which the standard codecs are known."""
-    name = F.regexp_replace(F.regexp_replace(F.lower(_c(c)), r"[^a-z0-9.]+", "_"), r"^_+|_+\z", "")
-    return _sure(name.isin(fixed.ENCODINGS) | (name.contains(".") & F.translate(name, ".", "_").isin(fixed.ENCODINGS)))
+
+    def known(low: Column) -> Column:
+        name = F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9.]+", "_"), r"^_+|_+\z", "")
+        # a name's letters and digits are few, so most texts need no normalising
+        few = low.rlike(rf"^(?:[^a-z0-9.]*+[a-z0-9.]){{0,{_CODEC_LETTERS}}}[^a-z0-9.]*+\z")
+        return few & bound(name, lambda n: n.isin(fixed.ENCODINGS) | (n.contains(".") & F.translate(n, ".", "_").isin(fixed.ENCODINGS)))
+
+    return _sure(bound(F.lower(_c(c)), known))
 
 
 def is_url(c) -> Column:
@@ -61,19 +75,23 @@ def is_url(c) -> Column:
 
 def contains_url(c) -> Column:
     c = _c(c)
-    return _sure((F.length(c) >= 8) & _holds(F.lower(c), fixed.URL_MARKS))
+    return _sure((F.length(c) >= 8) & bound(F.lower(c), lambda low: _holds(low, fixed.URL_MARKS)))
 
 
 def is_localhost(c) -> Column:
     """This machine or a private network; the network's numbers are not anchored at the end."""
-    t = lower_stripped(c)
-    named = _holds(t, ["localhost", "127.0.0.1"]) & _holds(t, ["http", "ftp"])
-    return _sure(t.isin(fixed.LOCAL_NAMES) | _starts(t, ["localhost:", "127.0.0.1:"]) | named | t.rlike(fixed.PRIVATE_NET))
+
+    def local(t: Column) -> Column:
+        named = _holds(t, ["localhost", "127.0.0.1"]) & _holds(t, ["http", "ftp"])
+        return t.isin(fixed.LOCAL_NAMES) | _starts(t, ["localhost:", "127.0.0.1:"]) | named | t.rlike(fixed.PRIVATE_NET)
+
+    return _sure(bound(lower_stripped(c), local))
 
 
 def is_file_path(c) -> Column:
     c = _c(c)
-    suffix = F.lower(c).rlike(r"\.(" + "|".join(fixed.FILE_SUFFIXES) + r")\z")
+    # suffixes are shorter than what is looked at
+    suffix = F.lower(F.right(c, F.lit(32))).rlike(r"\.(" + "|".join(fixed.FILE_SUFFIXES) + r")\z")
     separator = c.contains("/") | c.contains("\\")
     one_dot = F.length(c) - F.length(F.replace(c, F.lit("."), F.lit(""))) == 1
     domain = one_dot & F.substring_index(c, ".", -1).isin(fixed.DOMAIN_ENDS)
@@ -114,7 +132,7 @@ def is_code(c) -> Column:
 
 def is_sql(c) -> Column:
     c = _c(c)
-    return _marked(c, 6, _holds(F.lower(c), fixed.SQL_MARKS), rf"(?Uid)\b{fixed.SQL_PATTERN}\b")
+    return _marked(c, 6, bound(F.lower(c), lambda low: _holds(low, fixed.SQL_MARKS)), rf"(?Uid)\b{fixed.SQL_PATTERN}\b")
 
 
 def is_large_payload(c) -> Column:

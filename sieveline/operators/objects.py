@@ -51,7 +51,8 @@ def with_tokens(objects: DataFrame, functions=None, imports=None) -> DataFrame:
 
     Null instructions count as none. An object without instructions hashes its token string, any other its one-line text."""
     none = F.coalesce("instructions", F.expr(f"cast(array() as array<{INSTRUCTION}>)"))
-    out = objects.withColumn("instructions", none).withColumn("mapped", mapped(F.col("instructions"), functions, imports))
+    # exploding an array of one keeps later filters from computing the cascade a second time
+    out = objects.withColumn("instructions", none).select("*", F.explode(F.array(mapped(F.col("instructions"), functions, imports))).alias("mapped"))
     aim = targeted(F.col("file_path"), F.col("language"))
     out = out.withColumn("tokens", tokens(F.col("warnings"), F.col("file_size"), aim, F.col("mapped")))
     text = F.array_join(F.concat(_if(aim, "TARGETED_FILE"), F.col("mapped")), " ")
