@@ -526,7 +526,7 @@ class ScriptFrontend(Frontend):
     def bump(self, base: int, op: str) -> None:
         target = self.code.out[base:]
         self.emit("LOAD_CONST", 1.0)
-        self.emit("BINARY_ADD") if op == "++" else self.emit("BINARY_OP", BINARY["-"])
+        self.emit("BINARY_ADD" if op == "++" else "BINARY_SUBTRACT")
         self.assign(target)
 
     def arguments(self) -> int:

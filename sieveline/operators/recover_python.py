@@ -107,13 +107,13 @@ def _saved(lines: list[str]) -> list[str]:
     if parses("\n".join(lines)):
         return lines
     repaired = [modern(x) for x in lines]
-    if parses("\n".join(repaired)):
+    if repaired != lines and parses("\n".join(repaired)):
         return repaired
     flat = shallow("\n".join(repaired)).split("\n")
-    if len(flat) == len(lines) and parses("\n".join(flat)):
+    if flat != repaired and len(flat) == len(lines) and parses("\n".join(flat)):
         return flat
     if len(lines) == 1:
-        parts = [p for p in _statements(repaired[0]) if p.strip() and parses(p.strip())]
+        parts = [p for p in _statements(repaired[0]) if p.strip() and parses(p.strip())] if ";" in repaired[0] else []
         return ["; ".join(p.strip() for p in parts)]
     out = repaired
     for _ in range(min(GIVEN_UP, len(lines))):
