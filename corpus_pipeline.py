@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm import bpe, decontaminate, jaccard, quality, toxicity
-from sieveline.llm.common import written
+from sieveline.llm.common import drop_paths, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,13 +50,15 @@ STAGES = [
     ("encoding", encoding_stage),
 ]
 
-#: Trained models are no SQL; the tests hold the stages against brute force.
+#: Trained models are no SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each result written and read again."""
-    docs = _table(spark, sf_dir, "documents")
+    """All stages in order, each result written and read again; a result that the next stage has read is deleted."""
+    docs, made = _table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, made = made, []
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", made)
+        drop_paths(spark, before)
     return docs
