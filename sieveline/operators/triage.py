@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import pandas as pd
@@ -69,12 +70,14 @@ def parse_reply(reply: Column) -> Column:
 
 
 def decide(rows: DataFrame, text: str, judge: Callable[[list[str]], list[str]], out: str = "decision") -> DataFrame:
-    """A column of replies by an external judge, a callable on lists of texts; errors give suspicious."""
+    """A column of replies by an external judge, a callable on lists of texts. Where it fails nothing is known: the texts are suspicious, and the worker's log says why and how many they are."""
+
     @F.pandas_udf("string")
     def run(batch: pd.Series) -> pd.Series:
         try:
             return pd.Series(judge(batch.fillna("").tolist()))
-        except Exception:  # the service is out of reach: nothing is known
+        except Exception as error:
+            logging.getLogger(__name__).warning("the judge failed on %d texts: %r", len(batch), error)
             return pd.Series(["suspicious"] * len(batch))
 
     return rows.withColumn(out, parse_reply(run(F.col(text))))

@@ -9,10 +9,10 @@ from ..session import shared_folder
 
 
 def first_by_hash(spark: SparkSession, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The smallest key of each text's hash, kept up to date by a stream over the files of a folder, and read when all of them are in.
+    """The smallest key of each text's hash, by a stream over the files of a folder, read when all of them are in.
 
-    The running minimum is the stream's only state: one row for each hash. Each micro-batch's changes are upserted by a
-    written table of the latest state."""
+    The stream has no state: each micro-batch writes its own minima, one row for each of its hashes, and the reader takes the
+    least of them."""
     schema = spark.read.parquet(folder).schema
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     stream = spark.readStream.schema(schema)
@@ -21,12 +21,12 @@ def first_by_hash(spark: SparkSession, folder: str, key: str = "doc_id", text: s
         stream, folder = stream.option("pathGlobFilter", at.getName()), at.getParent().toString()
     rows = stream.parquet(folder).select(F.col(key), F.sha2(text, 256).alias("hash"))
     out, marks = shared_folder(spark, "stream-out"), shared_folder(spark, "stream-marks")
-    counted = rows.groupBy("hash").agg(F.min(key).alias(key))
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        # a batch that is tried again overwrites itself
+        batch.groupBy("hash").agg(F.min(key).alias(key)).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    run = counted.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    run = rows.writeStream.foreachBatch(put).option("checkpointLocation", marks).trigger(availableNow=True).start()
     run.awaitTermination()
     found = spark.read.schema(f"hash string, {key} {schema[key].dataType.simpleString()}").parquet(f"{out}/batch=*")
     return found.groupBy("hash").agg(F.min(key).alias(key))
