@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import gather, map_arrow
+from .common import gather, map_arrow, worker_table
 
 GPT_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -30,6 +30,8 @@ CHUNKS = regex.compile("[^\t-\r \x85\xa0  -     　]+")
 BLANKS = np.array([i for i in range(0x3001) if not CHUNKS.match(chr(i))], np.uint32)
 #: Entries of a worker's memo of pieces, and characters of the longest that it keeps; when full it starts afresh, so memory is bounded for any corpus.
 MEMO, MEMO_CHARS = 400_000, 64
+#: The same for the encoder, which has three of them.
+CODEC_MEMO = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -192,14 +194,14 @@ class Vocabulary:
 class Memo(dict):
     """Function results by argument, bounded."""
 
-    def __init__(self, function):
+    def __init__(self, function, most: int = MEMO):
         super().__init__()
-        self.function = function
+        self.function, self.most = function, most
 
     def __missing__(self, key):
         value = self.function(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = value
         return value
@@ -330,8 +332,8 @@ class Codec:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.of_first, self.of_next = Memo(self._piece), Memo(lambda p: self._piece(" " + p))
-        self.of_token = Memo(lambda t: np.array(vocab.encode(t.encode().decode("latin-1")), np.uint32).tobytes())
+        self.of_first, self.of_next = Memo(self._piece, CODEC_MEMO), Memo(lambda p: self._piece(" " + p), CODEC_MEMO)
+        self.of_token = Memo(lambda t: np.array(vocab.encode(t.encode().decode("latin-1")), np.uint32).tobytes(), CODEC_MEMO)
         sizes = np.array(vocab.length, np.int64)
         self.table = (np.frombuffer(b"".join(vocab.bytes), np.uint8), np.cumsum(sizes) - sizes, sizes)
         names = [f"{i},".encode() for i in range(len(vocab.bytes))]
@@ -364,15 +366,9 @@ class Codec:
         return gather(data, starts[ids], sizes[ids]).tobytes()[:-1]
 
 
-_LOADED: dict[tuple[str, type], object] = {}
-
-
 def _loaded(text: str, kind: type):
     """A worker builds its tables once for each vocabulary."""
-    key = (hashlib.sha1(text.encode()).hexdigest(), kind)
-    if key not in _LOADED:
-        _LOADED[key] = kind(Vocabulary(text))
-    return _LOADED[key]
+    return worker_table((hashlib.sha1(text.encode()).hexdigest(), kind.__name__), lambda: kind(Vocabulary(text)))
 
 
 def _vocabulary_text(path: str, limit: int = 32 << 20) -> str:
@@ -411,7 +407,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, text: str = "text", key: str
             out, names = [*out, pa.array(tables, pa.list_(pa.int32()))], [*names, "prefix_counts"]
         yield pa.record_batch(out, names=names)
 
-    return map_arrow(docs.select(key, text), run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean, cut long" + ", prefix_counts array<int>" * prefixes)
+    return map_arrow(docs.select(key, text), run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean, cut long" + ", prefix_counts array<int>" * prefixes, tables=True)
 
 
 def encode_decode(docs: DataFrame, vocab_path: str, text: str = "text", key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
@@ -439,4 +435,4 @@ def encode_decode(docs: DataFrame, vocab_path: str, text: str = "text", key: str
             out, names = [*out, pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts)], [*names, "ids", "decoded"]
         yield pa.record_batch(out, names=names)
 
-    return map_arrow(docs.select(key, text), run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids)
+    return map_arrow(docs.select(key, text), run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids, tables=True)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Rows of an Arrow batch: documents can be long, so a batch is kept to a few megabytes.
 BATCH_ROWS = 512
 
@@ -22,14 +23,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir).
-
-    Where the setting is absent, as in tests, a local folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir)."""
+    return shared_folder(spark, what)
 
 
 def written(df: DataFrame, what: str, made: list[str] | None = None) -> DataFrame:
@@ -145,10 +140,23 @@ def hash_words(raw: np.ndarray, word_byte: np.ndarray, offsets: np.ndarray, pref
     return (of(end), np.searchsorted(start, offsets), *(of(np.minimum(start + p, end)) for p in prefixes))
 
 
-def map_arrow(df: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+_TABLES: dict = {}
+
+
+def worker_table(key, make: Callable):
+    """What a worker keeps from task to task: the tables of one operator at a time."""
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = make()
+    return _TABLES[key]
+
+
+def map_arrow(df: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, tables: bool = False) -> DataFrame:
+    """mapInArrow with a function of one batch. Unless it uses such itself, the worker lets go of other operators' tables first."""
 
     def run(batches):
+        if not tables:
+            _TABLES.clear()
         for b in batches:
             if b.num_rows:
                 yield from per_batch(b)

@@ -93,6 +93,17 @@ def test_bpe(frame, texts):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_of_long_pieces_and_odd_keys(spark):
+    """Pieces without a break of 100,000 characters, repeated and null keys, clashing columns, an empty table."""
+    lib, rng = library("byte_bpe_50k.json"), random.Random(3)
+    rows = [(None, "x"), (1, "a" * 100_000), (1, "a" * 100_000), (2, "".join(rng.choices("abcdefghij", k=100_000))), (2, None), (3, "é" * 5_000), (4, "0123456789" * 3_000), (5, "= " * 9_000 + "\n" * 500)]
+    frame = spark.createDataFrame([(k, t, "y") for k, t in rows], "doc_id long, text string, n_tokens string")
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256) for r in bpe.encode_decode(frame, public_tokenizers.path("byte_bpe_50k.json")).collect())
+    ids = [lib.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    assert got == sorted((str(k), len(i), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest()) for (k, _), i in zip(rows, ids, strict=True))
+    assert bpe.encode_decode(frame.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
 def test_bpe_tokens_are_reachable():
     v = bpe.Vocabulary(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
     for i, b in enumerate(v.bytes[:3000]):
