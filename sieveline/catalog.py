@@ -61,7 +61,7 @@ query("normalise_text", f"SELECT doc_id, v FROM ({S.normalised_from(_TEXTS_SQL,
 @query("classify_string", f"SELECT token, count(*) AS n FROM (SELECT {S.classify('v')} AS token FROM ({S.normalised_from(_TEXTS_SQL, 'arg', 'doc_id')}) WHERE v IS NOT NULL) GROUP BY token")
 def classify_string(spark, sf):
     """Classes of the whole texts with their counts."""
-    return texts(spark, sf).select(C.classified("arg").alias("token")).where("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("n"))
+    return texts(spark, sf).where("arg IS NOT NULL").select(C.classified("arg").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 _OP = "(ARRAY" + str(S.OPCODES) + ")[1 + CAST((doc_id // 50) % 11 AS INT)]"
