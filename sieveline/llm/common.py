@@ -86,35 +86,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
+def word_places(raw: np.ndarray, word_byte: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last place (exclusive) of each word in a batch's bytes, and for each text the number of its first word (len + 1).
 
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    if n > 1:
-        out[1:] = np.uint64(base)
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = _POWERS[base] = _powers(base, max(n, 1 << 16))
-    return have[:n]
-
-
-def hash_words(raw: np.ndarray, word_byte: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
-    """64-bit hashes of the words in a batch, and for each text the index of its first word (len + 1).
-
-    raw: bytes of all texts; word_byte: table of 256 booleans; a word never crosses a text's end. For each of prefixes
-    there follow the hashes of the words' first so many bytes (of the whole word, if it's shorter)."""
+    word_byte: table of 256 booleans; a word never crosses a text's end."""
     n = len(raw)
     if n == 0:
-        return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), *[np.zeros(0, np.uint64)] * len(prefixes))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = word_byte[raw]
     starts_text = np.zeros(n + 1, bool)
     starts_text[offsets] = True
@@ -126,18 +104,39 @@ def hash_words(raw: np.ndarray, word_byte: np.ndarray, offsets: np.ndarray, pref
     after[-1] = False
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & (~after | starts_text[1:])) + 1
-    if len(start) == 0:
-        return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), *[np.zeros(0, np.uint64)] * len(prefixes))
-    # sum of (byte + 1) * base^position over the word, moved to position 0 by the inverse power
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=sums[1:])
-    back = powers(_INVERSE, n)[start]
-
-    def of(end: np.ndarray) -> np.ndarray:
-        return mix64(((sums[end] - sums[start]) * back) ^ ((end - start).astype(np.uint64) << np.uint64(40)))
-
-    return (of(end), np.searchsorted(start, offsets), *(of(np.minimum(start + p, end)) for p in prefixes))
+    return start, end, np.searchsorted(start, offsets)
+
+
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def hash_places(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of slices of the bytes. Each eight bytes are mixed together with their place, then summed: unlike a polynomial
+    modulo 2^64, this tells words apart that differ by a pattern of swaps only (Thue-Morse words)."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    lengths = end - start
+    out = mix64((eight[start] & _MASKS[np.minimum(lengths, 8)]) ^ _GOLDEN)
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        more = (lengths[long] - 1) // 8  # further blocks of each word
+        first = np.cumsum(more) - more
+        number = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        at = np.repeat(start[long], more) + 8 * number
+        left = np.minimum(np.repeat(end[long], more) - at, 8)
+        blocks = mix64((eight[at] & _MASKS[left]) ^ mix64((number.astype(np.uint64) + np.uint64(1)) * _GOLDEN))
+        out[long] += np.add.reduceat(blocks, first)
+    return mix64(out ^ (lengths.astype(np.uint64) << np.uint64(40)))
+
+
+def hash_words(raw: np.ndarray, word_byte: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of the words in a batch, and for each text the number of its first word (len + 1). For each of prefixes there
+    follow the hashes of the words' first so many bytes (of the whole word, if it's shorter)."""
+    start, end, first = word_places(raw, word_byte, offsets)
+    return (hash_places(raw, start, end), first, *(hash_places(raw, start, np.minimum(start + p, end)) for p in prefixes))
 
 
 _TABLES: dict = {}
