@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, licenses, quality, sharding, topk, toxicity, warc
+from . import bpe, decontaminate, jaccard, licenses, pii, quality, sharding, spelling, topk, toxicity, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,23 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(_table(spark, sf_dir, "embeddings"), k=5, every=50, levels=256)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(_table(spark, sf_dir, "documents"), least_values=3, confidence=0.5, rounds=3))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"), group=100, most=6)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(_table(spark, sf_dir, "documents"), least_length=6, least_count=5, times=5)
+
+
 def queries() -> dict:
-    own = (op1_token_counts, op2_license_scan, op3_bpe, op4_warc, op5_quality, op6_sharding, op7_jaccard_join, op8_toxicity, op9_decontaminate, op10_exact_topk)
+    own = (
+        op1_token_counts, op2_license_scan, op3_bpe, op4_warc, op5_quality, op6_sharding, op7_jaccard_join, op8_toxicity, op9_decontaminate, op10_exact_topk,
+        op11_pii, op12_prefix_trie, op13_spelling,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -158,5 +173,57 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def _crc_entry(byte: int) -> int:
+    for _ in range(8):
+        byte = byte >> 1 ^ 0xEDB88320 * (byte & 1)
+    return byte
+
+
+def _crc(text: str) -> str:
+    nibble = "(instr('123456789ABCDEF', substr(hex(encode({0})), 2 * x + {1}, 1)))".format
+    byte = f"({nibble(text, 1)} * 16 + {nibble(text, 2)})"
+    return f"xor(list_reduce(list_transform(range(strlen({text})), lambda x: {byte}), lambda c, x: xor(c >> 8, {[_crc_entry(b) for b in range(256)]}[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"
+
+
+OP12_SQL = f"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d FROM conversations WHERE conv_id IS NOT NULL
+), s AS (SELECT conv_id, list(d || ' ' || length(text) ORDER BY turn NULLS FIRST, role, d) AS w FROM o GROUP BY conv_id),
+h AS (SELECT conv_id, w, CAST({_crc("CAST(conv_id AS VARCHAR)")} % 6 AS INTEGER) AS h FROM s),
+r AS (SELECT a.conv_id, list_concat(coalesce(b.w, [])[1 : a.h], a.w[a.h + 1 : len(a.w)]) AS w FROM h a LEFT JOIN s b ON b.conv_id = a.conv_id - a.conv_id % 100),
+m AS (SELECT conv_id, w, unnest(range(len(w) + 1)) AS d FROM r),
+n AS (
+  SELECT array_to_string(w[1 : d], ',') AS node, d AS depth, array_to_string(w[1 : greatest(d - 1, 0)], ',') AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN d = 0 THEN 0 ELSE CAST(split_part(w[d], ' ', 2) AS BIGINT) END) AS chars,
+    sha256(coalesce(string_agg(CASE WHEN len(w) = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM m GROUP BY 1, 2, 3
+), c AS (SELECT p.node, p.depth, count(x.node) AS n_children FROM n p LEFT JOIN n x ON x.above = p.node AND x.depth = p.depth + 1 GROUP BY 1, 2),
+t AS (
+  SELECT a.node, a.depth, sum((b.n_convs - 1) * b.chars) AS saved, count(*) FILTER (k.n_children = 0) AS leaves
+  FROM n a JOIN n b ON b.depth >= a.depth AND (a.depth = 0 OR b.node = a.node OR starts_with(b.node, a.node || ',')) JOIN c k ON k.node = b.node AND k.depth = b.depth GROUP BY 1, 2
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, c.n_children, CAST(t.leaves AS BIGINT) AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN c USING (node, depth) JOIN t USING (node, depth) LEFT JOIN n p ON n.depth > 0 AND p.node = n.above AND p.depth = n.depth - 1
+"""
+
+OP13_SQL = rf"""
+WITH RECURSIVE u AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents
+), g AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS s, w, count(*) AS k FROM u WHERE length(w) >= 6 GROUP BY 1, 2),
+hs AS (SELECT w, k, {_crc("s")} AS h FROM g),
+f AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, k FROM hs),
+c AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM f WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM c),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM p),
+e AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM d a JOIN c b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM d a JOIN c b ON a.rest = b.word
+), q AS (SELECT a AS word, count(*) AS n_near, arg_min(b, {{'n': -n, 'w': encode(b)}}) AS best, max(n) AS most FROM e GROUP BY a),
+x AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n THEN best END AS form, CASE WHEN most >= 5 * n THEN most END AS form_n FROM c LEFT JOIN q USING (word)),
+r AS (SELECT word, word AS root, 0 AS step FROM x UNION ALL SELECT r.word, x.form, step + 1 FROM r JOIN x ON x.word = r.root WHERE x.form IS NOT NULL)
+SELECT x.word, x.form, z.root, x.n, CAST(x.n_near AS BIGINT) AS n_near, x.form_n FROM x JOIN (SELECT word, arg_max(root, step) AS root FROM r GROUP BY word) z ON z.word = x.word
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _op2_sql(), "op4_warc": OP4_SQL, "op6_sharding": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op9_decontaminate": OP9_SQL, "op10_exact_topk": OP10_SQL}
+    return {"op2_license_scan": _op2_sql(), "op4_warc": OP4_SQL, "op6_sharding": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op9_decontaminate": OP9_SQL, "op10_exact_topk": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_spelling": OP13_SQL}
