@@ -45,7 +45,7 @@ def _compiled(path: str, source: str, language: str) -> list[dict]:
         return [{**o, "warnings": []} for o in FRONTENDS[language](path, source).compile()]
     except SyntaxError:
         return [_failed(source, "MALFORMED_SYNTAX")]
-    except (KeyError, RecursionError, ValueError, MemoryError):
+    except Exception:  # whatever a hostile source brings about is its own failure, not the job's
         return [_failed(source, "MALFORMED_FILE")]
 
 

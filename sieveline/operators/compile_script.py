@@ -70,6 +70,15 @@ class ScriptFrontend(Frontend):
         return self.rows()
 
     # ---- tokens ----
+    @property
+    def at(self) -> int:
+        return self._at
+
+    @at.setter
+    def at(self, place: int) -> None:
+        """A source may end within brackets: the place behind them is that of the end then."""
+        self._at = min(place, len(self.tokens) - 1)
+
     @property
     def kind(self) -> str:
         return self.tokens[self.at][0]

@@ -144,14 +144,13 @@ def word_counts(rows: DataFrame, text: str) -> DataFrame:
 def bpe_vocabulary(rows: DataFrame, text: str, size: int, special: list[str]):
     """A tokenizer trained on the exact counts of all words: NFKC, blanks, minimal frequency 2, special tokens whole.
 
-    Texts are split and counted on the executors; the driver holds each distinct word once, so its memory grows with them."""
+    Words are split, counted and merged on the executors; the driver holds pairs of tokens, not words (see bpe_train)."""
     from tokenizers import AddedToken, Tokenizer, models, normalizers, pre_tokenizers
 
     from .bpe_train import merges
 
-    counts = word_counts(rows, text).toArrow()
     special = ["[UNK]", "[PAD]", *special]
-    vocab, pairs = merges(counts.column("word"), counts.column("count").to_numpy(), size, special)
+    vocab, pairs = merges(word_counts(rows, text), size, special)
     tokenizer = Tokenizer(models.BPE(vocab, pairs, unk_token="[UNK]"))
     tokenizer.normalizer, tokenizer.pre_tokenizer = normalizers.NFKC(), pre_tokenizers.Whitespace()
     tokenizer.add_special_tokens([AddedToken(t, special=True, normalized=False) for t in special])

@@ -10,8 +10,8 @@ import re
 
 #: Brackets that stand open at most; the parser takes 200.
 DEPTH = 150
-#: Lines that are given up one by one within a block, before the block is.
-GIVEN_UP = 40
+#: Lines that are given up one by one while the whole block is tried again; a block with more faults is taken apart.
+GIVEN_UP = 8
 
 _TOKEN = re.compile(r'#[^\n]*|(?:[rRuUbBfF]{0,2})("""|\'\'\')(?:\\.|(?!\1)[\s\S])*(?:\1|\Z)|(?:[rRuUbBfF]{0,2})(?:"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?)|[()\[\]{}]|\\\n|\n|;|[^\s#"\'()\[\]{};\\]+|.')
 _CLOSED_BY = {")": "(", "]": "[", "}": "{"}
@@ -109,9 +109,9 @@ def _saved(lines: list[str]) -> list[str]:
     repaired = [modern(x) for x in lines]
     if repaired != lines and parses("\n".join(repaired)):
         return repaired
-    flat = shallow("\n".join(repaired)).split("\n")
-    if flat != repaired and len(flat) == len(lines) and parses("\n".join(flat)):
-        return flat
+    for flat in (spread("\n".join(repaired)).split("\n"), shallow("\n".join(repaired)).split("\n")):
+        if flat != repaired and len(flat) == len(lines) and parses("\n".join(flat)):
+            return flat
     if len(lines) == 1:
         parts = [p for p in _statements(repaired[0]) if p.strip() and parses(p.strip())] if ";" in repaired[0] else []
         return ["; ".join(p.strip() for p in parts)]
@@ -129,7 +129,98 @@ def _saved(lines: list[str]) -> list[str]:
             if out[at] == given:
                 given = ""
             out = [*out[:at], given, *out[at + 1 :]]
-    return out if parses("\n".join(out)) else [""] * len(lines)
+    return out if parses("\n".join(out)) else _apart(repaired)
+
+
+def _margin(line: str) -> int:
+    return len(line) - len(line.lstrip())
+
+
+def _apart(lines: list[str]) -> list[str]:
+    """A block taken apart: what is indented below a line at its margin is saved on its own, and so on; nothing that parses is lost.
+
+    A head that doesn't parse with what it holds becomes a plain one of the same kind, so that its body stays."""
+    heads = [i for i, x in enumerate(lines) if x.strip() and not x[:1].isspace() and not x.startswith("#")]
+    out = list(lines)
+    for a, b in zip(heads, [*heads[1:], len(lines)]):
+        body = lines[a + 1 : b]
+        inner = [i for i, x in enumerate(body) if x.strip()]
+        if not inner:
+            out[a : b] = [*_saved(lines[a : a + 1]), *body]
+            continue
+        indent = body[inner[0]][: min(_margin(body[i]) for i in inner)] or " "
+        kept = _all_saved([x[len(indent) :] if x.strip() else "" for x in body])
+        if not any(_real(x) for x in kept):
+            kept[inner[0]] = "pass"
+        # a string that goes over lines may begin at the margin: parse as it will stand
+        body = [indent + x if x.strip() else x for x in kept]
+        for head in (lines[a], _plain_head(lines[a])):
+            if parses("\n".join([head, *body])):
+                out[a:b] = [head, *body]
+                break
+        else:
+            out[a:b] = ["", *([""] * len(body))] if not parses("\n".join(["if 1:", *body])) else ["if 1:", *body]
+    return _joined(lines, out, heads)
+
+
+def _joined(lines: list[str], out: list[str], heads: list[int]) -> list[str]:
+    """Branches that go on (else, except) keep their words where the whole parses with them; otherwise each stands alone."""
+    with_words = list(out)
+    for a in heads:
+        if _GOES_ON.match(lines[a]) and lines[a].rstrip().endswith(":"):
+            with_words[a] = lines[a]
+    return with_words if parses("\n".join(with_words)) else out
+
+
+def _plain_head(line: str) -> str:
+    if m := re.match(r"(?:async\s+)?def\s+(\w+)", line):
+        return f"def {m[1]}(*args, **kwargs):"
+    if m := re.match(r"class\s+(\w+)", line):
+        return f"class {m[1]}:"
+    return "if 1:"
+
+
+def _real(line: str) -> bool:
+    return bool(line.strip()) and not line.lstrip().startswith("#")
+
+
+def _all_saved(lines: list[str]) -> list[str]:
+    """All blocks of some lines, each saved; of equal length."""
+    out: list[str] = []
+    for a, b in blocks(lines):
+        kept = _saved(lines[a:b])
+        out += [*kept[: b - a], *[""] * (b - a - len(kept))]
+    return out if parses("\n".join(out)) else [x if parses(x) else "" for x in out]
+
+
+def spread(text: str) -> str:
+    """The text with brackets beyond DEPTH moved behind its last line, as statements of their own: nothing is lost but their place.
+
+    Arguments and subscripts follow the name `_` there, as their callee stays where it was."""
+    moved = []
+    while True:
+        depth, cut = 0, None
+        for m in _TOKEN.finditer(text):
+            t = m[0]
+            if t in ("(", "[", "{"):
+                depth += 1
+                if depth == DEPTH + 1 and cut is None:
+                    cut = m.start()
+                    called = bool(re.search(r"[\w)\]}]\s*$", text[max(0, cut - 80) : cut])) and t != "{"
+            elif t in _CLOSED_BY:
+                depth -= 1
+                if cut is not None and depth == DEPTH:
+                    inner = text[cut : m.end()]
+                    plain = "".join(" " if x[0] == "\n" or x[0] == "\\\n" else x[0] for x in _TOKEN.finditer(inner) if x[0][0] != "#")
+                    moved.append(("_" if called else "") + plain)
+                    text = text[:cut] + ("" if called else "0") + "\n" * inner.count("\n") + text[m.end() :]
+                    break
+        else:
+            break
+    done = []
+    for part in moved:
+        done.append(spread(part) if part.count("(") + part.count("[") + part.count("{") > DEPTH else part)
+    return "; ".join([text, *done]) if done else text
 
 
 def _statements(line: str) -> list[str]:
@@ -146,12 +237,7 @@ def _statements(line: str) -> list[str]:
 def recovered(source: str) -> str:
     """The source with as much as can be saved; SyntaxError if that is nothing."""
     lines = re.split(r"\r\n|\r|\n", source.replace("\x0c", " "))
-    out: list[str] = []
-    for a, b in blocks(lines):
-        own = lines[a:b]
-        # a block at the margin that begins with an indent can't parse as it stands
-        kept = _saved(own)
-        out += kept if len(kept) == len(own) else [*kept, *[""] * (len(own) - len(kept))]
+    out = _all_saved(lines)
     text = "\n".join(out)
     if not parses(text) or not any(x.strip() not in ("", "pass") and not x.lstrip().startswith("#") for x in out):
         raise SyntaxError("nothing of the source can be parsed")

@@ -28,8 +28,18 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: it is computed once, and lost executors cost no recomputation."""
+def written(df: DataFrame, what: str, made: list[str] | None = None) -> DataFrame:
+    """df as a table in the shared folder: it is computed once, and lost executors cost no recomputation. The path goes to `made`, for drop_paths()."""
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of intermediate results that nothing reads any more, through the Hadoop file system."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    paths.clear()

@@ -52,3 +52,35 @@ def test_any_source_is_compiled_or_refused():
     assert shallow("(" * 200 + ")" * 200) == "(" * 150 + ")" * 150
     with pytest.raises(SyntaxError):
         recovered("???")
+
+
+@pytest.mark.parametrize("n", [60, 1000])
+def test_any_number_of_bad_lines_hides_nothing(n):
+    assert "LOAD_GLOBAL eval" in ops("class A:\n  def m(self):\n" + "    x = = 3\n" * n + "    return eval(x)\n")
+    # bad lines in a class, an unfinished head behind its method
+    assert "LOAD_ATTR system" in ops("class A:\n" + "  ??? !\n" * n + "  def k(self, y):\n    os.system(y)\n  else\n")
+    # brackets that are never closed, and branches of the old language
+    found = ops("try:\n" + "  foo(\n" * n + "  eval(1)\nexcept E, e:\n  exec 'x'\nelse:\n  k = = 3\n")
+    assert "LOAD_NAME eval" in found and "LOAD_NAME exec" in found
+    found = compile_source("x", "def f(:\n  eval(1)\n" + "??\n" * n + "def g():\n  exec(y)\n", "python")
+    assert {o["name"].split("_")[0] for o in found} >= {"f", "g"}
+
+
+def test_calls_nested_beyond_the_parser_stay():
+    found = ops("x = " + "f(" * 400 + "eval('y')" + ")" * 400 + "\nimport os\n")
+    assert found.count("LOAD_NAME f") == 400 and "LOAD_NAME eval" in found and "IMPORT_NAME os" in found
+    found = ops("x = " + "[g(\n" * 160 + "eval('y')" + ")]" * 160 + "\nimport os\n")
+    assert found.count("LOAD_NAME g") == 160 and "LOAD_NAME eval" in found and "IMPORT_NAME os" in found
+
+
+@pytest.mark.parametrize("source", ["for (a", "function f(", "const {a", "let [a", "class A {", "class A { m(", "switch (x", "for (x of y", "`${a", "x = {", "try {", "=>", "a ? b"])
+def test_unfinished_scripts_are_compiled(source):
+    found = compile_source("x", f"eval(1);\n{source}", "javascript")
+    assert found[0]["warnings"] == [] and any(i["arg"] == "eval" for i in found[0]["instructions"])
+
+
+def test_any_script_is_compiled():
+    r = random.Random(3)
+    parts = "for ( a of [ { } ) ] class A function f switch x case : ; = , => ` ${ ' \" / let const try catch finally if else while do import export from * ... async await new . 1 + ++ label: return yield get set static # @ \n".split(" ")
+    for _ in range(3000):
+        assert compile_source("x", " ".join(r.choice(parts) for _ in range(r.randint(0, 40))), "javascript")[0]["warnings"] == []
