@@ -15,6 +15,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote, unquote
 
 import numpy as np
@@ -28,6 +29,8 @@ from .common import bloom, drop_paths, filter_bits, in_bloom, map_arrow, shared_
 SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 16 << 10
 FILE_RECORDS = 512
+#: Places in which the rows of one digest meet.
+SALTS = 16
 #: Bytes that the reader inflates at a time.
 PIECE_BYTES = 1 << 20
 
@@ -87,20 +90,21 @@ def key_of(identifier: str) -> str | None:
     return unquote(parts[2][1:]) if parts[2].startswith("k") else None
 
 
-def head_fields(key: str | None, own_id: str, url: str, digest: str) -> list[tuple[str, str]]:
+def head_fields(key: str | None, own_id: str, url: str, digest: str, date: str) -> list[tuple[str, str]]:
     # a line break in an address would end the header field
-    return [("WARC-Record-ID", urn(key, own_id)), ("WARC-Target-URI", " ".join(url.split())), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
+    return [("WARC-Record-ID", urn(key, own_id)), ("WARC-Date", date), ("WARC-Target-URI", " ".join(url.split())), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
 
 
-def revisit_record(key: str | None, own_id: str, url: str, digest: str, length: int, refers_to: str) -> bytes:
-    """The record of a page whose payload another page's response holds."""
+def revisit_record(key: str | None, own_id: str, url: str, digest: str, length: int, refers_to: str, date: str) -> bytes:
+    """The record of a page whose payload the response of another page, `refers_to`, holds; its identifier follows from key and digest."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
-    return record([("WARC-Type", "revisit"), *head_fields(key, own_id, url, digest), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", urn(refers_to, "first"))], head)
+    return record([("WARC-Type", "revisit"), *head_fields(key, own_id, url, digest, date), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", urn(refers_to, digest)), ("WARC-Refers-To-Date", date)], head)
 
 
-def response_records(key: str | None, own_id: str, url: str, payload: bytes, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> list[bytes]:
-    """The record of a page, and its continuations."""
-    named = head_fields(key, own_id, url, payload_digest(payload))
+def response_records(key: str | None, url: str, payload: bytes, date: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> list[bytes]:
+    """The record of a page, and its continuations. Key and digest identify it, so that revisits can name it."""
+    own_id = payload_digest(payload)
+    named = head_fields(key, own_id, url, own_id, date)
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
     if len(block) <= segment_bytes:
         return [record([("WARC-Type", "response"), *named], block)]
@@ -108,7 +112,7 @@ def response_records(key: str | None, own_id: str, url: str, payload: bytes, seg
     out = [record([("WARC-Type", "response"), *named, ("WARC-Segment-Number", "1")], parts[0])]
     for number, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", str(len(block)))] if number == len(parts) else []
-        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:part:{own_id}:{number}>"), ("WARC-Segment-Origin-ID", urn(key, own_id)), ("WARC-Segment-Number", str(number)), *last], part))
+        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:part:{urn(key, own_id)[10:-1]}:{number}>"), ("WARC-Date", date), named[2], ("WARC-Segment-Origin-ID", urn(key, own_id)), ("WARC-Segment-Number", str(number)), *last], part))
     return out
 
 
@@ -117,19 +121,21 @@ def inflated(data: bytes, piece: int = PIECE_BYTES) -> Iterator[bytes]:
     if data[:2] != b"\x1f\x8b":
         yield from (data[i : i + piece] for i in range(0, len(data), piece))
         return
-    while data[:2] == b"\x1f\x8b":
-        inflate = zlib.decompressobj(31)
-        part = inflate.decompress(data, piece)
-        while True:
+    # Members are often a few hundred bytes: what is read ahead of a member's end, and read again, starts small.
+    view, at = memoryview(data), 0
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
+        inflate, ahead = zlib.decompressobj(31), 1 << 12
+        while not inflate.eof:
+            source = inflate.unconsumed_tail or view[at : at + ahead]
+            if not inflate.unconsumed_tail:
+                at, ahead = at + len(source), min(2 * ahead, piece)
+            part = inflate.decompress(source, piece)
             if part:
                 yield part
-            if inflate.eof:
-                break
-            if not part and not inflate.unconsumed_tail:
+            elif not len(source) and not inflate.eof:
                 raise ValueError("a gzip member is cut short")
-            part = inflate.decompress(inflate.unconsumed_tail, piece)
-        data = inflate.unused_data
-    if data.strip(b"\x00"):
+        at -= len(inflate.unused_data)
+    if bytes(view[at:]).strip(b"\x00"):
         raise ValueError("bytes that are no gzip member follow")
 
 
@@ -217,15 +223,19 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
     Null html counts as an empty payload. Rows that share the smallest key are all responses; a null key is a response if
     no other row has its payload, else it revisits. Keys may hold any characters. Other columns don't matter. An empty table
-    gives no records. Payloads are written whole, in segments if they are long."""
-    spark, made = pages.sparkSession, []
+    gives no records. Payloads are written whole, in segments if they are long. Files are named *.warc.gz; identifiers of records are
+    unique but for rows that repeat both key and payload."""
+    spark, made, date = pages.sparkSession, [], datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(F.col(key).alias("k"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
     info = rows.select("k", "url", "sha", F.octet_length("payload").cast("long").alias("size"))
     # equal payloads: a task sends on one row for each, however many it meets
     counted = info.where(F.col("size") >= least_bytes).groupBy("sha").agg(F.count("*").alias("n"), F.min("k").alias("first"))
     firsts = counted.where("n > 1 AND first IS NOT NULL").select("sha", "first")
-    again = written(info.join(firsts, "sha").where(~F.col("k").eqNullSafe(F.col("first"))), "warc-revisits", made)
+    # one digest may be that of a third of all pages: its rows meet their first one in SALTS places
+    salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = info.withColumn("salt", F.pmod(F.xxhash64("k", "url"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"]).drop("salt")
+    again = written(met.where(~F.col("k").eqNullSafe(F.col("first"))), "warc-revisits", made)
     own_hash = F.xxhash64("sha", "k")
     bits = filter_bits(again.count())
     revisited = spark.sparkContext.broadcast(bloom(again.select(own_hash.alias("h")), bits))
@@ -249,62 +259,82 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     fetched = maybe.join(mistaken, same(maybe, mistaken), "left_semi")
 
     def responses(batch: pa.RecordBatch):
-        for k, own, at, body in zip(*batch.columns, strict=True):
-            out = [member(r) for r in response_records(k.as_py(), own.as_py(), at.as_py(), body.as_py(), segment_bytes, chunk_bytes)]
+        for k, at, body in zip(*batch.columns, strict=True):
+            out = [member(r) for r in response_records(k.as_py(), at.as_py(), body.as_py(), date, segment_bytes, chunk_bytes)]
             yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
 
     def revisits(batch: pa.RecordBatch):
         out = []
         for k, own, at, sha, size, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            out.append(member(revisit_record(k, own, at, base64.b32encode(bytes.fromhex(sha)).decode(), size, first)))
+            out.append(member(revisit_record(k, own, at, base64.b32encode(bytes.fromhex(sha)).decode(), size, first, date)))
         yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
 
     text = F.col("k").cast("string").alias("k")
-    lines = map_arrow(sure.unionByName(fetched).select(text, F.expr("uuid()").alias("own"), "url", "payload"), responses, "value binary")
+    lines = map_arrow(sure.unionByName(fetched).select(text, "url", "payload"), responses, "value binary")
     lines = lines.unionByName(map_arrow(again.select(text, F.expr("uuid()").alias("own"), "url", "sha", "size", F.col("first").cast("string").alias("first")), revisits, "value binary"))
     lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", file_records).text(path)
+    _rename(spark, path, ".txt", ".warc.gz")
     drop_paths(spark, made)
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+def _rename(spark: SparkSession, path: str, ending: str, to: str) -> None:
+    """Give the files of a folder another ending, through the Hadoop file system."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(ending):
+            fs.rename(status.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(ending) + to))
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = False, made: list[str] | None = None) -> DataFrame:
     """A row for each response and revisit: page, payload_bytes, payload_digest, record_type, refers_to, verified (the digest fits; null for revisits and where none is stated) and, if asked for, payload.
 
-    Reads gzip files of any number of members and plain ones; records of other types are passed over. A page is the key that
-    write_archives() got, or else the record's identifier. A file is held compressed and inflated record by record. Raises
-    where a record, a gzip member or a chunk is cut short or segments are missing."""
+    Reads gzip files of any number of members and plain ones, each in one pass; records of other types are passed over. A page is the
+    key that write_archives() got, or else the record's identifier. A file is held compressed and inflated record by record. Raises
+    where a record, a gzip member or a chunk is cut short or segments are missing. What is read is written to a table whose path goes
+    to `made`, as whole records and segments part ways behind it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > 0).select("content")
-
-    def whole(batch: pa.RecordBatch):
+    nothing = pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary())
+    part_names = ["origin", "number", "total", "digest", "part"]
+
+    def both(results: pa.RecordBatch, part: list | None = None) -> pa.RecordBatch:
+        """Rows of results, or one segment without a result."""
+        if part:
+            columns = [pa.nulls(1, f.type) for f in results.schema] + [pa.array([x], c.type) for x, c in zip(part, nothing)]
+        else:
+            columns = results.columns + [pa.nulls(results.num_rows, c.type) for c in nothing]
+        return pa.record_batch(columns, names=[*results.schema.names, *part_names])
+
+    def records(batch: pa.RecordBatch):
         for content in batch.column(0):
             rows, size = [], 0
             for f, b in parse(content.as_py()):
-                if f["warc-type"] in ("response", "revisit") and "warc-segment-number" not in f:
+                if "warc-segment-number" in f and f["warc-type"] in ("response", "continuation"):
+                    total = f.get("warc-segment-total-length")
+                    yield both(_batch([], payloads), [f.get("warc-segment-origin-id", f["warc-record-id"]), int(f["warc-segment-number"]), int(total) if total else None, f.get("warc-payload-digest"), b])
+                elif f["warc-type"] in ("response", "revisit"):
                     rows.append(_result(f, b))
                     size += len(b) if payloads else 500
                     if size > 4 << 20:
-                        yield _batch(rows, payloads)
+                        yield both(_batch(rows, payloads))
                         rows, size = [], 0
             if rows:
-                yield _batch(rows, payloads)
-
-    def segments(batch: pa.RecordBatch):
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        for content in batch.column(0):
-            for f, b in parse(content.as_py()):
-                if "warc-segment-number" in f and f["warc-type"] in ("response", "continuation"):
-                    total = f.get("warc-segment-total-length")
-                    row = (f.get("warc-segment-origin-id", f["warc-record-id"]), int(f["warc-segment-number"]), int(total) if total else None, f.get("warc-payload-digest"), b)
-                    yield pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["origin", "number", "total", "digest", "part"])
+                yield both(_batch(rows, payloads))
 
     def assemble(batch: pa.RecordBatch):
         for origin, digest, parts in zip(*batch.columns, strict=True):
-            block = reassembled([(p["number"], p["total"], p["part"]) for p in parts.as_py()])
+            found = [(p["number"], p["total"], p["part"]) for p in parts.as_py()]
+            copies = sum(p[0] == 1 for p in found)
+            if copies > 1 and len(set(found)) * copies == len(found):  # repeated rows: the same records, so many times
+                found = list(set(found))
             fields = {"warc-record-id": origin.as_py(), "warc-type": "response", "warc-payload-digest": digest.as_py()}
-            yield _batch([_result(fields, block)], payloads)
+            yield _batch([_result(fields, reassembled(found))] * max(copies, 1), payloads)
 
+    found = written(map_arrow(files, records, f"{RESULT}, origin string, number long, total long, digest string, part binary"), "warc-records", made)
     # a group holds the segments of one page
-    grouped = map_arrow(files, segments, "origin string, number long, total long, digest string, part binary").groupBy("origin").agg(F.max("digest").alias("digest"), F.collect_list(F.struct("number", "total", "part")).alias("parts"))
-    return map_arrow(files, whole, RESULT).unionByName(map_arrow(grouped, assemble, RESULT))
+    grouped = found.where("origin IS NOT NULL").groupBy("origin").agg(F.max("digest").alias("digest"), F.collect_list(F.struct("number", "total", "part")).alias("parts"))
+    return found.where("origin IS NULL").drop(*part_names).unionByName(map_arrow(grouped, assemble, RESULT))
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", least_bytes: int = 0, payloads: bool = False, **options) -> DataFrame:
@@ -312,12 +342,12 @@ def round_trip(pages: DataFrame, key: str = "page_id", least_bytes: int = 0, pay
 
     Without payloads the result is written and the archives are deleted."""
     spark, kind = pages.sparkSession, pages.schema[key].dataType
-    path = shared_dir(spark, "warc")
+    path, made = shared_dir(spark, "warc"), []
     write_archives(pages, path, key=key, least_bytes=least_bytes, **options)
-    back = read_archives(spark, path, payloads)
+    back = read_archives(spark, path, payloads, made)
     back = back.select(F.col("page").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "verified", *["payload"] * payloads)
     if payloads:
         return back
     back = written(back, "warc-result")
-    drop_paths(spark, [path])
+    drop_paths(spark, [path, *made])
     return back

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import pytest
@@ -395,3 +396,26 @@ def test_pipeline(spark):
         assert kept.columns == docs.columns and kept.count() <= docs.count() and kept.join(docs, "doc_id", "left_anti").count() == 0, name
         docs = kept
     assert docs.count() > 50 and corpus_pipeline.encoding_stage(spark, docs, SF).count() == docs.count()
+
+
+def test_records_name_each_other(spark, tmp_path):
+    rows = [(i, f"http://a.b/{i}", "same" if i % 2 else "x" * (100 * i)) for i in range(1, 13)] + [(1, "http://a.b/1", "same"), (8, "http://a.b/8", "x" * 800), (None, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    path = str(tmp_path / "w")
+    warc.write_archives(frame, path, segment_bytes=300)
+    files = sorted(p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-"))
+    assert files and all(p.name.endswith(".warc.gz") for p in files)
+    records = [f for p in files for f, _ in warc.parse(p.read_bytes())]
+    assert all({"warc-type", "warc-record-id", "warc-date", "warc-target-uri", "content-length"} <= f.keys() for f in records)
+    responses = {f["warc-record-id"] for f in records if f["warc-type"] == "response"}
+    assert len([f for f in records if f["warc-type"] == "revisit"]) == 5 and all(f["warc-refers-to"] in responses for f in records if f["warc-type"] == "revisit")
+    assert all(f["warc-segment-origin-id"] in responses for f in records if f["warc-type"] == "continuation")
+    assert warc.read_archives(spark, path).count() == len(rows)
+
+
+def test_many_members_are_read_in_linear_time():
+    head = b"HTTP/1.1 200 OK\r\n\r\n"
+    data = b"".join(warc.member(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{i}>")], head + random.Random(i).randbytes(1500))) for i in range(20_000))
+    began = time.time()
+    assert sum(1 for _ in warc.parse(data)) == 20_000
+    assert time.time() - began < 20
