@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .functions import classify as C
 from .functions import fixed
 from .functions import text as T
-from .operators import dataset, objects, report, scoring, triage, windows
+from .operators import dataset, inference, objects, report, scoring, triage, windows
 from .plans import sql as S
+from .session import shared_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -444,6 +445,29 @@ def special_tokens(spark, sf):
     return dataset.top_tokens(table(spark, sf, "documents"), "text", "doc_id", base, len(base)).select("token", "count")
 
 
+# ---- model results ----
+_LEXICON, _BIAS, _LONGEST = {"the": 0.25, "and": -0.5, "de": 0.125, "la": -0.25, "der": 0.5, "und": -0.125}, 1.0, 60
+
+
+@query(
+    "prediction_status",
+    f"""WITH t AS (SELECT doc_id, text, {_WORDS} AS w FROM documents), x AS (SELECT doc_id, w, len(w) AS n, unnest(range(0, CASE WHEN len(w) <= 512 THEN 1 ELSE len(w) END, 384)) AS a FROM t WHERE len(w) > 0),
+    v AS (SELECT doc_id, n, len(list_filter(w[a + 1 : a + 512], lambda y: length(y) > {_LONGEST})) > 0 AS bad, list_filter(list_transform(w[a + 1 : a + 512], lambda y: CASE y {" ".join(f"WHEN {S.q(k)} THEN {w}" for k, w in _LEXICON.items())} END), lambda y: y IS NOT NULL) AS k FROM x),
+    r AS (SELECT doc_id, any_value(n) AS n, bool_or(bad) AS bad, count(*) FILTER (len(k) > 0) AS scored, max(1 / (1 + exp(-({_BIAS} + list_sum(k))))) FILTER (len(k) > 0) AS p FROM v GROUP BY doc_id),
+    m AS (SELECT t.doc_id, CASE WHEN text IS NULL THEN 'Input_Error_Invalid_Text_Input_Type' WHEN r.doc_id IS NULL THEN 'Input_Error_Empty_After_Tokenization' WHEN bad THEN 'Inference_Err: a token has more than {_LONGEST} characters' WHEN scored = 0 AND n > 512 THEN 'Windowing_Error_No_Results' WHEN scored = 0 THEN 'No_Logits' END AS message, n, scored, p FROM t LEFT JOIN r USING (doc_id))
+    SELECT doc_id, '1.2.3' AS release, CASE WHEN message IS NULL THEN 'success' ELSE 'error' END AS status, message, CASE WHEN message IS NULL THEN CASE WHEN p > 0.5 THEN 'Malicious' ELSE 'Benign' END END AS label, CASE WHEN message IS NULL THEN round(p, 6) END AS p_malicious, CAST(CASE WHEN message IS NULL AND n > 512 THEN scored ELSE 0 END AS INT) AS window_count FROM m
+    UNION ALL SELECT doc_id, '9.9.9', 'error', CASE WHEN text IS NULL THEN 'Input_Error_Invalid_Text_Input_Type' ELSE 'Model_Not_Loaded' END, NULL, NULL, 0 FROM documents""",
+)
+def prediction_status(spark, sf):
+    """The result of every document under two releases: one that a model serves, and one that none does."""
+    store = inference.ModelStore(spark, shared_folder(spark, "models"))
+    store.save("1.2.3", inference.LexiconModel(_LEXICON, _BIAS, _LONGEST))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = [inference.predict(docs, "text", store, release).withColumn("release", F.lit(release)) for release in ("1.2.3", "9.9.9")]
+    p = F.col("prediction")
+    return found[0].unionByName(found[1]).select("doc_id", "release", p["status"].alias("status"), p["message"].alias("message"), p["label"].alias("label"), F.round(p["p_malicious"], 6).alias("p_malicious"), p["window_count"].alias("window_count"))
+
+
 # ---- triage ----
 @query(
     "concat_by_group",
