@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import struct
 import tarfile
 import zipfile
 import zlib
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 
-#: Limits of archive ingest, as archives are untrusted.
-MEMBER_BYTES, ARCHIVE_BYTES = 64 << 20, 1 << 30
+#: Archives are untrusted: all that comes out of one may have so many bytes, or so many times its own, whichever is more. An archive
+#: inside counts as so many bytes at least, which bounds the depth. Members come in pieces of about PIECE_BYTES, cut between lines.
+ARCHIVE_BYTES, ARCHIVE_RATIO, NESTED_BYTES, PIECE_BYTES = 1 << 30, 200, 4 << 20, 16 << 20
 
 
 def with_extension(rows: DataFrame, path: str) -> DataFrame:
@@ -71,67 +73,109 @@ def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"', maxCharsPerColumn=-1, schema="tokens string, hash string, language string, filepath string")
 
 
-def members(name: str, data: bytes, password: bytes | None = None, member_bytes: int = MEMBER_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> Iterator[tuple[str, int, bytes | None]]:
-    """(name, size, content) of the files of a zip, wheel or tar archive, read in memory. Beyond the limits there is no content.
+class Budget:
+    """Bytes that may still come out of an archive."""
 
-    Links, devices and names that leave the archive are passed over."""
-    total = 0
+    def __init__(self, left: int):
+        self.left = left
 
-    def fits(size: int) -> bool:
-        nonlocal total
-        if size > member_bytes or total + size > archive_bytes:
+    def take(self, size: int) -> bool:
+        """Whether so many bytes may come; if so, they are spent."""
+        if size > self.left:
             return False
-        total += size
+        self.left -= size
         return True
 
+
+def members(name: str, data: bytes, password: bytes | None = None, budget: Budget | None = None, member_bytes: int | None = None) -> Iterator[tuple[str, int, object]]:
+    """(name, size, open file) of the files of a zip, wheel or tar archive; None in place of the file beyond the limits. A file is to be read before the next one is asked for.
+
+    A zip's directory tells where its members are; a tar is read as it comes. Links, devices and names that leave the archive are
+    passed over."""
+    budget = budget or Budget(max(ARCHIVE_BYTES, ARCHIVE_RATIO * len(data)))
+
+    def fits(size: int) -> bool:
+        return (member_bytes is None or size <= member_bytes) and budget.take(size)
+
     if name.endswith((".whl", ".zip")):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
                 if not info.is_dir() and safe(info.filename):
-                    yield info.filename, info.file_size, z.read(info, pwd=password) if fits(info.file_size) else None
+                    yield info.filename, info.file_size, z.open(info, pwd=password) if fits(info.file_size) else None
     elif name.endswith((".tgz", ".tar", ".gz", ".bz2", ".xz")) and (".tar" in name or name.endswith(".tgz")):
-        with tarfile.open(fileobj=io.BytesIO(data)) as t:
+        with tarfile.open(fileobj=io.BytesIO(data), mode="r|*") as t:
             for info in t:
                 if info.isfile() and safe(info.name):
-                    yield info.name, info.size, t.extractfile(info).read() if fits(info.size) else None
+                    yield info.name, info.size, t.extractfile(info) if fits(info.size) else None
     elif name.endswith(".gz"):
         import gzip
 
+        # the size isn't stated: it is counted first
+        size, most = 0, budget.left if member_bytes is None else min(budget.left, member_bytes)
         with gzip.open(io.BytesIO(data)) as g:
-            body = g.read(member_bytes + 1)
-        yield name.rsplit("/", 1)[-1].removesuffix(".gz"), len(body), body if fits(len(body)) else None
+            while size <= most and (part := g.read(1 << 20)):
+                size += len(part)
+        yield name.rsplit("/", 1)[-1].removesuffix(".gz"), size, gzip.open(io.BytesIO(data)) if fits(size) else None
     else:
         raise ValueError(f"no archive that is known: {name}")
 
 
+def pieces(file, size: int = PIECE_BYTES) -> Iterator[bytes]:
+    """A file's content in pieces of about a size that end with a line, as far as lines allow; at least one."""
+    held, first = b"", True
+    while part := file.read(size):
+        held += part
+        while len(held) > size:
+            cut = held.rfind(b"\n", 0, size) + 1 or size
+            while cut < len(held) and held[cut] & 0xC0 == 0x80:  # not within a character
+                cut -= 1
+            yield held[:cut]
+            held, first = held[cut:], False
+    if held or first:
+        yield held
+
+
 def safe(name: str) -> bool:
     parts = name.replace("\\", "/").split("/")
     return bool(name) and not name.startswith(("/", "\\")) and ".." not in parts and ":" not in parts[0]
 
 
-def read_archives(spark: SparkSession, folder: str, extensions: list[str] | None = None, nested: int = 2, password: bytes | None = None, refused: bool = False, member_bytes: int = MEMBER_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """path (archive!member), package (the archive's name), extension, size, language, text of the accepted members. Archives inside archives are opened to a depth.
+def read_archives(spark: SparkSession, folder: str, extensions: list[str] | None = None, refused: bool = True, **limits) -> DataFrame:
+    """archive_members() of all files below a folder."""
+    return archive_members(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder), extensions, refused, **limits)
+
 
-    With refused, also warnings, and rows without text for what wasn't read: broken archives (MALFORMED_FILE), and members
-    beyond the limits and archives beyond the depth (PATHOLOGICAL_FILE), so that nothing is hidden behind padding."""
+def archive_members(files: DataFrame, extensions: list[str] | None = None, refused: bool = True, nested: int | None = None, password: bytes | None = None, member_bytes: int | None = None, archive_bytes: int | None = None, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """path (archive!member), package (the archive's name), extension, size, language, text and warnings of the accepted members of archives (path, content).
+
+    Members of any size are read, in pieces of about piece_bytes (a further piece's path ends with # and its number), and archives
+    inside archives at any depth, as long as all of it stays within ARCHIVE_BYTES or ARCHIVE_RATIO times the archive. What isn't read
+    has a row without text and a warning: MALFORMED_FILE for broken archives, PATHOLOGICAL_FILE beyond that, and beyond the limits
+    nested, member_bytes and archive_bytes, if given; so nothing is hidden behind padding. refused=False leaves these rows and the
+    column out."""
     wanted = {e.lower().lstrip(".") for e in (extensions or fixed.LANGUAGES)}
     endings = (".zip", ".whl", ".tgz", ".tar", ".gz", ".tar.bz2", ".tar.xz")
-    broken = (ValueError, OSError, EOFError, zipfile.BadZipFile, tarfile.TarError, RuntimeError, zlib.error)
+    broken = (ValueError, OSError, EOFError, zipfile.BadZipFile, tarfile.TarError, RuntimeError, zlib.error, NotImplementedError, struct.error)
+
+    def extension(inner: str) -> str:
+        last = inner.rsplit("/", 1)[-1]
+        return last.rsplit(".", 1)[-1].lower() if "." in last else ""
 
-    def walk(name: str, data: bytes, depth: int):
+    def walk(name: str, data: bytes, depth: int | None, budget: Budget):
         """(path below, size, content, warning)"""
         try:
-            for inner, size, body in members(name, data, password, member_bytes, archive_bytes):
-                if body is None:
+            for inner, size, file in members(name, data, password, budget, member_bytes):
+                if file is None:
                     yield inner, size, None, "PATHOLOGICAL_FILE"
                 elif inner.endswith(endings):
-                    if not depth:
+                    if depth == 0 or not budget.take(max(NESTED_BYTES - size, 0) if archive_bytes is None else 0):
                         yield inner, size, None, "PATHOLOGICAL_FILE"
                         continue
-                    for below, n, content, warning in walk(inner, body, depth - 1):
+                    for below, n, content, warning in walk(inner, file.read(), None if depth is None else depth - 1, budget):
                         yield f"{inner}!{below}" if below else inner, n, content, warning
-                else:
-                    yield inner, size, body, None
+                elif extension(inner) in wanted:
+                    for number, piece in enumerate(pieces(file, piece_bytes)):
+                        yield f"{inner}#{number}" if number else inner, size, piece, None
         except broken:
             yield "", len(data), None, "MALFORMED_FILE"
 
@@ -139,11 +183,11 @@ def read_archives(spark: SparkSession, folder: str, extensions: list[str] | None
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows, held = [], 0
-                for inner, size, body, warning in walk(path, content.as_py(), nested):
-                    last = inner.rsplit("/", 1)[-1]
-                    ext = last.rsplit(".", 1)[-1].lower() if "." in last else ""
+                data = content.as_py()
+                for inner, size, body, warning in walk(path, data, nested, Budget(max(ARCHIVE_BYTES, ARCHIVE_RATIO * len(data)) if archive_bytes is None else archive_bytes)):
+                    ext = extension(inner.rsplit("#", 1)[0] if body is not None else inner)
                     whole = not inner or inner.endswith(endings)
-                    if (warning and refused and (whole or ext in wanted)) or (not warning and ext in wanted):
+                    if (warning and refused and (whole or ext in wanted)) or not warning:
                         text = body.decode("utf-8", "replace").replace("\x00", "") if body is not None else None
                         rows.append((f"{path}!{inner}" if inner else path, path.rsplit("/", 1)[-1], ext, size, fixed.LANGUAGES.get(ext, "python"), text, [warning] if warning else []))
                         held += len(text or "")
@@ -157,6 +201,5 @@ def read_archives(spark: SparkSession, folder: str, extensions: list[str] | None
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "package", "extension", "size", "language", "text", "warnings"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
-    found = files.mapInArrow(run, "path string, package string, extension string, size long, language string, text string, warnings array<string>")
+    found = files.select("path", "content").mapInArrow(run, "path string, package string, extension string, size long, language string, text string, warnings array<string>")
     return found if refused else found.drop("warnings")

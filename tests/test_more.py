@@ -28,12 +28,54 @@ def test_refused_members_have_rows(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "p.zip").write_bytes(zipped({"big.py": "#" * 3001, "ok.py": "eval('1')", "pad.txt": " " * 2900, "late.py": "#" * 1500, "deep.zip": nested, "bad.zip": b"nothing"}))
     (tmp_path / "in" / "broken.whl").write_bytes(b"nothing")
-    rows = {r.path.rsplit("/", 1)[-1]: (r.text, r.warnings) for r in sources.read_archives(spark, str(tmp_path / "in"), refused=True, member_bytes=3000, archive_bytes=4000).collect()}
+    rows = {r.path.rsplit("/", 1)[-1]: (r.text, r.warnings) for r in sources.read_archives(spark, str(tmp_path / "in"), refused=True, nested=2, member_bytes=3000, archive_bytes=4000).collect()}
     assert rows["p.zip!ok.py"] == ("eval('1')", []) and rows["broken.whl"] == rows["p.zip!bad.zip"] == (None, ["MALFORMED_FILE"])
     assert rows["p.zip!big.py"] == rows["p.zip!late.py"] == (None, ["PATHOLOGICAL_FILE"]) and [w for p, w in rows.items() if p.endswith("l2.zip")] == [(None, ["PATHOLOGICAL_FILE"])]
     _, found = jobs.scan(spark, str(tmp_path / "in"), archives=True)
     tokens = {r.file_path.rsplit("/", 1)[-1]: r.tokens for r in found.collect()}
-    assert [t for p, t in tokens.items() if p.endswith("l2.zip")] == [["PATHOLOGICAL_FILE", "MALFORMED_FILE"]] and tokens["broken.whl"] == ["MALFORMED_FILE", "MALFORMED_FILE"] and "DYNAMIC_CODE_EXECUTION" in tokens["p.zip!ok.py"]
+    # without limits of the caller's own, archives are read at any depth
+    assert [p for p in tokens if p.endswith("l1.zip!x.py")] and not any("PATHOLOGICAL_FILE" in t for t in tokens.values()) and tokens["broken.whl"] == ["MALFORMED_FILE", "MALFORMED_FILE"] and "DYNAMIC_CODE_EXECUTION" in tokens["p.zip!ok.py"]
+
+
+def test_large_and_deep_members_are_read(spark, tmp_path):
+    """A member of 200 MB comes in pieces that end with lines; archives at depth 5 are opened; a bomb is refused, not followed."""
+    import gzip
+    import tarfile
+
+    nested = b"x = 1\n"
+    for level in range(5):
+        nested = zipped({f"l{level}.zip" if level else "deep.py": nested})
+    line = b"print('abc')  # " + bytes(97 + i % 26 for i in range(180)) + b" \xc3\xa9\n"
+    big = line * ((200 << 20) // len(line)) + b"eval('last')"
+    folder = tmp_path / "in"
+    folder.mkdir()
+    with zipfile.ZipFile(folder / "a.zip", "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        z.writestr("big.py", big)
+        z.writestr("nested.zip", nested)
+    with tarfile.open(folder / "b.tar.gz", "w:gz") as t:
+        for name, body in (("one.py", b"a\n" * 30), ("two.js", b""), ("skip.txt", b"x")):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            t.addfile(info, io.BytesIO(body))
+    bomb = gzip.compress(b"0" * 50_000_000)
+    for _ in range(2):
+        bomb = zipped({f"{i}.py.gz": bomb for i in range(40)}) if len(bomb) < 1 << 20 else bomb
+    (folder / "bomb.zip").write_bytes(zipped({"all.zip": bomb}))
+    rows = sources.read_archives(spark, str(folder)).select("path", "warnings", F.length("text").alias("n"), F.right(F.col("text"), F.lit(12)).alias("tail")).collect()
+    by = {r.path.rsplit("/", 1)[-1]: r for r in rows}
+    parts = [r for p, r in by.items() if p.startswith("a.zip!big.py")]
+    assert len(parts) > 10 and sum(r.n for r in parts) == len(big.decode()) and sum(r.tail == "eval('last')" for r in parts) == 1 and all(r.tail.endswith(("\n", "eval('last')")) for r in parts)
+    assert sum(p.endswith("l1.zip!l0.zip!deep.py") or p.endswith("!deep.py") for p in by) == 1
+    assert by["b.tar.gz!one.py"].n == 60 and by["b.tar.gz!two.js"].n == 0 and "b.tar.gz!skip.txt" not in by
+    assert any(r.warnings == ["PATHOLOGICAL_FILE"] for p, r in by.items() if p.startswith("bomb.zip")) and sum(r.n or 0 for p, r in by.items() if p.startswith("bomb.zip")) <= 1 << 30
+
+
+def test_pieces_keep_lines_and_characters():
+    from sieveline.sources.files import pieces
+
+    for data in (b"", b"ab\ncd\n", "é".encode() * 50, b"x" * 33 + b"\n" + b"y" * 9, b"\n" * 25):
+        got = list(pieces(io.BytesIO(data), 10))
+        assert b"".join(got) == data and len(got) >= 1 and all(p.decode() is not None and len(p) <= 20 for p in got)
 
 
 def test_dictionary(spark, tmp_path):

@@ -168,7 +168,7 @@ def test_archives(spark, tmp_path):
         z.writestr("in.zip", inner.getvalue())
         z.writestr("r.txt", "no")
     (tmp_path / "broken.zip").write_bytes(b"nothing")
-    got = {(r.path.rsplit("/", 1)[-1], r.text) for r in sources.read_archives(spark, str(tmp_path)).collect()}
+    got = {(r.path.rsplit("/", 1)[-1], r.text) for r in sources.read_archives(spark, str(tmp_path), refused=False).collect()}
     assert got == {("p.whl!m.py", "x = 1"), ("p.whl!in.zip!deep.py", "y = 2")}
 
 
