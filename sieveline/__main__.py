@@ -1,4 +1,4 @@
-"""python -m sieveline scan PATH | batch PATH | archives PATH | preprocess BENIGN MALICIOUS OUT | train TABLE | triage PATH"""
+"""python -m sieveline scan PATH | batch PATH | archives PATH | package NAME [VERSION] | preprocess BENIGN MALICIOUS OUT | train TABLE | triage PATH"""
 
 from __future__ import annotations
 
@@ -31,6 +31,9 @@ def main(argv: list[str] | None = None) -> int:
         if name == "scan":
             s.add_argument("--move", metavar="FOLDER", help="copy files with findings there")
         s.add_argument("--format", default="demo", choices=["demo", "markdown", "json", "yaml", "tokens", "code"])
+    s = sub.add_parser("package", help="scan a package of an index")
+    s.add_argument("name"), s.add_argument("version", nargs="?"), s.add_argument("--address", default="https://pypi.org/pypi/{name}/json")
+    s.add_argument("--threshold", type=float, default=0.7), s.add_argument("--save"), s.add_argument("--quiet", action="store_true", help="print nothing")
     s = sub.add_parser("preprocess")
     s.add_argument("benign"), s.add_argument("malicious"), s.add_argument("out")
     s = sub.add_parser("train")
@@ -61,6 +64,19 @@ def main(argv: list[str] | None = None) -> int:
             found.write.mode("overwrite").parquet(a.save)
         for row in [] if a.save or a.quiet else found.orderBy("package").toLocalIterator():
             print(row["package"], row["verdict"], row["flagged"], row["objects"], f"{row['confidence']:.2f}", sep="\t")
+    elif a.command == "package":
+        from .operators import report
+
+        downloads, objects = jobs.scan_packages(spark, a.address, [a.name], a.version, threshold=a.threshold)
+        found = report.package_verdict(objects, "package", "score", a.threshold)
+        missing = [r for r in downloads.where("status <> 'ok'").toLocalIterator()]
+        if a.save:
+            found.write.mode("overwrite").parquet(a.save)
+        for row in [] if a.save or a.quiet else found.toLocalIterator():
+            print(row["package"], row["verdict"], row["flagged"], row["objects"], f"{row['confidence']:.2f}", sep="\t")
+        for row in missing:
+            print(row["name"], row["status"], row["message"] or "", sep="\t", file=sys.stderr)
+        return int(bool(missing))
     elif a.command == "preprocess":
         jobs.preprocess(read_files(spark, a.benign), read_files(spark, a.malicious), a.out)
     elif a.command == "triage":

@@ -13,7 +13,9 @@ from ..functions import fixed
 from ..operators import dataset, objects, report, scoring, triage, windows
 from ..operators.compile import compile_files
 from ..operators.render import Report
+from ..session import written
 from ..sources import files as sources
+from ..sources import packages
 
 
 def compiled(files: DataFrame, functions=None, imports=None) -> DataFrame:
@@ -44,6 +46,21 @@ def scan(spark: SparkSession, folder: str, extensions: list[str] | None = None,
     return files, found.withColumn("activities", report.object_activities(F.col("tokens"), F.col("language"))).withColumn("flagged", report.flagged(F.col("score"), threshold))
 
 
+def scan_packages(spark: SparkSession, address: str, names: list[str], version: str | None = None, extensions: list[str] | None = None, threshold: float = fixed.THRESHOLD, scorer=None, functions=None, imports=None, **options) -> tuple[DataFrame, DataFrame]:
+    """(downloads, scored objects) of packages of an index, as one job: metadata, archives, members, objects. The package of an object is its name in the index.
+
+    Packages that aren't there and downloads that fail are in the first table, with a status or message; they have no objects."""
+    found = packages.package_releases(spark, address, names, version, **options)
+    content = written(packages.fetch_archives(found), "downloads")
+    files = sources.archive_members(content.where("content IS NOT NULL"), extensions)
+    of = content.select(F.col("path").alias("package"), F.col("name").alias("__name")).dropDuplicates(["package"])
+    files = files.join(of, "package").drop("package").withColumnRenamed("__name", "package").withColumn("accepted", F.lit(True))
+    objects_ = score_objects(compiled(files, functions, imports), scorer, functions=functions).withColumn("flagged", report.flagged(F.col("score"), threshold))
+    downloads = found.select("name", "version", "filename", "status", F.col("message").alias("__m")).join(content.select(F.col("path").alias("filename"), F.col("name"), F.col("message").alias("__d")), ["name", "filename"], "left")
+    failed = F.col("__d").isNotNull()
+    return downloads.select("name", "version", "filename", F.when(failed, "failed").otherwise(F.col("status")).alias("status"), F.coalesce("__d", "__m").alias("message")), objects_
+
+
 def scan_report(spark: SparkSession, folder: str, extensions: list[str] | None = None, threshold: float = fixed.THRESHOLD, scorer=None, on_finding: Callable[[dict], None] | None = None, functions=None, imports=None) -> Report:
     """The report of one package, which fits on the driver: that is a person's reading."""
     began, start = time.time(), datetime.now().isoformat()
