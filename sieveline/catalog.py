@@ -14,7 +14,7 @@ from .functions import fixed
 from .functions import text as T
 from .operators import dataset, inference, objects, report, scoring, triage, windows
 from .plans import sql as S
-from .session import shared_folder
+from .session import shared_folder, spread
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark, sf_dir) -> DataFrame:
     """The whole text of every document as an argument."""
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("arg"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("arg")))
 
 
 _TEXTS_SQL = "(SELECT doc_id, source, text AS arg FROM documents)"
@@ -176,7 +176,7 @@ _OBJ_SQL = f"""(SELECT doc_id, source, path, size, v1, v2, CASE WHEN path IN ('s
 
 
 def code_objects(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "source", "n_chars", "text"))
     name = F.when(F.col("doc_id") % 3 == 0, "eval").when(F.col("doc_id") % 3 == 1, "requests").otherwise("foo")
     ins = lambda op, arg: F.struct(F.lit(op).alias("opcode"), F.lit("str").alias("arg_kind"), arg.alias("arg"), F.lit("python").alias("language"), F.expr("cast(array() as array<struct<kind:string,text:string>>)").alias("items"))
     return d.select(
@@ -547,7 +547,7 @@ def compile_objects(spark, sf):
     # each text as a literal in both languages, and as a source of its own, mostly of broken syntax
     kinds = [("py", "python", python), ("js", "javascript", script), ("text.py", "python", text), ("text.js", "javascript", text)]
     each = F.explode(F.array(*[F.struct(F.concat(path, F.lit(f".{end}")).alias("path"), F.lit(lang).alias("language"), code.alias("content")) for end, lang, code in kinds]))
-    files = table(spark, sf, "documents").select(each.alias("f")).select("f.*")
+    files = spread(table(spark, sf, "documents").select("doc_id", "text")).select(each.alias("f")).select("f.*")
     out = objects.with_tokens(compile_files(files))
     return out.select("file_path", "name", F.size("instructions").alias("n"), "token_string", "hash")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,12 +9,18 @@ from . import fixed
 from . import text as T
 
 
+def _name(c: Column) -> Column:
+    """A short plain name that is its own token. Most arguments are: all other tests need a dot, a slash, a colon or a digit in front, so these three decide."""
+    return c.rlike(r"^[A-Za-z_][A-Za-z0-9_]*\z") & (F.length(c) <= fixed.LITERAL_LENGTH) & ~c.isin(fixed.SENSITIVE) & ~c.rlike(rf"(?i)^(?:{'|'.join(n for n in fixed.LOCAL_NAMES if n.isalnum())})") & ~T.is_encoding(c)
+
+
 def classify_string(c: Column | str) -> Column:
     """Token of a normalised string: what it is, or itself if short, with a size bucket if long."""
     c = F.col(c) if isinstance(c, str) else c
     kind = F.when(T.is_bash(c), "STRING_BASH").when(T.is_sql(c), "STRING_SQL").when(T.is_code(c), "STRING_CODE").when(T.is_hex(c), "STRING_HEX").when(T.is_base64(c), "STRING_BASE64").otherwise("STRING")
     return (
-        F.when(c.isin(fixed.SENSITIVE), "STRING_SENSITIVE_FILE_PATH")
+        F.when(_name(c), c)
+        .when(c.isin(fixed.SENSITIVE), "STRING_SENSITIVE_FILE_PATH")
         .when(T.is_localhost(c), "STRING_LOCALHOST")
         .when(T.is_ip(c), "STRING_IP")
         .when(T.is_url(c), "STRING_URL")
@@ -36,7 +40,9 @@ def classified(arg: Column | str) -> Column:
 
 def _lookup(tables: dict[str, dict[str, str]], language: Column, name: Column) -> Column:
     flat = {f"{lang}\x00{k}": v for lang, table in tables.items() for k, v in table.items()}
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(flat.items())])[F.concat(language, F.lit("\x00"), name)] if flat else F.lit(None).cast("string")
+    # one literal, folded to a map once; the table goes to the JVM in one call
+    known = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in flat.items())), F.lit("\x01"), F.lit("\x02"))
+    return known[F.concat(language, F.lit("\x00"), name)] if flat else F.lit(None).cast("string")
 
 
 def falsy(kind: Column, arg: Column) -> Column:

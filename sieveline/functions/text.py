@@ -34,6 +34,11 @@ def _holds(c: Column, marks) -> Column:
     return _any(c.contains(m) for m in marks)
 
 
+def among(c: Column, values) -> Column:
+    """c.isin(values) for a long list: the list goes to the JVM as one literal, not element by element."""
+    return F.array_contains(F.split(F.lit("\x01".join(values)), "\x01"), c)
+
+
 def bound(value: Column, f) -> Column:
     """f of a value that is computed once: a name in the tests that f makes of it, where the expression would be evaluated again by each."""
     return F.transform(F.array(value), f)[0]
@@ -61,7 +66,7 @@ def is_encoding(c) -> Column:
         name = F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9.]+", "_"), r"^_+|_+\z", "")
         # a name's letters and digits are few, so most texts need no normalising
         few = low.rlike(rf"^(?:[^a-z0-9.]*+[a-z0-9.]){{0,{_CODEC_LETTERS}}}[^a-z0-9.]*+\z")
-        return few & bound(name, lambda n: n.isin(fixed.ENCODINGS) | (n.contains(".") & F.translate(n, ".", "_").isin(fixed.ENCODINGS)))
+        return few & bound(name, lambda n: among(n, fixed.ENCODINGS) | (n.contains(".") & among(F.translate(n, ".", "_"), fixed.ENCODINGS)))
 
     return _sure(bound(F.lower(_c(c)), known))
 

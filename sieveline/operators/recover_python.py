@@ -53,9 +53,11 @@ def modern(line: str) -> str:
         strings.append(text)
         return f"{_HIDDEN}{len(strings) - 1}{_HIDDEN}"
 
-    out = _TOKEN.sub(hide, line)
+    out = _TOKEN.sub(hide, line) if any(c in line for c in "'\"#\x01") else line
     for pattern, by in _LEGACY:
         out = pattern.sub(by, out)
+    if not strings:
+        return out
     return re.sub(f"{_HIDDEN}(\\d+){_HIDDEN}", lambda m: strings[int(m[1])], out)
 
 
@@ -109,7 +111,9 @@ def _saved(lines: list[str]) -> list[str]:
     repaired = [modern(x) for x in lines]
     if repaired != lines and parses("\n".join(repaired)):
         return repaired
-    for flat in (spread("\n".join(repaired)).split("\n"), shallow("\n".join(repaired)).split("\n")):
+    text = "\n".join(repaired)
+    for flatten in (spread, shallow) if text.count("(") + text.count("[") + text.count("{") > DEPTH else ():
+        flat = flatten(text).split("\n")
         if flat != repaired and len(flat) == len(lines) and parses("\n".join(flat)):
             return flat
     if len(lines) == 1:

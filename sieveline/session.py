@@ -15,6 +15,19 @@ def session(name: str = "sieveline", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+#: Bytes of files for each core up to which rows are dealt anew: beyond, files have splits enough.
+SMALL_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if its files are too few or small for that: work on each row that takes long would be one task's else.
+
+    Large inputs stay as they are; what decides is the optimiser's estimate, so nothing is read for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL_BYTES * cores else df
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
 
