@@ -1,11 +1,17 @@
-"""Reports as text, rendered on the driver from the small aggregates of one package."""
+"""Reports as text: of one package on the driver, or of any number, each where its rows are."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..functions import fixed
+from .objects import display_code
 
 _MARKS = {"malicious": "\U0001f479", "suspicious": "⚠️", "good": "\U0001f7e2"}
 
@@ -119,6 +125,50 @@ class Report:
         return "\n".join(out)
 
 
+def render_packages(files: DataFrame, objects: DataFrame, threshold: float = fixed.THRESHOLD, form: str = "json", target: str = "") -> DataFrame:
+    """package, result and text of the report of each package of files (package, path, accepted) and objects (package, file_path, name,
+    score, source_code, instructions, token_string, hash, embedding_count, language, activities, start).
+
+    The rows of both, sorted by package within the partitions, go by once: a task holds one package, and of that only what the report
+    shows (of objects that aren't flagged no code, unless the form shows sources). Nothing is gathered into one row."""
+    code = display_code(F.col("source_code"), F.col("instructions"))
+    shown = F.lit(True) if form in ("code", "tokens") else F.coalesce(F.col("score") > threshold, F.lit(False))
+    only = lambda c, name: F.when(shown, c).alias(name)
+    fields = "path string, name string, score double, code string, tokens string, hash string, embedding_count long, language string, activities array<string>, source string, start int"
+    of = objects.select(
+        "package", F.lit(1).alias("kind"), F.lit(None).cast("boolean").alias("accepted"), F.col("file_path").alias("path"), "name", F.col("score").cast("double").alias("score"), only(code, "code"), only(F.col("token_string"), "tokens"), only(F.col("hash"), "hash"),
+        F.col("embedding_count").cast("long").alias("embedding_count"), "language", only(F.col("activities"), "activities"), only(F.col("source_code"), "source"), F.col("start").cast("int").alias("start"),
+    )
+    names = [f.split()[0] for f in fields.split(", ")]
+    none = [F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in fields.split(", ")[1:]]
+    rows = files.select("package", F.lit(0).alias("kind"), "accepted", "path", *none).unionByName(of).repartition("package").sortWithinPartitions("package", "kind", "path", "start", "name")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        now, listed, skipped, items = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            r = Report(f"{target.rstrip('/')}/{now}" if target else str(now), threshold, listed, skipped, items)
+            return pa.record_batch([pa.array([now], pa.string()), pa.array([r.result]), pa.array([r.render(form)])], names=["package", "result", "text"])
+
+        begun = False
+        for b in batches:
+            for row in b.to_pylist():
+                package, kind, accepted = row.pop("package"), row.pop("kind"), row.pop("accepted")
+                if not begun or package != now:
+                    if begun:
+                        yield done()
+                    begun, now, listed, skipped, items = True, package, [], [], []
+                if kind:
+                    items.append({k: row[k] for k in names})
+                else:
+                    listed.append(row["path"])
+                    skipped += [] if accepted else [row["path"]]
+        if begun:
+            yield done()
+
+    return rows.mapInArrow(run, "package string, result string, text string")
+
+
 def _suffix(path: str) -> str:
     name = path.rsplit("/", 1)[-1]
     return name.rsplit(".", 1)[-1].lower() if "." in name[1:] else ""

@@ -33,6 +33,31 @@ def concat_by_group(files: DataFrame, group: str, path: str, text: str) -> DataF
     return files.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(path).alias("p"), part.alias("t")))).alias("__p")).select(group, F.array_join(F.transform("__p", lambda s: s["t"]), "").alias("text"))
 
 
+def prompt_parts(files: DataFrame, group: str, path: str, text: str, budget: int) -> DataFrame:
+    """group, part, text: each group's cleaned files in order of the paths, under headings, in parts of at most `budget` characters of
+    files. A file that doesn't fit goes on in the next part under a heading of its own, so a folder of any size has no large row.
+
+    Only paths and lengths are put in order for a group; texts are cut where they are and meet part by part."""
+    cleaned = clean(F.coalesce(F.col(text), F.lit("")))
+    sizes = files.select(F.col(group).alias("g"), F.col(path).alias("p"), F.length(cleaned).cast("long").alias("n"), F.xxhash64(text).alias("h"))
+    before = F.sum("n").over(Window.partitionBy("g").orderBy("p", "h", "n").rowsBetween(Window.unboundedPreceding, -1))
+    # rows that are repeated stand one behind the other: their texts are the same, so it doesn't matter which is which
+    number = F.row_number().over(Window.partitionBy("g", "p", "h").orderBy("n"))
+    placed = sizes.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).withColumn("i", number)
+    own = files.select(F.col(group).alias("g"), F.col(path).alias("p"), cleaned.alias("t"), F.xxhash64(text).alias("h"))
+    own = own.withColumn("i", F.row_number().over(Window.partitionBy("g", "p", "h").orderBy(F.length("t"))))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("g", "p", "h", "i")]
+    rows = own.alias("a").join(placed.alias("b"), same).select("a.g", "a.p", "a.t", "b.before", "b.n", "b.i")
+    first, last = F.floor(F.col("before") / budget), F.floor((F.col("before") + F.greatest(F.col("n") - 1, F.lit(0))) / budget)
+    pieces = rows.select("*", F.explode(F.sequence(first, last)).alias("part"))
+    begin = F.greatest(F.col("part") * budget, F.col("before"))
+    end = F.least((F.col("part") + 1) * budget, F.col("before") + F.col("n"))
+    piece = F.substring(F.col("t"), (begin - F.col("before") + 1).cast("int"), (end - begin).cast("int"))
+    head = F.concat(F.lit("\n### FILE: "), F.coalesce("g", F.lit("")), F.lit("/"), F.coalesce("p", F.lit("")), F.when(begin > F.col("before"), " (continued)").otherwise(""), F.lit("\n"))
+    each = pieces.select("g", "part", F.struct("before", "p", "i", F.concat(head, piece, F.lit("\n")).alias("t")).alias("x"))
+    return each.groupBy("g", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "").alias("text")).select(F.col("g").alias(group), F.col("part").cast("long").alias("part"), "text")
+
+
 def severity_rollup(decisions: DataFrame, group: str, decision: str, reason: str, order: str) -> DataFrame:
     """group, decision (the severest; a missing one is suspicious), reasoning: the first three reasons of that severity and how many more."""
     d = F.coalesce(F.col(decision), F.lit("suspicious"))

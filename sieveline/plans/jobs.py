@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import dataset, objects, report, scoring, triage, windows
 from ..operators.compile import compile_files
-from ..operators.render import Report
+from ..operators.render import Report, render_packages
 from ..session import written
 from ..sources import files as sources
 from ..sources import packages
@@ -82,6 +82,22 @@ def batch_verdicts(spark: SparkSession, folder: str, **options) -> DataFrame:
     return report.package_verdict(found, "package", "score", threshold)
 
 
+def batch_reports(spark: SparkSession, folder: str, out: str, form: str = "json", skip_existing: bool = True, **options) -> DataFrame:
+    """Reports of all packages below a folder, as one job: a file for each, in `out`/package=NAME. Rows of what was written: package, result.
+
+    Packages that have a report already are passed over before anything of theirs is read, if skip_existing."""
+    threshold = options.get("threshold", fixed.THRESHOLD)
+    files = sources.read_files(spark, folder, options.get("extensions"))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    if skip_existing and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        files = files.join(spark.read.text(out).select(F.col("package").cast("string").alias("package")).distinct(), "package", "left_anti")
+    found = score_objects(compiled(files, options.get("functions"), options.get("imports")), options.get("scorer"), functions=options.get("functions"))
+    found = found.withColumn("activities", report.object_activities(F.col("tokens"), F.col("language")))
+    reports = written(render_packages(files, found, threshold, form, folder), "reports")
+    reports.select("package", F.col("text").alias("value")).write.mode("append").partitionBy("package").option("lineSep", "\n").text(out)
+    return reports.select("package", "result")
+
+
 def training_rows(files: DataFrame) -> DataFrame:
     """tokens, hash, language, filepath of all objects; without instructions the tokens are empty."""
     return compiled(files).select(F.col("text").alias("tokens"), "hash", "language", F.col("file_path").alias("filepath"))
@@ -103,9 +119,12 @@ def train(rows: DataFrame, ratio: float = 60.0, **options):
     return model, scoring.binary_metrics(model.transform(each.where("is_test")), "label", "prediction")
 
 
-def triage_folders(files: DataFrame, judge: Callable[[list[str]], list[str]], strategy: str = "concat", threshold: float = fixed.THRESHOLD) -> DataFrame:
-    """package, decision, reasoning. concat: one verdict on all of a folder's files; single: one for each file, rolled up; smart:
+def triage_folders(files: DataFrame, judge: Callable[[list[str]], list[str]], strategy: str = "concat", threshold: float = fixed.THRESHOLD, budget: int | None = None) -> DataFrame:
+    """package, decision, reasoning. concat: one verdict on all of a folder's files, or, with a budget, the severest of the verdicts on parts of so many characters; single: one for each file, rolled up; smart:
     one verdict on the extracts, which are the sources of a folder's flagged objects (folders without any are benign)."""
+    if strategy == "concat" and budget:
+        parts = triage.decide(triage.prompt_parts(files, "package", "path", "text", budget), "text", judge)
+        return triage.severity_rollup(parts.withColumn("at", F.concat(F.lit("part "), F.col("part") + 1)), "package", "decision", "at", "part")
     if strategy == "concat":
         return triage.decide(triage.concat_by_group(files, "package", "path", "text"), "text", judge).select("package", "decision", F.lit("").alias("reasoning"))
     if strategy == "smart":

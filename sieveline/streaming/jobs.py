@@ -40,3 +40,48 @@ def dedupe_stream(rows: DataFrame, hash_column: str, event_time: str, within: st
 def verdict_stream(rows: DataFrame, event_time: str, package: str, score: str, threshold: float, window: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Flagged objects by package and window of event time."""
     return rows.withWatermark(event_time, late).groupBy(F.window(event_time, window), package).agg(F.count("*").alias("objects"), F.sum((F.col(score) > threshold).cast("long")).alias("flagged"))
+
+
+VERDICT = "package string, files long, flagged long, verdict string, amended boolean"
+
+
+def findings_stream(files: DataFrame, package: str = "package", path: str = "path", flagged: str = "flagged", total: str = "total", event_time: str = "ts", wait: str = "10 minutes", quiet_seconds: int = 600, keep_seconds: int = 86_400) -> DataFrame:
+    """A verdict (VERDICT) for each package of a stream of scanned files (package, path, flagged objects, files in the package, time).
+
+    It is sent once: when all files of the package are in, or when event time has passed the last one by quiet_seconds. A file that
+    comes later amends it, if it changes the verdict. A file that comes twice counts once. keep_seconds after its last file a package
+    is forgotten."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, batches, state):
+        seen, n, bad, due, sent, last = state.get if state.exists else ([], 0, 0, 0, "", 0)
+        out = []
+        if state.hasTimedOut:
+            if sent:
+                state.remove()
+                return
+            sent = "malicious" if bad else "good"
+            out.append((key[0], n, bad, sent, False))
+        else:
+            known = set(seen)
+            for rows in batches:
+                for p, f, t, at in zip(rows["p"], rows["f"], rows["t"], rows["at"]):
+                    last, due = max(last, int(at)), max(due, int(t))
+                    if p not in known:
+                        known.add(p)
+                        n, bad = n + 1, bad + int(f)
+            seen = list(known)
+            now = "malicious" if bad else "good"
+            if sent and now != sent or not sent and n >= due > 0:
+                out.append((key[0], n, bad, now, bool(sent)))
+                sent = now
+        state.update((seen, n, bad, due, sent, last))
+        state.setTimeoutTimestamp(max((last + (keep_seconds if sent else quiet_seconds)) * 1000, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["package", "files", "flagged", "verdict", "amended"])
+
+    rows = files.withWatermark(event_time, wait).select(
+        F.col(package).alias("k"), F.xxhash64(path).alias("p"), F.coalesce(F.col(flagged).cast("long"), F.lit(0)).alias("f"), F.coalesce(F.col(total).cast("long"), F.lit(0)).alias("t"), F.unix_seconds(event_time).alias("at"), event_time
+    )
+    return rows.groupBy("k").applyInPandasWithState(step, VERDICT, "seen array<bigint>, n long, bad long, due long, sent string, last long", "append", GroupStateTimeout.EventTimeTimeout)
