@@ -1,6 +1,7 @@
 """Exact top-k inner products on a bit-sliced index.
 
-Each block of rows keeps, for each attribute, bitmaps of the bits of its quantised value ("slices"). For a query the
+The index is a table of blocks of rows; a block keeps, for each attribute, bitmaps of the bits of its quantised value ("slices") and
+nothing else of it. It is written once and read in each pass. For a query the
 slices, weighted by the query's signed digits, are added with carry-save adders on bitmaps. The sum's slices are walked
 from the most significant down to find the k-th largest value; rows that the quantisation can't rule out are resolved
 exactly. Blocks are independent. The queries go round in chunks of a bounded size: each chunk is a pass over all blocks,
@@ -37,26 +38,56 @@ def signed_digits(value: int) -> list[tuple[int, int]]:
 
 
 class BitSlices:
-    """Slices of a block: values int64 of shape (rows, attributes)."""
-
-    def __init__(self, values: np.ndarray, dropped: int = DROPPED_BITS):
-        self.values, self.dropped = values, dropped
-        self.rows = len(values)
-        coarse = values >> dropped
-        self.least = coarse.min(0) if self.rows else np.zeros(values.shape[1], np.int64)
-        coarse = coarse - self.least
-        self.words = -(-self.rows // 64)
-        self.slices = []
-        for j in range(values.shape[1]):
-            bits = int(coarse[:, j].max()).bit_length() if self.rows else 0
-            self.slices.append(np.stack([self._bitmap((coarse[:, j] >> b) & 1 > 0) for b in range(bits)]) if bits else np.zeros((0, self.words), np.uint64))
-        self.all = self._bitmap(np.ones(self.rows, bool))
+    """Slices of a block of rows: bitmaps of the bits of each attribute's value above its least one. The lowest `dropped` bits have
+    slices too, which only exact values need. Nothing else is kept of the values."""
+
+    def __init__(self, rows: int, least: np.ndarray, bits: np.ndarray, maps: np.ndarray, dropped: int = DROPPED_BITS):
+        self.rows, self.dropped, self.least, self.bits, self.maps = rows, dropped, least, bits, maps
+        self.words = -(-rows // 64)
+        ends = np.cumsum(bits)
+        self.slices = [maps[e - n + dropped : e] if n > dropped else maps[:0] for e, n in zip(ends.tolist(), bits.tolist())]
+        self.attribute = np.repeat(np.arange(len(bits)), bits)
+        self.weight = np.int64(1) << (np.arange(len(maps)) - np.repeat(ends - bits, bits)).astype(np.int64)
+        self.all = self._bitmap(np.ones(rows, bool))
+
+    @classmethod
+    def of(cls, values: np.ndarray, dropped: int = DROPPED_BITS) -> BitSlices:
+        """Of int64 values of shape (rows, attributes)."""
+        rows = len(values)
+        least = values.min(0) >> dropped if rows else np.zeros(values.shape[1], np.int64)
+        above = values - (least << dropped)
+        bits = np.array([max(int(x).bit_length(), dropped) for x in above.max(0)] if rows else [0] * values.shape[1], np.int64)
+        out = cls(rows, least, bits[:0], np.zeros((0, -(-rows // 64)), np.uint64), dropped)
+        maps = [out._bitmap((above[:, j] >> b) & 1 > 0) for j, n in enumerate(bits.tolist()) for b in range(n)]
+        return cls(rows, least, bits, np.stack(maps) if maps else out.maps, dropped)
+
+    @classmethod
+    def stored(cls, rows: int, least: bytes, bits: bytes, maps: bytes, dropped: int = DROPPED_BITS) -> BitSlices:
+        """As parts() gave them."""
+        return cls(rows, np.frombuffer(least, np.int64), np.frombuffer(bits, np.int64), np.frombuffer(maps, np.uint64).reshape(-1, -(-rows // 64)), dropped)
+
+    def parts(self) -> tuple[int, bytes, bytes, bytes]:
+        return self.rows, self.least.tobytes(), self.bits.tobytes(), self.maps.tobytes()
 
     def _bitmap(self, flags: np.ndarray) -> np.ndarray:
         padded = np.zeros(self.words * 64, bool)
         padded[: self.rows] = flags
         return np.packbits(padded, bitorder="little").view(np.uint64)
 
+    def _bits_of(self, rows: np.ndarray) -> np.ndarray:
+        """Bits of some rows in all slices, as int64 of shape (slices, rows)."""
+        return ((self.maps[:, rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+
+    def values(self, rows: np.ndarray) -> np.ndarray:
+        """Exact values of some rows, put together from the slices."""
+        out = np.zeros((len(self.bits), len(rows)), np.int64)
+        np.add.at(out, self.attribute, self._bits_of(rows) * self.weight[:, None])
+        return (out + (self.least << self.dropped)[:, None]).T
+
+    def scores(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exact products of some rows with a query."""
+        return (query[self.attribute] * self.weight) @ self._bits_of(rows) + (query * (self.least << self.dropped)).sum()
+
     def add(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of the sum of query * quantised value over the attributes, and the constant that they leave out."""
         columns: dict[int, list[np.ndarray]] = {}
@@ -128,7 +159,7 @@ class BitSlices:
             rows = np.array([r for r in range(self.rows) if r != own_row], np.int64)
         else:
             rows = self.candidates(query, k, alive)
-        scores = self.values[rows] @ query
+        scores = self.scores(query, rows)
         order = np.lexsort((rows, ids[rows], -scores))[:k]
         return [(int(rows[i]), int(scores[i])) for i in order]
 
@@ -186,7 +217,7 @@ def top_inner_products(vectors: DataFrame, k: int = 5, key: str = "vec_id", embe
         def block():
             nonlocal seq
             table = pa.Table.from_batches(held).combine_chunks()
-            out = pa.record_batch([pa.array([part * (1 << 32) + seq], pa.int64()), pa.array([table.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([_matrix(table.column(1)).astype(np.int64).tobytes()], pa.binary()), pa.array([table.num_rows], pa.int64())], names=["block", "ids", "values", "n"])
+            out = pa.record_batch([pa.array([part * (1 << 32) + seq], pa.int64()), pa.array([table.column(0).to_pylist()], pa.list_(pa.int64())), *(pa.array([x], t) for x, t in zip(BitSlices.of(_matrix(table.column(1))).parts(), (pa.int64(), pa.binary(), pa.binary(), pa.binary())))], names=["block", "ids", "n", "least", "bits", "slices"])
             seq += 1
             return out
 
@@ -203,15 +234,15 @@ def top_inner_products(vectors: DataFrame, k: int = 5, key: str = "vec_id", embe
             yield block()
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    index = written(flat.mapInArrow(pack, "block long, ids array<long>, values binary, n long"), "bsi-index", made)
+    index = written(flat.mapInArrow(pack, "block long, ids array<long>, n long, least binary, bits binary, slices binary"), "bsi-index", made)
 
     def queries_of(batches):
         for b in batches:
-            for block, ids, values, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for block, ids, *parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 own = [r for r, i in enumerate(ids) if i is not None and i % every == 0]
                 if own:
-                    matrix = np.frombuffer(values, np.int64).reshape(n, -1)
-                    yield pa.record_batch([pa.array([block] * len(own), pa.int64()), pa.array(own, pa.int64()), pa.array([ids[r] for r in own], pa.int64()), pa.array([matrix[r].tobytes() for r in own], pa.binary())], names=["block", "row", "id", "query"])
+                    matrix = BitSlices.stored(*parts).values(np.array(own))
+                    yield pa.record_batch([pa.array([block] * len(own), pa.int64()), pa.array(own, pa.int64()), pa.array([ids[r] for r in own], pa.int64()), pa.array([x.tobytes() for x in matrix], pa.binary())], names=["block", "row", "id", "query"])
 
     queries = written(index.mapInArrow(queries_of, "block long, row long, id long, query binary"), "bsi-queries", made)
     size = queries.agg(F.coalesce(F.sum(F.length("query") + 24), F.lit(0)).alias("bytes")).first()
@@ -223,16 +254,13 @@ def top_inner_products(vectors: DataFrame, k: int = 5, key: str = "vec_id", embe
 
         def search(batches, shared=shared):
             for b in batches:
-                for block, ids, values, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    matrix = np.frombuffer(values, np.int64).reshape(n, -1)
-                    width = max([matrix.shape[1], *(len(q[3]) // 8 for q in shared.value)])
-                    if matrix.shape[1] < width:
-                        matrix = np.pad(matrix, ((0, 0), (0, width - matrix.shape[1])))
-                    slices, order_ids = BitSlices(matrix), np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64)
+                for block, ids, *parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    slices, order_ids = BitSlices.stored(*parts), np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64)
                     out = []
                     for q_block, q_row, q_id, data in shared.value:
-                        query = np.zeros(width, np.int64)
-                        query[: len(data) // 8] = np.frombuffer(data, np.int64)
+                        # components that the block's vectors lack meet zeros there, and the other way round
+                        query, given = np.zeros(len(slices.bits), np.int64), np.frombuffer(data, np.int64)[: len(slices.bits)]
+                        query[: len(given)] = given
                         for row, score in slices.top(query, k, order_ids, q_row if q_block == block else -1):
                             out.append((q_block, q_row, q_id, block, row, ids[row], score))
                     if out:
