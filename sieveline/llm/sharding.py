@@ -19,7 +19,7 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from .common import shared_dir
 
@@ -80,18 +80,23 @@ class ShardTable:
             stream.writeUTF(name)
         finally:
             stream.close()
-        pointer = self._path(f"{self.root}/versions/{base + 1}")
+        if not self._renamed(whole, self._path(f"{self.root}/versions/{base + 1}")):
+            raise Conflict(f"version {base + 1} exists")
+        return base + 1
+
+    def _renamed(self, whole, target) -> bool:
+        """Rename a file that is written to a name that must not exist; False, and the file is gone, if it does."""
         fs = self._jvm.org.apache.hadoop.fs
         how = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
         how[0] = fs.Options.Rename.NONE
         try:
-            fs.FileContext.getFileContext(whole.toUri(), self._conf).rename(whole, pointer, how)
+            fs.FileContext.getFileContext(whole.toUri(), self._conf).rename(whole, target, how)
         except Py4JJavaError as error:
             self._fs.delete(whole, False)
             if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
                 raise
-            raise Conflict(f"version {base + 1} exists") from error
-        return base + 1
+            return False
+        return True
 
     def _change(self, added: DataFrame, removed: DataFrame | None = None) -> int:
         """Commit the latest version without `removed` and with `added`; on a conflict again, on the then latest version."""
@@ -119,21 +124,43 @@ class ShardTable:
         """Write rows as small shards as they come and commit them on top of the latest version.
 
         Nulls, repeated rows, very long texts and columns of any name are kept as they are. Empty input commits a version
-        without new files. The first append fixes the table's columns."""
+        without new files. Further columns are added to the table (null in the rows before); columns that lack are null; a column
+        of another type than the table's is a ValueError, before anything is written."""
+        self._add_columns(rows.schema)
         folder = f"{self.root}/data/append-{_unique()}"
         rows.write.option("maxRecordsPerFile", arrival_rows).parquet(folder)
-        self._schema_from(rows)
         return self._change(self._files(folder))
 
-    def _schema_from(self, rows: DataFrame) -> None:
-        path = self._path(f"{self.root}/schema.json")
-        if not self._fs.exists(path):
-            stream = self._fs.create(path, True)
-            stream.write(bytearray(rows.schema.json().encode()))
+    def _schemas(self) -> list[int]:
+        folder = self._path(f"{self.root}/schemas")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _add_columns(self, own: StructType) -> None:
+        """Bring a schema with the columns of `own` into being, unless they are there. Schemas are numbered and never changed: of two
+        writers one creates the next number, the other looks again."""
+        for _ in range(ATTEMPTS):
+            have = self._schemas()
+            known = self.schema() if have else StructType()
+            types = {f.name: f.dataType for f in known}
+            for f in own:
+                if types.get(f.name, f.dataType) != f.dataType:
+                    raise ValueError(f"column {f.name} is {types[f.name].simpleString()} in the table, not {f.dataType.simpleString()}")
+            more = [StructField(f.name, f.dataType, True) for f in own if f.name not in types]
+            if have and not more:
+                return
+            number = (have[-1] if have else 0) + 1
+            whole = self._path(f"{self.root}/schemas/.{number}-{uuid.uuid4().hex}")
+            stream = self._fs.create(whole, False)
+            stream.write(bytearray(StructType([*known.fields, *more]).json().encode()))
             stream.close()
+            if self._renamed(whole, self._path(f"{self.root}/schemas/{number}")):
+                return
+        raise Conflict(f"{ATTEMPTS} attempts lost against other writers")
 
     def schema(self) -> StructType:
-        return StructType.fromJson(json.loads(self.spark.read.text(f"{self.root}/schema.json", wholetext=True).first()[0]))
+        """The columns of the table: those of all appends."""
+        return StructType.fromJson(json.loads(self.spark.read.text(f"{self.root}/schemas/{self._schemas()[-1]}", wholetext=True).first()[0]))
 
     def tiers(self, entries: DataFrame, target: int, fan_in: int) -> DataFrame:
         """entries with their tier: sizes within a factor fan_in of each other are of a tier; files of half the target and more have none (null)."""
@@ -172,7 +199,7 @@ class ShardTable:
         """The rows of a version. The driver holds the list of its files, as for any table of files in Spark."""
         paths = [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
         if not paths:
-            return self.spark.createDataFrame([], self.schema()) if self._fs.exists(self._path(f"{self.root}/schema.json")) else self.spark.createDataFrame([], "doc_id long")
+            return self.spark.createDataFrame([], self.schema()) if self._schemas() else self.spark.createDataFrame([], "doc_id long")
         return self.spark.read.schema(self.schema()).parquet(*paths)
 
     def vacuum(self, keep: int = 1) -> int:

@@ -419,3 +419,16 @@ def test_many_members_are_read_in_linear_time():
     began = time.time()
     assert sum(1 for _ in warc.parse(data)) == 20_000
     assert time.time() - began < 20
+
+
+def test_shards_take_further_columns(spark, tmp_path):
+    table = sharding.ShardTable(spark, f"file://{tmp_path}/t")
+    table.append(spark.createDataFrame([(1, "x")], "id long, a string"))
+    table.append(spark.createDataFrame([(2, 0.5)], "id long, b double"))
+    assert sorted(map(tuple, table.read().collect())) == [(1, "x", None), (2, None, 0.5)]
+    with pytest.raises(ValueError):
+        table.append(spark.createDataFrame([("3",)], "id string"))
+    assert table.latest() == 2
+    table.append(spark.createDataFrame([(4, "y", 1.5)], "id long, a string, b double"))
+    table.compact(target=1 << 20, fan_in=2)
+    assert sorted(map(tuple, table.read().collect())) == [(1, "x", None), (2, None, 0.5), (4, "y", 1.5)] and table.manifest().count() == 1
