@@ -204,9 +204,16 @@ def first_by_name(spark, sf):
     return objects.first_by_name(code_objects(spark, sf), ["source"], "name", ["doc_id"]).select("source", "name", "doc_id")
 
 
-@query("vocabulary_dim", "SELECT unnest(" + "[" + ", ".join(map(S.q, sorted({*fixed.STRING_TOKENS, *fixed.SIZE_TOKENS, *fixed.FILE_TOKENS, *fixed.TYPE_TOKENS, *fixed.FUNCTIONS, *fixed.PYTHON_IMPORTS}))) + "]) AS token")
+_VOCABULARY = "[" + ", ".join(map(S.q, sorted({*fixed.STRING_TOKENS, *fixed.SIZE_TOKENS, *fixed.FILE_TOKENS, *fixed.TYPE_TOKENS, *fixed.FUNCTIONS, *fixed.PYTHON_IMPORTS}))) + "]"
+_EACH_WORD = r"SELECT unnest(list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda t: t <> '')) AS token FROM documents"
+
+
+@query("vocabulary_dim", f"SELECT token, coalesce(n, 0) AS n FROM (SELECT unnest({_VOCABULARY}) AS token) LEFT JOIN (SELECT token, count(*) AS n FROM ({_EACH_WORD}) GROUP BY token) USING (token)")
 def vocabulary_dim(spark, sf):
-    return spark.createDataFrame([(t,) for t in objects.special_tokens("python")], "token string")
+    """All tokens of a language, and how often each stands in the texts as it is."""
+    found = dataset.token_frequency(table(spark, sf, "documents"), "text", "doc_id").select("token", F.col("count").alias("n"))
+    tokens = spark.createDataFrame([(t,) for t in objects.special_tokens("python")], "token string")
+    return tokens.join(found, "token", "left").select("token", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 _GATE_SQL = f"regexp_matches(t, '{'|'.join(sorted(fixed.FUNCTIONS))}')"
