@@ -8,19 +8,21 @@ The test items are broadcast in blocks of a checked size, one pass over the docu
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_table, hash_words, map_arrow, text_buffer
+from .common import ascii_lower_table, drop_paths, hash_words, map_arrow, text_buffer, written
 
 #: Words of a shard, unless one document has more.
 SHARD_WORDS = 1 << 20
 #: Bytes of test text in a broadcast.
 BLOCK_BYTES = 8 << 20
+#: Blocks that one pass over the documents takes.
+PASS_BLOCKS = 4
 PLACES = "array<struct<item:string,item_word:int,word:int,length:int>>"
 
 
@@ -170,35 +172,36 @@ class Items:
         return window, place, longest
 
 
-def matches(items: Items, texts: pa.Array) -> Iterator[tuple[int, int, int, list[int], np.ndarray, list[dict]]]:
-    """For each text: its words, words in an occurrence of a window, longest match, items with such (indexes), the hit mask, and the longest verbatim matches with their places."""
+def matches(blocks: list[Callable[[], Items]], width: int, texts: pa.Array) -> Iterator[tuple[int, int, int, list, np.ndarray, list[dict]]]:
+    """For each text: its words, words in an occurrence of a window, longest match, ids of items with such, the hit mask, and the longest verbatim matches with their places. A shard's suffix array is built once for all blocks of items."""
     words, firsts = words_of(texts)
     depth = 1
-    while depth < items.width:
+    while depth < width:
         depth *= 2
     at = 0
     while at < len(texts):
         upto = max(at + 1, int(np.searchsorted(firsts, firsts[at] + SHARD_WORDS, "right")) - 1)
         shard = Shard(words[firsts[at] : firsts[upto]], firsts[at : upto + 1] - firsts[at], depth)
-        window, place, longest = items.search(shard)
-        marks = np.zeros(shard.size + 1, np.int64)
-        np.add.at(marks, place, 1)
-        np.add.at(marks, place + items.length[window], -1)
-        hit = np.cumsum(marks[:-1]) > 0
-        text = np.searchsorted(shard.text_at, place, "right") - 1
-        best = np.zeros(upto - at, np.int64)
-        np.maximum.at(best, text, longest)
-        pairs = np.unique(text * len(items.ids) + items.item[window]) if len(window) else np.zeros(0, np.int64)
-        of_text = pairs // max(len(items.ids), 1)
-        bounds = np.searchsorted(of_text, np.arange(upto - at + 1))
+        marks, best = np.zeros(shard.size + 1, np.int64), np.zeros(upto - at, np.int64)
+        names: dict[int, list] = {}
         found: dict[int, list[dict]] = {}
-        for w in items.maximal(window, place, longest).tolist():
-            k = int(text[w])
-            found.setdefault(k, []).append({"item": items.ids[items.item[window[w]]], "item_word": int(items.at[window[w]]), "word": int(place[w] - shard.text_at[k]), "length": int(longest[w])})
+        for block in blocks:
+            items = block()
+            window, place, longest = items.search(shard)
+            np.add.at(marks, place, 1)
+            np.add.at(marks, place + items.length[window], -1)
+            text = np.searchsorted(shard.text_at, place, "right") - 1
+            np.maximum.at(best, text, longest)
+            for pair in np.unique(text * len(items.ids) + items.item[window]).tolist() if len(window) else ():
+                names.setdefault(pair // len(items.ids), []).append(items.ids[pair % len(items.ids)])
+            for w in items.maximal(window, place, longest).tolist():
+                k = int(text[w])
+                found.setdefault(k, []).append({"item": items.ids[items.item[window[w]]], "item_word": int(items.at[window[w]]), "word": int(place[w] - shard.text_at[k]), "length": int(longest[w])})
+        hit = np.cumsum(marks[:-1]) > 0
         for k in range(upto - at):
             n = int(firsts[at + k + 1] - firsts[at + k])
             own = hit[shard.text_at[k] : shard.text_at[k] + n]
-            yield n, int(own.sum()), int(best[k]), (pairs[bounds[k] : bounds[k + 1]] % len(items.ids)).tolist() if bounds[k + 1] > bounds[k] else [], own, found.get(k, [])
+            yield n, int(own.sum()), int(best[k]), names.get(k, []), own, found.get(k, [])
         at = upto
 
 
@@ -221,7 +224,8 @@ def item_blocks(benchmark: DataFrame, text: str, item_id: str, block_bytes: int)
 def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", width: int = 10, item_text: str = "text", item_id: str = "item_id", block_bytes: int = BLOCK_BYTES, locations: bool = False) -> DataFrame:
     """Per row of docs: key, n_words, n_hit (words inside an occurrence of a window of `width` item words), items (ids with such windows, sorted as strings), longest (longest verbatim match in words), contaminated; with locations also matches: the longest verbatim matches (item, item_word, word, length; places count words from 0), in order of word, item and item_word.
 
-    The test items go round in blocks of block_bytes, one pass for each. A document or item that is null or has no words matches nothing; an item of fewer words is one window. Items with a
+    The test items go round in blocks of block_bytes; a pass over the documents takes PASS_BLOCKS of them, and what it has found is written before the
+    next one begins. Texts of any length are searched whole, in shards; an empty table of documents gives no rows, one of items no matches. A document or item that is null or has no words matches nothing; an item of fewer words is one window. Items with a
     null id contaminate, but aren't listed. Repeated rows and ids are each judged on their own; other columns of docs don't matter."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
@@ -229,16 +233,16 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     schema = f"key {kind}, text string, mask binary, items array<string>, longest long, matches {PLACES}"
     place_kind = pa.list_(pa.struct([("item", pa.string()), ("item_word", pa.int32()), ("word", pa.int32()), ("length", pa.int32())]))
 
-    def passed(frame: DataFrame, shared, last: bool) -> DataFrame:
+    def passed(frame: DataFrame, shared: list, last: bool) -> DataFrame:
         def run(batch: pa.RecordBatch):
-            items = shared.value if shared else Items([], [], width)
+            blocks = [lambda b=b: b.value for b in shared]
             masks, names, longest, words, hits, places = [], [], [], [], [], []
             texts = batch.column(1)
-            for (n, _, best, found, own, here), mask, before, most, there in zip(matches(items, texts), *batch.columns[2:], strict=True):
+            for (n, _, best, found, own, here), mask, before, most, there in zip(matches(blocks, width, texts), *batch.columns[2:], strict=True):
                 if mask.is_valid:
                     own = own | np.unpackbits(np.frombuffer(mask.as_py(), np.uint8), count=n).astype(bool)
                 masks.append(np.packbits(own).tobytes() if own.any() else None)
-                names.append(sorted({*before.as_py(), *(x for i in found if (x := items.ids[i]) is not None)}))
+                names.append(sorted({*before.as_py(), *(x for x in found if x is not None)}))
                 longest.append(max(best, most.as_py()))
                 words.append(n)
                 hits.append(int(own.sum()))
@@ -251,26 +255,42 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
 
         return map_arrow(frame, run, f"key {kind}, n_words long, n_hit long, items array<string>, longest long, contaminated boolean, matches {PLACES}" if last else schema)
 
-    blocks = item_blocks(benchmark, item_text, item_id, block_bytes)
-    block = next(blocks, None)
-    if block is None:
-        return passed(state, None, True).withColumnRenamed("key", key).drop(*[] if locations else ["matches"])
-    while block is not None:
-        following = next(blocks, None)
-        shared = spark.sparkContext.broadcast(Items(*block, width))
-        state = passed(state, shared, following is None)
-        block = following
-    return state.withColumnRenamed("key", key).drop(*[] if locations else ["matches"])
+    passes = shared_passes(benchmark, item_text, item_id, block_bytes, width)
+    shared, made = next(passes, []), []
+    while True:
+        following = next(passes, None)
+        if following is None:
+            return passed(state, shared, True).withColumnRenamed("key", key).drop(*[] if locations else ["matches"])
+        before, made = made, []
+        state = written(passed(state, shared, False), "decontaminate", made)
+        drop_paths(spark, before)
+        shared = following
+
+
+def shared_passes(benchmark: DataFrame, text: str, item_id: str, block_bytes: int, width: int) -> Iterator[list]:
+    """Broadcast blocks of items, PASS_BLOCKS at a time."""
+    spark, held = benchmark.sparkSession, []
+    for block in item_blocks(benchmark, text, item_id, block_bytes):
+        held.append(spark.sparkContext.broadcast(Items(*block, width)))
+        if len(held) == PASS_BLOCKS:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 10, item_text: str = "text", item_id: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, whose text holds no window of any test item. Nulls, repeats and short items as in annotate()."""
-    spark, at = docs.sparkSession, docs.columns.index(text)
-    for block in item_blocks(benchmark, item_text, item_id, block_bytes):
-        shared = spark.sparkContext.broadcast(Items(*block, width))
+    at, made = docs.columns.index(text), []
+    for number, shared in enumerate(shared_passes(benchmark, item_text, item_id, block_bytes, width)):
+        if number:
+            before, made = made, []
+            docs = written(docs, "decontaminate", made)
+            drop_paths(docs.sparkSession, before)
 
         def run(batch: pa.RecordBatch, shared=shared):
-            yield batch.filter(pa.array([not hits for _, hits, *_ in matches(shared.value, batch.column(at))], pa.bool_()))
+            blocks = [lambda b=b: b.value for b in shared]
+            yield batch.filter(pa.array([not hits for _, hits, *_ in matches(blocks, width, batch.column(at))], pa.bool_()))
 
         docs = map_arrow(docs, run, docs.schema)
     return docs
