@@ -11,18 +11,21 @@ import hashlib
 import json
 import unicodedata
 from array import array
+from bisect import bisect_left
 from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import gather, map_arrow, worker_table
 
 GPT_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+LETTERS, OTHERS = regex.compile(r"[\p{L}]*"), regex.compile(r"[^\s\p{L}\p{N}]*")
 #: Where splitting at single blanks could differ from the pattern above.
 RUNS = regex.compile(r"\s\s|\s\Z|[\x1c-\x1f]")
 #: Runs without the blanks at which the word vocabulary splits; control characters are no blanks.
@@ -190,6 +193,31 @@ class Vocabulary:
                     ends[end], final[end] = count[at] + 1, closing
         return (count, last, ends, final) if self.ending else (count, last, count, last)
 
+    def resumed(self, piece: str, count: list[int], last: list[int]) -> int:
+        """The count of a whole word, with the end mark, whose programming is known up to a place inside it.
+
+        piece: the word's end, from at least the longest token before that place on; count and last: what prefix_tokens() has for its known
+        places, the first one being piece's beginning. So a word that goes on in another way isn't counted from its start."""
+        known = len(count) - 1
+        count, last = count + [0] * (len(piece) - known), last + [-1] * (len(piece) - known)
+        out = 0
+        for end, (n, token, closing) in self.either.iter(piece):
+            end += 1
+            at = end - n
+            if end <= known or (before := last[at]) < 0:
+                continue
+            if token >= 0 and last[end] < 0 and self.compatible(before, token):
+                count[end], last[end] = count[at] + 1, token
+            if closing >= 0 and end == len(piece) and not out and self.compatible(before, closing):
+                out = count[at] + 1
+        return out if self.ending else count[-1]
+
+
+def composing() -> set[str]:
+    """Characters that can join with one before them: second halves of canonical pairs, and vowels and finals of Hangul."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x30000))
+    return {chr(int(d[1], 16)) for d in pairs if len(d) == 2 and d[0][0] != "<"} | {chr(c) for r in (range(0x1161, 0x1176), range(0x11A8, 0x11C3)) for c in r}
+
 
 class Memo(dict):
     """Function results by argument, bounded."""
@@ -217,6 +245,9 @@ class WordCounter:
         self.vocab = vocab
         self.of_word = Memo(self._word)
         self.of_chunk = Memo(self._packed)
+        self.longest = max(vocab.length)
+        self.joining: set[str] | None = None
+        self.open_word: tuple | None = None
 
     def _words(self, chunk: str) -> int:
         """Tokens of a chunk, its words taken one by one: for the few prefixes that split in another way than the whole."""
@@ -246,8 +277,7 @@ class WordCounter:
             lows = [c.lower() for c in chunk]
             low, ends = "".join(lows), accumulate(map(len, lows))
         else:
-            # letters join with marks after them: each prefix is a text of its own
-            return [self._words(chunk[: n + 1]) for n in range(len(chunk))]
+            return self._uncomposed(chunk)
         out: list[int] = []
         before = 0
         for m in WORD_SPLIT.finditer(low):
@@ -264,6 +294,71 @@ class WordCounter:
         out += [before] * (len(low) - len(out))
         return out if ends is None else [out[n - 1] for n in ends]
 
+    def _uncomposed(self, chunk: str) -> list[int]:
+        """Counts at each prefix of a chunk whose letters join with marks after them.
+
+        Where a character begins that joins with nothing before it, what comes before is composed for good. So the composed chunk has the
+        counts at these places and wherever a prefix is composed to a part of it. Elsewhere (a letter whose mark is still to come) the last
+        word goes on in another way, from the place up to which its programming is known."""
+        if self.joining is None:
+            self.joining = composing()
+        starts = [i for i, c in enumerate(chunk) if not i or not unicodedata.combining(head := unicodedata.normalize("NFD", c)[0]) and head not in self.joining]
+        parts = [chunk[a:b] for a, b in zip(starts, [*starts[1:], len(chunk)])]
+        whole = [unicodedata.normalize("NFC", p) for p in parts]
+        full = "".join(whole)
+        table = [0, *self._chunk(full)]
+        lows = [c.lower() for c in full]
+        low, places = "".join(lows), [0, *accumulate(map(len, lows))]
+        words = [m.span() for m in WORD_SPLIT.finditer(low)]
+        out: list[int] = []
+        at = word = 0  # where the part begins in the composed chunk, and the last word that begins before it
+        for part, composed in zip(parts, whole):
+            while word + 1 < len(words) and words[word + 1][0] < places[at]:
+                word += 1
+            for n in range(1, len(part) + 1):
+                own = composed if n == len(part) else unicodedata.normalize("NFC", part[:n])
+                if composed.startswith(own):
+                    out.append(table[at + len(own)])
+                else:
+                    out.append(self._continued(full, low, places, table, words, word, at, "".join(c.lower() for c in own)))
+            at += len(composed)
+        return out
+
+    def _continued(self, full: str, low: str, places: list[int], table: list[int], words: list[tuple[int, int]], word: int, at: int, own: str) -> int:
+        """Tokens of the composed text up to a place, with other characters behind it."""
+        place = places[at]
+        if not at or not words or words[word][0] >= place:
+            return self._split(low[:place] + own)
+        start, end = words[word]
+        if end < place:
+            # the last word is closed
+            return table[at] + self._split(own)
+        if place - start <= 2 * self.longest:
+            # an apostrophe before the word can belong to it after all
+            word -= word > 0 and low[slice(*words[word - 1])] == "'" and words[word - 1][1] == start
+            # nor does a word have to begin with a character: one can become several in lower case
+            while word and places[bisect_left(places, words[word][0])] != words[word][0]:
+                word -= 1
+            start = words[word][0]
+            return table[bisect_left(places, start)] + self._split(low[start:place] + own)
+        kind = LETTERS if LETTERS.match(low[start]).end() else OTHERS
+        more = kind.match(own).end()
+        if not more:
+            return table[at] + self._split(own)
+        if self.open_word is None or self.open_word[0] is not low or self.open_word[1] != start:
+            raw = low[start:end].encode()
+            count, last, _, _ = self.vocab.prefix_tokens(raw.decode("latin-1"))
+            sizes = [0, *accumulate(len(c.encode()) for c in low[start:end])]
+            self.open_word = (low, start, self._split(low[:start]), raw, count, last, sizes)
+        _, _, before, raw, count, last, sizes = self.open_word
+        to = sizes[place - start]
+        since = to - self.longest
+        piece = (raw[since:to] + own[:more].encode()).decode("latin-1")
+        return before + self.vocab.resumed(piece, count[since : to + 1], last[since : to + 1]) + self._split(own[more:])
+
+    def _split(self, low: str) -> int:
+        return sum(self.of_word[w][-1] for w in WORD_SPLIT.findall(low))
+
     def segments(self, text: str):
         """Pieces of the text between special strings, and the special strings."""
         if self.vocab.special_split is None or "<|" not in text:
@@ -384,7 +479,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, text: str = "text", key: str
     """Per row: key, n_bytes, n_tokens of the whole text, over_limit, and cut, the number of characters that hold at most `limit` tokens; with prefixes also prefix_counts, the count at each prefix by character, from the empty one on.
 
     Null and empty texts have 0 bytes and 0 tokens. Very long texts are counted whole, in time proportional to their length
-    (only a run without blanks that isn't in Unicode's composed form takes the square of its own length). Any key goes
+    (only marks behind one and the same letter take the square of their number, if they aren't in Unicode's order). Any key goes
     through, null and repeated ones too; other columns don't matter; an empty table has no result. One pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(_vocabulary_text(vocab_path))
     kind = docs.schema[key].dataType.simpleString()
@@ -410,10 +505,32 @@ def count_tokens(docs: DataFrame, vocab_path: str, text: str = "text", key: str
     return map_arrow(docs.select(key, text), run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean, cut long" + ", prefix_counts array<int>" * prefixes, tables=True)
 
 
+def tokens_at(counts: Column, end: Column) -> Column:
+    """Tokens of the first `end` characters, from a stored column prefix_counts (see count_tokens): nothing is encoded again.
+
+    Ends beyond the text stand for the whole text, those below 0 for the empty one; null where either is null."""
+    return F.when(end.isNotNull(), F.get(counts, F.least(F.greatest(end, F.lit(0)), F.size(counts) - 1)))
+
+
+def cut_within(counts: Column, budget: Column | int) -> Column:
+    """Characters of the longest prefix of at most `budget` tokens, from a stored column prefix_counts; null where either is null or the budget below 0.
+
+    The count can fall as a word grows, so the last place within the budget is taken, not the first one beyond it."""
+    budget = F.lit(budget) if isinstance(budget, int) else budget
+    return F.array_max(F.transform(counts, lambda n, i: F.when(n <= budget, i)))
+
+
+def truncated(rows: DataFrame, budget: Column | int, text: str = "text", counts: str = "prefix_counts") -> DataFrame:
+    """rows with the text cut to a budget of tokens, that of a row or the same for all, by its stored counts. Null texts, and negative or null budgets, give null."""
+    return rows.withColumn(text, F.substring(F.col(text), F.lit(1), cut_within(F.col(counts), budget)))
+
+
 def encode_decode(docs: DataFrame, vocab_path: str, text: str = "text", key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """Per row: key, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the text decoded from the ids); with keep_ids also ids and decoded.
 
-    Null counts as the empty text, which has no ids. One pass, no shuffle."""
+    Null counts as the empty text, which has no ids. Very long texts are encoded whole, in time proportional to their length. Any key goes
+    through: repeated rows and null keys give a row each; columns beside key and text don't matter, whatever their names; an empty
+    table has no result. One pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(_vocabulary_text(vocab_path))
     kind = docs.schema[key].dataType.simpleString()
 

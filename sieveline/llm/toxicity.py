@@ -205,7 +205,9 @@ def fit(sample: Sample, z: float = 3.0, least: int = 4) -> OrdinalModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
-    """Fit on at most sample_rows labelled rows that aren't held out (as for quality), at most half of them toxic where there are as many clean ones."""
+    """Fit on at most sample_rows labelled rows that aren't held out (as for quality), at most half of them toxic where there are as many clean ones.
+
+    A text of the sample that has a feature more than 32,767 times is fitted as if it had it so many times; scores count all."""
     sample = labelled_sample(docs, labels, label, text, key, sample_rows, balanced=True)
 
     def run(batch: pa.RecordBatch):
