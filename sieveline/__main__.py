@@ -1,4 +1,4 @@
-"""python -m sieveline scan PATH | batch PATH | archives PATH | package NAME [VERSION] | preprocess BENIGN MALICIOUS OUT | train TABLE | triage PATH"""
+"""python -m sieveline scan PATH | batch PATH | archives PATH | package NAME [VERSION] | preprocess BENIGN MALICIOUS OUT | corpus LIST ROOT OUT | train TABLE | triage PATH"""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import importlib
 import json
 import sys
 
-from .session import session
+from .operators.judge import ChatJudge
+from .session import session, written
 
 
 def _judge(name: str):
@@ -36,11 +37,22 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--threshold", type=float, default=0.7), s.add_argument("--save"), s.add_argument("--quiet", action="store_true", help="print nothing")
     s = sub.add_parser("preprocess")
     s.add_argument("benign"), s.add_argument("malicious"), s.add_argument("out")
+    s.add_argument("--extensions", nargs="*", help="files to take, all that are known by default"), s.add_argument("--by-language", action="store_true", help="a partition for each language")
+    s = sub.add_parser("corpus", help="files of the checkouts of a list of pinned repositories as a training set")
+    s.add_argument("list"), s.add_argument("root"), s.add_argument("out"), s.add_argument("--extensions", nargs="*"), s.add_argument("--pinned-only", action="store_true"), s.add_argument("--by-language", action="store_true")
     s = sub.add_parser("train")
     s.add_argument("table"), s.add_argument("--ratio", type=float, default=60.0), s.add_argument("--model"), s.add_argument("--metrics", help="file for the metrics")
     s = sub.add_parser("triage")
-    s.add_argument("path"), s.add_argument("--judge", required=True, metavar="MODULE:FUNCTION"), s.add_argument("--strategy", default="concat", choices=["concat", "single", "smart"]), s.add_argument("--save")
+    s.add_argument("path"), s.add_argument("--strategy", default="concat", choices=["concat", "single", "smart"]), s.add_argument("--save"), s.add_argument("--budget", type=int, help="characters of files in a prompt")
+    who = s.add_mutually_exclusive_group(required=True)
+    who.add_argument("--judge", metavar="MODULE:FUNCTION"), who.add_argument("--model", help="a model of a chat service")
+    s.add_argument("--key", help="for the service; LLM_API_KEY by default"), s.add_argument("--address", help="of the service; LLM_BASE_URL or by the model's name by default"), s.add_argument("--route", metavar="FOLDER", help="write the files there, by decision")
     a = p.parse_args(argv)
+    judge = None
+    if a.command == "triage":
+        judge = _judge(a.judge) if a.judge else ChatJudge(a.model, a.key, a.address)
+        if isinstance(judge, ChatJudge) and not judge.key:
+            p.error("a key is needed: --key or LLM_API_KEY")
     from .plans import jobs
     from .sources import sinks
     from .sources.files import read_dictionary, read_files
@@ -78,9 +90,21 @@ def main(argv: list[str] | None = None) -> int:
             print(row["name"], row["status"], row["message"] or "", sep="\t", file=sys.stderr)
         return int(bool(missing))
     elif a.command == "preprocess":
-        jobs.preprocess(read_files(spark, a.benign), read_files(spark, a.malicious), a.out)
+        jobs.preprocess(read_files(spark, a.benign, a.extensions), read_files(spark, a.malicious, a.extensions), a.out, a.by_language)
+    elif a.command == "corpus":
+        from .sources import corpora
+
+        listed = corpora.read_corpora(spark, a.list)
+        files = corpora.corpus_files(spark, listed, a.root, a.extensions, a.pinned_only)
+        jobs.preprocess(files.where("label = 0"), files.where("label = 1"), a.out, a.by_language)
+        lost = corpora.checkouts(spark, listed, a.root).where("status IN ('missing', 'other_commit')").select("url", "status", "head").orderBy("url")
+        for row in lost.toLocalIterator():
+            print(row["url"], row["status"], row["head"] or "", sep="\t", file=sys.stderr)
     elif a.command == "triage":
-        found = jobs.triage_folders(read_files(spark, a.path).where("accepted"), _judge(a.judge), a.strategy)
+        files = read_files(spark, a.path).where("accepted")
+        found = written(jobs.triage_folders(files, judge, a.strategy, budget=a.budget), "verdicts")  # asked once, whatever is read of it
+        if a.route:
+            sinks.route(files, found, "package", "decision", a.route)
         if a.save:
             found.write.mode("overwrite").parquet(a.save)
         for row in [] if a.save else found.orderBy("package").toLocalIterator():

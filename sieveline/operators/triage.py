@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Severity of the verdicts.
 SEVERITY = {"benign": 0, "suspicious": 1, "malicious": 2}
 #: The first words found in a model's name give the base address of its service; the default stands for all others.
@@ -94,18 +96,44 @@ def parse_reply(reply: Column) -> Column:
     return F.coalesce(F.when(F.lower(parsed).isin(*SEVERITY), F.lower(parsed)), verdict_from_text(reply))
 
 
-def decide(rows: DataFrame, text: str, judge: Callable[[list[str]], list[str]], out: str = "decision") -> DataFrame:
-    """A column of replies by an external judge, a callable on lists of texts. Where it fails nothing is known: the texts are suspicious, and the worker's log says why and how many they are."""
+def parse_reasoning(reply: Column) -> Column:
+    """Reasoning of a reply that is a JSON object; empty if it has none."""
+    return F.coalesce(F.from_json(reply, "reasoning string")["reasoning"], F.lit(""))
+
+
+def decide(rows: DataFrame, text: str, judge: Callable[[list[str]], list[str]], out: str = "decision", reasoning: str | None = None) -> DataFrame:
+    """Columns of decisions, and of reasoning if it has a name, from the replies of an external judge, a callable on lists of texts.
+
+    Where it fails for a list, its texts are judged one by one. Of those that still fail nothing is known: they are suspicious, and the
+    worker's log says why and how many they are. Each text is sent once, whatever is derived from the reply."""
 
     @F.pandas_udf("string")
     def run(batch: pd.Series) -> pd.Series:
-        try:
-            return pd.Series(judge(batch.fillna("").tolist()))
-        except Exception as error:
-            logging.getLogger(__name__).warning("the judge failed on %d texts: %r", len(batch), error)
-            return pd.Series(["suspicious"] * len(batch))
-
-    return rows.withColumn(out, parse_reply(run(F.col(text))))
+        texts, failed = batch.fillna("").tolist(), []
+        replies = _replies(judge, texts, failed)
+        if replies is None:
+            failed.clear()
+            each = [_replies(judge, [t], failed) if len(texts) > 1 else None for t in texts]
+            replies = ["suspicious" if r is None else r[0] for r in each]
+            logging.getLogger(__name__).warning("the judge failed on %d of %d texts: %r", sum(r is None for r in each), len(texts), failed[:1])
+        return pd.Series(replies, dtype="object")
+
+    # an answer can differ the next time, so Spark must not ask twice
+    replied = rows.withColumn("__reply", run.asNondeterministic()(F.col(text)))
+    found = replied.withColumn(out, parse_reply(F.col("__reply")))
+    return (found.withColumn(reasoning, parse_reasoning(F.col("__reply"))) if reasoning else found).drop("__reply")
+
+
+def _replies(judge: Callable[[list[str]], list[str]], texts: list[str], failed: list) -> list[str] | None:
+    """A reply for each text, or None."""
+    try:
+        replies = list(judge(texts))
+        if len(replies) != len(texts):
+            raise ValueError(f"{len(replies)} replies to {len(texts)} texts")
+        return [None if r is None else str(r) for r in replies]
+    except Exception as error:
+        failed.append(error)
+        return None
 
 
 def prefer_first_by_type(rows: DataFrame, key: str, kind: str, preferred: str, order: str) -> DataFrame:
@@ -115,7 +143,16 @@ def prefer_first_by_type(rows: DataFrame, key: str, kind: str, preferred: str, o
 
 
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """rows with unique_name: repeats of a name get _1, _2 and so on before the suffix."""
-    r = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    """rows with unique_name: repeats of a name get _1, _2 and so on before the suffix.
+
+    Ranges of name and order are dealt out and ranked each on its own, with the numbers of a name in the ranges before: one that many
+    rows have (setup.py) doesn't meet in one task."""
+    parts = written(rows.repartitionByRange(F.col(name), F.col(order)).withColumn("__p", F.spark_partition_id()), "ranges")
+    counts = parts.groupBy(F.col(name).alias("__n"), F.col("__p").alias("__q")).agg(F.count("*").alias("__c"))
+    # as many rows as ranges hold the name
+    before = counts.withColumn("__before", F.sum("__c").over(Window.partitionBy("__n").orderBy("__q")) - F.col("__c")).drop("__c")
+    ranked = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p", name).orderBy(order)))
+    r = (F.col("__before") + F.col("__r") - 1).alias("r")
     stem, suffix = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return rows.withColumn("unique_name", F.when(r == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), r.cast("string"), suffix)))
+    found = ranked.join(before, (F.col("__p") == F.col("__q")) & F.col(name).eqNullSafe(F.col("__n")))
+    return found.select(*rows.columns, F.when(r == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), r.cast("string"), suffix)).alias("unique_name"))

@@ -103,10 +103,10 @@ def training_rows(files: DataFrame) -> DataFrame:
     return compiled(files).select(F.col("text").alias("tokens"), "hash", "language", F.col("file_path").alias("filepath"))
 
 
-def preprocess(benign: DataFrame, malicious: DataFrame, path: str) -> None:
-    """Both classes of files compiled, cleaned of repeats and of malicious rows that are benign as well, written by label."""
+def preprocess(benign: DataFrame, malicious: DataFrame, path: str, by_language: bool = False) -> None:
+    """Both classes of files compiled, cleaned of repeats and of malicious rows that are benign as well, written by label, or by label and language: a reader of one language then reads its folders alone."""
     good, bad = (dataset.load_rows(training_rows(f)) for f in (benign, malicious))
-    dataset.label_union(*dataset.benign_wins(good, bad, "hash", ["filepath", "tokens"])).write.mode("overwrite").partitionBy("label").parquet(path)
+    dataset.label_union(*dataset.benign_wins(good, bad, "hash", ["filepath", "tokens"])).write.mode("overwrite").partitionBy("label", *["language"] * by_language).parquet(path)
 
 
 def train(rows: DataFrame, ratio: float = 60.0, **options):
@@ -120,13 +120,13 @@ def train(rows: DataFrame, ratio: float = 60.0, **options):
 
 
 def triage_folders(files: DataFrame, judge: Callable[[list[str]], list[str]], strategy: str = "concat", threshold: float = fixed.THRESHOLD, budget: int | None = None) -> DataFrame:
-    """package, decision, reasoning. concat: one verdict on all of a folder's files, or, with a budget, the severest of the verdicts on parts of so many characters; single: one for each file, rolled up; smart:
+    """package, decision, reasoning. concat: one verdict on all of a folder's files with the judge's reasoning, or, with a budget, the severest of the verdicts on parts of so many characters; single: one for each file, rolled up; smart:
     one verdict on the extracts, which are the sources of a folder's flagged objects (folders without any are benign)."""
     if strategy == "concat" and budget:
         parts = triage.decide(triage.prompt_parts(files, "package", "path", "text", budget), "text", judge)
         return triage.severity_rollup(parts.withColumn("at", F.concat(F.lit("part "), F.col("part") + 1)), "package", "decision", "at", "part")
     if strategy == "concat":
-        return triage.decide(triage.concat_by_group(files, "package", "path", "text"), "text", judge).select("package", "decision", F.lit("").alias("reasoning"))
+        return triage.decide(triage.concat_by_group(files, "package", "path", "text"), "text", judge, reasoning="reasoning").select("package", "decision", "reasoning")
     if strategy == "smart":
         found = extracts(files, threshold)
         judged = triage.decide(triage.concat_by_group(found, "package", "path", "text"), "text", judge).select(F.col("package").alias("__g"), "decision")
