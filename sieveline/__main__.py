@@ -60,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = session(a.command)
     own = {k: read_dictionary(spark, v) for k in ("functions", "imports") if (v := getattr(a, k, None))}
     if a.command == "scan":
-        found = jobs.scan_report(spark, a.path, a.extensions, a.threshold, **own)
+        found = jobs.scan_report(spark, a.path, a.extensions, a.threshold, form=a.format, **own)
         if a.move and found.flagged:
             paths = spark.createDataFrame([(o["path"],) for o in found.flagged], "path string")
             sinks.copy_files(spark, paths, "path", a.path, a.move)

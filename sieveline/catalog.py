@@ -537,6 +537,57 @@ def unique_names(spark, sf):
     return triage.unique_names(rows, "name", "page_id").select("page_id", "unique_name")
 
 
+# ---- the compiler: one statement of each kind, with a name and a number of the document's text ----
+#: language, source, and the listings of its objects; {h} is a name and {n} a number.
+FORMS = [
+    ("python", "{h} = {n}", "<module>: RESUME 0; LOAD_CONST {n}.0; STORE_NAME {h}; RETURN_CONST"),
+    ("python", "import {h}", "<module>: RESUME 0; LOAD_CONST 0; LOAD_CONST; IMPORT_NAME {h}; STORE_NAME {h}; RETURN_CONST"),
+    ("python", "{h}({n}, 'a')", "<module>: RESUME 0; PUSH_NULL; LOAD_NAME {h}; LOAD_CONST {n}.0; LOAD_CONST 'a'; CALL 2; POP_TOP; RETURN_CONST"),
+    ("python", "x = [{h}, {n}]", "<module>: RESUME 0; LOAD_NAME {h}; LOAD_CONST {n}.0; BUILD_LIST 2; STORE_NAME x; RETURN_CONST"),
+    ("python", "x = {'k': {h}}", "<module>: RESUME 0; LOAD_CONST 'k'; LOAD_NAME {h}; BUILD_MAP 1; STORE_NAME x; RETURN_CONST"),
+    ("python", "x = {h}.y", "<module>: RESUME 0; LOAD_NAME {h}; LOAD_ATTR y; STORE_NAME x; RETURN_CONST"),
+    ("python", "x = {h}[{n}]", "<module>: RESUME 0; LOAD_NAME {h}; LOAD_CONST {n}.0; BINARY_SUBSCR; STORE_NAME x; RETURN_CONST"),
+    ("python", "x = {h} + {n}", "<module>: RESUME 0; LOAD_NAME {h}; LOAD_CONST {n}.0; BINARY_OP 0; STORE_NAME x; RETURN_CONST"),
+    ("python", "x = -{h}", "<module>: RESUME 0; LOAD_NAME {h}; UNARY_NEGATIVE; STORE_NAME x; RETURN_CONST"),
+    ("python", "x = {h} < {n}", "<module>: RESUME 0; LOAD_NAME {h}; LOAD_CONST {n}.0; COMPARE_OP; STORE_NAME x; RETURN_CONST"),
+    ("python", "x = not {h}", "<module>: RESUME 0; LOAD_NAME {h}; LOGICAL_NOT; STORE_NAME x; RETURN_CONST"),
+    ("python", "if {h}:\n    f()\nelse:\n    g()", "<module>: RESUME 0; LOAD_NAME {h}; POP_JUMP_IF_FALSE 7; PUSH_NULL; LOAD_NAME f; CALL 0; POP_TOP; JUMP_FORWARD 11; PUSH_NULL; LOAD_NAME g; CALL 0; POP_TOP; RETURN_CONST"),
+    ("python", "while {h}:\n    f()", "<module>: RESUME 0; LOAD_NAME {h}; POP_JUMP_IF_FALSE 5; PUSH_NULL; LOAD_NAME f; CALL 0; POP_TOP; JUMP_BACKWARD 7; RETURN_CONST"),
+    ("python", "for i in {h}:\n    f(i)", "<module>: RESUME 0; LOAD_NAME {h}; GET_ITER; FOR_ITER 7; STORE_NAME i; PUSH_NULL; LOAD_NAME f; LOAD_NAME i; CALL 1; POP_TOP; JUMP_BACKWARD 8; END_FOR; RETURN_CONST"),
+    ("python", "x = [i for i in {h}]", "<module>: RESUME 0; BUILD_LIST 0; LOAD_NAME {h}; GET_ITER; FOR_ITER 9; STORE_FAST i; LOAD_FAST i; LIST_APPEND 1; JUMP_FORWARD 4; STORE_NAME x; RETURN_CONST"),
+    ("python", "x = lambda: {h}", "<module>: RESUME 0; MAKE_FUNCTION lambda_ref_0; STORE_NAME x; RETURN_CONST || lambda_ref_0: LOAD_GLOBAL {h}; RETURN_VALUE"),
+    ("python", "x = f'a{{h}}'", "<module>: RESUME 0; LOAD_CONST a; LOAD_NAME {h}; FORMAT_VALUE; BUILD_STRING 2; STORE_NAME x; RETURN_CONST"),
+    ("python", "x = 1 if {h} else {n}", "<module>: RESUME 0; LOAD_NAME {h}; POP_JUMP_IF_FALSE 5; LOAD_CONST 1.0; JUMP_FORWARD 6; LOAD_CONST {n}.0; STORE_NAME x; RETURN_CONST"),
+    ("python", "class {h}:\n    y = {n}", "<module>: RESUME 0; PUSH_NULL; LOAD_BUILD_CLASS; LOAD_CONST CodeObject(name={h}_ref_0, path=x, location=(2, 2)); MAKE_FUNCTION 0; LOAD_CONST {h}; CALL 2; STORE_NAME {h}; RETURN_CONST || {h}_ref_0: LOAD_CONST {n}.0; STORE_NAME y"),
+    ("javascript", "let {h} = {n};", "<module>: RESUME 0; LOAD_CONST {n}.0; STORE_NAME {h}; RETURN_CONST"),
+    ("javascript", "{h}({n}, 'a');", "<module>: RESUME 0; PUSH_NULL; LOAD_NAME {h}; LOAD_CONST {n}.0; LOAD_CONST 'a'; CALL 2; POP_TOP; RETURN_CONST"),
+    ("javascript", "x = {h} + {n};", "<module>: RESUME 0; LOAD_NAME {h}; LOAD_CONST {n}.0; BINARY_OP 0; STORE_NAME x; RETURN_CONST"),
+    ("javascript", "while ({h}) { f(); }", "<module>: RESUME 0; LOAD_NAME {h}; POP_JUMP_IF_FALSE 5; PUSH_NULL; LOAD_NAME f; CALL 0; POP_TOP; JUMP_BACKWARD 7; RETURN_CONST"),
+    ("javascript", "x = {h}.y;", "<module>: RESUME 0; LOAD_NAME {h}; LOAD_ATTR y; STORE_NAME x; RETURN_CONST"),
+    ("javascript", "x = [{h}, {n}];", "<module>: RESUME 0; LOAD_NAME {h}; LOAD_CONST {n}.0; BUILD_LIST 2; STORE_NAME x; RETURN_CONST"),
+    ("javascript", "x = typeof {h};", "<module>: RESUME 0; LOAD_NAME {h}; TYPEOF_OPERATOR; STORE_NAME x; RETURN_CONST"),
+    ("javascript", "delete {h}.y;", "<module>: RESUME 0; LOAD_NAME {h}; LOAD_ATTR y; DELETE_OPERATOR; POP_TOP; RETURN_CONST"),
+    ("javascript", "function {h}(a) { return a; }", "<module>: RESUME 0; LOAD_CONST CodeObject(name={h}_ref_0, path=x, location=(1, 1)); MAKE_FUNCTION 0; STORE_NAME {h}; RETURN_CONST || {h}_ref_0: LOAD_PARAM a; RETURN_VALUE"),
+    ("javascript", "x = (a) => {h};", "<module>: RESUME 0; MAKE_FUNCTION lambda_ref_0; STORE_NAME x; RETURN_CONST || lambda_ref_0: LOAD_GLOBAL {h}; RETURN_VALUE"),
+    ("javascript", "do { f(); } while ({h});", "<module>: RESUME 0; PUSH_NULL; LOAD_NAME f; CALL 0; POP_TOP; LOAD_NAME {h}; POP_JUMP_IF_TRUE -2; RETURN_CONST"),
+]
+_FORMS_SQL = f"""SELECT doc_id, split_part(o, ': ', 1) AS name, substr(o, length(split_part(o, ': ', 1)) + 3) AS listing FROM (
+  SELECT doc_id, unnest(string_split(replace(replace(([{", ".join(S.q(listing) for _, _, listing in FORMS)}])[1 + doc_id % {len(FORMS)}], '{{h}}', 'n' || md5(coalesce(text, ''))), '{{n}}', CAST(1 + length(coalesce(text, '')) AS VARCHAR)), ' || ')) AS o FROM documents)"""
+
+
+@query("compile_statements", _FORMS_SQL)
+def compile_statements(spark, sf):
+    """A statement about each document, of a kind that its number chooses: its name is the digest of the whole text, its number one more than the text's length."""
+    from .operators.compile import compile_files
+
+    text = F.coalesce("text", F.lit(""))
+    of = lambda place: F.element_at(F.array(*[F.lit(f[place]) for f in FORMS]), (F.col("doc_id") % len(FORMS) + 1).cast("int"))
+    source = F.replace(F.replace(of(1), F.lit("{h}"), F.concat(F.lit("n"), F.md5(text))), F.lit("{n}"), (F.length(text) + 1).cast("string"))
+    files = spread(table(spark, sf, "documents")).select("doc_id", F.lit("x").alias("path"), of(0).alias("language"), source.alias("content"))
+    out = compile_files(files, carry=["doc_id"])
+    return out.select("doc_id", "name", F.array_join(F.transform("instructions", lambda i: F.concat_ws(" ", i["opcode"], F.when(i["arg_kind"] != "none", i["arg"]))), "; ").alias("listing"))
+
+
 # ---- without SQL: the compiler, models, streams ----
 @query("compile_objects", None)
 def compile_objects(spark, sf):

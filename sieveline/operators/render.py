@@ -18,7 +18,9 @@ _MARKS = {"malicious": "\U0001f479", "suspicious": "⚠️", "good": "\U0001f7e2
 
 @dataclass
 class Report:
-    """What a scan of a package found. objects: dicts with path, name, score, code, tokens, hash, embedding_count, language, activities, source."""
+    """What a scan of a package found. objects: dicts with path, name, score, code, tokens, hash, embedding_count, language, activities, source.
+
+    processed: how many objects there were, if `objects` are the flagged ones alone; such a report has no form that shows all sources."""
 
     input: str
     threshold: float
@@ -31,6 +33,7 @@ class Report:
     malicious: bool | None = None
     confidence: float | None = None
     activities: list[str] = field(default_factory=list)
+    processed: int | None = None
 
     def __post_init__(self):
         own = self.flagged
@@ -52,7 +55,7 @@ class Report:
     def data(self) -> dict:
         details = [{"path": o["path"], "contents": [{k: o.get(k) for k in ("name", "score", "code", "tokens", "hash", "embedding_count")}]} for o in self.flagged]
         stats = {
-            "total_files": len(self.files), "skipped_files": len(self.skipped), "processed_files": len(self.files) - len(self.skipped), "processed_objects": len(self.objects),
+            "total_files": len(self.files), "skipped_files": len(self.skipped), "processed_files": len(self.files) - len(self.skipped), "processed_objects": len(self.objects) if self.processed is None else self.processed,
             "malicious_objects": len(self.flagged), "start": self.start, "duration": self.duration, "file_types": _types(self.files),
         }
         return {"version": self.version, "input": self.input, "result": self.result, "statistics": stats, "details": details}
@@ -103,6 +106,8 @@ class Report:
 
     def code(self, with_tokens: bool = False) -> str:
         """Sources of all objects by file type, under comments; files without a suffix are left out."""
+        if self.processed is not None:
+            raise ValueError("the report was made without the sources of all objects")
         by_type: dict[str, list[dict]] = {}
         for o in self.objects:
             by_type.setdefault(_suffix(o["path"]), []).append(o)

@@ -61,15 +61,19 @@ def scan_packages(spark: SparkSession, address: str, names: list[str], version:
     return downloads.select("name", "version", "filename", F.when(failed, "failed").otherwise(F.col("status")).alias("status"), F.coalesce("__d", "__m").alias("message")), objects_
 
 
-def scan_report(spark: SparkSession, folder: str, extensions: list[str] | None = None, threshold: float = fixed.THRESHOLD, scorer=None, on_finding: Callable[[dict], None] | None = None, functions=None, imports=None) -> Report:
-    """The report of one package, which fits on the driver: that is a person's reading."""
+def scan_report(spark: SparkSession, folder: str, extensions: list[str] | None = None, threshold: float = fixed.THRESHOLD, scorer=None, on_finding: Callable[[dict], None] | None = None, functions=None, imports=None, form: str | None = None) -> Report:
+    """The report of one package: a person's reading, on the driver. For a form that shows sources (code, tokens), or any form (None), all objects come there with theirs; for another one the flagged objects do, and the number of all."""
     began, start = time.time(), datetime.now().isoformat()
     files, found = scan(spark, folder, extensions, threshold, scorer, functions=functions, imports=imports)
     listed = files.select("path", "accepted").orderBy("path").collect()
-    code = objects.display_code(F.col("source_code"), F.col("instructions"))
-    rows = found.select(F.col("file_path").alias("path"), "name", "score", code.alias("code"), F.col("token_string").alias("tokens"), "hash", "embedding_count", "language", "activities", F.col("source_code").alias("source"), "start")
-    items = [r.asDict() for r in rows.orderBy("path", "start", "name").toLocalIterator()]
-    out = Report(folder, threshold, [r["path"] for r in listed], [r["path"] for r in listed if not r["accepted"]], items, start, time.time() - began)
+    code, count = objects.display_code(F.col("source_code"), F.col("instructions")), None
+    rows = found.select(F.col("file_path").alias("path"), "name", "score", code.alias("code"), F.col("token_string").alias("tokens"), "hash", "embedding_count", "language", "activities", F.col("source_code").alias("source"), "start", "flagged")
+    if form not in (None, "code", "tokens"):
+        # compiled once, for the number and the rows
+        rows = written(rows, "objects")
+        count, rows = rows.count(), rows.where("flagged").withColumn("source", F.lit(None).cast("string"))
+    items = [r.asDict() for r in rows.drop("flagged").orderBy("path", "start", "name").toLocalIterator()]
+    out = Report(folder, threshold, [r["path"] for r in listed], [r["path"] for r in listed if not r["accepted"]], items, start, time.time() - began, processed=count)
     for o in out.flagged if on_finding else []:
         on_finding(o)
     return out

@@ -93,3 +93,15 @@ def test_verdicts_are_sent_once_and_amended(spark, tmp_path):
     # and forgotten packages start anew
     arrive(6, ("z", "3", 0, 5, 300))
     assert ("a", 1, 0, "good", False) in arrive(7, ("a", "1", 0, 1, 301)) + arrive(8, ("z", "4", 0, 5, 302))
+
+
+def test_a_report_brings_what_its_form_shows(spark, folder):
+    whole = jobs.scan_report(spark, str(folder / "in"), threshold=0.3)
+    for form in ("demo", "markdown", "json", "yaml"):
+        one = jobs.scan_report(spark, str(folder / "in"), threshold=0.3, form=form)
+        assert one.objects == [{**o, "source": None} for o in whole.flagged] and one.processed == len(whole.objects) > len(one.objects)
+        own, other = ({**r.data(), "statistics": {k: v for k, v in r.data()["statistics"].items() if k not in ("start", "duration")}} for r in (one, whole))
+        assert own == other and one.render(form)
+        with pytest.raises(ValueError):
+            one.render("code")
+    assert jobs.scan_report(spark, str(folder / "in"), threshold=0.3, form="tokens").render("tokens") == whole.render("tokens")
