@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import threading
 from concurrent.futures import ThreadPoolExecutor
+from itertools import accumulate
 from warnings import filterwarnings
 
 import pyarrow as pa
@@ -51,13 +52,42 @@ def _compiled(path: str, source: str, language: str) -> list[dict]:
 
 def compile_source(path: str, source: str, language: str) -> list[dict]:
     """The objects of one source. What can't be compiled is one object without instructions and a warning: MALFORMED_SYNTAX where nothing of it is in the language, MALFORMED_FILE for another failure or language."""
+    return [{**o, "instructions": [_plain(i, language) for i in o["instructions"]]} for o in _objects(path, source, language)]
+
+
+def _objects(path: str, source: str, language: str) -> list[dict]:
+    """The objects of one source with instructions as tuples (opcode, kind, text, items)."""
     return _thread().submit(_compiled, path, (source or "").replace("\x00", ""), language).result()
 
 
+def _plain(instruction: tuple, language: str) -> dict:
+    op, kind, text, items = instruction
+    return {"opcode": op, "arg_kind": kind, "arg": text, "language": language, "items": [{"kind": k, "text": t} for k, t in items]}
+
+
 def _failed(source: str, *warnings: str) -> dict:
     return {"name": "<module>", "source_code": source, "start": 1, "end": source.count("\n") + 1, "warnings": list(warnings), "instructions": []}
 
 
+def _lists(lengths: list[int], kind: pa.DataType, columns: list[pa.Array]) -> pa.Array:
+    """Lists of structs of so many members each, of the members' columns."""
+    offsets = pa.array([0, *accumulate(lengths)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=list(kind.value_type)), type=kind)
+
+
+def _batch(objects: list[dict], shape: pa.Schema) -> pa.RecordBatch:
+    """Objects as a batch. Instructions are by far the most values, so they are laid out column by column, without a dictionary for each."""
+    kind = shape.field("instructions").type
+    flat = [i for o in objects for i in o["instructions"]]
+    members = [m for i in flat for m in i[3]]
+    item = kind.value_type.field("items").type
+    items = _lists([len(i[3]) for i in flat], item, [pa.array([m[k] for m in members], item.value_type[k].type) for k in range(2)])
+    languages = [o["language"] for o in objects for _ in o["instructions"]]
+    columns = [*(pa.array(x, kind.value_type[k].type) for k, x in enumerate(([i[0] for i in flat], [i[1] for i in flat], [i[2] for i in flat], languages))), items]
+    instructions = _lists([len(o["instructions"]) for o in objects], kind, columns)
+    return pa.RecordBatch.from_arrays([instructions if f.name == "instructions" else pa.array([o[f.name] for o in objects], f.type) for f in shape], schema=shape)
+
+
 def compile_files(files: DataFrame, path: str = "path", language: str = "language", content: str = "content", size: str | None = None, carry: list[str] | None = None, warnings: str | None = None) -> DataFrame:
     """Objects of each file: the columns of carry, file_path, file_size, language, name, source_code, start, end, warnings, instructions. Row-wise, no shuffle; null content is empty.
 
@@ -77,13 +107,13 @@ def compile_files(files: DataFrame, path: str = "path", language: str = "languag
             out, held = [], 0
             for row in b.to_pylist():
                 text, refused = row.pop("__content"), row.pop("__warnings")
-                found = [_failed("", *refused)] if refused else compile_source(row["file_path"] or "", text, row["language"])
+                found = [_failed("", *refused)] if refused else _objects(row["file_path"] or "", text, row["language"])
                 out += [{**row, **o} for o in found]
                 held += len(text or "")
                 if held > BATCH_BYTES:
-                    yield pa.RecordBatch.from_pylist(out, shape)
+                    yield _batch(out, shape)
                     out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_pylist(out, shape)
+                yield _batch(out, shape)
 
     return rows.mapInArrow(run, schema)
