@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import drop_paths, written
 
 #: Characters of a shard, about; rounds after which the shards are written with their merges applied.
-SHARD_CHARS, ROUNDS = 4 << 20, 12
+SHARD_CHARS, ROUNDS = 4 << 20, 6
 _SHARD = "symbols binary, counts binary"
 _DELTA = "pair long, change long"
 
@@ -46,34 +46,50 @@ def pairs_of(symbols: np.ndarray, counts: np.ndarray, base: int, touched: np.nda
     return _summed(symbols[at].astype(np.int64) * base + symbols[at + 1], counts[word[at]])
 
 
-def merged(symbols: np.ndarray, batch: list[tuple[int, int, int]], counts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols after a batch of merges (a, b, new) that can't overlap, and which of so many words were touched."""
+def _places(symbols: np.ndarray, batch: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pairs of a batch of merges (a, b, new) stand, overlapping ones too, and what each becomes."""
+    if len(symbols) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     base = max(int(symbols.max(initial=0)), *(max(a, b) for a, b, _ in batch)) + 2
     keys, new = np.array(sorted((a * base + b, made) for a, b, made in batch), np.int64).T
-    touched, first = np.zeros(counts, bool), np.zeros(base + 1, bool)
+    first = np.zeros(base + 1, bool)
     first[[a for a, _, _ in batch]] = True
-    if len(symbols) < 2:
-        return symbols, touched
     left = np.flatnonzero(first[symbols[:-1]])  # -1 looks up the last place, which is False
     pair = symbols[left].astype(np.int64) * base + symbols[left + 1]
     at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
     some = keys[at] == pair
-    left, at = left[some], at[some]
+    return left[some], new[at[some]]
+
+
+def merged(symbols: np.ndarray, batch: list[tuple[int, int, int]], counts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols after a batch of merges (a, b, new) that can't overlap, and which of so many words were touched."""
+    touched = np.zeros(counts, bool)
+    left, new = _places(symbols, batch)
     if len(left):
         # in a run of equal symbols every second place merges, from the left; other pairs can't overlap
         runs = np.r_[True, left[1:] != left[:-1] + 1]
         start = np.maximum.accumulate(np.where(runs, np.arange(len(left)), 0))
         some = (np.arange(len(left)) - start) % 2 == 0
-        left, at = left[some], at[some]
-        touched[np.cumsum(symbols < 0)[left]] = True
+        left, new = left[some], new[some]
+        touched[np.searchsorted(np.flatnonzero(symbols < 0), left)] = True
         out = symbols.copy()
-        out[left] = new[at]
+        out[left] = new
         keep = np.ones(len(out), bool)
         keep[left + 1] = False
         symbols = out[keep]
     return symbols, touched
 
 
+def holding(symbols: np.ndarray, counts: np.ndarray, batch: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The words that hold a pair of the batch, and their counts: most rounds touch few words, so the others are not looked at again."""
+    ends = np.flatnonzero(symbols < 0)
+    some = np.unique(np.searchsorted(ends, _places(symbols, batch)[0]))
+    starts = np.where(some > 0, ends[some - 1] + 1, 0)
+    lengths = ends[some] + 1 - starts
+    before = np.cumsum(lengths) - lengths
+    return symbols[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))], counts[some]
+
+
 def _shards(words: DataFrame, ids: dict[int, int], base: int, chars: int) -> DataFrame:
     """Shards of the words (word, count), of about SHARD_CHARS characters each."""
     spark = words.sparkSession
@@ -122,8 +138,8 @@ def _changes(shards: DataFrame, batches: list[list[tuple[int, int, int]]], base:
             if not batches:
                 keys, sums = pairs_of(symbols, counts, base)
             else:
-                then, touched = merged(symbols, batches[-1], len(counts))
-                old, new = pairs_of(symbols, counts, base, touched), pairs_of(then, counts, base, touched)
+                words, often = holding(symbols, counts, batches[-1])
+                old, new = pairs_of(words, often, base), pairs_of(merged(words, batches[-1], len(often))[0], often, base)
                 keys, sums = _summed(np.r_[old[0], new[0]], np.r_[-old[1], new[1]])
             some = sums != 0
             yield pa.record_batch([pa.array(keys[some]), pa.array(sums[some])], names=["pair", "change"])
