@@ -45,3 +45,30 @@ def test_every_codec_is_an_encoding_with_any_separator(spark):
     assert df.where(~T.is_encoding("s")).collect() == []
     others = spark.createDataFrame([(n,) for n in ("ansi.x3.4.1968", "iso8859.1", "utf..8", ".utf8", "ansi_x3.4.1968", "xutf8")], "s string")
     assert [x.e for x in others.select(T.is_encoding("s").alias("e")).collect()] == [True, True, False, False, True, False]
+
+
+def test_one_scan_finds_the_words_of_all_three_languages(spark):
+    r = random.Random(6)
+    words = [w for ends in (T._SHELL_ENDS, T._CODE_ENDS, T._SQL_ENDS) for w in ends] + "from set into by table = ( .a : x é _ 7 - K ſ 😀 i̇".split()
+    folded = {"s": "ſ", "k": "K", "i": "ıİ"}
+    word = lambda: "".join(r.choice(folded.get(c, c)) if r.random() < 0.05 else r.choice((c, c, c, c.upper())) for c in r.choice(words))
+    rows = ["".join(word() + r.choice([" ", " ", " ", "", "\n", "\t", "(", "."]) for _ in range(r.choice([1, 2, 3, 6]))) for _ in range(20_000)]
+    # too long for patterns, and just not
+    rows += [w + " x" + "." * (n - len(w) - 2) for n in (fixed.REGEX_LENGTH, fixed.REGEX_LENGTH + 1) for w in ("curl", "return", "delete from")]
+    df = spark.createDataFrame([(x,) for x in [*rows, "", "a", None]], "s string")
+    df = df.select("s", F.lower("s").alias("low"), F.length("s").alias("n"), T.words_said("s").alias("said"))
+    s, low, n, said = (F.col(k) for k in df.columns)
+    for name, old, new in (
+        ("bash", T.is_bash(s), T.is_bash(s, said, n)), ("code", T.is_code(s), T.is_code(s, said, n)), ("sql", T.is_sql(s, low), T.is_sql(s, low, said, n)),
+        ("hex", T.is_hex(s), T.is_hex(s, n)), ("base64", T.is_base64(s), T.is_base64(s, n)), ("url", T.contains_url(s), T.contains_url(s, low, n)), ("path", T.is_file_path(s), T.is_file_path(s, n)),
+    ):
+        assert df.where(~old.eqNullSafe(new)).limit(3).collect() == [], name
+        assert name not in ("bash", "code", "sql") or 0 < df.where(new).count() < df.count(), name
+    for ends, pattern in ((T._SHELL_ENDS, T._SHELL), (T._CODE_ENDS, T._CODE), (T._SQL_ENDS, T._SQL)):
+        assert df.where((n <= fixed.REGEX_LENGTH) & (n >= 2) & ~T._says(s, said, ends).eqNullSafe(s.rlike(pattern))).limit(3).collect() == []
+
+
+def test_the_cascade_scans_for_words_once_and_counts_characters_few_times(spark):
+    df = spark.createDataFrame([("a",)], "s string")
+    plan = df.select(C.classify_string("s").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("length(s#") - plan.count("octet_length(s#") <= 4
