@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Weight of each category in the linear scorer; others count DEFAULT.
 WEIGHTS = {"DYNAMIC_CODE_EXECUTION": 2.0, "PROCESS_MANAGEMENT": 1.5, "NETWORK_HTTP_REQUEST": 1.0, "ENCODING_DECODING": 1.0, "STRING_SENSITIVE_FILE_PATH": 2.5, "STRING_URL": 0.5, "STRING_BASE64": 1.0}
 BIAS, DEFAULT = -3.0, 0.0
@@ -32,14 +34,29 @@ def external_score(rows: DataFrame, text: str, scorer: Callable[[list[str]], lis
     return rows.withColumn(out, run(F.col(text)))
 
 
-def train_logistic(rows: DataFrame, tokens: str, label: str, features: int = 1 << 14, **options):
-    """Spark ML pipeline: hashed token counts and logistic regression."""
+def hashed_counts(rows: DataFrame, tokens: str, features: int = 1 << 14) -> DataFrame:
+    """rows with __tf, the hashed counts of their tokens."""
+    from pyspark.ml.feature import HashingTF
+
+    return HashingTF(inputCol=tokens, outputCol="__tf", numFeatures=features).transform(rows)
+
+
+def fit_counts(counted: DataFrame, label: str, **options):
+    """Model on hashed counts (__tf): inverse document frequencies and logistic regression. Its fit passes over the rows several times, so they should be stored."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF
+    from pyspark.ml.feature import IDF
+
+    return Pipeline(stages=[IDF(inputCol="__tf", outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol=label, **options)]).fit(counted)
+
+
+def train_logistic(rows: DataFrame, tokens: str, label: str, features: int = 1 << 14, **options):
+    """Spark ML pipeline: hashed token counts and logistic regression. The rows are computed once: their counts are written to the shared folder for the passes of the fit."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import HashingTF
 
-    steps = [HashingTF(inputCol=tokens, outputCol="__tf", numFeatures=features), IDF(inputCol="__tf", outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol=label, **options)]
-    return Pipeline(stages=steps).fit(rows)
+    fitted = fit_counts(written(hashed_counts(rows, tokens, features).select(label, "__tf"), "counts"), label, **options)
+    return PipelineModel([HashingTF(inputCol=tokens, outputCol="__tf", numFeatures=features), *fitted.stages])
 
 
 def binary_metrics(rows: DataFrame, label: str, predicted: str) -> DataFrame:
