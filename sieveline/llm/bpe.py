@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import string
 import unicodedata
 from array import array
 from bisect import bisect_left
 from itertools import accumulate
+from operator import itemgetter, sub
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +34,23 @@ RUNS = regex.compile(r"\s\s|\s\Z|[\x1c-\x1f]")
 #: Runs without the blanks at which the word vocabulary splits; control characters are no blanks.
 CHUNKS = regex.compile("[^\t-\r \x85\xa0  -     　]+")
 BLANKS = np.array([i for i in range(0x3001) if not CHUNKS.match(chr(i))], np.uint32)
+#: Whether a character is none of these, by its number; all further ones have the last entry.
+LETTER = np.ones(0x3002, bool)
+LETTER[BLANKS] = False
+#: Characters at which str.split() splits, but not the vocabulary.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Marks that are a word of their own before and after letters; an apostrophe can begin a contraction.
+MARKS = string.punctuation.replace("'", "")
+#: A blank leaves the count as it is.
+BLANK_STEP = bytes(4)
 #: Entries of a worker's memo of pieces, and characters of the longest that it keeps; when full it starts afresh, so memory is bounded for any corpus.
 MEMO, MEMO_CHARS = 400_000, 64
 #: The same for the encoder, which has three of them.
 CODEC_MEMO = 250_000
+#: Words that are programmed together, and binary logarithm of the pairs whose fit is remembered for that, in 8 bytes each.
+TOGETHER, FITS_BITS = 1 << 15, 21
+#: Bytes of the lower-case letters of Latin-1.
+LETTER_BYTES = sorted({b for c in range(256) if chr(c).isalpha() for b in chr(c).lower().encode()})
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -235,6 +251,101 @@ class Memo(dict):
         return value
 
 
+class ManyWords:
+    """The dynamic programming of Vocabulary.prefix_tokens() for many words of Latin-1 letters, all of them a byte further at a time.
+
+    The automaton of the tokens is a table of its moves by state and byte; the tokens that end in a state are a chain of states."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        letters, moves = {chr(b): n for n, b in enumerate(LETTER_BYTES)}, {}
+        parent, letter, depth, token, closing = [0], [0], [0], [-1], [-1]
+        for body in {**vocab.inner, **vocab.ending}:
+            if not all(c in letters for c in body):
+                continue
+            state = 0
+            for c in body:
+                known = moves.get((state, c))
+                if known is None:
+                    known = moves[state, c] = len(parent)
+                    parent.append(state)
+                    letter.append(letters[c])
+                    depth.append(depth[state] + 1)
+                    token.append(-1)
+                    closing.append(-1)
+                state = known
+            token[state], closing[state] = vocab.inner.get(body, -1), vocab.ending.get(body, -1)
+        parents, by = np.array(parent), np.array(letter)
+        self.depth, self.token, self.closing = np.array(depth), np.array(token), np.array(closing)
+        self.moves = np.zeros((len(parent), len(letters)), np.int32)
+        ending, shorter = (self.token >= 0) | (self.closing >= 0), np.zeros(len(parent), np.int64)
+        #: for each state the longest token that ends there, as a state, and the next shorter one; 0: none
+        self.first, self.next = np.zeros(len(parent), np.int64), np.zeros(len(parent), np.int64)
+        for n in range(self.depth.max() + 1):
+            states, below = np.flatnonzero(self.depth == n), np.flatnonzero(self.depth == n + 1)
+            if n > 1:
+                shorter[states] = self.moves[shorter[parents[states]], by[states]]
+            if n:
+                self.moves[states] = self.moves[shorter[states]]
+                self.next[states] = self.first[shorter[states]]
+                self.first[states] = np.where(ending[states], states, self.next[states])
+            self.moves[parents[below], by[below]] = below
+        self.number = np.zeros(256, np.int64)
+        self.number[LETTER_BYTES] = np.arange(len(LETTER_BYTES))
+        self.known = np.full(1 << FITS_BITS, -1)
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Vocabulary.compatible() for pairs; nothing (-2) before a word's beginning fits all. A place of the table holds the last pair that fell there."""
+        tokens = len(self.vocab.rank)
+        keys = a * tokens + b
+        places = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FITS_BITS)).astype(np.int64)
+        found = self.known[places]
+        out = (found & 1).astype(bool)
+        out[a < 0] = True
+        unknown = np.flatnonzero((found >> 1 != keys) & (a >= 0))
+        if len(unknown):
+            new, which = np.unique(keys[unknown], return_inverse=True)
+            fit = np.array([self.vocab.compatible(*divmod(k, tokens)) for k in new.tolist()])
+            out[unknown] = fit[which]
+            self.known[places[unknown]] = keys[unknown] << 1 | out[unknown]
+        return out
+
+    def steps(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """By how much the count (with the end mark) changes with each character of the words, end to end, and where each word ends there."""
+        raws = [w.encode() for w in words]
+        raw, sizes = np.frombuffer(b"".join(raws), np.uint8), np.array([len(r) for r in raws])
+        begins, order = np.cumsum(sizes) - sizes, np.argsort(-sizes, kind="stable")
+        starts, most = begins[order], int(sizes.max())
+        left = np.searchsorted(-sizes[order], -np.arange(most + 1), side="right")
+        # by number of bytes and word, the longest words first
+        count, last, ends = (np.full((most + 1, len(words)), value, np.int64) for value in (0, -1, 0))
+        last[0] = -2
+        state = np.zeros(len(words), np.int64)
+        for n in range(1, most + 1):
+            state = self.moves[state[: left[n]], self.number[raw[starts[: left[n]] + n - 1]]]
+            who, match = np.arange(left[n]), self.first[state]
+            while len(some := np.flatnonzero(match)):
+                who, match = who[some], match[some]
+                at = n - self.depth[match]
+                before, behind = last[at, who], count[at, who] + 1
+                for tokens, counts, open_ in ((self.token[match], count, last[n, who] == -1), (self.closing[match], ends, ends[n, who] == 0)):
+                    tried = np.flatnonzero(open_ & (tokens >= 0) & (before != -1))
+                    fit = tried[self.fits(before[tried], tokens[tried])]
+                    counts[n, who[fit]] = behind[fit]
+                    if counts is count:
+                        last[n, who[fit]] = tokens[fit]
+                match = self.next[match]
+        # the last byte of each character
+        whole = np.append(raw[1:] & 0xC0 != 0x80, True)
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        table = (ends if self.vocab.ending else count)[np.arange(len(raw)) - np.repeat(begins, sizes) + 1, np.repeat(rank, sizes)][whole]
+        to = np.cumsum(np.add.reduceat(whole, begins))
+        out = np.diff(table, prepend=0)
+        out[np.append(0, to[:-1])] = table[np.append(0, to[:-1])]
+        return out.astype(np.int32), to
+
+
 class WordCounter:
     """Token counts at every prefix of a text, under a vocabulary of lower-cased words with end marks.
 
@@ -244,7 +355,8 @@ class WordCounter:
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.of_word = Memo(self._word)
-        self.of_chunk = Memo(self._packed)
+        self.of_chunk = Memo(self._steps)
+        self.together: ManyWords | None = None
         self.longest = max(vocab.length)
         self.joining: set[str] | None = None
         self.open_word: tuple | None = None
@@ -256,15 +368,55 @@ class WordCounter:
 
     def _word(self, word: str) -> list[int]:
         """Counts at each prefix of a lower-cased word, by character."""
+        return self._places(word)[1:]
+
+    def _places(self, word: str) -> list[int]:
+        """Counts at each prefix of a lower-cased word, by character, from the empty one on."""
         raw = word.encode()
         counts = self.vocab.prefix_tokens(raw.decode("latin-1"))[2]
         if len(raw) == len(word):
-            del counts[0]
             return counts
-        return [counts[i] for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
-
-    def _packed(self, chunk: str) -> bytes:
-        return array("i", self._chunk(chunk)).tobytes()
+        return [counts[i] for i in range(len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
+
+    def learn(self, texts: list[str]) -> None:
+        """Program the new words of many texts together. What isn't learned here is programmed word by word when it is met."""
+        met: set[str] = set()
+        for text in texts:
+            met.update(text.lower().split())
+        memo = self.of_chunk
+        new = [c for c in met if c not in memo]
+        if len(memo) + 2 * len(new) > memo.most:
+            memo.clear()
+            new = list(met)
+        cores = {c.strip(MARKS) for c in new}
+        words = [w for w in cores if w not in memo and w.isalpha() and len(w) <= MEMO_CHARS and (w.isascii() or max(w) <= "\xff")][: memo.most // 2]
+        if self.together is None and words:
+            self.together = ManyWords(self.vocab)
+        for n in range(0, len(words), TOGETHER):
+            some = words[n : n + TOGETHER]
+            steps, ends = self.together.steps(some)
+            steps, start = steps.tobytes(), 0
+            for word, end in zip(some, (4 * ends).tolist()):
+                memo[word] = steps[start:end]
+                start = end
+
+    def _steps(self, chunk: str) -> bytes:
+        """By how much the count changes with each character of a chunk without blanks and special strings.
+
+        Such steps are those of the chunk's words one after the other, and sums of a text's steps are the counts at its prefixes."""
+        if chunk.isascii() or max(chunk) <= "\xff":
+            low = chunk.lower()
+            if low != chunk:
+                return self.of_chunk[low]
+            if low.isalpha():
+                counts = self._places(low)
+                return array("i", map(sub, counts[1:], counts)).tobytes()
+            core = low.strip(MARKS)
+            if core.isalpha():
+                before, after = low[: low.index(core)], low[low.index(core) + len(core) :]
+                return (self.of_chunk[before] if before else b"") + self.of_chunk[core] + (self.of_chunk[after] if after else b"")
+        counts = [0, *self._chunk(chunk)]
+        return array("i", map(sub, counts[1:], counts)).tobytes()
 
     def _chunk(self, chunk: str) -> list[int]:
         """Counts at each prefix of a chunk without blanks and special strings, from the first character on."""
@@ -378,32 +530,38 @@ class WordCounter:
                 total += 1
                 out[at + size] = total
                 run = (at + size, total)
-            else:
-                found = CHUNKS.findall(segment)
-                if found:
-                    counts = np.frombuffer(b"".join(map(self.of_chunk.__getitem__, found)), np.int32).astype(np.int64)
-                    letters = ~np.isin(np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.uint32), BLANKS)
-                    starts = np.flatnonzero(letters & ~np.concatenate([[False], letters[:-1]]))
-                    lengths = np.flatnonzero(letters & ~np.concatenate([letters[1:], [False]])) + 1 - starts
-                    last = np.cumsum(lengths)
-                    # a chunk of control characters can have no token
-                    own = counts[last - 1]
-                    before = total + np.cumsum(own) - own
-                    out[at + 1 : at + 1 + int(starts[0])] = total
-                    # after a chunk its last count holds over the blanks
-                    out[at + 1 + int(starts[0]) : at + 1 + size] = np.repeat(before + own, np.diff(np.append(starts, size)))
-                    out[at + 1 + np.repeat(starts - (last - lengths), lengths) + np.arange(len(counts))] = counts + np.repeat(before, lengths)
-                    total += int(own.sum())
-                    if starts[-1] + lengths[-1] == size:
-                        run = (at + int(starts[-1]), int(before[-1]))
-                    else:
-                        run = (at + size, total)
-                else:
-                    out[at + 1 : at + 1 + size] = total
-                    run = (at + size, total)
+            elif size:
+                found, steps = self._segment(segment)
+                counts = out[at + 1 : at + 1 + size]
+                np.cumsum(steps, out=counts)
+                if total:
+                    counts += total
+                total = int(counts[-1])
+                start = at + size - len(found[-1]) if found and CHUNKS.match(segment[-1]) else at + size
+                run = (start, int(out[start]))
             at += size
         return out
 
+    def _segment(self, segment: str) -> tuple[list[str], np.ndarray]:
+        """The chunks of a text without special strings, and by how much the count changes with each of its characters."""
+        try:
+            # here lower case is taken at once: each character stays one, and nothing joins
+            codes = np.frombuffer(segment.encode("latin-1"), np.uint8)
+            segment = segment.lower()
+        except UnicodeEncodeError:
+            codes = None
+        found = CHUNKS.findall(segment) if any(c in segment for c in SEPARATORS) else segment.split()
+        steps = itemgetter(*found)(self.of_chunk) if len(found) > 1 else [self.of_chunk[c] for c in found]
+        joined = BLANK_STEP.join(steps)
+        if len(joined) == 4 * len(segment):
+            # one blank between chunks, none elsewhere
+            return found, np.frombuffer(joined, np.int32)
+        if codes is None:
+            codes = np.minimum(np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.uint32), len(LETTER) - 1)
+        out = np.zeros(len(segment), np.int32)
+        out[LETTER[codes]] = np.frombuffer(b"".join(steps), np.int32)
+        return found, out
+
     def count(self, text: str) -> int:
         """The count at the last prefix."""
         return int(self.prefix_table(text)[-1])
@@ -486,17 +644,18 @@ def count_tokens(docs: DataFrame, vocab_path: str, text: str = "text", key: str
 
     def run(batch: pa.RecordBatch):
         counter = _loaded(shared.value, WordCounter)
-        sizes, counts, cuts, tables = [], [], [], []
-        for value in batch.column(1):
-            s = value.as_py() or ""
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+        counts, cuts, tables = [], [], []
+        texts = [s or "" for s in batch.column(1).to_pylist()]
+        counter.learn(texts)
+        for s in texts:
             table = counter.prefix_table(s)
             n = int(table[-1])
-            sizes.append(len(s.encode()))
             counts.append(n)
             cuts.append(len(s) if n <= limit else cut_at(table, limit))
             if prefixes:
                 tables.append(table.astype(np.int32))
-        out = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts]), pa.array(cuts, pa.int64())]
+        out = [batch.column(0), sizes, pa.array(counts, pa.int64()), pa.array([n > limit for n in counts]), pa.array(cuts, pa.int64())]
         names = [key, "n_bytes", "n_tokens", "over_limit", "cut"]
         if prefixes:
             out, names = [*out, pa.array(tables, pa.list_(pa.int32()))], [*names, "prefix_counts"]

@@ -63,3 +63,48 @@ def test_stored_counts_answer_budgets(spark):
     for x in ends.collect():
         t = texts[x.doc_id] or ""
         assert [x.n0, x.n5, x.n9, x["n1000000"], x.none] == [counter.count(t[:n]) for n in (0, 5, 9, 10**6)] + [None]
+
+
+def test_new_words_of_many_texts_are_programmed_together():
+    """By the automaton's table all words of a batch go on a byte at a time; the counts at their prefixes are those of each word alone."""
+    vocab = bpe.Vocabulary(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    r = random.Random(7)
+    parts = ["the", "tion", "ed", "re", "qu", "sch", "ß", "é", "ñ", "ü", "ÿ", "º", "x", "ing", "aaaa", "or"]
+    words = list({"".join(r.choices(parts, k=r.randint(1, 9))) for _ in range(3000)})
+    steps, ends = bpe.ManyWords(vocab).steps(words)
+    start = 0
+    for word, end in zip(words, ends.tolist()):
+        raw = word.encode()
+        counts = vocab.prefix_tokens(raw.decode("latin-1"))[2]
+        assert steps[start:end].cumsum().tolist() == [counts[len(word[:n].encode())] for n in range(1, len(word) + 1)], word
+        start = end
+    texts = [" ".join(r.choice((w, w.title(), f"({w},", f"{w}***")) for w in words[n : n + 30]) for n in range(0, len(words), 30)]
+    counter, calls = bpe.WordCounter(vocab), []
+    alone = vocab.prefix_tokens
+    vocab.prefix_tokens = lambda piece: calls.append(piece) or alone(piece)
+    counter.learn(texts)
+    tables = [counter.prefix_table(t) for t in texts]
+    assert len(calls) < 50  # before: one for each of the words
+    for t, table in zip(texts[::10], tables[::10]):
+        assert table.tolist() == [counter._words(t[:n]) for n in range(len(t) + 1)], t
+
+
+def test_what_is_learned_together_changes_no_count():
+    """Texts of several alphabets, blanks of all kinds, separators, special strings and empty ones: with and without learning, and as the library counts."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    text = open(path, encoding="utf-8").read()
+    r = random.Random(11)
+    pieces = ["The", "théâtre", "ÀÉ", "don't", "'s", "(x)", "--", "a1b2", "—", "İI", "中文", "é", "µ", "ﬁ", "<|endoftext|>", "<|", "\x1c", "a" * 70, "\xd7", "ǅ"]
+    blanks = [" ", " ", " ", "  ", "\n", "\t", "\xa0", "　", "\x85", ""]
+    texts = ["".join(r.choice(pieces) + r.choice(blanks) for _ in range(r.randint(0, 30))) for _ in range(400)] + ["", " ", "\n\n", " a", "a ", "\x1f"]
+    together, alone = bpe.WordCounter(bpe.Vocabulary(text)), bpe.WordCounter(bpe.Vocabulary(text))
+    together.learn(texts)
+    for t in texts:
+        assert (table := together.prefix_table(t)).tolist() == alone.prefix_table(t).tolist(), ascii(t)
+        assert table[-1] == len(library.encode(t, add_special_tokens=False).ids), ascii(t)
+    few = bpe.WordCounter(bpe.Vocabulary(text))
+    few.of_chunk.most = 8  # a memo that is cleared all the time
+    few.learn(texts)
+    assert [few.count(t) for t in texts] == [alone.count(t) for t in texts]
