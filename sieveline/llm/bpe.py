@@ -13,7 +13,8 @@ import string
 import unicodedata
 from array import array
 from bisect import bisect_left
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain, groupby, islice, repeat
 from operator import itemgetter, sub
 
 import ahocorasick
@@ -31,6 +32,8 @@ WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\
 LETTERS, OTHERS = regex.compile(r"[\p{L}]*"), regex.compile(r"[^\s\p{L}\p{N}]*")
 #: Where splitting at single blanks could differ from the pattern above.
 RUNS = regex.compile(r"\s\s|\s\Z|[\x1c-\x1f]")
+#: Blanks of that pattern that are neither the usual one nor a line's end.
+RARE_BLANKS = [c for c in map(chr, range(0x3001)) if c not in " \n" and regex.match(r"[\s\x1c-\x1f]", c)]
 #: Runs without the blanks at which the word vocabulary splits; control characters are no blanks.
 CHUNKS = regex.compile("[^\t-\r \x85\xa0  -     　]+")
 BLANKS = np.array([i for i in range(0x3001) if not CHUNKS.match(chr(i))], np.uint32)
@@ -45,12 +48,16 @@ MARKS = string.punctuation.replace("'", "")
 BLANK_STEP = bytes(4)
 #: Entries of a worker's memo of pieces, and characters of the longest that it keeps; when full it starts afresh, so memory is bounded for any corpus.
 MEMO, MEMO_CHARS = 400_000, 64
-#: The same for the encoder, which has three of them.
+#: The same for the encoder, which has three of them; that of the words behind a blank holds twice as many.
 CODEC_MEMO = 250_000
 #: Words that are programmed together, and binary logarithm of the pairs whose fit is remembered for that, in 8 bytes each.
 TOGETHER, FITS_BITS = 1 << 15, 21
 #: Bytes of the lower-case letters of Latin-1.
 LETTER_BYTES = sorted({b for c in range(256) if chr(c).isalpha() for b in chr(c).lower().encode()})
+#: Bytes of all letters and digits of Latin-1 and of the blank before them.
+PIECE_BYTES = sorted({ord(" "), *(b for c in range(256) if chr(c).isalnum() for b in chr(c).encode())})
+#: Characters of the texts that are split at a time, so that their new pieces are encoded together.
+TOGETHER_CHARS = 1 << 21
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -251,16 +258,17 @@ class Memo(dict):
         return value
 
 
-class ManyWords:
-    """The dynamic programming of Vocabulary.prefix_tokens() for many words of Latin-1 letters, all of them a byte further at a time.
+class Together:
+    """The automaton (Aho-Corasick) of tokens as a table of its moves by state and byte, for many strings at a time, and the pairs of tokens that fit.
 
-    The automaton of the tokens is a table of its moves by state and byte; the tokens that end in a state are a chain of states."""
+    The tokens that end in a state are a chain of states. Only bytes of an alphabet are held, and tokens made of these."""
 
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, vocab: Vocabulary, bodies: list[str], alphabet: list[int]):
         self.vocab = vocab
-        letters, moves = {chr(b): n for n, b in enumerate(LETTER_BYTES)}, {}
-        parent, letter, depth, token, closing = [0], [0], [0], [-1], [-1]
-        for body in {**vocab.inner, **vocab.ending}:
+        letters, moves = {chr(b): n for n, b in enumerate(alphabet)}, {}
+        parent, letter, depth = [0], [0], [0]
+        self.state: dict[str, int] = {}
+        for body in bodies:
             if not all(c in letters for c in body):
                 continue
             state = 0
@@ -271,14 +279,13 @@ class ManyWords:
                     parent.append(state)
                     letter.append(letters[c])
                     depth.append(depth[state] + 1)
-                    token.append(-1)
-                    closing.append(-1)
                 state = known
-            token[state], closing[state] = vocab.inner.get(body, -1), vocab.ending.get(body, -1)
+            self.state[body] = state
         parents, by = np.array(parent), np.array(letter)
-        self.depth, self.token, self.closing = np.array(depth), np.array(token), np.array(closing)
+        self.depth = np.array(depth)
         self.moves = np.zeros((len(parent), len(letters)), np.int32)
-        ending, shorter = (self.token >= 0) | (self.closing >= 0), np.zeros(len(parent), np.int64)
+        ending, shorter = np.zeros(len(parent), bool), np.zeros(len(parent), np.int64)
+        ending[list(self.state.values())] = True
         #: for each state the longest token that ends there, as a state, and the next shorter one; 0: none
         self.first, self.next = np.zeros(len(parent), np.int64), np.zeros(len(parent), np.int64)
         for n in range(self.depth.max() + 1):
@@ -291,9 +298,16 @@ class ManyWords:
                 self.first[states] = np.where(ending[states], states, self.next[states])
             self.moves[parents[below], by[below]] = below
         self.number = np.zeros(256, np.int64)
-        self.number[LETTER_BYTES] = np.arange(len(LETTER_BYTES))
+        self.number[alphabet] = np.arange(len(alphabet))
         self.known = np.full(1 << FITS_BITS, -1)
 
+    def by_state(self, ids: dict[str, int]) -> np.ndarray:
+        """The token of each state, -1 where none is."""
+        out = np.full(len(self.depth), -1)
+        for body, state in self.state.items():
+            out[state] = ids.get(body, -1)
+        return out
+
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Vocabulary.compatible() for pairs; nothing (-2) before a word's beginning fits all. A place of the table holds the last pair that fell there."""
         tokens = len(self.vocab.rank)
@@ -310,6 +324,14 @@ class ManyWords:
             self.known[places[unknown]] = keys[unknown] << 1 | out[unknown]
         return out
 
+
+class ManyWords(Together):
+    """The dynamic programming of Vocabulary.prefix_tokens() for many words of Latin-1 letters, all of them a byte further at a time."""
+
+    def __init__(self, vocab: Vocabulary):
+        super().__init__(vocab, [*{**vocab.inner, **vocab.ending}], LETTER_BYTES)
+        self.token, self.closing = self.by_state(vocab.inner), self.by_state(vocab.ending)
+
     def steps(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """By how much the count (with the end mark) changes with each character of the words, end to end, and where each word ends there."""
         raws = [w.encode() for w in words]
@@ -346,6 +368,61 @@ class ManyWords:
         return out.astype(np.int32), to
 
 
+class ManyPieces(Together):
+    """Vocabulary.encode() for many pieces of Latin-1 letters or digits, all of them a step further at a time.
+
+    The automaton is one of the tokens from behind and goes over the pieces from behind: its state at a place has the longest token that begins there."""
+
+    def __init__(self, vocab: Vocabulary):
+        behind = {body[::-1]: i for body, i in vocab.inner.items()}
+        super().__init__(vocab, [*behind], PIECE_BYTES)
+        self.longest = self.by_state(behind)[self.first]
+        # the last entries are those of no token (-1)
+        self.length, self.shorter = np.array([*vocab.length, 0]), np.full(len(vocab.length) + 1, -1)
+        for i in vocab.inner.values():
+            self.shorter[i] = vocab.next_shorter(i)
+
+    def encode(self, pieces: list[str], blank: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of the pieces, each behind the blank if one is given, end to end, and where each piece ends there."""
+        raw = np.frombuffer("".join(chain.from_iterable(zip(repeat(blank), pieces, repeat("\n")))).encode(), np.uint8)
+        ends = np.flatnonzero(raw == ord("\n"))
+        starts = np.append(0, ends[:-1] + 1)
+        sizes = ends - starts
+        order = np.argsort(-sizes, kind="stable")
+        left = np.searchsorted(-sizes[order], -np.arange(1, int(sizes.max()) + 1), side="right")
+        longest, state, places = np.empty(len(raw), np.int64), np.zeros(len(pieces), np.int64), ends[order]
+        letters = self.number[raw]
+        for n in left.tolist():
+            places = places[:n] - 1
+            state = self.moves[state[:n], letters[places]]
+            longest[places] = self.longest[state]
+        # the last token of what is encoded up to each place, whether it is one of the result, and places from where nothing leads on
+        last, taken, dead = np.full(len(raw), -1), np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+        begin, end = starts, ends
+        at, token = begin, longest[begin]
+        while len(at):
+            back = np.flatnonzero(token < 0)
+            if len(back):
+                # a step back, to the next shorter one of the last token
+                here = at[back]
+                if (here == begin[back]).any():
+                    raise ValueError("a byte of the text isn't in the vocabulary")
+                dead[here], taken[here - 1] = True, False
+                at[back] -= self.length[last[here - 1]]
+                token[back] = self.shorter[last[here - 1]]
+            to = at + self.length[token]
+            fit = (token >= 0) & ~dead[to]
+            tried = np.flatnonzero(fit)
+            fit[tried] = self.fits(np.where(at[tried] == begin[tried], -2, last[at[tried] - 1]), token[tried])
+            on = np.flatnonzero(fit)
+            last[to[on] - 1], taken[to[on] - 1] = token[on], True
+            at = np.where(fit, to, at)
+            open_ = np.flatnonzero(at < end)
+            token = np.where(fit, longest[at], self.shorter[token])[open_]
+            at, begin, end = at[open_], begin[open_], end[open_]
+        return last[taken].astype(np.uint32), np.cumsum(np.add.reduceat(taken, starts, dtype=np.int64))
+
+
 class WordCounter:
     """Token counts at every prefix of a text, under a vocabulary of lower-cased words with end marks.
 
@@ -580,13 +657,21 @@ def cut_at(counts: np.ndarray, budget: int) -> int:
     return int(np.flatnonzero(counts <= budget)[-1])
 
 
+def has_runs(text: str) -> bool:
+    """Whether splitting at single blanks could differ from the pattern; texts with the usual blanks and line ends alone are told sooner."""
+    if any(map(text.__contains__, RARE_BLANKS)):
+        return RUNS.search(text) is not None
+    return text.endswith((" ", "\n")) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+
+
 class Codec:
     """Encoder and decoder for a byte-level vocabulary without end marks."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.of_first, self.of_next = Memo(self._piece, CODEC_MEMO), Memo(lambda p: self._piece(" " + p), CODEC_MEMO)
-        self.of_token = Memo(lambda t: np.array(vocab.encode(t.encode().decode("latin-1")), np.uint32).tobytes(), CODEC_MEMO)
+        self.of_first, self.of_next = Memo(self._word, CODEC_MEMO), Memo(lambda w: self._word(w, " "), 2 * CODEC_MEMO)
+        self.of_token = Memo(self._piece, CODEC_MEMO)
+        self.together: ManyPieces | None = None
         sizes = np.array(vocab.length, np.int64)
         self.table = (np.frombuffer(b"".join(vocab.bytes), np.uint8), np.cumsum(sizes) - sizes, sizes)
         names = [f"{i},".encode() for i in range(len(vocab.bytes))]
@@ -594,19 +679,96 @@ class Codec:
         self.decimal = (np.frombuffer(b"".join(names), np.uint8), np.cumsum(sizes) - sizes, sizes)
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join(map(self.of_token.__getitem__, GPT_SPLIT.findall(piece)))
+        return np.array(self.vocab.encode(piece.encode().decode("latin-1")), np.uint32).tobytes()
+
+    def _word(self, word: str, blank: str = "") -> bytes:
+        """Tokens of a word between blanks, behind the blank if one is given."""
+        if word.isalpha():
+            return self._piece(blank + word)
+        core = word.strip(MARKS)
+        if core.isalpha():
+            start = word.index(core)
+            before, after = word[:start], word[start + len(core) :]
+            out = self.of_token[blank + before] + self.of_first[core] if before else (self.of_next if blank else self.of_first)[core]
+            return out + self.of_token[after] if after else out
+        return b"".join(map(self.of_token.__getitem__, GPT_SPLIT.findall(blank + word)))
+
+    def _parts(self, text: str) -> list[tuple[list[str], bool | None]]:
+        """A text's words between single blanks (True) or, where splitting at these could differ, its pieces (False); special strings (None) stand alone."""
+        if self.vocab.special_split is None or "<|" not in text:
+            segments = [text]
+        else:
+            segments = [s for s in self.vocab.special_split.split(text) if s]
+        return [([s], None) if s in self.vocab.specials else (GPT_SPLIT.findall(s), False) if has_runs(s) else (s.split(" "), True) for s in segments]
+
+    def _joined(self, parts: list[tuple[list[str], bool | None]]) -> np.ndarray:
+        out: list[bytes] = []
+        for strings, words in parts:
+            if words:
+                out.append(self.of_first[strings[0]])
+                out += map(self.of_next.__getitem__, islice(strings, 1, None))
+            elif words is None:
+                out.append(np.uint32(self.vocab.specials[strings[0]]).tobytes())
+            else:
+                out += map(self.of_token.__getitem__, strings)
+        return np.frombuffer(b"".join(out), np.uint32)
+
+    def _learn(self, texts: list[list[tuple[list[str], bool | None]]]) -> None:
+        """Encode the new words of many texts together. What isn't learned here is encoded one by one when it is met."""
+        first, following, loose = set(), set(), set()
+        for parts in texts:
+            for strings, words in parts:
+                if words:
+                    first.add(strings[0])
+                    following.update(islice(strings, 1, None))
+                elif words is False:
+                    loose.update(strings)
+        for memo, met, blank in ((self.of_next, following, " "), (self.of_first, first, "")):
+            cores = {w.rstrip(MARKS) for w in self._new(memo, met)}
+            plain = set(filter(str.isalpha, cores))
+            self._together(memo, plain, blank)
+            others = [w for w in cores - plain if w]
+            # behind marks a word has no blank of its own
+            inside = {w.lstrip(MARKS) for w in others if w[0] in MARKS}
+            if blank:
+                first |= inside
+            else:
+                self._together(memo, filter(str.isalpha, inside))
+            loose.update(GPT_SPLIT.findall(blank + " ".join(w for w in others if not w.lstrip(MARKS).isalpha())))
+        self._together(self.of_token, [p for p in self._new(self.of_token, loose) if p.strip(" ").isalnum()])
 
-    def _plain(self, text: str) -> bytes:
-        if RUNS.search(text):
-            return b"".join(map(self.of_token.__getitem__, GPT_SPLIT.findall(text)))
-        first, *rest = text.split(" ")
-        return self.of_first[first] + b"".join(map(self.of_next.__getitem__, rest))
+    def _new(self, memo: Memo, met: set[str]) -> list[str]:
+        """What a memo doesn't hold. If this and as many parts of words don't go in, only what is met again stays, or nothing if that is too much."""
+        new = [w for w in met if w not in memo]
+        if len(memo) + 2 * len(new) > memo.most:
+            again = {w: memo[w] for w in met.difference(new)}
+            memo.clear()
+            if len(again) + 2 * len(new) <= memo.most:
+                memo.update(again)
+            else:
+                new = list(met)[: memo.most // 2]
+        return new
+
+    def _together(self, memo: Memo, strings: Iterable[str], blank: str = "") -> None:
+        new = [s for s in strings if s not in memo and len(s) <= MEMO_CHARS and (s.isascii() or max(s) <= "\xff")]
+        if self.together is None and new:
+            self.together = ManyPieces(self.vocab)
+        for n in range(0, len(new), TOGETHER):
+            some = new[n : n + TOGETHER]
+            ids, ends = self.together.encode(some, blank)
+            ids, ends = ids.tobytes(), (4 * ends).tolist()
+            memo.update(zip(some, (ids[a:b] for a, b in zip(chain((0,), ends), ends))))
 
     def encode(self, text: str) -> np.ndarray:
-        if self.vocab.special_split is None or "<|" not in text:
-            return np.frombuffer(self._plain(text), np.uint32)
-        parts = [np.uint32(self.vocab.specials[s]).tobytes() if s in self.vocab.specials else self._plain(s) for s in self.vocab.special_split.split(text) if s]
-        return np.frombuffer(b"".join(parts), np.uint32)
+        return self._joined(self._parts(text))
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; texts of a bounded number of characters are split and learned at a time."""
+        sizes = list(accumulate(map(len, texts)))
+        for _, group in groupby(range(len(texts)), lambda i: sizes[i] // TOGETHER_CHARS):
+            some = [self._parts(texts[i]) for i in group]
+            self._learn(some)
+            yield from map(self._joined, some)
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids by the offset table; bytes that are no UTF-8 become U+FFFD."""
@@ -696,8 +858,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, text: str = "text", key: str
     def run(batch: pa.RecordBatch):
         codec = _loaded(shared.value, Codec)
         counts, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
-        for value in batch.column(1):
-            ids = codec.encode(value.as_py() or "")
+        for ids in codec.encode_all([s or "" for s in batch.column(1).to_pylist()]):
             decoded = codec.decode(ids)
             counts.append(len(ids))
             ids_sha.append(hashlib.sha256(codec.decimals(ids)).hexdigest())
