@@ -48,7 +48,7 @@ MARKS = string.punctuation.replace("'", "")
 BLANK_STEP = bytes(4)
 #: Entries of a worker's memo of pieces, and characters of the longest that it keeps; when full it starts afresh, so memory is bounded for any corpus.
 MEMO, MEMO_CHARS = 400_000, 64
-#: The same for the encoder, which has three of them; that of the words behind a blank holds twice as many.
+#: The same for the encoder, which has three of them.
 CODEC_MEMO = 250_000
 #: Words that are programmed together, and binary logarithm of the pairs whose fit is remembered for that, in 8 bytes each.
 TOGETHER, FITS_BITS = 1 << 15, 21
@@ -57,7 +57,7 @@ LETTER_BYTES = sorted({b for c in range(256) if chr(c).isalpha() for b in chr(c)
 #: Bytes of all letters and digits of Latin-1 and of the blank before them.
 PIECE_BYTES = sorted({ord(" "), *(b for c in range(256) if chr(c).isalnum() for b in chr(c).encode())})
 #: Characters of the texts that are split at a time, so that their new pieces are encoded together.
-TOGETHER_CHARS = 1 << 21
+TOGETHER_CHARS = 1 << 19
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -669,7 +669,7 @@ class Codec:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.of_first, self.of_next = Memo(self._word, CODEC_MEMO), Memo(lambda w: self._word(w, " "), 2 * CODEC_MEMO)
+        self.of_first, self.of_next = Memo(self._word, CODEC_MEMO), Memo(lambda w: self._word(w, " "), CODEC_MEMO)
         self.of_token = Memo(self._piece, CODEC_MEMO)
         self.together: ManyPieces | None = None
         sizes = np.array(vocab.length, np.int64)
