@@ -39,11 +39,19 @@ def _if(condition: Column, token: str) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.array(F.lit(token))).otherwise(F.array().cast("array<string>"))
 
 
+def _pair(s: Column) -> Column:
+    """Opcode and argument of a mapped instruction as tokens."""
+    return F.when(F.instr(s, " ") > 0, F.filter(F.array(F.upper(F.substring_index(s, " ", 1)), F.substring(s, F.instr(s, " ") + 1, F.length(s))), lambda x: x != "")).otherwise(F.array(F.upper(s)))
+
+
+def _file_tokens(warnings: Column, size: Column, is_targeted: Column) -> Column:
+    return F.concat(F.coalesce(warnings, F.array().cast("array<string>")), _if(size > fixed.LARGE_FILE, "LARGE_FILE"), _if(size > fixed.PATHOLOGICAL_FILE, "PATHOLOGICAL_FILE"), _if(is_targeted, "TARGETED_FILE"))
+
+
 def tokens(warnings: Column, size: Column, is_targeted: Column, mapped_instructions: Column) -> Column:
     """Warnings, file tokens, then opcode and argument of each instruction as two tokens; MALFORMED_FILE without instructions."""
-    pair = lambda s: F.when(F.instr(s, " ") > 0, F.filter(F.array(F.upper(F.substring_index(s, " ", 1)), F.substring(s, F.instr(s, " ") + 1, F.length(s))), lambda x: x != "")).otherwise(F.array(F.upper(s)))
-    body = F.when(F.size(mapped_instructions) > 0, F.flatten(F.transform(mapped_instructions, pair))).otherwise(F.array(F.lit("MALFORMED_FILE")))
-    return F.concat(F.coalesce(warnings, F.array().cast("array<string>")), _if(size > fixed.LARGE_FILE, "LARGE_FILE"), _if(size > fixed.PATHOLOGICAL_FILE, "PATHOLOGICAL_FILE"), _if(is_targeted, "TARGETED_FILE"), body)
+    body = F.when(F.size(mapped_instructions) > 0, F.flatten(F.transform(mapped_instructions, _pair))).otherwise(F.array(F.lit("MALFORMED_FILE")))
+    return F.concat(_file_tokens(warnings, size, is_targeted), body)
 
 
 def with_tokens(objects: DataFrame, functions=None, imports=None) -> DataFrame:
@@ -60,6 +68,26 @@ def with_tokens(objects: DataFrame, functions=None, imports=None) -> DataFrame:
     return out.withColumn("hash", F.sha2(F.when(F.size("mapped") > 0, F.col("text")).otherwise(F.col("token_string")), 256))
 
 
+def tokens_of_groups(groups: DataFrame) -> DataFrame:
+    """file_path, name, n (of instructions), token_string and hash of the objects of groups (compile.compile_groups), as with_tokens() has them.
+
+    What comes of an instruction is found once for all objects of a group that have it; objects then only look it up."""
+    one = lambda m: F.struct(m.alias("text"), F.when(m.isNotNull(), F.array_join(_pair(m), " ")).alias("said"))
+    # exploding an array of one keeps the table from being made again at each place that looks it up
+    words = groups.select("objects", F.explode(F.array(F.transform(mapped(F.col("known")), one))).alias("words"))
+
+    def row(o: Column) -> Column:
+        aim, some = targeted(o["file_path"], o["language"]), o["n"] > 0
+        looked_up = lambda what: F.transform(o["parts"], lambda p: F.coalesce(p["said"], F.col("words")[p["place"]][what]))
+        body = F.when(some, looked_up("said")).otherwise(F.array(F.lit("MALFORMED_FILE")))
+        token_string = F.array_join(F.concat(_file_tokens(o["warnings"], o["file_size"], aim), body), " ")
+        text = F.array_join(F.concat(_if(aim, "TARGETED_FILE"), looked_up("text")), " ")
+        return F.struct(o["file_path"].alias("file_path"), o["name"].alias("name"), o["n"].alias("n"), token_string.alias("token_string"), F.when(some, text).alias("text"))
+
+    rows = words.select(F.explode(F.transform("objects", row)).alias("o")).select("o.*")
+    return rows.select("file_path", "name", "n", "token_string", F.sha2(F.coalesce("text", "token_string"), 256).alias("hash"))
+
+
 def special_tokens(language: str, functions=None, imports=None) -> list[str]:
     """All tokens of a language, sorted."""
     functions = fixed.FUNCTION_MAP if functions is None else functions
