@@ -139,10 +139,15 @@ def plain_tokens(instruction: tuple) -> str | None:
     op, kind, text, _ = instruction
     if kind == "none":
         return op
-    if kind != "str" or op not in _NAMING or not _ITSELF.match(text) or text in _MAPPED:
+    if kind != "str" or op not in _NAMING or text in _MAPPED:
         return None
     low = text.lower()
-    if low in _CODECS or (not low.isalnum() or not low.isascii()) and _GAP.sub("_", low).strip("_") in _CODECS or "local" in low or "loopback" in low:
+    if text.isalpha() and text.isascii():
+        if len(text) > fixed.LITERAL_LENGTH or low in _CODECS:
+            return None
+    elif not _ITSELF.match(text) or _GAP.sub("_", low).strip("_") in _CODECS:
+        return None
+    if "local" in low or "loopback" in low:
         return None
     return f"{op} {text}"
 
